@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = (size.cumsum() - size) // limit
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jpeg, mixing, neardup, quality, substrings
+from . import decontam, jpeg, lm, mixing, neardup, quality, substrings
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lm.score_documents(docs, remainder(10) != 0)
+    return out.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_media_jpeg": op3_media_jpeg,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,

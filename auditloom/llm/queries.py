@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jpeg, lm, mixing, neardup, quality, substrings
+from . import decontam, jpeg, licenses, lm, mixing, neardup, quality, substrings, urlfilter, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return out.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lm.score_documents(docs, remainder(10) != 0)
@@ -45,26 +50,136 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def _number(text, salt: str, n: int):
+    """A number under n that follows from the text."""
+    return F.conv(F.substring(F.md5(F.concat(text, F.lit(salt)).cast("binary")), 1, 6), 16, 10).cast("int") % n
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures over two years, against lists that add and remove hosts, domains and paths of theirs on dates of their own."""
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") * 37 % 730).cast("int")).alias("fetched_on"))
+    hosts = captures.select(urlfilter.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    keys = hosts.select(
+        F.explode(F.array(
+            F.struct(F.lit("hosts").alias("list_name"), F.concat(F.lit("h:"), "host").alias("key")),
+            F.struct(F.lit("domains").alias("list_name"), F.concat(F.lit("d:"), F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)).alias("key")),
+            F.struct(F.lit("paths").alias("list_name"), F.concat(F.lit("u:"), "host", F.lit("/de")).alias("key")),
+        )).alias("e")
+    ).select("e.list_name", "e.key").distinct().filter(_number(F.col("key"), "x", 3) > 0)
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n)
+    added = _number(F.col("key"), "a", 400)
+    removed = added + 1 + _number(F.col("key"), "r", 200)
+    changes = keys.select("list_name", "key", F.explode(F.array(
+        F.struct(F.lit("add").alias("action"), day(added).alias("changed_on")), F.struct(F.lit("remove").alias("action"), day(removed).alias("changed_on")), F.struct(F.lit("add").alias("action"), day(removed + _number(F.col("key"), "b", 100)).alias("changed_on")),
+    )).alias("c")).select("list_name", "key", "c.action", "c.changed_on")
+    out = urlfilter.filter_urls(captures, changes)
+    return out.withColumn("lists", F.array_join("lists", ",")).withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as crawl records: each page a response, and two later 304 answers and an earlier one for its URL, spelt otherwise."""
+    pages = table(spark, sf_dir, "pages")
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    at = lambda minutes: F.timestamp_seconds(F.unix_timestamp(start) + minutes * 60)
+    minute = F.col("page_id") * 7919 % 100_000
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 12), F.lit('"'))
+    text = lambda c: c.cast("string")
+    kinds = [("response", 200, 0), ("revisit", 304, 0), ("revisit", 304, 1), ("revisit", 304, 2)]
+    records = None
+    for k, (kind, status, turn) in enumerate(kinds):
+        own = {"Content-Type": F.lit("text/html"), "ETag": tag, "Date": text(minute), "X-Cache": F.lit("miss")}
+        when, url = minute, F.col("url")
+        if kind == "revisit":
+            when = minute + F.lit((-5, 30, 3000)[turn])
+            url = F.regexp_replace(F.regexp_replace(url, r"^https?://(www\.)?", "HTTP://WWW."), "#.*$", "") if turn == 1 else F.concat(url, F.lit("#again"))
+            seen = F.when(F.col("page_id") % 4 == turn, F.lit('"other"')).when(F.col("page_id") % 4 == 3, F.concat(F.lit("W/"), tag)).otherwise(tag)
+            own = {"etag": seen, "date": text(when), "Cache-Control": F.concat(F.lit("max-age="), text(F.col("page_id") % 100)), "x-cache": F.lit("hit")}
+        one = pages.select(
+            (F.col("page_id") * 4 + k).alias("record_id"), F.lit(kind).alias("warc_type"), url.alias("url"), at(when).alias("warc_date"), F.lit(status).alias("status"),
+            F.create_map(*[x for h, v in own.items() for x in (F.lit(h), v)]).alias("headers"), F.md5(F.col("html").cast("binary")).alias("payload_digest"),
+        )
+        records = one if records is None else records.unionByName(one)
+    out = warc.resolve_revisits(records)
+    h = F.col("headers")
+    return out.select("record_id", "canonical_url", "refers_to", "outcome", h["content-type"].alias("content_type"), h["etag"].alias("etag"), h["date"].alias("date"), h["cache-control"].alias("cache_control"), h["x-cache"].alias("x_cache"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_media_jpeg": op3_media_jpeg,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,
+    "op6_url_filters": op6_url_filters,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_source_mixing": op9_source_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+def _license_sql() -> str:
+    def canonical(x: str) -> str:
+        out = f"regexp_replace(coalesce({x}, ''), '{licenses.COPYRIGHT.replace('(?md)', '(?m)')}', '', 'g')"
+        marks = licenses._UPPER + licenses._MARKS, (licenses._LOWER + licenses._PLAIN).replace("'", "''")
+        out = f"translate({out}, '{marks[0]}', '{marks[1]}')"
+        out = f"regexp_replace({out}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+        out = f"regexp_replace({out}, '[ \\n]*\\n[ \\n]*', chr(10), 'g')"
+        for a, b in licenses.EQUIVALENT.items():
+            out = f"replace({out}, '{a}', '{b}')"
+        return f"trim(trim(regexp_replace({out}, '^\\n|\\n$', '', 'g')))"
+
+    known = ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in (k, t))) for k, ts in licenses.KNOWN.items() for t in ts)
+    return f"""
+WITH raw(license_id, text) AS (VALUES {known}),
+known AS (SELECT sha256(replace({canonical("text")}, chr(10), ' ')) AS h, min(license_id) AS license_id FROM raw GROUP BY 1),
+d AS (SELECT doc_id, {canonical("text")} AS c FROM documents),
+lines AS (SELECT doc_id, sha256(trim(unnest(string_split(c, chr(10))))) AS h FROM d),
+found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known USING (h) GROUP BY doc_id)
+SELECT d.doc_id, sha256(replace(c, chr(10), ' ')) AS text_digest, k.license_id AS text_license, coalesce(f.n, 0) AS n_license_lines, coalesce(f.ids, '') AS line_licenses
+FROM d LEFT JOIN known k ON k.h = sha256(replace(c, chr(10), ' ')) LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op6_url_filters": r"""
+WITH caps AS (SELECT page_id, url, DATE '2023-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetched_on,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS parts FROM pages),
+hosts AS (SELECT DISTINCT host FROM caps WHERE host <> ''),
+allkeys AS (SELECT 'hosts' AS list_name, 'h:' || host AS key FROM hosts UNION SELECT 'domains', 'd:' || regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) FROM hosts UNION SELECT 'paths', 'u:' || host || '/de' FROM hosts),
+nums AS (SELECT *, CAST('0x' || md5(key || 'x')[1:6] AS INTEGER) % 3 AS x, CAST('0x' || md5(key || 'a')[1:6] AS INTEGER) % 400 AS a, CAST('0x' || md5(key || 'r')[1:6] AS INTEGER) % 200 AS r, CAST('0x' || md5(key || 'b')[1:6] AS INTEGER) % 100 AS b FROM allkeys),
+valid AS (SELECT list_name, key, DATE '2023-01-01' + a AS lo, DATE '2023-01-01' + (a + 1 + r) AS hi FROM nums WHERE x > 0 AND b > 0
+  UNION ALL SELECT list_name, key, DATE '2023-01-01' + (a + 1 + r + b), NULL FROM nums WHERE x > 0 AND b > 0
+  UNION ALL SELECT list_name, key, DATE '2023-01-01' + a, DATE '2023-01-01' + (a + 1 + r) FROM nums WHERE x > 0 AND b = 0),
+keyed AS (SELECT page_id, fetched_on, 'h:' || host AS key FROM caps WHERE host <> ''
+  UNION SELECT page_id, fetched_on, 'd:' || array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM caps WHERE host <> '')
+  UNION SELECT page_id, fetched_on, 'u:' || host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM caps WHERE host <> '')),
+active AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM keyed JOIN valid USING (key) WHERE fetched_on >= lo AND (hi IS NULL OR fetched_on < hi) GROUP BY page_id)
+SELECT c.page_id, host, CAST(c.fetched_on AS VARCHAR) AS fetched_on, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked FROM caps c LEFT JOIN active USING (page_id)
+""",
+    "op8_warc_revisits": r"""
+WITH p AS (SELECT page_id, url, '"' || md5(html)[1:12] || '"' AS tag, page_id * 7919 % 100000 AS m,
+  regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS rest FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+  regexp_extract(rest, '^[^/?]*(.*)$', 1) AS tail FROM p),
+u AS (SELECT *, host || regexp_replace(regexp_extract(tail, '^([^?]*)', 1), '/+$', '') || regexp_extract(tail, '(\?.*)$', 1) AS canonical_url FROM c),
+rev AS (SELECT page_id, page_id * 4 + 1 + t.turn AS record_id, canonical_url, m + t.shift AS minute, page_id % 100 AS age,
+  CASE WHEN page_id % 4 = t.turn THEN '"other"' WHEN page_id % 4 = 3 THEN 'W/' || tag ELSE tag END AS seen FROM u, (VALUES (0, -5), (1, 30), (2, 3000)) t(turn, shift)),
+latest AS (SELECT r.*, u.page_id AS src, u.tag AS old, row_number() OVER (PARTITION BY r.record_id ORDER BY u.m DESC, u.page_id DESC) AS k FROM rev r LEFT JOIN u ON u.canonical_url = r.canonical_url AND u.m < r.minute),
+o AS (SELECT *, CASE WHEN src IS NULL THEN 'no_earlier' WHEN regexp_replace(seen, '^W/', '') = old THEN 'resolved' ELSE 'mismatch' END AS outcome FROM latest WHERE k = 1)
+SELECT record_id, canonical_url, src * 4 AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN outcome = 'resolved' THEN seen END AS etag,
+  CASE WHEN outcome = 'resolved' THEN CAST(minute AS VARCHAR) END AS date, CASE WHEN outcome = 'resolved' THEN 'max-age=' || age END AS cache_control, CASE WHEN outcome = 'resolved' THEN 'miss' END AS x_cache FROM o
+""",
     "op5_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, CASE WHEN n < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s

@@ -36,13 +36,13 @@ def item_windows(benchmark: DataFrame, window: int, item_id: str, text: str) ->
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted array), spans (array of start, length).
+    """Per document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted array), spans (array of start, length).
 
     A word is hit if it lies in any occurrence of a window. Null and empty texts, of
     documents and items, have no words and hit nothing; an empty benchmark leaves every
     document clean; repeated items and windows are found once and credited to every item
     that has them; items without an id are ignored. A doc_id that occurs on several rows
-    gives a row each, judged by its own text. Extra columns are ignored.
+    gives a row each, judged by its own text (``text_hash``: xxhash64 of it). Extra columns are ignored.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     windows = item_windows(benchmark, window, item_id, item_text)
@@ -72,6 +72,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     hits = per_doc.select("key", covered.alias("n_hit"), "items", "spans")
     counted = docs.select(key.alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     return counted.join(hits, "key", "left").select(
-        F.col("key.doc_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.col("key.doc_id").alias("doc_id"), F.col("key.text_hash").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans",
     )

@@ -138,23 +138,26 @@ def _edge_rows(window: int):
     return run
 
 
-def _keyed(documents: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+def _keyed(documents: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
     """Texts with a key that is unique and ordered as the ids are; and where the key isn't the id, the ids by key."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
+    also = ["carry"] * bool(carry)
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
     whole = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     if whole and docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
-        return docs.select(F.col("doc_id").cast("long").alias("k"), "text"), None
+        return docs.select(F.col("doc_id").cast("long").alias("k"), "text", *also), None
     # Sorted by range, the running number of a partition's rows after those of earlier partitions keeps the order.
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *also)
     ids = Cut(marked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("k", F.monotonically_increasing_id())).df
-    one = marked.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    one = marked.groupBy("doc_id", "h").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in also])
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
-    keyed = Cut(one.alias("a").join(ids.alias("b"), same).select("k", "a.text")).df
+    keyed = Cut(one.alias("a").join(ids.alias("b"), same).select("k", "a.text", *also)).df
     return keyed, ids.select("k", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """Of texts (k, text): rows k, pos, edges; the windows pos .. pos+edges-1 of document k start earlier elsewhere."""
+    docs = docs.select("k", "text")
     check = F.shiftright("place", 5).bitwiseAND(_CHECK)
     all_of = Cut(docs.mapInArrow(_segment_rows(window), "anchor long, content long, k long, place long"))
     twice = Cut(all_of.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
@@ -207,6 +210,9 @@ def _kept_rows(window: int, with_text: bool):
                     spans.append(edges)
             cols = [batch.column("k"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             names = ["k", "n_words", "n_removed", "kept_sha256"]
+            if "carry" in batch.schema.names:
+                cols.append(batch.column("carry"))
+                names.append("carry")
             if with_text:
                 cols += [pa.array(kept_text, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32())])))]
                 names += ["kept_text", "spans"]
@@ -215,8 +221,8 @@ def _kept_rows(window: int, with_text: bool):
     return run
 
 
-def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256[, kept_text, spans].
+def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column = "doc_id", text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256[, columns of carry][, kept_text, spans].
 
     A word goes if a window of ``window`` words that covers it starts earlier as well: in
     a document with a smaller id, or earlier in the same one. Windows are judged on the
@@ -229,10 +235,11 @@ def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column =
     """
     if not ANCHOR < window <= ANCHOR + 14:
         raise ValueError(f"window must be {ANCHOR + 1} to {ANCHOR + 14}")
-    docs, ids = _keyed(documents, doc_id, text)
+    docs, ids = _keyed(documents, doc_id, text, carry)
     gone = repeats(docs, window).groupBy("k").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 8).bitwiseOR(F.col("edges").cast("long"))).alias("gone"))
-    schema = "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<start:int,len:int>>" * with_text
-    out = docs.join(gone, "k", "left").select("k", "text", "gone").mapInArrow(_kept_rows(window, with_text), schema)
-    if ids is None:
-        return out.withColumnRenamed("k", "doc_id")
-    return ids.join(out, "k").drop("k")
+    kinds = "".join(f"`{f.name}`:{f.dataType.simpleString()}," for f in (documents.schema[c] for c in carry))
+    schema = "k long, n_words long, n_removed long, kept_sha256 string" + f", carry struct<{kinds[:-1]}>" * bool(carry) + ", kept_text string, spans array<struct<start:int,len:int>>" * with_text
+    out = docs.join(gone, "k", "left").select(*docs.columns, "gone").mapInArrow(_kept_rows(window, with_text), schema)
+    out = out.withColumnRenamed("k", "doc_id") if ids is None else ids.join(out, "k").drop("k")
+    names = [c for c in out.columns if c != "carry"]
+    return out.select(*names[:4], *[F.col(f"carry.`{c}`") for c in carry], *names[4:])

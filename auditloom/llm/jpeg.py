@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_blocks, texts
+from .shared import in_blocks, small_batches, texts
 
 #: Blocks of a row, and payload bytes come in multiples of this squared.
 WIDE = 24
@@ -409,6 +409,7 @@ def store_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     few MB; a very long text takes several frames. Repeated rows have equal values;
     extra columns are ignored.
     """
+    small_batches(documents.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", *["media"] * with_media]
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int" + ", media binary" * with_media
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, small, texts
+from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, small, small_batches, texts
 
 HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 16
 #: Representatives compared at a time within a bucket or a component.
@@ -272,6 +272,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     and are kept. Ids are integers. Extra columns are ignored; an empty table gives an
     empty result. Groups of any size are whole.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed_ = Cut(docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_key binary, sig binary")).df
     usable = signed_.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")

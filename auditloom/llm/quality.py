@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import in_blocks, texts
+from .shared import in_blocks, small_batches, texts
 
 #: Bytes compressed at a time, bytes of a dictionary, and the compression level.
 CHUNK, DICT_BYTES, LEVEL = 1024, 112 << 10, 3
@@ -127,6 +127,7 @@ def score_quality(documents: DataFrame, model: CompressionModel, into: str = "qu
     Only the text is read; null scores as the empty text does, with the average evidence.
     Long texts are compressed whole, block by block. No row is added, dropped or moved.
     """
+    small_batches(documents.sparkSession)
     columns = [f for f in documents.schema.fields if f.name != into]
     schema = T.StructType([*columns, T.StructField(into, T.DoubleType())])
 

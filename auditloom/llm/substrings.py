@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, texts
+from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, small_batches, texts
 
 #: Words of an anchor. A window of w words has w - ANCHOR + 1 of them.
 ANCHOR = 6
@@ -40,7 +40,7 @@ _CHECK = (1 << 26) - 1
 
 def _powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006 - kept between calls on purpose
     if len(_kept.get(base, ())) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
+        out = np.full(max(n, 1 << 17), base, np.uint64)
         out[0] = 1
         _kept[base] = np.multiply.accumulate(out)
     return _kept[base][:n]
@@ -235,6 +235,7 @@ def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column =
     """
     if not ANCHOR < window <= ANCHOR + 14:
         raise ValueError(f"window must be {ANCHOR + 1} to {ANCHOR + 14}")
+    small_batches(documents.sparkSession)
     docs, ids = _keyed(documents, doc_id, text, carry)
     gone = repeats(docs, window).groupBy("k").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 8).bitwiseOR(F.col("edges").cast("long"))).alias("gone"))
     kinds = "".join(f"`{f.name}`:{f.dataType.simpleString()}," for f in (documents.schema[c] for c in carry))

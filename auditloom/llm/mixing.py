@@ -85,11 +85,24 @@ def flight(p: list[float], size: list[int], draws: np.ndarray) -> list[int]:
 
 
 def land(p: list[float], size: list[int], active: list[int]) -> None:
-    """Decide the last ones: of their roundings, that whose words come nearest to the expected ones, then whose count does."""
+    """Decide the last ones: of their roundings, that whose words come nearest to the expected ones, then whose count does.
+
+    A very long document tends to be among them, so what is then missing or too much is
+    evened out by turning single documents of the block, as long as that comes nearer.
+    """
     words, count = sum(p[i] * size[i] for i in active), sum(p[i] for i in active)
     best = min(range(1 << len(active)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(active) if m >> k & 1) - words), abs(m.bit_count() - count), m))
+    off = words
     for k, i in enumerate(active):
         p[i] = float(best >> k & 1)
+        off -= p[i] * size[i]
+    change = np.where(np.array(p) > 0.5, -1, 1) * np.array(size, np.int64)
+    for _ in range(len(p)):
+        i = int(np.abs(off - change).argmin()) if len(p) else 0
+        if not len(p) or abs(off - change[i]) >= abs(off):
+            break
+        off -= change[i]
+        p[i], change[i] = 1 - p[i], -change[i]
 
 
 def _round(last: bool, seed: int):

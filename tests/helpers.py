@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 
 def tables(sf: str):
@@ -16,7 +17,7 @@ def tables(sf: str):
 
 
 def _text(v) -> str:
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "NULL"
     return f"{v:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast: at 16 bytes a row this is 32 MB at most.
-BROADCAST_ROWS = 2_000_000
+#: Rows of an id or two that may be broadcast: at 32 bytes a row this is 32 MB at most.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python worker handles at a time, and of rows that it is sent at a time.
 BLOCK_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 20, 1000, 8 << 20
 

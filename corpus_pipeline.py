@@ -14,6 +14,8 @@ from auditloom.llm.shared import Cut, small, table
 
 #: A sampling and its landing cannot be said in SQL, nor can a compression score; the stages are tested one by one.
 ORACLE_SQL = None
+#: Rows of ids with source and size, some 170 bytes each, that may be broadcast: 17 MB.
+WIDE_ROWS = 100_000
 #: Documents under this score are rejected.
 LEAST_QUALITY = 0.7
 
@@ -61,7 +63,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = mixing.mix_sources(docs).filter("copies > 0")
     taken = found.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (mixing.n_words(F.col("text")) == F.col("t_size"))
-    return docs.drop("copies", "taken").join(small(Cut(taken).df), same).drop("t_id", "t_source", "t_size")
+    return docs.drop("copies", "taken").join(small(Cut(taken).df, WIDE_ROWS), same).drop("t_id", "t_source", "t_size")
 
 
 STAGES = [

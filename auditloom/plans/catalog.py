@@ -641,3 +641,40 @@ def middleware(spark, sf):
     from ..operators import routes
 
     return routes.middleware(sample_files(spark)).select("kind", "name", "n")
+
+
+@query(f"""WITH f AS ({_FILES}) SELECT path, {_count_sql('lower(path)', ('.md', '.txt', '.rst'))} > 0 AS low_signal, contains(lower(substr(content, 1, 2000)), 'copyright') AND contains(lower(substr(content, 1, 2000)), 'license') AND length(substr(content, 1, 2000)) < 1200 OR path LIKE '%.txt' AS low_value FROM f""")
+def chunk_predicates(spark, sf):
+    """Which documents say little, by ending, place and content."""
+    from ..functions import chunks
+
+    return dt.files(spark, sf).select("path", chunks.is_low_signal("path").alias("low_signal"), chunks.is_low_value("path", "content").alias("low_value"))
+
+
+@query()
+def stage_chunks(spark, sf):
+    """Chunks of pages for stage 4: markers, risk, routes; the best with backfill (M1-M4)."""
+    from ..functions import chunks
+
+    c = page_chunks(spark, sf)
+    routed = dt.routes(spark, sf).filter("ordinal % 2 = 0").select(F.concat(F.lit("pages/page_"), F.col("ordinal").cast("string"), F.lit(".html")).alias("base_file_path"), F.lit(True).alias("in_routes"))
+    scored = text.fixed(c.join(routed, "base_file_path", "left"), score=chunks.marker_score("content", ("<script", "innerhtml"), ("href=", "onclick"), ("/static/",)) + chunks.priority_boost(4, F.coalesce("in_routes", F.lit(False)), F.lit(False)))
+    return planning.select_with_backfill(scored.select("project", "base_file_path", "chunk_ordinal", "score"), ["project"], "score", ["chunk_ordinal"])
+
+
+@query(f"""SELECT CASE WHEN stage_num IN (2, 3, 4, 8) THEN 'raw_http' WHEN stage_num IN (5, 6, 9) THEN 'stepwise' ELSE 'cli' END AS kind, stage_num, count(*) AS n FROM ({dt.FINDINGS_SQL}) GROUP BY ALL""")
+def proof_kinds(spark, sf):
+    """The proof that a finding needs."""
+    from ..functions import proofs
+
+    f = dt.findings(spark, sf)
+    return f.groupBy(proofs.required_kind(F.col("stage_num")).alias("kind"), "stage_num").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def route_proofs(spark, sf):
+    """Requests made from routes, parsed again."""
+    from ..functions import proofs
+
+    r = dt.routes(spark, sf).withColumn("poc", proofs.request_text(F.col("method"), F.col("path"), F.array(F.lit("q")), F.col("auth")))
+    return r.select("ordinal", proofs.raw_request("poc").alias("r")).select("ordinal", "r.valid", "r.method", "r.target", "r.host")

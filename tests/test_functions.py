@@ -129,7 +129,7 @@ def test_json_salvage():
 
 def test_response_states(spark):
     good = '{"vulnerabilities": [{"title": "T", "severity": "High"}], "actions": [{"type": "submit_finding", "payload": {"title": "S"}}]}'
-    rows = [(1, good), (2, f"```json\n{good}\n```"), (3, f"see: {good}!"), (4, good[:45] + "}, {"), (5, "garbage"), (6, None)]
+    rows = [(1, good), (2, f"```json\n{good}\n```"), (3, f"see: {good}!"), (4, '{"vulnerabilities": [{"title": "T", "severity": "High"}, {"ti'), (5, "garbage"), (6, None)]
     parsed = responses.parse(spark.createDataFrame(rows, "id int, content string"))
     assert {r["id"]: r["parse_state"] for r in parsed.collect()} == {1: "clean", 2: "clean", 3: "extracted", 4: "salvaged", 5: "parse_error", 6: "parse_error"}
     titles = [(r["id"], r["title"]) for r in responses.findings_of(parsed, ["id"]).orderBy("id", "position").collect()]

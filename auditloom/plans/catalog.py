@@ -235,11 +235,11 @@ def severity_histogram_zero_filled(spark, sf):
     return planning.severity_counts(dt.findings(spark, sf).withColumn("severity", severity.severity("severity")), ["task_id"])
 
 
-@query(f"SELECT task_id, seq, title, severity, place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY o DESC, seq DESC, title) AS place FROM (SELECT *, CASE severity WHEN 'Critical' THEN 5 WHEN 'high' THEN 4 WHEN '高危' THEN 4 WHEN 'Low' THEN 2 WHEN 'Info' THEN 1 ELSE 0 END AS o FROM ({dt.FINDINGS_SQL})) WHERE stage_num BETWEEN 2 AND 9) WHERE place <= 20")
+@query(f"SELECT task_id, seq, title, severity, place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY o DESC, seq DESC, title, severity) AS place FROM (SELECT *, CASE severity WHEN 'Critical' THEN 5 WHEN 'high' THEN 4 WHEN '高危' THEN 4 WHEN 'Low' THEN 2 WHEN 'Info' THEN 1 ELSE 0 END AS o FROM ({dt.FINDINGS_SQL})) WHERE stage_num BETWEEN 2 AND 9) WHERE place <= 20")
 def findings_filtered_ranked(spark, sf):
     """The worst findings of each task."""
     f = dt.findings(spark, sf).filter(F.col("stage_num").between(2, 9)).withColumn("o", severity.severity_order("severity"))
-    return top(f, ["task_id"], [F.desc("o"), F.desc("seq"), F.col("title")], 20, "place").select("task_id", "seq", "title", "severity", F.col("place").cast("long").alias("place"))
+    return top(f, ["task_id"], [F.desc("o"), F.desc("seq"), F.col("title"), F.col("severity")], 20, "place").select("task_id", "seq", "title", "severity", F.col("place").cast("long").alias("place"))
 
 
 @query(f"SELECT task_id, stage_num, count(*) AS n FROM ({dt.FINDINGS_SQL}) GROUP BY ALL")

@@ -100,3 +100,62 @@ def pass_fold(passes: DataFrame, by: list[str], order: list[str], scalars: list[
     pick = {c: F.min(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct(*order, F.col(c).alias("v"))))["v"] for c in scalars}
     lists = {c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(c, F.array().cast(passes.schema[c].dataType)).alias("v")))), lambda x: x["v"]))) for c in arrays}
     return passes.groupBy(*by).agg(*[v.alias(k) for k, v in {**pick, **lists}.items()], F.count(F.lit(1)).alias("n_passes"))
+
+
+def stage_samples(signals: DataFrame, sample: int = 5) -> DataFrame:
+    """Per project and stage: how many signals, and the first files by name."""
+    each = signals.select("project", "file_path", F.explode("stage_nums").alias("stage_num"))
+    files = each.groupBy("project", "stage_num", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    first = top(files, ["project", "stage_num"], [F.col("file_path")], sample)
+    names = first.groupBy("project", "stage_num").agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+    return files.groupBy("project", "stage_num").agg(F.sum("n").alias("n")).join(names, ["project", "stage_num"])
+
+
+def token_usage(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of tokens and the number of calls."""
+    return runs.groupBy(*by).agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), F.count(F.lit(1)).alias("n_calls"))
+
+
+def pass_progress(passes: DataFrame, by: list[str], order: str, item: str, total: DataFrame, enough: float = 0.995) -> DataFrame:
+    """Per pass: distinct items so far, how many were new, the ratio to ``total`` (by, n_total), and whether that is enough to stop.
+
+    An item counts where it first comes, so a running sum of firsts replaces running sets.
+    """
+    first = passes.groupBy(*by, item).agg(F.min(order).alias(order)).groupBy(*by, order).agg(F.count(F.lit(1)).alias("n_new"))
+    every = passes.select(*by, order).distinct().join(first, [*by, order], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    seen = every.withColumn("n_seen", F.sum("n_new").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.join(total, by, "left").withColumn("ratio", F.when(F.col("n_total") > 0, F.col("n_seen") / F.col("n_total")).otherwise(1.0)).withColumn("stop", F.col("ratio") >= enough)
+
+
+def rescored(rows: DataFrame, by: list[str], score: str, bonuses: dict[str, tuple[Column, int]], tie: list[str], most: int) -> DataFrame:
+    """The best rows of each group after bonuses (name -> condition, points), those over 0 only."""
+    total = F.col(score)
+    for condition, points in bonuses.values():
+        total = total + F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
+    return top(rows.withColumn("total", total).filter("total > 0"), by, [F.desc("total"), *map(F.col, tie)], most)
+
+
+def pack_batches(items: DataFrame, batches: int = 8) -> DataFrame:
+    """Components (project, comp, n) in batches: the largest first, each to the batch that holds least. Sequential, so a project is one task's; its components are bounded by its file limit."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "comp"], ascending=[False, True], ignore_index=True)
+        load, place = [0] * batches, []
+        for n in pdf["n"]:
+            k = min(range(batches), key=lambda i: (load[i], i))
+            load[k] += int(n)
+            place.append(k)
+        pdf["batch"] = place
+        return pdf
+
+    out = items.select("project", "comp", F.col("n").cast("long").alias("n"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    return out.groupBy("project").applyInPandas(run, kinds + ", batch long")
+
+
+def rerun_stages(requested: DataFrame, stages: DataFrame) -> DataFrame:
+    """Per task, requested stages 2 to 9 with their last status and what follows: 'done', 'retry' or 'not_found'."""
+    last = stages.groupBy("task_id", "stage_num").agg(F.max_by("status", "id").alias("status"))
+    asked = requested.filter(F.col("stage_num").between(2, 9)).select("task_id", "stage_num").distinct()
+    return asked.join(last, ["task_id", "stage_num"], "left").withColumn("outcome", F.when(F.col("status").isNull(), "not_found").when(F.col("status") == "completed", "done").otherwise("retry"))

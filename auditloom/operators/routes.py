@@ -215,6 +215,72 @@ def critical_files(files: DataFrame, hubs: DataFrame) -> DataFrame:
 _PY_IMPORT, _JS_IMPORT = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", r"""(?:from\s+|require\(\s*|import\s+)["'](\.{1,2}/[^"']+)["']"""
 
 
+_PY_NAMES = re.compile(r"^\s*from\s+([\w.]+)\s+import\s+([\w, ]+?)(?:\s+as\s+(\w+))?\s*$|^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$", re.M)
+_PY_MOUNT = re.compile(r"""\.(?:register_blueprint|include_router)\(\s*([\w.]+)(?:[^)]*?(?:url_prefix|prefix)\s*=\s*["']([^"']*)["'])?""")
+_DJANGO_MOUNT = re.compile(r"""\b(?:re_)?path\(\s*r?["']\^?([^"']*)["']\s*,\s*include\(\s*["']([\w.]+)["']""")
+_JS_NAMES = re.compile(r"""(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](\.[^"']+)["']\s*\)|import\s+(\w+)\s+from\s+["'](\.[^"']+)["']""")
+_JS_MOUNT = re.compile(r"""\.use\(\s*["'`]([^"'`]*)["'`]\s*,\s*(?:[\w.()]+\s*,\s*)*(\w+)\s*\)""")
+
+
+def mounts_of(path: str, content: str) -> Iterator[tuple[str, str]]:
+    """(wanted file without ending, prefix) of what a file mounts: blueprints, routers, included URL lists, Express routers."""
+    if path.endswith(".py"):
+        names = {}
+        for module, imported, alias, plain, plain_as in _PY_NAMES.findall(content):
+            if plain:
+                names[plain_as or plain.split(".")[-1]] = (plain, plain)
+            for one in (x.strip() for x in imported.split(",") if x.strip()):
+                names[alias or one] = (module, f"{module}.{one}")
+        for target, prefix in _PY_MOUNT.findall(content):
+            head, *rest = target.split(".")
+            if head in names:
+                # A name may be a module or something in one; both are looked for.
+                module, full = names[head]
+                for want in dict.fromkeys((full, module)) if not rest else (full,):
+                    yield want.strip(".").replace(".", "/"), prefix
+        for prefix, module in _DJANGO_MOUNT.findall(content):
+            yield module.replace(".", "/"), "/" + prefix.strip("^$/")
+    elif path.endswith(_JS):
+        names = {a or c: b or d for a, b, c, d in _JS_NAMES.findall(content)}
+        for prefix, name in _JS_MOUNT.findall(content):
+            if name in names:
+                at = path.split("/")[:-1]
+                for x in names[name].split("/"):
+                    at = at[:-1] if x == ".." else at if x == "." else [*at, x]
+                yield re.sub(r"(?:/index)?(?:\.\w+)?$", "", "/".join(at)), prefix
+
+
+def mount_edges(files: DataFrame) -> DataFrame:
+    """Edges project, src, dst, prefix: src mounts the routes of dst. A Python module is found by the end of its path."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (p, c) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+                for row in mounts_of(p or "", c or ""):
+                    at.append(i)
+                    found.append(row)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("project").take(take), batch.column("path").take(take), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["project", "src", "want", "prefix"])
+
+    kind = files.schema["project"].dataType.simpleString()
+    asked = files.filter(contains_any("content", (".register_blueprint(", ".include_router(", "include(", ".use("))).select("project", "path", "content").mapInArrow(run, f"project {kind}, src string, want string, prefix string")
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/(?:__init__|index)$", "")
+    parts = F.split(stem, "/")
+    ends = F.when(F.col("path").endswith(".py"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).otherwise(F.array(stem))
+    have = files.filter(F.col("path").rlike(r"\.(?:py|js|ts|mjs|cjs)$")).select("project", F.col("path").alias("dst"), F.explode(ends).alias("want"))
+    found = asked.join(have, ["project", "want"]).groupBy("project", "src", "want", "prefix").agg(F.min("dst").alias("dst"))
+    return found.filter("src <> dst").select("project", "src", "dst", "prefix").distinct()
+
+
+def mounted_prefixes(files: DataFrame) -> DataFrame:
+    """Prefixes (project, path, prefix) of files that others mount, along all mounts from files that nothing mounts."""
+    from .graph import propagate_prefixes
+
+    edges = mount_edges(files)
+    roots = edges.select("project", F.col("src").alias("file")).distinct().join(edges.select("project", F.col("dst").alias("file")).distinct(), ["project", "file"], "left_anti").withColumn("prefix", F.lit(""))
+    return propagate_prefixes(edges, roots, join_routes).filter(~F.col("prefix").isin("", "/")).select("project", F.col("file").alias("path"), "prefix")
+
+
 def import_edges(files: DataFrame) -> DataFrame:
     """Edges project, src, dst between files: Python modules by their dotted path, found at the end of a path; relative JavaScript modules by normalised path."""
     py = files.filter(F.col("path").endswith(".py"))

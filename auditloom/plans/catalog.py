@@ -585,6 +585,9 @@ SAMPLE = (
     ("app.py", "from flask import Flask\nfrom app import views\napp = Flask(__name__)\n\n@app.route('/login', methods=['POST'])\ndef login():\n    return jwt.encode({})\n\n@app.route('/items/<int:item_id>')\n@login_required\ndef item(item_id):\n    return cursor.execute('SELECT 1')\n"),
     ("app/views.py", "from fastapi import APIRouter\nrouter = APIRouter(prefix='/api')\n\n@router.get('/users/{user_id}')\nasync def user(user_id: int):\n    return 1\n"),
     ("src/UserController.java", '@RestController\n@RequestMapping("/users")\npublic class UserController {\n  @GetMapping("/{id}")\n  public User one(@PathVariable Long id) { return null; }\n}\n'),
+    ("app/admin.py", "from flask import Blueprint\nbp = Blueprint('admin', __name__)\n\n@bp.route('/stats')\ndef stats():\n    return 1\n"),
+    ("wsgi.py", "from app.admin import bp\nfrom app import views\nserver.register_blueprint(bp, url_prefix='/admin')\nserver.include_router(views.router, prefix='/v2')\n"),
+    ("web/server.js", "const files = require('./routes')\napp.use('/static', files)\n"),
     ("web/routes.js", "const helper = require('./helper')\nconst router = express.Router()\nrouter.post('/upload', upload)\napp.use('/files', router)\n"),
     ("web/helper.js", "import x from './routes'\nmodule.exports = 1\n"),
     ("main.go", 'v1 := r.Group("/v1")\nadmin := v1.Group("/admin")\nadmin.GET("/users/:id", listUsers)\nhttp.HandleFunc("/health", health)\n'),
@@ -606,7 +609,8 @@ def route_extract(spark, sf):
     """Routes of a sample project in eleven frameworks."""
     from ..operators import routes
 
-    return routes.extract_routes(sample_files(spark)).select("method", "path", "handler", "file_path", "auth", F.array_join("params", ",").alias("params"), "line_start", "source_kind")
+    files = sample_files(spark)
+    return routes.extract_routes(files, routes.mounted_prefixes(files)).select("method", "path", "handler", "file_path", "auth", F.array_join("params", ",").alias("params"), "line_start", "source_kind")
 
 
 @query()
@@ -678,3 +682,70 @@ def route_proofs(spark, sf):
 
     r = dt.routes(spark, sf).withColumn("poc", proofs.request_text(F.col("method"), F.col("path"), F.array(F.lit("q")), F.col("auth")))
     return r.select("ordinal", proofs.raw_request("poc").alias("r")).select("ordinal", "r.valid", "r.method", "r.target", "r.host")
+
+
+@query()
+def mounted_prefixes(spark, sf):
+    """Prefixes that the sample's files get from those that mount them."""
+    from ..operators import routes
+
+    return routes.mounted_prefixes(sample_files(spark)).select("path", "prefix")
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn, role FROM conversations), f AS (SELECT conv_id, role, min(turn) AS turn FROM c GROUP BY ALL), n AS (SELECT conv_id, turn, count(*) AS n_new FROM f GROUP BY ALL),
+e AS (SELECT DISTINCT c.conv_id, c.turn, coalesce(n.n_new, 0) AS n_new FROM c LEFT JOIN n USING (conv_id, turn)), s AS (SELECT *, CAST(sum(n_new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS n_seen FROM e)
+SELECT conv_id, turn, n_new, n_seen, n_seen >= 0.995 * 3 AS stop FROM s""")
+def pass_progress(spark, sf):
+    """How far passes have come, and whether that is enough."""
+    c = dt.table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    total = c.select("conv_id").distinct().withColumn("n_total", F.lit(3))
+    return planning.pass_progress(c, ["conv_id"], "turn", "role", total).select("conv_id", "turn", "n_new", "n_seen", "stop")
+
+
+@query("SELECT o_custkey % 20 AS project, count(*) AS n_calls, CAST(sum(o_orderkey % 1000) AS BIGINT) AS prompt_tokens, CAST(sum(o_orderkey % 77) AS BIGINT) AS completion_tokens FROM orders GROUP BY 1")
+def token_usage(spark, sf):
+    """Tokens and calls."""
+    o = dt.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("project"), (F.col("o_orderkey") % 1000).alias("prompt_tokens"), (F.col("o_orderkey") % 77).alias("completion_tokens"))
+    return planning.token_usage(o, ["project"])
+
+
+@query("""WITH s AS (SELECT o_custkey % 20 AS project, 'f' || o_orderkey % 30 AS file_path, CAST(o_orderkey % 8 + 2 AS INTEGER) AS stage_num FROM orders), d AS (SELECT project, stage_num, file_path, row_number() OVER (PARTITION BY project, stage_num ORDER BY file_path) AS r FROM (SELECT DISTINCT * FROM s))
+SELECT project, stage_num, n, files FROM (SELECT project, stage_num, count(*) AS n FROM s GROUP BY ALL) JOIN (SELECT project, stage_num, string_agg(file_path, ',' ORDER BY file_path) AS files FROM d WHERE r <= 5 GROUP BY ALL) USING (project, stage_num)""")
+def stage_samples(spark, sf):
+    """Signals of every stage with some files."""
+    k = F.col("o_orderkey")
+    s = dt.table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("project"), F.concat(F.lit("f"), (k % 30).cast("string")).alias("file_path"), F.array((k % 8 + 2).cast("int")).alias("stage_nums"))
+    return planning.stage_samples(s).withColumn("files", F.array_join("files", ","))
+
+
+@query("SELECT task_id, ordinal, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY total DESC, ordinal) AS rank FROM (SELECT task_id, ordinal, CAST(ordinal % 5 - 2 + CASE WHEN method = 'post' THEN 8 ELSE 0 END + CASE WHEN auth = 'None' THEN 3 ELSE 0 END AS BIGINT) AS total FROM (" + dt.ROUTES_SQL + ")) WHERE total > 0) WHERE rank <= 10")
+def rescored_top(spark, sf):
+    """The best of each task after bonuses."""
+    r = dt.routes(spark, sf).withColumn("score", F.col("ordinal") % 5 - 2)
+    out = planning.rescored(r.select("task_id", "ordinal", "method", "auth", "score"), ["task_id"], "score", {"verb": (F.col("method") == "post", 8), "open": (F.col("auth") == "None", 3)}, ["ordinal"], 10)
+    return out.select("task_id", "ordinal", "total", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def packed_batches(spark, sf):
+    """Components of orders by customer, packed into batches (M6, M7)."""
+    o = dt.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("project"), F.col("o_custkey").alias("comp")).agg(F.count(F.lit(1)).alias("n"))
+    return planning.pack_batches(o)
+
+
+@query("""WITH l AS (SELECT o_custkey AS task_id, CAST(o_orderkey % 8 + 2 AS INTEGER) AS stage_num, arg_max(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY ALL), a AS (SELECT DISTINCT o_custkey AS task_id, CAST(unnest([2, 5]) AS INTEGER) AS stage_num FROM orders)
+SELECT a.task_id, a.stage_num, CASE WHEN st IS NULL THEN 'not_found' WHEN st = 'F' THEN 'done' ELSE 'retry' END AS outcome FROM a LEFT JOIN l USING (task_id, stage_num)""")
+def rerun_outcomes(spark, sf):
+    """What becomes of stages that are asked for again."""
+    s = dt.stages(spark, sf)
+    asked = s.select("task_id", F.explode(F.array(F.lit(2), F.lit(5), F.lit(12))).alias("stage_num"))
+    return planning.rerun_stages(asked, s).select("task_id", "stage_num", "outcome")
+
+
+@query()
+def localized_types(spark, sf):
+    """Finding types in Chinese."""
+    from ..functions.localize import localize
+
+    names = ("SQL Injection", "sql_injection", "Reflected XSS via header", "other")
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", localize("name").alias("localized"))

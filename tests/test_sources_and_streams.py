@@ -97,6 +97,12 @@ def test_commented_routes_and_group_cycles():
     assert list(routes.routes_of("a.go", 'a := b.Group("/x")\nb := a.Group("/y")\na.GET("/z", h)\n'))
 
 
+def test_mounts():
+    py = "from shop.web import bp\nimport core.api as api\napp.register_blueprint(bp, url_prefix='/s')\napp.include_router(api.router)\npath('x/', include('blog.urls'))\n"
+    assert set(routes.mounts_of("a.py", py)) == {("shop/web/bp", "/s"), ("shop/web", "/s"), ("core/api", ""), ("blog/urls", "/x")}
+    assert list(routes.mounts_of("web/a.js", "import u from '../u/index.js'\napp.use('/u', guard, u)")) == [("u", "/u")]
+
+
 def test_import_edges(spark):
     rows = [("p", "web/a.js", "import x from './lib/b'"), ("p", "web/lib/b.ts", "require('../a')"), ("p", "pkg/m.py", "from pkg.sub import n\nimport os"), ("p", "src/pkg/sub.py", ""), ("p", "e.py", None)]
     edges = {(r["src"], r["dst"]) for r in routes.import_edges(spark.createDataFrame(rows, "project string, path string, content string")).collect()}
@@ -107,3 +113,10 @@ def test_proofs_and_chunks(spark):
     df = spark.createDataFrame([("GET /a HTTP/1.1\r\nHost: x\r\n\r\nbody", "1. log in\n2. go on", "curl http://x", "[2, 3, 12, \"x\", 2]", "a.min.js")], "raw string, steps string, cmd string, nums string, path string")
     row = df.select(proofs.raw_request("raw").alias("r"), proofs.raw_request("cmd")["valid"].alias("bad"), proofs.is_stepwise("steps").alias("s"), proofs.is_command("cmd").alias("c"), chunks.int_list("nums").alias("n"), chunks.is_static("path").alias("st")).first()
     assert row["r"].asDict() == {"valid": True, "method": "GET", "target": "/a", "host": "x"} and not row["bad"] and row["s"] and row["c"] and row["n"] == [2, 3] and row["st"]
+
+
+def test_localized_texts(spark):
+    from auditloom.functions.localize import localize
+
+    rows = spark.createDataFrame([("SQL Injection",), ("Sql_Injection",), ("SQL Injection via Header",), (None,)], "t string").select(localize("t").alias("v")).collect()
+    assert [r["v"] for r in rows] == ["SQL 注入", "SQL 注入", "SQL 注入 来源 Header", ""]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import small
 
@@ -105,17 +104,15 @@ def scan_licenses(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id"
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")
     known = small(known.filter(F.col("license_digest") != digest(F.lit("")))).select("license_digest", "license_id")
-    # explode_outer: else the optimizer works out the canonical text twice, to see if it has lines.
-    lines = docs.select(key, F.explode_outer(F.split(canonical(F.col("text")), "\n")).alias("line")).select("key", digest(F.trim("line")).alias("license_digest"))
-    found = lines.join(known, "license_digest").groupBy("key", "license_id").agg(F.count(F.lit(1)).alias("n"))
-    # A document's licences are no more than the known ones.
-    per_doc = found.groupBy("key").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("license_id")).alias("licenses"))
-    # Rows with the same key have the same lines, as often as there are rows.
-    texts = docs.select(key, digest(whole(canonical(F.col("text")))).alias("license_digest"))
-    copies = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    out = texts.join(known, "license_digest", "left").withColumn("copies", copies).join(per_doc, "key", "left")
-    return out.select(
-        F.col("key.doc_id").alias("doc_id"), F.col("license_digest").alias("text_digest"), F.col("license_id").alias("text_license"),
-        F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0)).alias("n_license_lines"), F.coalesce("licenses", F.array().cast("array<string>")).alias("line_licenses"),
+    # A generator's output is worked out once; the optimizer would repeat an alias's expression.
+    once = docs.select(key, F.explode(F.array(canonical(F.col("text")))).alias("canon"))
+    units = once.select("key", F.posexplode_outer(F.concat(F.array(whole(F.col("canon"))), F.split("canon", "\n"))).alias("place", "unit"))
+    looked = units.select("key", (F.col("place") == 0).alias("is_text"), digest(F.trim("unit")).alias("license_digest")).join(known, "license_digest", "left").filter("is_text OR license_id IS NOT NULL")
+    # Each text leaves one row besides its known lines. Rows with the same key are copies of one another.
+    line = F.when(~F.col("is_text"), F.col("license_id"))
+    per = looked.groupBy("key").agg(
+        F.count_if("is_text").alias("copies"), F.max(F.when(F.col("is_text"), F.col("license_digest"))).alias("text_digest"), F.max(F.when(F.col("is_text"), F.col("license_id"))).alias("text_license"),
+        F.count(line).alias("n"), F.array_sort(F.collect_set(line)).alias("line_licenses"),
     )
-
+    every = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select(F.col("key.doc_id").alias("doc_id"), "text_digest", "text_license", (F.col("n") / F.col("copies")).cast("long").alias("n_license_lines"), "line_licenses")

@@ -82,15 +82,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as crawl records: each page a response, and two later 304 answers and an earlier one for its URL, spelt otherwise."""
-    pages = table(spark, sf_dir, "pages")
+    # The page's digest is worked out once: what a generator yields is not put into the expressions above it.
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(F.md5(F.col("html").cast("binary")))).alias("digest"))
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     at = lambda minutes: F.timestamp_seconds(F.unix_timestamp(start) + minutes * 60)
     minute = F.col("page_id") * 7919 % 100_000
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 12), F.lit('"'))
+    tag = F.concat(F.lit('"'), F.substring("digest", 1, 12), F.lit('"'))
     text = lambda c: c.cast("string")
-    kinds = [("response", 200, 0), ("revisit", 304, 0), ("revisit", 304, 1), ("revisit", 304, 2)]
-    records = None
-    for k, (kind, status, turn) in enumerate(kinds):
+    made = []
+    for k, (kind, status, turn) in enumerate([("response", 200, 0), ("revisit", 304, 0), ("revisit", 304, 1), ("revisit", 304, 2)]):
         own = {"Content-Type": F.lit("text/html"), "ETag": tag, "Date": text(minute), "X-Cache": F.lit("miss")}
         when, url = minute, F.col("url")
         if kind == "revisit":
@@ -98,11 +98,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
             url = F.regexp_replace(F.regexp_replace(url, r"^https?://(www\.)?", "HTTP://WWW."), "#.*$", "") if turn == 1 else F.concat(url, F.lit("#again"))
             seen = F.when(F.col("page_id") % 4 == turn, F.lit('"other"')).when(F.col("page_id") % 4 == 3, F.concat(F.lit("W/"), tag)).otherwise(tag)
             own = {"etag": seen, "date": text(when), "Cache-Control": F.concat(F.lit("max-age="), text(F.col("page_id") % 100)), "x-cache": F.lit("hit")}
-        one = pages.select(
+        made.append(F.struct(
             (F.col("page_id") * 4 + k).alias("record_id"), F.lit(kind).alias("warc_type"), url.alias("url"), at(when).alias("warc_date"), F.lit(status).alias("status"),
-            F.create_map(*[x for h, v in own.items() for x in (F.lit(h), v)]).alias("headers"), F.md5(F.col("html").cast("binary")).alias("payload_digest"),
-        )
-        records = one if records is None else records.unionByName(one)
+            F.create_map(*[x for h, v in own.items() for x in (F.lit(h), v)]).alias("headers"), F.col("digest").alias("payload_digest"),
+        ))
+    records = pages.select(F.inline(F.array(*made)))
     out = warc.resolve_revisits(records)
     h = F.col("headers")
     return out.select("record_id", "canonical_url", "refers_to", "outcome", h["content-type"].alias("content_type"), h["etag"].alias("etag"), h["date"].alias("date"), h["cache-control"].alias("cache_control"), h["x-cache"].alias("x_cache"))

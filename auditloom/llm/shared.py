@@ -117,6 +117,21 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
     trim()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """As in_blocks, but small batches are put together up to the limit as well."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in in_blocks(batches, text, limit):
+        own = batch.column(text).nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def trim() -> None:
     """Give freed memory back: workers are used again, and what one stage held would add to the next one's."""
     pa.default_memory_pool().release_unused()

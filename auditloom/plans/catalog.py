@@ -749,3 +749,29 @@ def localized_types(spark, sf):
 
     names = ("SQL Injection", "sql_injection", "Reflected XSS via header", "other")
     return spark.createDataFrame([(n,) for n in names], "name string").select("name", localize("name").alias("localized"))
+
+
+@query(f"SELECT task_id, count(*) AS total, count_if(severity = 'Critical') AS critical, count_if(severity = '') AS unknown, count_if(seq % 3 <> 0) AS unreviewed, count_if(seq % 3 = 0) AS confirmed FROM ({dt.FINDINGS_SQL}) GROUP BY task_id")
+def snapshot_counts(spark, sf):
+    """Counts of a task's findings that no filter changes (O3)."""
+    from . import views
+
+    f = dt.findings(spark, sf).withColumn("review_status", F.when(F.col("seq") % 3 == 0, "confirmed"))
+    return views.snapshot_counts(f).select("task_id", "total", "critical", "unknown", "unreviewed", "confirmed")
+
+
+@query(f"SELECT seq, title, severity FROM ({dt.FINDINGS_SQL}) WHERE stage_num BETWEEN 2 AND 9 AND severity IN ('high', '高危', 'High', '高') AND task_id = 5")
+def filtered_findings(spark, sf):
+    """Findings of one severity by any of its names."""
+    from . import views
+
+    return views.list_findings(dt.findings(spark, sf).filter("task_id = 5"), "High", None, None).select("seq", "title", "severity")
+
+
+@query(f"SELECT task_id, vuln_type, count(*) AS n, count_if(poc_validation_status = 'valid') AS n_valid_proofs FROM ({dt.FINDINGS_SQL}) WHERE seq % 7 <> 0 GROUP BY ALL")
+def report_groups(spark, sf):
+    """Kinds of findings for a report, without rejected ones."""
+    from . import views
+
+    f = dt.findings(spark, sf).withColumn("review_status", F.when(F.col("seq") % 7 == 0, "rejected"))
+    return views.report_groups(f).select("task_id", "vuln_type", "n", "n_valid_proofs")

@@ -141,3 +141,16 @@ def test_prefixes_end_on_cycles(spark):
     roots = spark.createDataFrame([("p", "a", "")], "project string, file string, prefix string")
     out = {r["file"]: r["prefix"] for r in graph.propagate_prefixes(m, roots, lambda a, b: F.concat(a, b)).collect()}
     assert out == {"a": "", "b": "/x", "c": "/l"}
+
+
+def test_views(spark, tmp_path):
+    from auditloom.plans import views
+
+    rows = [finding(seq=1, line_start=5, line_end=9), finding(seq=2, severity="严重", title="<b>"), finding(seq=3, stage_num=1), finding(seq=4)]
+    df = spark.createDataFrame(rows, FINDING).withColumn("review_status", F.when(F.col("seq") == 4, "rejected"))
+    assert [r["seq"] for r in views.list_findings(df, None, None, 0).collect()] == [2, 4, 1]
+    assert [r["seq"] for r in views.list_findings(df, "critical").collect()] == [2] and [r["seq"] for r in views.page(df, [F.col("seq")], 2, 2).collect()] == [3, 4]
+    html = views.report_html(df, 1)
+    assert "1 rejected" in html and "a.py:L5-9" in html and "&lt;b&gt;" in html
+    views.write_artifacts(df.select("stage_num", "title"), "stage_num", f"file://{tmp_path}/a")
+    assert spark.read.text(f"file://{tmp_path}/a").count() == 4

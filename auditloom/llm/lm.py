@@ -7,9 +7,9 @@ classes, p(class | state) * p(word | class), the latter from the smoothed counts
 text has a proper probability whatever words it has.
 
 The network is trained by truncated backpropagation in every partition at once, from the
-same start on a fixed share of the partition's training texts; the weights are averaged
-by the tokens they have seen, round by round. Documents are scored whole: many in lock
-step, in windows, with the state carried from window to window.
+same start; the weights are averaged by the tokens they have seen, round by round. The
+rounds share out the training texts, so that each is trained on once. Documents are scored
+whole: many in lock step, in windows, with the state carried from window to window.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ STATE, STEPS, WINDOW, LANES = 16, 16, 32, 128
 UPDATE = 1024
 #: Words whose counts every worker knows; those of rarer ones are joined. At 30 bytes a word this is 6 MB.
 HEAD = 200_000
-#: In each of ROUNDS rounds the network trains on one text in SHARE.
-ROUNDS, SHARE = 2, 16
+#: Rounds of training; each takes its share of the texts, all of them together every text.
+ROUNDS = 2
 #: Weights that one task adds up.
 FAN = 16
 SMOOTH = 0.1
@@ -167,7 +167,7 @@ def build_lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
 
 
 class Network:
-    """Weights: input to gates by word (E), state to gates (U), state to classes (Wc, bc), state to words (Wo, bo)."""
+    """Weights: input to gates by word (E), state to gates (U), state to classes (Wc, bc), state to words (Wo, bo). ``trained`` counts the tokens of training."""
 
     names = ("E", "U", "Wc", "bc", "Wo", "bo")
 
@@ -176,6 +176,7 @@ class Network:
         self.v, self.n_word_classes, self.start = v, lexicon.classes - SHAPES, lexicon.words.index(END)
         count = lexicon.counts[:v].astype(np.float64) + SMOOTH
         mass = np.concatenate([np.add.reduceat(count, np.arange(0, v, CLASS)), lexicon.shape_tokens + SMOOTH])
+        self.trained = 0
         scale = lambda *size: (rng.standard_normal(size) * 0.1).astype(np.float32)
         self.E, self.U = scale(v + SHAPES, 3 * STATE), scale(STATE, 3 * STATE)
         self.Wc, self.bc = scale(len(mass), STATE) * 0, np.log(mass / mass.sum()).astype(np.float32)
@@ -310,7 +311,7 @@ def train(net: Network, ids: list[np.ndarray], state: dict, rate: float = 0.01)
                 _update(net, grads, pending, state, rate)
                 grads, pending = _zeros(net), 0
             seen += len(rows)
-    if pending >= UPDATE // 4:
+    if pending:
         _update(net, grads, pending, state, rate)
     return seen
 
@@ -353,7 +354,7 @@ def _head_shapes(lexicon: Lexicon) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> Network:
-    """Train on texts (text, part): in round r those whose part is r. Every partition starts alike; weights are averaged."""
+    """Train on texts (text, part): in round r those whose part is r, of ROUNDS. Every partition starts alike; weights are averaged."""
     net, sc = Network(lexicon, seed), docs.sparkSession.sparkContext
     known = sc.broadcast(lexicon)
     for turn in range(ROUNDS):
@@ -382,7 +383,9 @@ def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> Network:
             left = -(-left // FAN)
         rows = sums.collect()
         if rows:
-            net.load(sum(np.frombuffer(bytes(r["sums"])) for r in rows) / sum(r["seen"] for r in rows))
+            seen = sum(r["seen"] for r in rows)
+            net.load(sum(np.frombuffer(bytes(r["sums"])) for r in rows) / seen)
+            net.trained += seen
     return net
 
 
@@ -396,7 +399,7 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
     words are unknown to both. An empty table gives an empty result.
     """
     small_batches(documents.sparkSession)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"), F.pmod(F.xxhash64(doc_id, text), F.lit(SHARE)).alias("part"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"), F.pmod(F.xxhash64(doc_id, text), F.lit(ROUNDS)).alias("part"))
     counts = Cut(count_tokens(docs.filter("training"))).df
     lexicon, least = build_lexicon(counts)
     net = fit(docs.filter("training"), lexicon, seed)

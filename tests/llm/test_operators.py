@@ -308,6 +308,24 @@ def test_state_is_carried_and_training_helps():
     assert lm.score_ids(net, ids).sum() > 0.7 * one[0] * len(ids)
 
 
+def test_every_training_text_is_trained_on(spark, monkeypatch):
+    made = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: made.append((fit(*a), a[1])) or made[-1][0])
+    for texts in ([" ".join(words(40, i, 50)) for i in range(60)], ["only one short text"]):
+        lm.score_documents(documents(spark, texts), F.lit(True)).count()
+        net, lexicon = made[-1]
+        assert net.trained == lexicon.tokens == sum(len(t.split()) + 1 for t in texts)
+        assert (net.Wc != 0).any()  # the start has no weights there
+
+
+def test_the_last_gradient_is_applied():
+    lex = lm.Lexicon([b"", *(f"w{i}".encode() for i in range(20))], np.full(21, 50), 1050, 21, np.zeros(lm.SHAPES, np.int64), np.zeros(lm.SHAPES, np.int64))
+    net = lm.Network(lex)
+    before = net.flat()
+    assert lm.train(net, [np.array([1, 2, 3, 0])], {}) == 4 and (net.flat() != before).any()
+
+
 # 1, 6, 8
 
 

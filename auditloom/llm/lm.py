@@ -141,10 +141,10 @@ def build_lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
     per_n = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     total = per_n.agg(F.sum(F.col("n") * F.col("words")), F.sum("words")).first()
     tokens, distinct = int(total[0] or 0), int(total[1] or 0)
-    # Words of the largest counts, as long as they fit; there are at most HEAD distinct counts among them.
+    # Words of the largest counts, as long as they and the end fit; there are at most HEAD distinct counts among them.
     seen, least = 0, None
     for r in per_n.orderBy(F.desc("n")).limit(HEAD).collect():
-        if seen + r["words"] > HEAD:
+        if seen + r["words"] >= HEAD:
             break
         seen, least = seen + r["words"], r["n"]
     words, n = _packed(counts.filter(F.col("n") >= least)) if least is not None else ([], np.zeros(0, np.int64))
@@ -161,8 +161,9 @@ def build_lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
         if w not in top:
             shape_tokens[shape(w)] += k
             shape_words[shape(w)] += 1
-    if END not in words:
-        words, n = [END, *words], np.concatenate([np.zeros(1, np.int64), n])
+    if END not in words:  # it is rarer than the head's words, or there are no training texts
+        ends = counts.filter("word = ''").first()
+        words, n = [END, *words], np.concatenate([np.array([ends["n"] if ends else 0], np.int64), n])
     return Lexicon(words, n, tokens, distinct, shape_tokens, shape_words), least or 0
 
 

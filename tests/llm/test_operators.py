@@ -319,6 +319,15 @@ def test_every_training_text_is_trained_on(spark, monkeypatch):
         assert (net.Wc != 0).any()  # the start has no weights there
 
 
+def test_an_end_rarer_than_the_head_is_counted(spark, monkeypatch):
+    rows = [*((f"w{i}", 9) for i in range(3)), *((f"v{i}", 5) for i in range(4)), ("", 2), ("x", 1)]
+    monkeypatch.setattr(lm, "HEAD", 5)
+    lexicon, least = lm.build_lexicon(spark.createDataFrame(rows, "word string, n long"))
+    assert least == 9 and dict(zip(lexicon.words, lexicon.counts.tolist(), strict=True)) == {b"": 2, b"w0": 9, b"w1": 9, b"w2": 9}
+    monkeypatch.setattr(lm, "HEAD", 7)  # the head has a place for the end, so no word's number is that of a spelling class
+    assert len(lm.build_lexicon(spark.createDataFrame(rows, "word string, n long"))[0].words) <= 7
+
+
 def test_the_last_gradient_is_applied():
     lex = lm.Lexicon([b"", *(f"w{i}".encode() for i in range(20))], np.full(21, 50), 1050, 21, np.zeros(lm.SHAPES, np.int64), np.zeros(lm.SHAPES, np.int64))
     net = lm.Network(lex)

@@ -6,7 +6,9 @@ moves these probabilities through the null space of two constraints (the number
 documents and the number of words), so both totals stay as they were, until a document's
 probability is 0 or 1. Sources are dealt into blocks by a hash, so a hot source is many
 small tasks; the two documents at most that a block leaves undecided meet in larger
-blocks, until one block a source is left, whose last two are landed.
+blocks, until one block a source is left, whose last two are landed. A source that fits a
+block is landed at once with all its documents; of a larger one some that are decided
+before, half a block about, come to the last block to even out with.
 """
 
 from __future__ import annotations
@@ -105,13 +107,13 @@ def land(p: list[float], size: list[int], active: list[int]) -> None:
         p[i], change[i] = 1 - p[i], -change[i]
 
 
-def _round(last: bool, seed: int):
+def _round(block: int, seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", ignore_index=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
         rng = np.random.default_rng([seed, int(key[0]), int(key[1]), len(p)])
         active = flight(p, size, rng.random(len(p)))
-        if last:
+        if pdf["n_docs"].iloc[0] <= block:
             land(p, size, active)
         pdf["p"] = p
         return pdf
@@ -142,22 +144,27 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     )
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
     blocks = F.ceil(F.col("n_docs") / block)
+    open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
+    # Documents that a source of several blocks keeps for evening out.
+    spare = open_ & (F.col("n_docs") > block) & (F.pmod(F.xxhash64("order", F.lit(-1)), F.ceil(2 * F.col("n_docs") / block)) == 0)
+    state = state.withColumn("spare", spare)
     done = []
     while True:
         last = most_docs <= block
         # A flight of fewer sources' blocks: those already whole pass through with their p.
         key = F.pmod(F.xxhash64("order", F.lit(len(done))), F.greatest(blocks, F.lit(1)))
-        open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
-        moved = state.filter(open_).withColumn("block", key).groupBy("source_no", "block").applyInPandas(_round(last, seed), state.filter(open_).withColumn("block", key).schema).drop("block")
+        here = state.filter(open_ | F.col("spare")).withColumn("block", key)
+        moved = here.groupBy("source_no", "block").applyInPandas(_round(block, seed), here.schema).drop("block")
         if not done:
             moved = moved.unionByName(state.filter(~open_))
         if last:
             done.append(moved)
             break
         moved = cut(moved)
-        done.append(moved.filter(~open_))
-        # A block leaves two at most.
-        state = moved.filter(open_).withColumn("n_docs", 2 * F.ceil(F.col("n_docs") / block))
+        going = open_ | (F.col("spare") & (F.col("n_docs") > block))
+        done.append(moved.filter(~going))
+        # A block leaves two undecided at most.
+        state = moved.filter(going).withColumn("n_docs", 2 * F.ceil(F.col("n_docs") / block))
         most_docs = 2 * math.ceil(most_docs / block)
     out = done[0]
     for more in done[1:]:

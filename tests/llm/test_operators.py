@@ -182,6 +182,16 @@ def test_mix_is_near_its_targets(spark, block, off):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [64, 100, 4096])
+def test_mix_lands_alike_at_every_size(spark, block):
+    """A source of one block beside one of many, each with a document longer than many others together."""
+    small, large = [" ".join(words(5 + i % 40, i)) for i in range(60)], [" ".join(words(5 + i % 60, i)) for i in range(3000)]
+    small[0] = large[0] = "a b c d e " * 100
+    df = documents(spark, small + large, lambda i: "small" if i < 60 else "large")
+    g = mixing.mix_sources(df, weights=(3, 4), block=block).toPandas().groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), n=("source", "size"))
+    assert sorted(g.n) == [60, 3000] and (abs(g.taken - g.target) <= 5).all()
+
+
 # 4
 
 

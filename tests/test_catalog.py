@@ -1,6 +1,7 @@
 import pytest
 
 from auditloom.plans.catalog import ORACLE_SQL, QUERIES
+from auditloom.sources import driver_tables as dt
 
 from .helpers import same
 
@@ -14,3 +15,33 @@ def test_query_agrees_with_sql(spark, sf, name):
 def test_query_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert df.columns and df.count() >= 0
+
+
+def best_score(ask, routes):
+    """The highest score of an ask among the routes, by brute force; None if none is over 0."""
+    low, last = lambda x: (x or "").strip().lower(), lambda x: x.split("/")[-1]
+    bare = lambda x: low(x).rstrip("/") or low(x)[:1]
+    found = []
+    file, path, verb = low(ask["file_path"]), bare(ask["path"]), (ask["method"] or "").strip().upper()
+    for r in routes:
+        r_file, r_path, r_verb = low(r["file_path"]), bare(r["path"]), (r["method"] or "").strip().upper() or "UNKNOWN"
+        if r["task_id"] != ask["task_id"] or not r_path:
+            continue
+        score = 0
+        if verb not in ("", "UNKNOWN", "ANY"):
+            score += 6 if verb == r_verb else 2 if r_verb == "ANY" else -4
+        if file and r_file and (path or score):
+            score += 12 if file == r_file else 8 if r_file.endswith("/" + file) or file.endswith("/" + r_file) else 0
+        # Candidates share the file's last part, the path's last segment or the path.
+        shared = {"f:" + last(file), "s:" + last(path), "p:" + path} & {"f:" + last(r_file), "s:" + last(r_path), "p:" + r_path} - {"f:", "s:", "p:"}
+        if path:
+            score += 20 if path == r_path else 10 if path in r_path or r_path in path else 4 if last(path) and last(path) == last(r_path) else 0
+        if shared and score > 0:
+            found.append(score)
+    return max(found, default=None)
+
+
+def test_every_route_is_matched(spark, sf):
+    routes = dt.routes(spark, sf).collect()
+    got = {(r["task_id"], r["seq"]): r["best_score"] for r in QUERIES["scored_route_match"](spark, sf).collect()}
+    assert got == {(r["task_id"], r["ordinal"]): best_score(r, routes) for r in routes}

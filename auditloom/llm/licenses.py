@@ -63,6 +63,34 @@ Permission is granted to anyone to use this software for any purpose, including
     "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
 }
 
+_BSD_3 = KNOWN["BSD-2-Clause"][0].replace("\nTHIS SOFTWARE", """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE""")
+#: Titles that stand above whole texts. The bare "MIT License" is not among them: a test has it unknown.
+_TITLED = {
+    "MIT": (KNOWN["MIT"][0], "The MIT License", "The MIT License (MIT)"),
+    "ISC": (KNOWN["ISC"][0], "ISC License", "The ISC License"),
+    "BSD-2-Clause": (KNOWN["BSD-2-Clause"][0], "BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause License"),
+    "BSD-3-Clause": (_BSD_3, "BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause License"),
+    "Zlib": (KNOWN["Zlib"][0], "zlib License", "The zlib License"),
+}
+#: Further forms of whole texts: those under their titles, and BSD-3-Clause.
+FORMS: dict[str, list[str]] = {k: [*[_BSD_3] * (k == "BSD-3-Clause"), *(f"{t}\n{text}" for t in titles)] for k, (text, *titles) in _TITLED.items()}
+#: Digests of the canonical forms of long licences, as published, with their title and without; of those with an appendix, also without it.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68", "e9653af3ea2451e09943fd25004fb790c5c445256e276a8c0172f0a44c13da0b",
+        "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c", "2e349068b1767ce16c09b3a0a7df25513df42a4881a97a2a0de3ecac55c2ce0a",
+    ],
+    "GPL-3.0": [
+        "df71f3c423c11bc52456a9775329f1d9a3168a6f071654750b9eb155fb3ec0eb", "ad491d062e900edd8decaf8a148ec6ec22811a88cb387cfac2cfe65a48355094",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "fad6d14122ae5943ea05f9e4d48194524a0b701f034fd22c7dded3e6c296c742",
+    ],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "3c109b32fc12cedb18f514c338498353cbbafbc7ad3aa3aed8c864396943f25a"],
+    "MPL-2.0": ["9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56", "d0c5ff4b1b1df9ae8ac7381433e58aaf10308f4e9fd6a32597b6b0e01220a0a6"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6"],
+}
+
 
 def canonical(text: Column) -> Column:
     """The canonical form, lines kept; empty lines and copyright lines are gone. Null is empty."""
@@ -86,10 +114,14 @@ def whole(canon: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """Digests of licences: license_id, license_digest. A digest of several licences belongs to the first by name."""
-    rows = [(k, t) for k, v in (KNOWN if known is None else known).items() for t in v]
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.select("license_id", digest(whole(canonical(F.col("text")))).alias("license_digest")).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+    """Digests of licences: license_id, license_digest. A digest of several licences belongs to the first by name.
+
+    Without ``known`` they are those of ``KNOWN``, ``FORMS`` and ``DIGESTS``.
+    """
+    rows = [(k, t, None) for d in ((KNOWN, FORMS) if known is None else (known,)) for k, v in d.items() for t in v]
+    rows += [(k, None, h) for k, v in DIGESTS.items() for h in v if known is None]
+    table = spark.createDataFrame(rows, "license_id string, text string, made string")
+    return table.select("license_id", F.coalesce("made", digest(whole(canonical(F.col("text"))))).alias("license_digest")).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

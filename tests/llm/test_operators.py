@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -360,6 +361,18 @@ def test_licenses_in_other_spelling(spark):
     assert none.filter("n_license_lines > 0 OR text_license IS NOT NULL").count() == 0
 
 
+def test_whole_licenses_are_found(spark):
+    bsd = licenses.FORMS["BSD-3-Clause"][0]
+    cases = [("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + bsd.replace(". ", ".\n")), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + licenses.KNOWN["MIT"][0]), ("ISC", "ISC License\n\n" + licenses.KNOWN["ISC"][0])]
+    published = Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if (published / file).exists():
+            cases.append((name, (published / file).read_text()))
+    cases.append((None, bsd + "\nand more"))
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(documents(spark, [t for _, t in cases]), licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
 def test_lists_hold_between_their_dates(spark):
     changes = spark.createDataFrame([("l", "d:b.org", "add", "2024-01-10"), ("l", "d:b.org", "remove", "2024-02-01"), ("l", "d:b.org", "add", "2024-03-01"), ("m", "u:x.org/p", "add", "2024-01-01"), ("m", "u:x.org/p", "remove", "2024-01-01"), ("m", None, "add", "2024-01-01"), ("m", "h:x.org", "noise", "2024-01-01")], "list_name string, key string, action string, d string").withColumn("changed_on", F.to_date("d"))
     cases = [(1, "https://A.B.org/x", "2024-01-09", 0), (2, "https://a.b.org:80/x", "2024-01-10", 1), (3, "http://b.org", "2024-02-01", 0), (4, "http://u@b.org?q", "2024-05-01", 1), (5, "http://x.org/p/q", "2024-01-01", 0), (6, None, "2024-01-20", 0), (7, "junk", "2024-01-20", 0), (8, "http://bb.org", "2024-01-20", 0), (2, "https://a.b.org:80/x", "2024-01-10", 1), (9, "http://b.org", None, 0)]

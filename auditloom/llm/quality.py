@@ -34,6 +34,7 @@ class CompressionModel:
     mean: float = 0.0
     slope: float = 0.0
     offset: float = 0.0
+    fitted: bool = False
 
 
 def _pieces(text: bytes) -> list[bytes]:
@@ -118,6 +119,7 @@ def train_model(documents: DataFrame, labels: DataFrame, usable: Column | None =
     y = np.concatenate([np.zeros(len(diffs[0])), np.ones(len(diffs[1]))])
     weight = np.where(y == 1, prior / len(diffs[1]), (1 - prior) / len(diffs[0])) * len(y)
     model.slope, model.offset = map(float, _logistic(x, y, weight))
+    model.fitted = True
     return model
 
 

@@ -21,8 +21,10 @@ LEAST_QUALITY = 0.7
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on the labels, does not reject."""
+    """Documents that the compression classifier, fitted on the labels, does not reject; all where none could be fitted."""
     model = quality.train_model(docs, table(spark, sf_dir, "labels"))
+    if not model.fitted:
+        return docs
     scored = quality.score_quality(docs, model, "pipeline_quality_score")
     return scored.filter(F.col("pipeline_quality_score") >= LEAST_QUALITY).drop("pipeline_quality_score")
 

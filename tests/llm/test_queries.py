@@ -47,3 +47,10 @@ def test_stages_take_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0), (2, 0, 0)], [(0, 1, 0), (1, 0, 0)]])
+def test_nothing_is_rejected_without_a_classifier(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(0, "long " * 20_000, "en", "s", 100_000), (1, "some text", "en", "s", 9), (2, "other text", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).collect()} == {0, 1, 2}

@@ -109,7 +109,7 @@ def land(p: list[float], size: list[int], active: list[int]) -> None:
 
 def _round(block: int, seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["order", "doc_id", "size", *(["row"] if "row" in pdf else [])], kind="stable", ignore_index=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
         rng = np.random.default_rng([seed, int(key[0]), int(key[1]), len(p)])
         active = flight(p, size, rng.random(len(p)))
@@ -121,23 +121,26 @@ def _round(block: int, seed: int):
     return run
 
 
-def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies (0 to ``most``), taken (copies times size).
+def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies (0 to ``most``), taken (copies times size)[, row].
 
+    ``row`` names a column that tells rows apart where ids don't; it is carried along.
     Null and empty texts have size 0 and are never taken; a source whose texts are all
     empty has target 0. Null is a source of its own, last in order. Repeated rows are
     sampled one by one; equal rows are interchangeable. Every draw follows from ``seed``
     and the rows themselves, so reruns agree whatever the partitioning. An empty table gives
     an empty result. Extra columns are ignored.
     """
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    # Texts are split once; everything below reads the sizes.
+    more = [F.col(f"`{row}`").alias("row")] if row else []
+    docs = cut(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *more))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n_docs"))
     targets = cut(source_targets(sizes, weights, share, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("ratio") + _EPS)
     state = (
         docs.alias("d").join(small(targets).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "d.source", "source_no", "size", "source_size", "n_docs", "target", ratio.alias("ratio"))
+        .select("doc_id", "d.source", "source_no", "size", "source_size", "n_docs", "target", ratio.alias("ratio"), *["row"] * bool(row))
         .withColumn("whole", whole.cast("int"))
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0))).otherwise(0.0))
         .withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).drop("ratio")
@@ -170,4 +173,4 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.round("p").cast("int")).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *["row"] * bool(row))

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of an id or two that may be broadcast: at 32 bytes a row this is 32 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of rows that may be broadcast, both checked.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Bytes of text that a Python worker handles at a time, and of rows that it is sent at a time.
 BLOCK_BYTES, BATCH_ROWS, BATCH_BYTES = 1 << 20, 1000, 8 << 20
 
@@ -26,9 +27,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or our own where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_dirs:
             _local_dirs.append(tempfile.TemporaryDirectory(prefix="auditloom-"))
         found = f"file://{_local_dirs[0].name}"
@@ -78,16 +81,57 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most so many rows, found by reading no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def within(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes, found by reading no more rows than that.
+
+    A row counts 16 bytes, 8 for each of its columns, and what its strings, arrays and structs hold.
+    """
+    wide = [F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    wide += [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    held = F.lit(16 + 8 * len(df.columns))
+    for w in wide:
+        held = held + F.coalesce(w, F.lit(0))
+    n, total = df.limit(rows + 1).select(held.cast("long").alias("held")).agg(F.count(F.lit(1)), F.sum("held")).first()
+    return n <= rows and (total or 0) <= size
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, with a broadcast hint if it is counted and found small; otherwise Spark's shuffle joins apply."""
+    """``df``, with a broadcast hint if it is measured and found small; otherwise Spark's own joins apply."""
     return F.broadcast(df) if within(df, rows) else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't got: ``name``, with as many underscores as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_keys(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether ids are whole numbers, on one row each and never null, so that they can be keys as they are."""
+    if not isinstance(docs.schema[doc_id].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return False
+    return docs.select(F.col(f"`{doc_id}`").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("id").isNull()).isEmpty()
+
+
+def keyed(docs: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """Texts (doc_id, text, also) as (k, text, also), k being unique and ordered as the ids are; and, where k isn't the id, the table (k, doc_id, h, n).
+
+    ``h`` is xxhash64 of the text and ``n`` how many rows have both; these are one document,
+    with the ``also`` of that whose hash is least. Documents of one id are in the order of
+    ``h``; a null id comes last.
+    """
+    if own_keys(docs):
+        return docs.select(F.col("doc_id").cast("long").alias("k"), "text", *also), None
+    # Sorted by range, the running number of a partition's rows after those of earlier partitions keeps the order.
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *also)
+    ids = Cut(marked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("k", F.monotonically_increasing_id())).df
+    one = marked.groupBy("doc_id", "h").agg(F.min_by(F.struct("text", *also), F.xxhash64(*also) if also else F.lit(0)).alias("one"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
+    return Cut(one.alias("a").join(ids.alias("b"), same).select("k", "a.one.*")).df, ids
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Spark send smaller Arrow batches where its defaults hold: 10,000 texts at once fill several times their size."""
     for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
@@ -190,9 +234,5 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64))

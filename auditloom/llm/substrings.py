@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, small_batches, texts
+from .shared import Cut, WordHashes, grams, in_blocks, keyed, mix, signed, small_batches, texts
 
 #: Words of an anchor. A window of w words has w - ANCHOR + 1 of them.
 ANCHOR = 6
@@ -139,20 +138,9 @@ def _edge_rows(window: int):
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
-    """Texts with a key that is unique and ordered as the ids are; and where the key isn't the id, the ids by key."""
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
-    also = ["carry"] * bool(carry)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
-    whole = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    if whole and docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
-        return docs.select(F.col("doc_id").cast("long").alias("k"), "text", *also), None
-    # Sorted by range, the running number of a partition's rows after those of earlier partitions keeps the order.
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *also)
-    ids = Cut(marked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("k", F.monotonically_increasing_id())).df
-    one = marked.groupBy("doc_id", "h").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in also])
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
-    keyed = Cut(one.alias("a").join(ids.alias("b"), same).select("k", "a.text", *also)).df
-    return keyed, ids.select("k", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    docs, ids = keyed(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more), ("carry",) * bool(carry))
+    return docs, None if ids is None else ids.select("k", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -222,7 +210,7 @@ def _kept_rows(window: int, with_text: bool):
 
 
 def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column = "doc_id", text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256[, columns of carry][, kept_text, spans].
+    """Per document: doc_id, n_words, n_removed, kept_sha256[, carry, a struct of these columns][, kept_text, spans].
 
     A word goes if a window of ``window`` words that covers it starts earlier as well: in
     a document with a smaller id, or earlier in the same one. Windows are judged on the
@@ -242,5 +230,4 @@ def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column =
     schema = "k long, n_words long, n_removed long, kept_sha256 string" + f", carry struct<{kinds[:-1]}>" * bool(carry) + ", kept_text string, spans array<struct<start:int,len:int>>" * with_text
     out = docs.join(gone, "k", "left").select(*docs.columns, "gone").mapInArrow(_kept_rows(window, with_text), schema)
     out = out.withColumnRenamed("k", "doc_id") if ids is None else ids.join(out, "k").drop("k")
-    names = [c for c in out.columns if c != "carry"]
-    return out.select(*names[:4], *[F.col(f"carry.`{c}`") for c in carry], *names[4:])
+    return out

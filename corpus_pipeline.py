@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents.
 
 Stages take (spark, docs, sf_dir) and work on whatever ``docs`` holds: null texts are empty,
-an empty table goes through as such, and columns beyond those of ``documents`` are kept.
+an empty table goes through as such, and columns beyond those of ``documents`` are kept,
+whatever their names. Distinct texts under one id are documents of their own, in the order
+of their texts' hashes; documents without an id come last in every order.
 """
 
 from __future__ import annotations
@@ -10,36 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import decontam, mixing, neardup, quality, substrings
-from auditloom.llm.shared import Cut, small, table
+from auditloom.llm.shared import Cut, fresh, keyed, own_keys, small, table
 
 #: A sampling and its landing cannot be said in SQL, nor can a compression score; the stages are tested one by one.
 ORACLE_SQL = None
-#: Rows of ids with source and size, some 170 bytes each, that may be broadcast: 17 MB.
-WIDE_ROWS = 100_000
 #: Documents under this score are rejected.
 LEAST_QUALITY = 0.7
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on the labels, does not reject; all where none could be fitted."""
+    """Documents that the compression classifier, fitted on the labels, does not reject; all where none could be fitted.
+
+    Rows are judged one by one by their texts, so repeated rows stay or go together.
+    """
     model = quality.train_model(docs, table(spark, sf_dir, "labels"))
     if not model.fitted:
         return docs
-    scored = quality.score_quality(docs, model, "pipeline_quality_score")
-    return scored.filter(F.col("pipeline_quality_score") >= LEAST_QUALITY).drop("pipeline_quality_score")
+    score = fresh(docs, "quality_score")
+    return quality.score_quality(docs, model, score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates; of rows with one id, one row.
+    """One document, the first by id, of each group of near duplicates; texts without a word are in no group.
 
-    Rows without an id are in no group and stay.
+    Of rows that share id and text one stays, that of the least hash over all columns.
     """
-    found = Cut(neardup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept")).df
-    keep = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    out = docs.join(small(keep), "doc_id", "left_semi")
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id IS NULL"))
+    texts, ids = keyed(docs.select("doc_id", "text"))
+    keep = Cut(neardup.near_duplicates(texts, shingle=5, percent=80, doc_id="k").filter("kept").select(F.col("doc_id").alias("k"))).df
+    if ids is None:
+        key = fresh(docs, "kept_id")
+        keep = keep.withColumnRenamed("k", key)
+        return docs.join(small(keep), F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    wanted = ids.join(keep, "k").select(F.struct("doc_id", "h").alias("kept_key"))
+    one = docs.groupBy(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))).alias("row"))
+    return one.join(wanted, F.col("key").eqNullSafe(F.col("kept_key")), "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,25 +53,34 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = substrings.drop_repeats(docs, with_text=True, carry=others).filter("n_removed = 0 OR n_removed < n_words")
     kept = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[(kept[c] if c in kept else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(kept[c] if c in kept else F.col("carry")[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    return docs.join(small(Cut(hit).df), same, "left_anti")
+    """Documents that hold no window of a benchmark item. Rows that share id and text stay or go together."""
+    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.struct("doc_id", "text_hash").alias("hit")).distinct()
+    key = fresh(docs, "hit_key")
+    own = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return docs.join(small(Cut(hit.withColumnRenamed("hit", key)).df), own.eqNullSafe(F.col(key)), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with copies (how often) and taken (words, repeats counted).
+    """Documents that the mix takes, with copies (how often) and taken (words, repeats counted); columns of these names are replaced.
 
-    Rows with one id are told apart by source and size; of equal ones the larger number counts for each.
+    Every row is sampled on its own, repeated rows as well.
     """
-    found = mixing.mix_sources(docs).filter("copies > 0")
-    taken = found.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (mixing.n_words(F.col("text")) == F.col("t_size"))
-    return docs.drop("copies", "taken").join(small(Cut(taken).df, WIDE_ROWS), same).drop("t_id", "t_source", "t_size")
+    docs = docs.drop("copies", "taken")
+    if own_keys(docs):
+        mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("row"), "copies", "taken")
+        numbered, row = docs, "doc_id"
+    else:
+        row = fresh(docs, "row_number")
+        numbered = Cut(docs.withColumn(row, F.monotonically_increasing_id())).df
+        mixed = mixing.mix_sources(numbered, row=row).select("row", "copies", "taken")
+    key = fresh(numbered, "mixed_row")
+    taken = Cut(mixed.filter("copies > 0").withColumnRenamed("row", key)).df
+    out = numbered.join(small(taken), F.col(row) == F.col(key)).drop(key)
+    return out if row == "doc_id" else out.drop(row)
 
 
 STAGES = [

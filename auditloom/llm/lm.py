@@ -6,15 +6,19 @@ class, state); every other word falls, by its spelling, into one of ``SHAPES`` f
 classes, p(class | state) * p(word | class), the latter from the smoothed counts. So each
 text has a proper probability whatever words it has.
 
-The network is trained by truncated backpropagation in every partition at once, from the
-same start; the weights are averaged by the tokens they have seen, round by round. The
-rounds share out the training texts, so that each is trained on once. Documents are scored
-whole: many in lock step, in windows, with the state carried from window to window.
+The network is trained by truncated backpropagation on every training text. A hash of id
+and text deals them out to rounds and, in a round, to shards of ``SHARD`` tokens about, each
+read in the order of the hash; so how the table is partitioned plays no part. All shards of
+a round start alike and their weights are averaged by the tokens they have seen. Documents
+are scored whole: many in lock step, in windows, with the state carried from window to
+window. The probability of a class of unseen words is that of any one of them: the smoothed
+counts leave each unseen word the whole of what is left to its class.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +33,16 @@ from .shared import Cut, gathered, in_blocks, small_batches, texts
 
 #: Words with outputs of their own, words of a class, and spelling classes of the others.
 VOCAB, CLASS, SHAPES = 4096, 64, 24
-#: Size of the state; steps of a window in training and in scoring; texts trained side by side.
-STATE, STEPS, WINDOW, LANES = 16, 16, 32, 128
-#: Tokens that a step of training averages, at least.
-UPDATE = 1024
+#: Size of the state; steps of a window in training and in scoring; pieces of texts trained side by side, and their tokens at most.
+STATE, STEPS, WINDOW, LANES, SEGMENT = 16, 16, 32, 512, 512
+#: Tokens that a step of training averages, at least, and those of a shard, about.
+UPDATE, SHARD = 2048, 2_000_000
+#: Rows of states that the softmax works on at a time, so that they stay in the processor's cache.
+ROWS = 4096
 #: Words whose counts every worker knows; those of rarer ones are joined. At 30 bytes a word this is 6 MB.
 HEAD = 200_000
-#: Rounds of training; each takes its share of the texts, all of them together every text.
-ROUNDS = 2
+#: Rounds of training; each takes its share of the texts, all of them together every text. The rate of the first.
+ROUNDS, RATE = 2, 0.02
 #: Weights that one task adds up.
 FAN = 16
 SMOOTH = 0.1
@@ -80,14 +86,48 @@ class _Ids(dict):
 
     def __init__(self, lexicon: Lexicon):
         super().__init__((w, i) for i, w in enumerate(lexicon.words))
+        own = (shape(w) for w in lexicon.words[lexicon.vocab :])
+        beyond = np.fromiter(own, np.int32, len(lexicon.words) - lexicon.vocab)
+        #: Of a rank, or HEAD plus a spelling class: the word's number in the network.
+        self.network = np.zeros(HEAD + SHAPES, np.int32)
+        self.network[: lexicon.vocab] = np.arange(lexicon.vocab)
+        self.network[lexicon.vocab : len(lexicon.words)] = lexicon.vocab + beyond
+        self.network[HEAD:] = lexicon.vocab + np.arange(SHAPES)
 
     def __missing__(self, word: bytes) -> int:
         return HEAD + shape(word)
 
-    def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
-        words = text.lower().split()
-        words.append(END)
-        return words, np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
+        """The numbers of a text's words and its end, and those words that are beyond the head."""
+        ids, rest = [], []
+        for piece in pieces(text):
+            words = piece.lower().split()
+            own = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+            ids.append(own)
+            rest += [words[i] for i in np.flatnonzero(own >= HEAD)]
+        ids.append(np.array([self[END]], np.int32))
+        return np.concatenate(ids), rest
+
+
+def pieces(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """A long text in pieces that end where a word does, so that its words are never all held as objects."""
+    at = 0
+    while len(text) - at > size:
+        gap = _SPACE.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _kept(lexicon: Lexicon) -> _Ids:
+    """The word numbers of a lexicon, made once in a worker."""
+    if not hasattr(lexicon, "ids"):
+        lexicon.ids = _Ids(lexicon)
+    return lexicon.ids
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -101,7 +141,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         for batch in in_blocks(batches):
             for x in texts(batch):
-                found.update(x.lower().split())
+                for piece in pieces(x):
+                    found.update(piece.lower().split())
             found[END] += batch.num_rows
             if len(found) > 600_000:
                 yield rows()
@@ -168,21 +209,28 @@ def build_lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
 
 
 class Network:
-    """Weights: input to gates by word (E), state to gates (U), state to classes (Wc, bc), state to words (Wo, bo). ``trained`` counts the tokens of training."""
+    """Weights: input to gates by word (E), state to gates (U), state to classes (Wc, bc), state to the words of a class (Wo, bo; the last class is filled up with words of no mass). ``trained`` counts the tokens of training."""
 
     names = ("E", "U", "Wc", "bc", "Wo", "bo")
 
     def __init__(self, lexicon: Lexicon, seed: int = 5):
         rng, v = np.random.default_rng(seed), lexicon.vocab
-        self.v, self.n_word_classes, self.start = v, lexicon.classes - SHAPES, lexicon.words.index(END)
+        k = self.n_word_classes = lexicon.classes - SHAPES
+        self.v, self.start, self.trained = v, lexicon.words.index(END), 0
         count = lexicon.counts[:v].astype(np.float64) + SMOOTH
-        mass = np.concatenate([np.add.reduceat(count, np.arange(0, v, CLASS)), lexicon.shape_tokens + SMOOTH])
-        self.trained = 0
+        word_mass = np.add.reduceat(count, np.arange(0, v, CLASS))
+        mass = np.concatenate([word_mass, lexicon.shape_tokens + SMOOTH])
+        self.class_of = np.concatenate([np.arange(v) // CLASS, k + np.arange(SHAPES)])
         scale = lambda *size: (rng.standard_normal(size) * 0.1).astype(np.float32)
         self.E, self.U = scale(v + SHAPES, 3 * STATE), scale(STATE, 3 * STATE)
-        self.Wc, self.bc = scale(len(mass), STATE) * 0, np.log(mass / mass.sum()).astype(np.float32)
-        self.Wo = scale(v, STATE) * 0
-        self.bo = np.log(count / np.repeat(np.add.reduceat(count, np.arange(0, v, CLASS)), CLASS)[:v]).astype(np.float32)
+        self.Wc, self.bc = np.zeros((len(mass), STATE), np.float32), np.log(mass / mass.sum()).astype(np.float32)
+        self.Wo, self.bo = np.zeros((k, STATE, CLASS), np.float32), np.full((k, CLASS), -1e4, np.float32)
+        self.bo.reshape(-1)[:v] = np.log(count / word_mass[np.arange(v) // CLASS])
+
+    def copy(self) -> Network:
+        out = Network.__new__(Network)
+        out.__dict__.update({k: v.copy() if k in self.names else v for k, v in self.__dict__.items()})
+        return out
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).reshape(-1) for k in self.names])
@@ -194,57 +242,67 @@ class Network:
             setattr(self, k, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        x, hu = self.E[ids], h @ self.U
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * STATE] + hu[:, : 2 * STATE])))
-        z, r, a = gates[:, :STATE], gates[:, STATE:], hu[:, 2 * STATE :]
-        c = np.tanh(x[:, 2 * STATE :] + r * a)
-        return h + z * (c - h), z, r, a, c
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """From gate inputs ``x`` and states ``h``: the new states, both gates (update, reset), what the reset gate lets through, and the candidate."""
+        hu = h @ self.U
+        gates, through = hu[:, : 2 * STATE] + x[:, : 2 * STATE], hu[:, 2 * STATE :]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        c = gates[:, STATE:] * through
+        c += x[:, 2 * STATE :]
+        np.tanh(c, out=c)
+        return h + gates[:, :STATE] * (c - h), gates, through, c
 
     def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of targets (word number, or vocab + spelling class) in these states.
 
         With ``grads`` also the gradient of their negative sum for the states; weights' gradients are added there.
         """
-        m = len(target)
-        cls = np.where(target < self.v, target // CLASS, target - self.v + self.n_word_classes)
-        logits = states @ self.Wc.T + self.bc
-        e = np.exp(np.minimum(logits, TOP, out=logits))
-        total = e @ np.ones(e.shape[1], np.float32)
-        out = (logits[np.arange(m), cls] - np.log(total)).astype(np.float64)
-        d_states = None
-        if grads is not None:
-            e /= total[:, None]
-            e[np.arange(m), cls] -= 1
-            grads["Wc"] += e.T @ states
-            grads["bc"] += e.sum(0)
-            d_states = e @ self.Wc
+        out = np.empty(len(target), np.float32)
+        d = None if grads is None else np.empty_like(states)
+        for i in range(0, len(target), ROWS):
+            part = slice(i, i + ROWS)
+            self._log_probs(states[part], target[part], grads, out[part], None if d is None else d[part])
+        return out, d
+
+    def _log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None, out: np.ndarray, d_out: np.ndarray | None) -> None:
+        cls = self.class_of[target]
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.n_word_classes + 1))
-        for k in range(self.n_word_classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows):
-                continue
-            lo, s = k * CLASS, states[rows]
-            w = self.Wo[lo : lo + CLASS]
-            logits = s @ w.T + self.bo[lo : lo + CLASS]
-            e = np.exp(np.minimum(logits, TOP, out=logits))
-            total, at = e @ np.ones(e.shape[1], np.float32), target[rows] - lo
-            out[rows] += logits[np.arange(len(rows)), at] - np.log(total)
+        cls, states, target = cls[order], states[order], target[order]
+        edges = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
+        ranges = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        n = edges[-1]
+
+        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Log probabilities of ``at``; ``logits`` become what the softmax sends back, with gradients."""
+            rows = np.arange(len(at))
+            own = np.minimum(logits, TOP, out=logits)[rows, at]
+            total = np.exp(logits, out=logits).sum(1)
             if grads is not None:
-                e /= total[:, None]
-                e[np.arange(len(rows)), at] -= 1
-                grads["Wo"][lo : lo + CLASS] += e.T @ s
-                grads["bo"][lo : lo + CLASS] += e.sum(0)
-                d_states[rows] += e @ w
-        return out, d_states
+                logits *= np.reciprocal(total)[:, None]
+                logits[rows, at] -= 1
+            return own - np.log(total)
 
-
-def _lanes(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest first: order, lengths and the start of each in the concatenation."""
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    order = np.argsort(-lengths, kind="stable")
-    return order, lengths[order], (lengths.cumsum() - lengths)[order]
+        e = states @ self.Wc.T
+        e += self.bc
+        found = softmax(e, cls)
+        if grads is not None:
+            grads["Wc"] += e.T @ states
+            grads["bc"] += e.sum(0)
+            d = e @ self.Wc
+        e = np.empty((n, CLASS), np.float32)
+        for k, a, b in ranges:
+            np.matmul(states[a:b], self.Wo[k], out=e[a:b])
+        e += self.bo[cls[:n]]
+        found[:n] += softmax(e, target[:n] - cls[:n] * CLASS)
+        out[order] = found
+        if grads is not None:
+            for k, a, b in ranges:
+                grads["Wo"][k] += states[a:b].T @ e[a:b]
+                grads["bo"][k] += e[a:b].sum(0)
+                d[a:b] += e[a:b] @ self.Wo[k].T
+            d_out[order] = d
 
 
 def _zeros(net: Network) -> dict[str, np.ndarray]:
@@ -253,65 +311,92 @@ def _zeros(net: Network) -> dict[str, np.ndarray]:
 
 def _update(net: Network, grads: dict[str, np.ndarray], tokens: int, state: dict, rate: float) -> None:
     """One step of Adam on the mean gradient, its length clipped at 1."""
-    norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / tokens
+    norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / tokens
     scale = min(1.0, 1.0 / (norm + 1e-9)) / tokens
     state["t"] = state.get("t", 0) + 1
     fix = math.sqrt(1 - 0.99 ** state["t"]) / (1 - 0.9 ** state["t"])
     for k, g in grads.items():
         m1, m2 = state.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-        g *= scale
-        m1 += 0.1 * (g - m1)
-        m2 += 0.01 * (g * g - m2)
-        getattr(net, k).__isub__(rate * fix * m1 / (np.sqrt(m2) + 1e-5))
+        g *= np.float32(scale)
+        m1 += np.float32(0.1) * (g - m1)
+        g *= g
+        g -= m2
+        g *= np.float32(0.01)
+        m2 += g
+        root = np.sqrt(m2, out=g)
+        root += np.float32(1e-5)
+        np.divide(m1, root, out=root)
+        root *= np.float32(rate * fix)
+        getattr(net, k).__isub__(root)
+
+
+def _segments(ids: list[np.ndarray], start: int, most: int) -> tuple[np.ndarray, ...]:
+    """Texts as one array, with the token before each (``start`` before a text), and the begins and lengths of segments of ``most`` tokens at most, the longest first."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.concatenate(ids)
+    begins = lengths.cumsum() - lengths
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[begins] = start
+    n = -(-lengths // most)
+    own = np.repeat(np.arange(len(ids)), n)
+    offset = (np.arange(len(own)) - np.repeat(n.cumsum() - n, n)) * most
+    size = np.minimum(lengths[own] - offset, most)
+    order = np.argsort(-size, kind="stable")
+    return flat, before, (begins[own] + offset)[order], size[order], own[order]
 
 
 def train(net: Network, ids: list[np.ndarray], state: dict, rate: float = 0.01) -> int:
-    """One pass over texts by truncated backpropagation, with Adam; returns the tokens seen."""
+    """One pass over texts by truncated backpropagation, with Adam; returns the tokens seen. Segments of a text are trained apart."""
     seen, pending, grads = 0, 0, _zeros(net)
-    order, lengths, starts = _lanes(ids)
-    flat = np.concatenate(ids)
-    for lane in range(0, len(ids), LANES):
-        size, start = lengths[lane : lane + LANES], starts[lane : lane + LANES]
+    flat, before, starts, lengths, _ = _segments(ids, net.start, SEGMENT)
+    for lane in range(0, len(starts), LANES):
+        start, size = starts[lane : lane + LANES], lengths[lane : lane + LANES]
         h = np.zeros((len(size), STATE), np.float32)
         for t0 in range(0, int(size[0]), STEPS):
-            n = int(np.searchsorted(-size, -t0, side="left"))
-            steps = min(STEPS, int(size[0]) - t0)
-            at = start[:n, None] + t0 + np.arange(steps)
-            live = t0 + np.arange(steps) < size[:n, None]
-            target = flat[np.minimum(at, len(flat) - 1)]
-            previous = np.where(t0 + np.arange(steps) > 0, flat[np.clip(at - 1, 0, len(flat) - 1)], net.start)
-            h, trace, states = h[:n], [], []
+            n, steps = int(np.searchsorted(-size, -t0, side="left")), min(STEPS, int(size[0]) - t0)
+            time = t0 + np.arange(steps)[:, None]
+            at = np.minimum(start[:n] + time, len(flat) - 1)
+            word = before[at]
+            # Time comes first, so each step's rows lie together. A token is predicted from the state that has read the one before it.
+            x, states = net.E[word], np.empty((steps + 1, n, STATE), np.float32)
+            states[0] = h[:n]
+            trace = []
             for t in range(steps):
-                # A token is predicted from the state that has read the one before it.
-                new, z, r, a, c = net.step(h, previous[:, t])
-                trace.append((h, z, r, a, c))
-                states.append(new)
-                h = new
-            states = np.stack(states, 1)
-            rows = np.flatnonzero(live.reshape(-1))
-            _, d = net.log_probs(states.reshape(-1, STATE)[rows], target.reshape(-1)[rows], grads)
-            d_all = np.zeros((n * steps, STATE), np.float32)
-            d_all[rows] = d
-            d_all = d_all.reshape(n, steps, STATE)
-            dx, dh = np.zeros((n, steps, 3 * STATE), np.float32), np.zeros((n, STATE), np.float32)
+                states[t + 1], *kept = net.step(x[t], states[t])
+                trace.append(kept)
+            h = states[-1]
+            rows = np.flatnonzero((time < size[:n]).reshape(-1))
+            d = np.zeros((steps * n, STATE), np.float32)
+            d[rows] = net.log_probs(states[1:].reshape(-1, STATE)[rows], flat[at].reshape(-1)[rows], grads)[1]
+            d = d.reshape(steps, n, STATE)
+            up, dh = np.empty((steps, n, 3 * STATE), np.float32), np.zeros((n, STATE), np.float32)
+            dx = np.empty_like(up)
             for t in range(steps - 1, -1, -1):
-                before, z, r, a, c = trace[t]
-                dh = dh + d_all[:, t]
-                dc = dh * z * (1 - c * c)
-                dz, dr = dh * (c - before) * z * (1 - z), dc * a * r * (1 - r)
-                up = np.concatenate([dz, dr, dc * r], 1)
-                grads["U"] += before.T @ up
-                dx[:, t] = np.concatenate([dz, dr, dc], 1)
-                dh = dh * (1 - z) + up @ net.U.T
-            word = previous.reshape(-1)
+                gates, through, c = trace[t]
+                z, r = gates[:, :STATE], gates[:, STATE:]
+                dh += d[t]
+                both = dx[t]
+                np.multiply(dh, c - states[t], out=both[:, :STATE])
+                dc = dh * z
+                dc *= 1 - c * c
+                np.multiply(dc, through, out=both[:, STATE : 2 * STATE])
+                both[:, : 2 * STATE] *= gates * (1 - gates)
+                both[:, 2 * STATE :] = dc
+                up[t] = both
+                up[t, :, 2 * STATE :] *= r
+                dh *= 1 - z
+                dh += up[t] @ net.U.T
+            grads["U"] += states[:-1].reshape(-1, STATE).T @ up.reshape(-1, 3 * STATE)
+            word = word.reshape(-1)
             by = np.argsort(word, kind="stable")
-            first = np.flatnonzero(np.r_[True, word[by][1:] != word[by][:-1]])
+            first = np.flatnonzero(np.r_[True, np.diff(word[by]) != 0])
             grads["E"][word[by][first]] += np.add.reduceat(dx.reshape(-1, 3 * STATE)[by], first)
             pending += len(rows)
+            seen += len(rows)
             if pending >= UPDATE:
                 _update(net, grads, pending, state, rate)
                 grads, pending = _zeros(net), 0
-            seen += len(rows)
     if pending:
         _update(net, grads, pending, state, rate)
     return seen
@@ -320,73 +405,77 @@ def train(net: Network, ids: list[np.ndarray], state: dict, rate: float = 0.01)
 def score_ids(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """Natural log probabilities of whole texts, all windows, with the state carried on."""
     out = np.zeros(len(ids))
-    order, size, start = _lanes(ids)
-    flat = np.concatenate(ids)
+    flat, before, start, size, order = _segments(ids, net.start, 1 << 62)
     h = np.zeros((len(ids), STATE), np.float32)
     for t0 in range(0, int(size[0]), WINDOW):
-        n = int(np.searchsorted(-size, -t0, side="left"))
-        h = h[:n]
-        steps = min(WINDOW, int(size[0]) - t0)
-        states = np.empty((steps, n, STATE), np.float32)
+        n, steps = int(np.searchsorted(-size, -t0, side="left")), min(WINDOW, int(size[0]) - t0)
+        time = t0 + np.arange(steps)[:, None]
+        # A text that has ended takes any token; its states are not used.
+        at = np.minimum(start[:n] + time, len(flat) - 1)
+        states, h = np.empty((steps, n, STATE), np.float32), h[:n]
         for t in range(steps):
-            # A text that has ended takes any token; its states are not used.
-            at = np.minimum(start[:n] + t0 + t, len(flat)) - 1
-            h = net.step(h, flat[at] if t0 + t else np.full(n, net.start))[0]
-            states[t] = h
-        live = t0 + np.arange(steps)[:, None] < size[:n]
-        lane = np.broadcast_to(np.arange(n), (steps, n))[live]
-        target = flat[(start[:n] + t0 + np.arange(steps)[:, None])[live]]
-        states = states[live]
-        for i in range(0, len(lane), 1 << 14):
-            part = slice(i, i + (1 << 14))
-            out[order[:n]] += np.bincount(lane[part], net.log_probs(states[part], target[part])[0], n)
+            h = states[t] = net.step(net.E[before[at[t]]], h)[0]
+        live = time < size[:n]
+        found = net.log_probs(states[live], flat[at[live]])[0]
+        out[order[:n]] += np.bincount(np.broadcast_to(np.arange(n), (steps, n))[live], found, n)
     return out
 
 
-def _network_ids(ids: np.ndarray, lexicon: Lexicon, shapes: np.ndarray) -> np.ndarray:
-    """Word numbers as the network has them: head words beyond its vocabulary by their spelling class."""
-    v = lexicon.vocab
-    rare = np.where(ids >= HEAD, ids - HEAD, shapes[np.minimum(ids, len(shapes) - 1)])
-    return np.where(ids < v, ids, v + rare)
+def _in_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Of rows (shard, text) in order: (shard, texts of it with ``limit`` bytes about), cut alike however the rows were sent."""
+    shard, held, size = None, [], 0
+    for batch in in_blocks(batches, limit=limit):
+        for own, x in zip(batch.column("shard").to_pylist(), texts(batch), strict=True):
+            if held and (own != shard or size + len(x) > limit):
+                yield shard, held
+                held, size = [], 0
+            shard = own
+            held.append(x)
+            size += len(x)
+    if held:
+        yield shard, held
 
 
-def _head_shapes(lexicon: Lexicon) -> np.ndarray:
-    return np.array([shape(w) if i >= lexicon.vocab else 0 for i, w in enumerate(lexicon.words)], np.int64)
-
-
-def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5) -> Network:
-    """Train on texts (text, part): in round r those whose part is r, of ROUNDS. Every partition starts alike; weights are averaged."""
+def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5, rounds: int = ROUNDS) -> Network:
+    """Train on texts (text, h), every one once: round r takes those with h modulo ``rounds`` = r, dealt to shards by h. All shards of a round start alike; weights are averaged."""
     net, sc = Network(lexicon, seed), docs.sparkSession.sparkContext
     known = sc.broadcast(lexicon)
-    for turn in range(ROUNDS):
+    shards = max(1, round(lexicon.tokens / SHARD))
+    for turn in range(rounds):
         now = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            lex, mine = known.value, Network.__new__(Network)
-            mine.__dict__.update({k: v.copy() if isinstance(v, np.ndarray) else v for k, v in now.value.__dict__.items()})
-            ids_of, shapes, adam, seen = _Ids(lex), _head_shapes(lex), {}, 0
-            for batch in gathered(batches, limit=8 << 20):
-                ids = [_network_ids(ids_of.of(x)[1], lex, shapes) for x in texts(batch)]
-                seen += train(mine, ids, adam, 0.01 / (1 + turn))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(mine.flat().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["sums", "seen"])
-
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(pdf["sums"].iloc[0]) // 8)
-            for x in pdf["sums"]:
-                total += np.frombuffer(x)
-            return pd.DataFrame({"part_no": [int(key[0])], "sums": [total.tobytes()], "seen": [int(pdf["seen"].sum())]})
-
-        trained = docs.filter(F.col("part") == turn).select("text")
-        sums, left = trained.mapInArrow(run, "sums binary, seen long").withColumn("part_no", F.spark_partition_id().cast("long")), trained.rdd.getNumPartitions()
-        while left > 1:  # a tree: no task adds more than FAN sums, 2 MB each, and the driver gets one
-            sums = sums.groupBy(F.floor(F.col("part_no") / FAN).alias("g")).applyInPandas(add, "part_no long, sums binary, seen long")
+            ids_of, at, mine, adam, seen = _kept(known.value), None, None, {}, 0
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([mine.flat().tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["shard", "weights", "seen"])
+
+            for shard, held in _in_chunks(batches, 8 << 20):
+                if shard != at:
+                    if at is not None:
+                        yield done()
+                    at, mine, adam, seen = shard, now.value.copy(), {}, 0
+                seen += train(mine, [ids_of.network[ids_of.of(x)[0]] for x in held], adam, RATE / (1 + turn))
+            if at is not None:
+                yield done()
+
+        def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard")
+            seen, total = int(pdf["seen"].sum()), np.zeros(len(pdf["weights"].iloc[0]) // 4)
+            for x, n in zip(pdf["weights"], pdf["seen"], strict=True):
+                total += np.frombuffer(x, np.float32) * (n / seen)
+            return pd.DataFrame({"shard": [int(key[0])], "weights": [total.astype(np.float32).tobytes()], "seen": [seen]})
+
+        mixed, schema = F.shiftright(F.xxhash64("h"), 1), "shard long, weights binary, seen long"
+        dealt = docs.filter(F.pmod("h", F.lit(rounds)) == turn).select((F.pmod(mixed, F.lit(shards))).alias("shard"), "h", "text")
+        means, left = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInArrow(run, schema), shards
+        while left > 1:  # a tree: no task adds more than FAN weights, 1 MB each, and the driver gets one
+            means = means.groupBy(F.floor(F.col("shard") / FAN).alias("g")).applyInPandas(mean, schema)
             left = -(-left // FAN)
-        rows = sums.collect()
+        rows = means.collect()
         if rows:
-            seen = sum(r["seen"] for r in rows)
-            net.load(sum(np.frombuffer(bytes(r["sums"])) for r in rows) / seen)
-            net.trained += seen
+            net.load(np.frombuffer(bytes(rows[0]["weights"]), np.float32))
+            net.trained += rows[0]["seen"]
     return net
 
 
@@ -397,10 +486,11 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
     null is the empty text, which is one end. ``base_score`` is the smoothed unigram
     log10 probability, ``score`` the network's. Rows are scored one by one, so repeated
     rows have rows of their own; extra columns are ignored. Without training rows all
-    words are unknown to both. An empty table gives an empty result.
+    words are unknown to both. An empty table gives an empty result. However the table is
+    partitioned, counts are equal and scores differ by rounding alone.
     """
     small_batches(documents.sparkSession)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"), F.pmod(F.xxhash64(doc_id, text), F.lit(ROUNDS)).alias("part"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"), F.xxhash64(doc_id, text).alias("h"))
     counts = Cut(count_tokens(docs.filter("training"))).df
     lexicon, least = build_lexicon(counts)
     net = fit(docs.filter("training"), lexicon, seed)
@@ -408,25 +498,20 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
     known, model = sc.broadcast(lexicon), sc.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, ids_of = known.value, _Ids(known.value)
-        shapes, log_c = _head_shapes(lex), np.log10(lex.counts + SMOOTH)
+        lex, ids_of = known.value, _kept(known.value)
         norm = math.log10(lex.tokens + SMOOTH * (lex.distinct + 1))
         shape_norm = np.log10(lex.shape_tokens + SMOOTH * (lex.shape_words + 1))
+        # By rank, and 0 for words beyond the head: log count, whether it is known; and what a word adds to its spelling class.
+        log_c, seen = np.zeros(HEAD + SHAPES), np.zeros(HEAD + SHAPES, np.int64)
+        log_c[: len(lex.counts)], seen[: len(lex.counts)] = np.log10(lex.counts + SMOOTH), lex.counts > 0
+        more = np.where(ids_of.network >= lex.vocab, log_c - shape_norm[np.maximum(ids_of.network - lex.vocab, 0)], 0.0)
         for batch in gathered(batches, limit=16 << 20):
-            ids, rest, n, n_known, base, extra = [], [], [], [], [], []
-            for x in texts(batch):
-                words, i = ids_of.of(x)
-                head = i < HEAD
-                mine = _network_ids(i, lex, shapes)
-                rare = mine >= lex.vocab
-                ids.append(mine)
-                rest.append([words[k] for k in np.flatnonzero(~head)])
-                n.append(len(i))
-                n_known.append(int((lex.counts[i[head]] > 0).sum()))
-                base.append(float(log_c[i[head]].sum()) - len(i) * norm)
-                extra.append(float(log_c[i[rare & head]].sum() - shape_norm[mine[rare] - lex.vocab].sum()))
-            score = score_ids(model.value, ids) / math.log(10) + np.array(extra)
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            ids, rest = zip(*map(ids_of.of, texts(batch)), strict=True)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            starts, flat = n.cumsum() - n, np.concatenate(ids)
+            base = np.add.reduceat(log_c[flat], starts) - n * norm
+            score = score_ids(model.value, [ids_of.network[i] for i in ids]) / math.log(10) + np.add.reduceat(more[flat], starts)
+            cols = [batch.column("doc_id"), pa.array(n), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "known", "base", "model", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

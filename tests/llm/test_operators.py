@@ -296,6 +296,7 @@ def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(2)
     net.Wc = rng.standard_normal(net.Wc.shape).astype(np.float32) * 0.1
     net.Wo = rng.standard_normal(net.Wo.shape).astype(np.float32) * 0.1
+    assert lex.vocab == 100 and net.Wo.shape == (2, lm.STATE, lm.CLASS)
     h = rng.standard_normal((1, lm.STATE)).astype(np.float32) * 0.5
     every = np.arange(lex.vocab + lm.SHAPES)
     assert np.exp(net.log_probs(np.repeat(h, len(every), 0), every)[0]).sum() == pytest.approx(1, abs=1e-4)
@@ -319,6 +320,86 @@ def test_state_is_carried_and_training_helps():
     assert lm.score_ids(net, ids).sum() > 0.7 * one[0] * len(ids)
 
 
+def plain_scores(net, ids):
+    """Log probabilities of texts, one token after another, in double precision."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    E, U, Wc, bc, Wo, bo = (getattr(net, k).astype(float) for k in net.names)
+    out, s = [], lm.STATE
+    for text in ids:
+        h, before, total = np.zeros(s), net.start, 0.0
+        for word in text:
+            x, hu = E[before], h @ U
+            z, r = sigmoid(x[:s] + hu[:s]), sigmoid(x[s : 2 * s] + hu[s : 2 * s])
+            h = (1 - z) * h + z * np.tanh(x[2 * s :] + r * hu[2 * s :])
+            c = Wc @ h + bc
+            k = word // lm.CLASS if word < net.v else net.n_word_classes + word - net.v
+            total += c[k] - np.log(np.exp(c).sum())
+            if word < net.v:
+                w = h @ Wo[k] + bo[k]
+                total += w[word % lm.CLASS] - np.log(np.exp(w).sum())
+            before = word
+        out.append(total)
+    return out
+
+
+def tiny_lexicon():
+    return lm.Lexicon([b"", *(f"w{i}".encode() for i in range(149))], np.arange(150, 0, -1), 11325, 150, np.full(lm.SHAPES, 5), np.full(lm.SHAPES, 2))
+
+
+def test_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    net = lm.Network(tiny_lexicon())
+    ids = [np.append(rng.integers(1, net.v + lm.SHAPES, n), 0).astype(np.int32) for n in (0, 1, 5, 31, 32, 33, 200)]
+    for _ in range(3):
+        lm.train(net, ids, {}, 0.05)
+    assert lm.score_ids(net, ids) == pytest.approx(plain_scores(net, ids), rel=1e-4)
+
+
+def test_gradient_equals_differences(monkeypatch):
+    rng = np.random.default_rng(4)
+    net, made = lm.Network(tiny_lexicon()), {}
+    net.Wc, net.Wo = (rng.standard_normal(x.shape).astype(np.float32) * 0.3 for x in (net.Wc, net.Wo))
+    ids = [np.append(rng.integers(1, net.v + lm.SHAPES, n), 0).astype(np.int32) for n in (3, 15, 9)]  # one window, so nothing is truncated
+    monkeypatch.setattr(lm, "_update", lambda net, grads, *a: made.update(grads))
+    lm.train(net, ids, {})
+    for name in net.names:
+        at = np.unravel_index(np.abs(made[name]).argmax(), made[name].shape)
+        sides = []
+        for step in (1e-2, -1e-2):
+            moved = net.copy()
+            getattr(moved, name)[at] += step
+            sides.append(-sum(plain_scores(moved, ids)))
+        assert made[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-2, rel=2e-2)
+
+
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    """Held-out texts score above the base, and alike, however the table is partitioned and with several shards."""
+    order = random.Random(9)
+    texts = [" ".join(f"w{(i + j + order.randrange(2)) % 60}" for j in range(200)) for i in range(300)]
+    df = documents(spark, [*texts, texts[0], "long " * 3000])
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    monkeypatch.setattr(lm, "UPDATE", 256)
+    runs = [{(r["doc_id"], r["score"], r["base_score"]) for r in lm.score_documents(df.repartition(n), F.col("doc_id") % 5 != 0).collect()} for n in (1, 8, 64)]
+    for other in runs[1:]:
+        for a, b in zip(sorted(runs[0]), sorted(other), strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5) and a[2] == pytest.approx(b[2])
+    held = [x for x in runs[0] if x[0] % 5 == 0 and x[0] < 300]
+    assert sum(x[1] for x in held) > 0.97 * sum(x[2] for x in held)
+
+
+def test_model_without_training_rows_or_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    got = lm.score_documents(df, F.lit(False)).collect()
+    assert [r["n_known"] for r in got] == [0, 0, 0] and {r["train_tokens"] for r in got} == {0} and all(math.isfinite(r["score"]) for r in got)
+    assert lm.score_documents(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_long_texts_are_numbered_in_pieces():
+    text = b" ".join(b"w%d" % (i % 7) for i in range(500)) + b" " + b"x" * 300
+    assert [w for p in lm.pieces(text, 64) for w in p.split()] == text.split() and len(list(lm.pieces(text, 64))) > 10
+    assert list(lm.pieces(b"")) == [b""]
+
+
 def test_every_training_text_is_trained_on(spark, monkeypatch):
     made = []
     fit = lm.fit

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, within
+from .shared import BROADCAST_ROWS, Cut, within
 
 #: What separates words, once A-Z are lower-cased: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,13 +57,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     prefix = place.groupBy("win").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.min(F.struct("seen", "token", "at")).alias("p")).filter("p.seen > 0").select("win", "n", "items", F.col("p.token").alias("token"), F.col("p.at").alias("at"))
     # Rows with the same id and text have the same hits, so they may share a key.
     key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
-    found = (
-        docs.select(key.alias("key"), words_of(F.col("text")).alias("w")).select("key", "w", F.posexplode_outer("w").alias("pos", "token"))
-        .join(hint(prefix), "token")
-        .filter((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("n") <= F.size("w")))
-        .filter(F.slice("w", F.col("pos") - F.col("at") + 1, F.col("n")) == F.col("win"))
-        .select("key", F.struct((F.col("pos") - F.col("at")).alias("start"), F.col("n").alias("len")).alias("span"), "items")
-    )
+    split = docs.select(key.alias("key"), words_of(F.col("text")).alias("w"))
+    fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("n") <= F.col("size"))
+    start = (F.col("pos") - F.col("at")).alias("start")
+    if few:
+        spots = split.select("key", "w", F.size("w").alias("size"), F.posexplode_outer("w").alias("pos", "token")).join(hint(prefix), "token").filter(fits).select("key", "w", start, "n", "win", "items")
+    else:
+        # Positions move without the text; words are joined back only to documents that have places left, with the windows by number.
+        numbered = Cut(prefix.withColumn("no", F.monotonically_increasing_id())).df
+        each = split.select("key", F.size("w").alias("size"), F.posexplode_outer("w").alias("pos", "token"))
+        places = each.join(numbered.select("token", "at", "n", "no"), "token").filter(fits).groupBy("key", "no").agg(F.collect_set(start).alias("starts"))
+        opened = places.join(split.dropDuplicates(["key"]), "key").join(numbered.select("no", "n", "win", "items"), "no")
+        spots = opened.select("key", "w", F.explode("starts").alias("start"), "n", "win", "items")
+    found = spots.filter(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("win")).select("key", F.struct("start", F.col("n").alias("len")).alias("span"), "items")
     per_doc = found.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),

@@ -16,8 +16,11 @@ from .shared import small
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic marks and their plain forms.
 _MARKS, _PLAIN = "“”„«»‘’‚‐‑‒–—− ", "\"\"\"\"\"'''------ "
-#: A copyright line: begins, after marks, with copyright, (c) or the sign; or says all rights are reserved.
-COPYRIGHT = r"(?md)^[^A-Za-z0-9\n]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][ \t]+(?:©|\([Cc]\)|[0-9]|[Bb][Yy] )|©|\([Cc]\)[ \t]|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd]).*$"
+#: A copyright line: begins, after marks, with the sign, with copyright and a sign, year or "by", or with (c) and one of these or a short name and a year, so not with a clause (c); or says all rights are reserved.
+COPYRIGHT = (
+    r"(?md)^[^A-Za-z0-9\n]*(?:[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][ \t]+(?:©|\([Cc]\)|[0-9]|[Bb][Yy] ).*|©.*|\([Cc]\)[ \t]+(?:©|[12][0-9]{3}|[Bb][Yy] |[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]).*"
+    r"|\([Cc]\)[ \t]+[^.;:\n]{0,60}[ ,][12][0-9]{3}[^A-Za-z0-9\n]*|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd].*)$"
+)
 #: Spellings taken as equal, to the right-hand form.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment", "analyse": "analyze", "artefact": "artifact", "authoris": "authoriz", "calibre": "caliber",
@@ -66,9 +69,9 @@ Permission is granted to anyone to use this software for any purpose, including
 _BSD_3 = KNOWN["BSD-2-Clause"][0].replace("\nTHIS SOFTWARE", """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 THIS SOFTWARE""")
-#: Titles that stand above whole texts. The bare "MIT License" is not among them: a test has it unknown.
+#: Titles that stand above whole texts.
 _TITLED = {
-    "MIT": (KNOWN["MIT"][0], "The MIT License", "The MIT License (MIT)"),
+    "MIT": (KNOWN["MIT"][0], "MIT License", "The MIT License", "The MIT License (MIT)"),
     "ISC": (KNOWN["ISC"][0], "ISC License", "The ISC License"),
     "BSD-2-Clause": (KNOWN["BSD-2-Clause"][0], "BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause License"),
     "BSD-3-Clause": (_BSD_3, "BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause License"),
@@ -76,19 +79,37 @@ _TITLED = {
 }
 #: Further forms of whole texts: those under their titles, and BSD-3-Clause.
 FORMS: dict[str, list[str]] = {k: [*[_BSD_3] * (k == "BSD-3-Clause"), *(f"{t}\n{text}" for t in titles)] for k, (text, *titles) in _TITLED.items()}
-#: Digests of the canonical forms of long licences, as published, with their title and without; of those with an appendix, also without it.
+#: Digests of the canonical forms of long licences, as published, with their title and without; of those with an appendix, also up to it, with its heading line "END OF TERMS" and without.
 DIGESTS: dict[str, list[str]] = {
     "Apache-2.0": [
-        "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68", "e9653af3ea2451e09943fd25004fb790c5c445256e276a8c0172f0a44c13da0b",
-        "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c", "2e349068b1767ce16c09b3a0a7df25513df42a4881a97a2a0de3ecac55c2ce0a",
+        "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",
+        "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64", "667b62a169edae7212be3c581edf5d6a1fa86c882eeef29e48612c852970f012",
+        "fb388936c12fba660a278043424b3f9a17c6b2e536674e390813ac3d06e7e73a", "d7dd8e5c661e35d656a43688fc21624b0ba52216e4c419c747129bf83780d165",
+    ],
+    "GPL-2.0": [
+        "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808", "e93929eeb2be8f9772ecbf192581530514e850081c975cb69e6e05a40e5060da",
+        "8fa94d3d812775805528fff117ea835ed908322b039e129b957550c1e107d3e2", "a268f9c0a6d81f308a4286dac3b04b899da32e1ba02acf6eb78972ce623846e1",
     ],
     "GPL-3.0": [
-        "df71f3c423c11bc52456a9775329f1d9a3168a6f071654750b9eb155fb3ec0eb", "ad491d062e900edd8decaf8a148ec6ec22811a88cb387cfac2cfe65a48355094",
-        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "fad6d14122ae5943ea05f9e4d48194524a0b701f034fd22c7dded3e6c296c742",
+        "df71f3c423c11bc52456a9775329f1d9a3168a6f071654750b9eb155fb3ec0eb", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191", "cf2756d6526c29d12c3877ef46ee394d13b306906f3912911c81308f082c7bea",
+        "4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19", "ce818a0d5cb7a9a9261f63641713dbb4ca4750284738a6c3f546d86d81a541d2",
+    ],
+    "LGPL-2.1": [
+        "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df", "a587a956d736b2fba816989cb7a52371109f3efe93957a305615cb5f2a1a95fe",
+        "98d365a8217633113a201b5777e4d26ae0eb1d88079c5e39838162abe1f18db4", "127c98b05c4e2851a27843fcf90984e5592c3841d8a6b7638dbcd00bcefe46dd",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7",
+    ],
+    "MPL-2.0": [
+        "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d", "61525901247b1a7c093fc10f73de8260d1d1a1a8b3bc78f417119ee4fcfb0979",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6",
     ],
-    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "3c109b32fc12cedb18f514c338498353cbbafbc7ad3aa3aed8c864396943f25a"],
-    "MPL-2.0": ["9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56", "d0c5ff4b1b1df9ae8ac7381433e58aaf10308f4e9fd6a32597b6b0e01220a0a6"],
-    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6"],
 }
 
 
@@ -131,7 +152,8 @@ def scan_licenses(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id"
     with that digest, or null. ``n_license_lines`` counts the lines that are a known
     notice each. Null and empty texts, and such as only copyright lines, have the digest
     of the empty text, which no licence has. Rows that share id and text get a row each;
-    extra columns are ignored; without known licences nothing is found.
+    extra columns are ignored; without known licences nothing is found. A text that is a
+    licence and more has no ``text_license``; clauses lettered (c) are text.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key")

@@ -34,8 +34,8 @@ from .shared import Cut, WordHashes, grams, in_blocks, mix, signed, small, small
 HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 16
 #: Representatives compared at a time within a bucket or a component.
 BLOCK = 1024
-#: Texts of either side that are compared at a time on full sets.
-TEXT_BLOCK = 256
+#: Texts of either side that are compared at a time on full sets, and their shingles, about.
+TEXT_BLOCK, SHINGLE_BLOCK = 256, 1_000_000
 _rng = np.random.default_rng(20_240_607)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _MUL = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -249,14 +249,23 @@ def _own(n: str):
 
 
 def exact_links(asks: DataFrame, members: DataFrame, with_text: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of asks (rep, target) and members (target, rep): links (a, b) found on full sets of texts (rep, text).
+    """Of asks (rep, target) and members (target, rep): links (a, b) found on full sets of texts (rep, text, n_shingles).
 
-    Queries and members of a target are dealt into blocks and meet block by block.
+    Queries and members of a target are dealt into blocks of bounded number and size and
+    meet block by block. Only targets with several blocks are looked up, so most rows,
+    and all those of a hot target, go straight to their cells.
     """
-    blocks = lambda df, name: df.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).alias(name))
-    counts = Cut(blocks(asks, "q_blocks").join(blocks(members, "m_blocks"), "target"))
-    rows = members.join(counts.df, "target").select("target", "rep", _own("m_blocks").alias("m"), "q_blocks").select("target", "rep", "m", _spread("q_blocks").alias("q"), F.lit(False).alias("query"))
-    rows = rows.unionByName(asks.join(counts.df, "target").select("target", "rep", _own("q_blocks").alias("q"), "m_blocks").select("target", "rep", "q", _spread("m_blocks").alias("m"), F.lit(True).alias("query")))
+    sizes = with_text.select("rep", "n_shingles")
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n, words = F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n_shingles") / SHINGLE_BLOCK
+        return df.join(sizes, "rep").groupBy("target").agg(F.ceil(F.greatest(n, words)).alias(name)).filter(F.col(name) > 1)
+
+    many = Cut(blocks(asks, "q_blocks").join(blocks(members, "m_blocks"), "target", "full").na.fill(1))
+    look = small(many.df)
+    of = lambda df: df.join(look, "target", "left").na.fill(1, ["q_blocks", "m_blocks"])
+    rows = of(members).select("target", "rep", _own("m_blocks").alias("m"), "q_blocks").select("target", "rep", "m", _spread("q_blocks").alias("q"), F.lit(False).alias("query"))
+    rows = rows.unionByName(of(asks).select("target", "rep", _own("q_blocks").alias("q"), "m_blocks").select("target", "rep", "q", _spread("m_blocks").alias("m"), F.lit(True).alias("query")))
     cells = rows.join(with_text, "rep").select(F.xxhash64("target", "m", "q").alias("cell"), "rep", "text", "query")
     return _cells(cells, "cell").mapInArrow(_compared(shingle, percent), "a long, b long")
 
@@ -277,7 +286,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     signed_ = Cut(docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_key binary, sig binary")).df
     usable = signed_.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     rep_of = Cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))).df
-    reps = Cut(usable.join(rep_of.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates()).df
+    reps = Cut(usable.join(rep_of.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n_shingles").dropDuplicates()).df
     least = least_matches(percent / 100, miss)
 
     banded = reps.select("rep", "sig").mapInArrow(_bands, "bucket long, band int, rep long")
@@ -287,7 +296,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     likely = Cut(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(least), "a long, b long").distinct()).df
     met = Cut(shared.select("rep").distinct()).df
-    involved = Cut(docs.select(F.col("doc_id").alias("rep"), "text").join(small(met), "rep", "left_semi")).df
+    involved = Cut(docs.select(F.col("doc_id").alias("rep"), "text").join(small(met), "rep", "left_semi").join(reps.select("rep", "n_shingles"), "rep")).df
     asks = likely.select(F.col("b").alias("rep"), F.col("a").alias("target"))
     first = Cut(components(exact_links(asks, asks.select("target", F.col("target").alias("rep")).distinct(), involved, shingle, percent))).df
 
@@ -295,7 +304,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     named = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     several = Cut(parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).alias("d_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("q_blocks"))).df
-    placed = named.join(several, "bucket").join(reps, "rep")
+    placed = named.join(several, "bucket").join(reps.select("rep", "sig"), "rep")
     carried = ["bucket", "band", "rep", "comp", "sig"]
     queries = placed.filter("comp <> top").select(*carried, F.lit(True).alias("query"), _own("q_blocks").alias("q"), _spread("d_blocks").alias("d"))
     data = placed.select(*carried, F.lit(False).alias("query"), _spread("q_blocks").alias("q"), _own("d_blocks").alias("d"))

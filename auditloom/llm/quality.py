@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import in_blocks, small_batches, texts
+from .shared import Cut, in_blocks, small_batches, texts
 
 #: Bytes compressed at a time, bytes of a dictionary, and the compression level.
 CHUNK, DICT_BYTES, LEVEL = 1024, 112 << 10, 3
@@ -87,28 +87,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def train_model(documents: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = 1500, sample_chars: int = 65_536, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> CompressionModel:
-    """Fit on a bounded sample: ``per_class`` labelled texts of either class, of ``sample_chars`` characters at most.
-
-    The sample is the first by a hash of the id among the rows that ``usable`` admits;
-    three fifths make the dictionaries and the rest the curve. Ids with both labels, and
-    null labels or ids, are not used. Without texts of either class the score is the
-    smoothed share of label 1 among the labels, which is 0.5 without any.
+    """Fit on a bounded sample: ``per_class`` labelled texts of either class.
+
+    Labelled texts of over ``sample_chars`` characters are left out of it, not cut. The
+    sample is the first by a hash of the id among the rows that ``usable`` admits; three
+    fifths make the dictionaries and the rest the curve. Ids with both labels, and null
+    labels, ids or texts, are not used; an id on several rows counts once, with its text of
+    the least hash. Without texts of either class the score is the smoothed share of label
+    1 among the labels, which is 0.5 without any.
     """
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("top"))
     known = known.filter(F.col("y") == F.col("top")).select("id", "y")
     if usable is not None:
         known = known.filter(usable)
-    sizes = documents.filter(F.length(text) <= sample_chars).select(F.col(doc_id).alias("id")).distinct()
-    there = known.join(sizes, "id").select("id", "y", F.xxhash64("id").alias("h"))
-    counts = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [r for y in (0, 1) for r in there.filter(F.col("y") == y).orderBy("h", "id").limit(per_class).collect()]
+    usable_docs = documents.filter(F.length(text) <= sample_chars).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    # Ids, labels and hashes of the labelled texts are written once; counts and the sample come from there.
+    there = Cut(usable_docs.select("id").join(known, "id").groupBy("id").agg(F.min("y").alias("y")).select("id", "y", F.xxhash64("id").alias("h")))
+    counts = {r["y"]: r["n"] for r in there.df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     model = CompressionModel((b"\n" * 8, True), (b"\n" * 8, True), offset=float(np.log(prior / (1 - prior))))
     if not counts.get(0) or not counts.get(1):
+        there.drop()
         return model
-    chosen = documents.sparkSession.createDataFrame([(r["id"], r["y"], r["h"]) for r in picked], "id long, y int, h long")
-    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= sample_chars).join(F.broadcast(chosen), "id").collect()
-    by = {y: [r["text"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["id"], r["text"])) if r["y"] == y] for y in (0, 1)}
+    chosen = there.df.filter("y = 0").orderBy("h", "id").limit(per_class).unionByName(there.df.filter("y = 1").orderBy("h", "id").limit(per_class))
+    # One text an id, so what comes to the driver is per_class * sample_chars a class at most.
+    rows = usable_docs.join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    there.drop()
+    by = {y: [r["text"].encode() for r in sorted(rows, key=lambda r: (r["h"], r["id"])) if r["y"] == y] for y in (0, 1)}
     split = {y: max(1, len(x) * 3 // 5) for y, x in by.items()}
     model.good, model.bad = _dictionary(by[1][: split[1]]), _dictionary(by[0][: split[0]])
     rest = {y: by[y][split[y] :] or by[y] for y in (0, 1)}

@@ -137,10 +137,12 @@ def _license_sql() -> str:
             out = f"replace({out}, '{a}', '{b}')"
         return f"trim(trim(regexp_replace({out}, '^\\n|\\n$', '', 'g')))"
 
-    known = ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in (k, t))) for k, ts in licenses.KNOWN.items() for t in ts)
+    quoted = lambda table: ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in (k, t))) for k, ts in table for t in ts)
+    known, made = quoted([*licenses.KNOWN.items(), *licenses.FORMS.items()]), quoted(licenses.DIGESTS.items())
     return f"""
-WITH raw(license_id, text) AS (VALUES {known}),
-known AS (SELECT sha256(replace({canonical("text")}, chr(10), ' ')) AS h, min(license_id) AS license_id FROM raw GROUP BY 1),
+WITH raw(license_id, text) AS (VALUES {known}), made(license_id, h) AS (VALUES {made}),
+every AS (SELECT sha256(replace({canonical("text")}, chr(10), ' ')) AS h, license_id FROM raw UNION ALL SELECT h, license_id FROM made),
+known AS (SELECT h, min(license_id) AS license_id FROM every GROUP BY h),
 d AS (SELECT doc_id, {canonical("text")} AS c FROM documents),
 lines AS (SELECT doc_id, sha256(trim(unnest(string_split(c, chr(10))))) AS h FROM d),
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM lines JOIN known USING (h) GROUP BY doc_id)

@@ -1,20 +1,23 @@
 """Substring de-duplication over a compacted De Bruijn graph of word k-mers.
 
-Edges are the windows of 20 consecutive words; a window whose words start earlier
-elsewhere is a repeat. Shuffling every edge would cost many times the text, so paths are
-compacted before they move: consecutive edges that share their least 6-mer (by hash, the
-anchor) form one path segment, at most 15 edges long. The same edge has the same anchor
-at the same offset wherever it occurs, so equal edges are always in segments that meet
-on the anchor.
-
-1. Segments are joined with the anchors that occur twice or more; the others end here.
-2. Segments of equal content are one nonbranching path: a join keeps the earliest
-   (document, start) of each as its source and all other occurrences are repeats whole.
-3. Only where an anchor has several contents does the graph branch. There the sources,
-   one per content, are opened into their edges at their source coordinates, and the
-   edges, hashed anew from the text, are compared one by one.
-
-Contents are told apart by two independent hashes besides the anchor's, 154 bits in all.
+Edges are the windows of 20 consecutive words, nodes the 19 words that two consecutive
+edges share; an edge that starts earlier elsewhere is a repeat. Shuffling every edge would
+cost many times the text, so edges leave their document in pieces: consecutive edges that
+share their least 6-mer (by hash, the anchor), at most 15. The same edge has the same anchor
+at the same offset wherever it occurs, so equal edges are always in pieces that meet on
+the anchor.
+
+1. Pieces are joined with the anchors that occur twice or more; the others end here. Pieces
+   of equal content are one; its source is the earliest (document, start), all other
+   occurrences are repeats whole.
+2. Where an anchor has several contents, their sources, one a content, are opened into
+   edges at their source coordinates, and equal edges found among them.
+3. Repeated pieces and edges are the graph. Nodes get their in- and out-degrees, and what
+   meets at a node with one in and one out is linked; links are followed by pointer
+   doubling in joins, so every nonbranching path has a name and its parts an offset in it.
+4. Occurrences of a path's parts that lie side by side, in the document and at the source,
+   are one long span. A digest of the source's words, read at the source coordinates, goes
+   to the span's document, where its own words must have the same; only then do they go.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cut, WordHashes, grams, in_blocks, keyed, mix, signed, small_batches, texts
+from .shared import Cut, WordHashes, grams, in_blocks, keyed, mix, signed, small_batches, texts, within
 
 #: Words of an anchor. A window of w words has w - ANCHOR + 1 of them.
 ANCHOR = 6
@@ -114,29 +117,83 @@ def _segment_rows(window: int):
     return run
 
 
-def _edge_rows(window: int):
+def _opened(window: int):
+    """Of texts with pieces (anchor, content, pos, edges, whole, open): a row for each whole one, and rows for the edges of each open one, with their nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in in_blocks(batches):
             h, lengths = _concatenated(texts(batch), cache)
             begins = lengths.cumsum() - lengths
-            listed = batch.column("open")
+            edge_hash, node = grams(h, window), grams(h, window - 1)
+            listed = batch.column("parts")
             n = np.diff(listed.offsets.to_numpy())
             flat = listed.flatten()
-            anchor, pos, count = (flat.field(i).to_numpy() for i in range(3))
-            own = np.repeat(np.arange(len(n)), n)
-            rows = np.repeat(np.arange(len(own)), count)
-            start = pos[rows] + np.arange(len(rows)) - np.repeat(count.cumsum() - count, count)
-            doc, anchor = own[rows], anchor[rows]
-            edge = grams(h, window)[begins[doc] + start]
-            order = np.lexsort((start, doc))
-            doc, start, anchor, edge = doc[order], start[order], anchor[order], edge[order]
-            again = ~_firsts(doc, edge, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), signed(edge), batch.column("k").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(again)], names=["anchor", "edge", "k", "pos", "again"])
+            anchor, content, pos, count = (flat.field(i).to_numpy() for i in range(4))
+            whole, opened = (flat.field(i).to_numpy(zero_copy_only=False).astype(bool) for i in (4, 5))
+            doc = np.repeat(np.arange(len(n)), n)
+            split = np.flatnonzero(opened)
+            rows = np.repeat(split, count[split])
+            start = pos[rows] + np.arange(len(rows)) - np.repeat(count[split].cumsum() - count[split], count[split])
+            order = np.lexsort((start, doc[rows]))
+            rows, start = rows[order], start[order]
+            edge = edge_hash[begins[doc[rows]] + start]
+            lead = _firsts(doc[rows], edge, anchor[rows])
+            kept = np.flatnonzero(whole)
+            own, at, size = np.concatenate([doc[kept], doc[rows]]), np.concatenate([pos[kept], start]), np.concatenate([count[kept], np.ones(len(rows), count.dtype)])
+            cols = {
+                "anchor": pa.array(np.concatenate([anchor[kept], anchor[rows]])), "part": pa.array(np.concatenate([content[kept], edge.view(np.int64)])),
+                "is_edge": pa.array(np.arange(len(own)) >= len(kept)), "k": batch.column("k").take(pa.array(own)), "pos": pa.array(at.astype(np.int32)), "edges": pa.array(size.astype(np.int32)),
+                "lead": pa.array(np.concatenate([np.ones(len(kept), bool), lead])), "u": signed(node[begins[own] + at]), "v": signed(node[begins[own] + at + size]),
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
+def met_by(rows: DataFrame, table: DataFrame, on: list[str], hot: int = 256) -> DataFrame:
+    """Rows joined with ``table`` (on, n, more), whose ``n`` says how many rows a key has. Keys of over ``hot`` rows are broadcast if they are few, so none of them fills a task."""
+    frequent = table.filter(F.col("n") > hot)
+    if frequent.isEmpty():
+        return rows.join(table, on)
+    if not within(frequent):
+        return rows.join(table, on)  # the adaptive planner splits what is skewed
+    rest = rows.join(F.broadcast(frequent.select(*on)), on, "left_anti").join(table.filter(F.col("n") <= hot), on)
+    return rows.join(F.broadcast(frequent), on).unionByName(rest)
+
+
+def nonbranching_paths(elements: DataFrame) -> DataFrame:
+    """Of graph elements (id, u, v, edges), paths between nodes u and v: id, path (its first element), at (edges before it in the path).
+
+    Two elements are linked where a node has one in and one out. The links are followed by
+    pointer doubling: each round, what an element points to points on for it, so a path of n
+    elements takes log2(n) rounds; each is written, and only those not yet at their path's
+    start are joined. Elements of a circle have no start and stay paths of their own.
+    """
+    one = lambda node, name: elements.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name), F.min("edges").alias(f"{name}_edges")).filter("n = 1").drop("n")
+    links = one("v", "before").join(one("u", "id"), "node").filter("before <> id").select("id", F.col("before").alias("path"), F.col("before_edges").cast("long").alias("at"))
+    open_ = Cut(links)
+    ends = Cut(elements.select("id").join(open_.df, "id", "left_anti").select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("at")))
+    done, left = [ends], open_.df.count()
+    while left:
+        state = open_.df.select("id", "path", "at", F.lit(True).alias("more"))
+        for d in done:
+            state = state.unionByName(d.df.withColumn("more", F.lit(False)))
+        ahead = state.select(F.col("id").alias("path"), F.col("path").alias("far"), F.col("at").alias("beyond"), "more")
+        step = Cut(open_.df.join(ahead, "path").select("id", F.col("far").alias("path"), (F.col("at") + F.col("beyond")).alias("at"), "more"))
+        done.append(Cut(step.df.filter("NOT more").drop("more")))
+        open_.drop()
+        open_ = Cut(step.df.filter("more").drop("more"))
+        step.drop()
+        was, left = left, open_.df.count()
+        if left == was:  # only circles are left
+            break
+    out = open_.df.select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("at"))
+    for d in done:
+        out = out.unionByName(d.df)
+    return out
+
+
 def _keyed(documents: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
     docs, ids = keyed(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more), ("carry",) * bool(carry))
@@ -144,33 +201,74 @@ def _keyed(documents: DataFrame, doc_id: str, text: str, carry: tuple[str, ...])
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Of texts (k, text): rows k, pos, edges; the windows pos .. pos+edges-1 of document k start earlier elsewhere."""
+    """Of texts (k, text): rows k, pos, words, digest; the words of document k from pos on are those of a place that starts earlier, whose digest this is."""
     docs = docs.select("k", "text")
-    check = F.shiftright("place", 5).bitwiseAND(_CHECK)
+    key = ["anchor", "content", "check"]
+    check, lead = F.shiftright("place", 5).bitwiseAND(_CHECK).cast("int"), F.col("place").bitwiseAND(1) == 1
+    pos, edges = F.shiftright("place", 32).cast("int"), F.shiftright("place", 1).bitwiseAND(15).cast("int")
     all_of = Cut(docs.mapInArrow(_segment_rows(window), "anchor long, content long, k long, place long"))
-    twice = Cut(all_of.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    met = Cut(all_of.df.join(twice.df, "anchor").withColumn("check", check.cast("int")))
+    twice = Cut(all_of.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("a"), (F.min(check) != F.max(check)).alias("b")).filter("n > 1").select("anchor", "n", (F.col("a") | F.col("b")).alias("branching")))
+    met = Cut(met_by(all_of.df, twice.df, ["anchor"]).drop("n").withColumn("check", check))
     all_of.drop()
     twice.drop()
-    contents = Cut(met.df.groupBy("anchor", "content", "check").agg(F.min("k").alias("source")))
-    branching = contents.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("branching"))
-    paths = Cut(contents.df.join(branching, "anchor", "left").withColumn("branching", F.coalesce("branching", F.lit(False))))
-    contents.drop()
-    is_source = (F.col("k") == F.col("source")) & (F.col("place").bitwiseAND(1) == 1)
-    placed = met.df.join(paths.df, ["anchor", "content", "check"]).filter(F.col("branching") | ~is_source).select(
-        "anchor", "k", F.shiftright("place", 32).cast("int").alias("pos"), F.shiftright("place", 1).bitwiseAND(15).cast("int").alias("edges"), is_source.alias("is_source")
-    )
-    occurrences = Cut(placed)
-    met.drop()
-    paths.drop()
-    open_ = occurrences.df.filter("is_source").groupBy("k").agg(F.collect_list(F.struct("anchor", "pos", "edges")).alias("open"))
-    edges = Cut(open_.join(docs, "k").select("k", "text", "open").mapInArrow(_edge_rows(window), "anchor long, edge long, k long, pos int, again boolean"))
-    shared = Cut(edges.df.filter("NOT again").groupBy("anchor", "edge").agg(F.min("k").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "edge", "source"))
-    later = edges.df.filter("NOT again").join(shared.df, ["anchor", "edge"]).filter("k <> source").select("k", "pos", F.lit(1).alias("edges"))
-    return occurrences.df.filter("NOT is_source").select("k", "pos", "edges").unionByName(later).unionByName(edges.df.filter("again").select("k", "pos", F.lit(1).alias("edges")))
-
-
-def _kept_rows(window: int, with_text: bool):
+    # The source is the least document's first occurrence: its lead.
+    contents = Cut(met.df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("source"), F.min_by("place", F.when(lead, F.col("k"))).alias("source_place"), F.max("branching").alias("branching")).filter("n > 1 OR branching"))
+    name = F.xxhash64("anchor", F.col("content").alias("part"), F.lit(False)).alias("id")
+    sources = contents.df.select("anchor", "content", F.col("source").alias("k"), F.shiftright("source_place", 32).cast("int").alias("pos"), F.shiftright("source_place", 1).bitwiseAND(15).cast("int").alias("edges"), (F.col("n") > 1).alias("whole"), "branching")
+    parts = sources.groupBy("k").agg(F.collect_list(F.struct("anchor", "content", "pos", "edges", "whole", "branching")).alias("parts"))
+    opened = Cut(parts.join(docs, "k").select("k", "text", "parts").mapInArrow(_opened(window), "anchor long, part long, is_edge boolean, k long, pos int, edges int, lead boolean, u long, v long"))
+    shared = Cut(opened.df.filter("is_edge").groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("source"), F.min_by("pos", F.when(F.col("lead"), F.col("k"))).alias("source_pos"), F.min("u").alias("u"), F.min("v").alias("v")).filter("n > 1"))
+    edge_name = F.xxhash64("anchor", "part", F.lit(True)).alias("id")
+    elements = opened.df.filter("NOT is_edge").select(F.xxhash64("anchor", "part", "is_edge").alias("id"), "u", "v", "edges").unionByName(shared.df.select(edge_name, "u", "v", F.lit(1).alias("edges")))
+    paths = Cut(nonbranching_paths(elements.dropDuplicates(["id"])))
+    again = met_by(met.df, contents.df.filter("n > 1").drop("branching"), key).filter((F.col("k") != F.col("source")) | ~lead).select(name, "k", pos.alias("pos"), edges.alias("edges"), "source", F.shiftright("source_place", 32).cast("int").alias("source_pos"))
+    later = opened.df.filter("is_edge").select("anchor", "part", "k", "pos", "lead").join(shared.df.select("anchor", "part", "source", "source_pos"), ["anchor", "part"]).filter((F.col("k") != F.col("source")) | ~F.col("lead")).select(edge_name, "k", "pos", F.lit(1).alias("edges"), "source", "source_pos")
+    # What lies side by side on one path, here and at the source, is one span.
+    placed = again.unionByName(later).groupBy("id", "k", "pos").agg(F.max("edges").alias("edges"), F.min("source").alias("source"), F.min("source_pos").alias("source_pos"))
+    runs = placed.join(paths.df, "id").groupBy("k", "path", (F.col("pos") - F.col("at")).alias("shift"), "source", (F.col("pos") - F.col("source_pos")).alias("apart")).agg(F.array_sort(F.collect_list(F.struct("pos", "edges"))).alias("parts"))
+    spans = Cut(runs.select("k", "source", "apart", F.explode(_joined(F.col("parts"))).alias("s")).select("k", F.col("s.pos").alias("pos"), (F.col("s.edges") + window - 1).alias("words"), "source", (F.col("s.pos") - F.col("apart")).alias("source_pos")))
+    for table in (met, contents, opened, shared, paths):
+        table.drop()
+    asked = spans.df.groupBy("source", "source_pos", "words").agg(F.count(F.lit(1)).alias("n"))
+    read = asked.groupBy(F.col("source").alias("k")).agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "words", "n")).alias("asked"))
+    digests = Cut(read.join(docs, "k").select("k", "text", "asked").mapInArrow(_digests, "source long, source_pos int, words int, n long, digest binary"))
+    return met_by(spans.df, digests.df, ["source", "source_pos", "words"]).select("k", "pos", "words", "digest")
+
+
+def _joined(parts: Column) -> Column:
+    """Ordered (pos, edges), those put together that begin where the last end or before."""
+    end = lambda x: x["pos"] + x["edges"]
+    one = lambda pos, edges: F.struct(pos.cast("int").alias("pos"), edges.cast("int").alias("edges"))
+
+    def add(acc: Column, x: Column) -> Column:
+        open_ = acc["open"]
+        return (
+            F.when(open_["edges"] == 0, F.struct(acc["done"].alias("done"), one(x["pos"], x["edges"]).alias("open")))
+            .when(x["pos"] <= end(open_), F.struct(acc["done"].alias("done"), one(open_["pos"], F.greatest(end(open_), end(x)) - open_["pos"]).alias("open")))
+            .otherwise(F.struct(F.concat(acc["done"], F.array(open_)).alias("done"), one(x["pos"], x["edges"]).alias("open")))
+        )
+
+    start = F.struct(F.array().cast("array<struct<pos:int,edges:int>>").alias("done"), one(F.lit(0), F.lit(0)).alias("open"))
+    return F.aggregate(parts, start, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+
+
+def words_digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with places that are asked for: the digest of the words at each."""
+    for batch in in_blocks(batches):
+        rows = []
+        for k, text, asked in zip(batch.column("k").to_pylist(), texts(batch), batch.column("asked").to_pylist(), strict=True):
+            words = text.split()
+            rows += [(k, a["pos"], a["words"], a["n"], words_digest(words[a["pos"] : a["pos"] + a["words"]])) for a in asked]
+        cols = list(zip(*rows, strict=True))
+        kinds = {"source": pa.int64(), "source_pos": pa.int32(), "words": pa.int32(), "n": pa.int64(), "digest": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _kept_rows(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches):
             listed = batch.column("gone").to_pylist()
@@ -179,11 +277,12 @@ def _kept_rows(window: int, with_text: bool):
                 words = text.split()
                 n, cut_out, edges = len(words), 0, []
                 if gone:
-                    at = np.array(gone, np.int64)
-                    pos, count = at >> 8, at & 255
                     depth = np.zeros(n + 1, np.int64)
-                    np.add.at(depth, pos, 1)
-                    np.add.at(depth, pos + count + window - 1, -1)
+                    for g in gone:
+                        end = g["pos"] + g["words"]
+                        if words_digest(words[g["pos"] : end]) == g["digest"]:  # the words themselves, not only their hashes, are the source's
+                            depth[g["pos"]] += 1
+                            depth[end] -= 1
                     covered = depth.cumsum()[:n] > 0
                     cut_out = int(covered.sum())
                     turns = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
@@ -225,9 +324,9 @@ def drop_repeats(documents: DataFrame, window: int = 20, doc_id: str | Column =
         raise ValueError(f"window must be {ANCHOR + 1} to {ANCHOR + 14}")
     small_batches(documents.sparkSession)
     docs, ids = _keyed(documents, doc_id, text, carry)
-    gone = repeats(docs, window).groupBy("k").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 8).bitwiseOR(F.col("edges").cast("long"))).alias("gone"))
+    gone = repeats(docs, window).groupBy("k").agg(F.collect_list(F.struct("pos", "words", "digest")).alias("gone"))
     kinds = "".join(f"`{f.name}`:{f.dataType.simpleString()}," for f in (documents.schema[c] for c in carry))
     schema = "k long, n_words long, n_removed long, kept_sha256 string" + f", carry struct<{kinds[:-1]}>" * bool(carry) + ", kept_text string, spans array<struct<start:int,len:int>>" * with_text
-    out = docs.join(gone, "k", "left").select(*docs.columns, "gone").mapInArrow(_kept_rows(window, with_text), schema)
+    out = docs.join(gone, "k", "left").select(*docs.columns, "gone").mapInArrow(_kept_rows(with_text), schema)
     out = out.withColumnRenamed("k", "doc_id") if ids is None else ids.join(out, "k").drop("k")
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import decontam, jpeg, licenses, lm, mixing, neardup, quality, shared, substrings, urlfilter, warc
+from auditloom.llm import decontam, jpeg, licenses, lm, mixing, neardup, quality, queries, shared, substrings, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,6 +63,33 @@ def test_substrings_with_repeated_and_missing_ids(spark):
     assert substrings.drop_repeats(df.limit(0)).count() == 0
 
 
+def test_substrings_of_random_overlaps(spark, monkeypatch):
+    """Passages that overlap, nest and repeat in many ways, short periods, and texts of over 5 KB; with hot keys broadcast from two rows on."""
+    met_by = substrings.met_by
+    monkeypatch.setattr(substrings, "met_by", lambda rows, table, on: met_by(rows, table, on, 2))
+    rng = random.Random(12)
+    base, small = words(1500, 3, 4000), words(60, 4, 5)
+    texts = []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(1400)
+            parts += rng.choice([base[a : a + rng.randrange(10, 120)], words(rng.randrange(30), 1000 + i, 3000), small[: rng.randrange(60)], ["p", "q", "r"] * rng.randrange(15)])
+        texts.append(" ".join(parts))
+    texts += [" ".join(base * 3), " ".join(base[700:] + base[:700]), "a b c d e " * 3000, "z " * 4000]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.drop_repeats(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_nonbranching_paths(spark):
+    """A chain of 100, a fork after two, a circle, and one alone."""
+    chain = [(i, i, i + 1, 2) for i in range(100)]
+    fork = [(200, 1000, 1001, 3), (201, 1001, 1002, 1), (202, 1002, 1003, 1), (203, 1002, 1004, 1)]
+    circle = [(300 + i, 2000 + i, 2000 + (i + 1) % 4, 1) for i in range(4)]
+    got = {r["id"]: (r["path"], r["at"]) for r in substrings.nonbranching_paths(spark.createDataFrame([*chain, *fork, *circle, (400, 3000, 3001, 1)], "id long, u long, v long, edges int")).collect()}
+    assert got == {**{i: (0, 2 * i) for i in range(100)}, 200: (200, 0), 201: (200, 3), 202: (202, 0), 203: (203, 0), **{300 + i: (300 + i, 0) for i in range(4)}, 400: (400, 0)}
+
+
 def test_segments_cover_every_window_once():
     cache = shared.WordHashes()
     h = cache.of([w.encode() for w in words(500, 3, 20)])
@@ -110,6 +138,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [(n, c, c == i) for i, (n, c) in enumerate(brute_components(texts))]
 
 
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    """A target with many queries and members, and long texts, is compared in blocks; the result is the same."""
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 4)
+    monkeypatch.setattr(neardup, "SHINGLE_BLOCK", 500)
+    rng = random.Random(8)
+    base = words(150, 1, 5000)
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 6, 9])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(words(30_000, 5, 9000)), " ".join(words(30_000, 5, 9000)) + " more"]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts), shingle=4).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)]
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(df).select("doc_id", "component_id", "kept").collect()), key=str)
@@ -144,6 +189,32 @@ def test_decontamination_cases(spark):
     assert {r["doc_id"]: r["n_hit"] for r in wide.collect()} == {k: r["n_hit"] for k, r in got.items()}
 
 
+def brute_hits(text, items, window):
+    """(n_words, n_hit, item ids) of a text by comparing every place."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    w, hit, found = split(text), set(), set()
+    for item, t in items:
+        v = split(t)
+        for win in [v[i : i + window] for i in range(max(len(v) - window + 1, 1))] if v and item is not None else []:
+            for i in range(len(w) - len(win) + 1):
+                if w[i : i + len(win)] == win:
+                    hit.update(range(i, i + len(win)))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_decontamination_equals_brute_force(spark, broadcast_rows):
+    rng = random.Random(11)
+    items = [(i, " ".join(words(rng.choice([1, 3, 5, 8, 30]), 50 + i, 6))) for i in range(25)] + [(None, "w1 w2"), (90, None), (91, " - "), (3, "w5 w5 w5")]
+    texts = [*EDGE, *(" ".join(words(rng.randrange(1, 80), i, 6)) for i in range(60)), "w1 " * 3000, " ".join(words(20_000, 77, 5000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, texts[10]), (10, texts[11]), (None, texts[12]), (None, texts[12])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.decontaminate(docs, bench, window=5, broadcast_rows=broadcast_rows).collect()
+    expected = [(i, *brute_hits(t, items, 5)) for i, t in rows]
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=str) == sorted(expected, key=str)
+
+
 # 9
 
 
@@ -210,6 +281,47 @@ def test_quality_is_learned(spark):
     assert quality.score_quality(df.limit(0), none).count() == 0
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Sizes block by block with either dictionary; repeated rows, ties, nulls and a text of many blocks."""
+    import zstandard
+
+    good, bad = [" ".join(words(60, i)).encode() for i in range(60)], [b"!! ".join(w.upper().encode() for w in words(60, 900 + i)) for i in range(60)]
+    model = quality.CompressionModel(quality._dictionary(good), quality._dictionary(bad), mean=0.02, slope=40.0, offset=-0.5, fitted=True)
+    texts = [*EDGE, "tie", "tie", " ".join(words(200_000, 5)), good[0].decode(), bad[0].decode()]
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score_quality(documents(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        raw, size = (t or "").encode(), {}
+        for name, (content, plain) in (("good", model.good), ("bad", model.bad)):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT if plain else zstandard.DICT_TYPE_AUTO)
+            size[name] = sum(len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024))
+        x = (size["bad"] - size["good"] + 96 * 0.02) / (len(raw) + 96)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(40.0 * x - 0.5))), rel=1e-6)
+
+
+def test_quality_fit_takes_each_id_once(spark):
+    rows = [(i, " ".join(words(60, i)) if i % 2 else "!! ".join(w.upper() for w in words(60, i))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.train_model(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = quality.train_model(spark.createDataFrame(rows * 3 + [(3, None), (5, "y" * 70_000)], "doc_id long, text string"), labels)
+    assert once.fitted and (once.good, once.bad, once.slope, once.offset) == (often.good, often.bad, often.slope, often.offset)
+
+
+def test_wrappers_of_queries_without_sql(spark, sf):
+    """Remainders, cuts and columns of the queries that SQL can't express."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    got = queries.op4_quality_classifier(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(docs) and all(r["held_out"] == (crc(r["doc_id"]) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    got = queries.op2_lm_scoring(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(docs) and all(r["held_out"] == (crc(r["doc_id"]) % 10 == 0) and r["n_tokens"] == len(docs[r["doc_id"]].encode().split()) + 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    got = queries.op3_media_jpeg(spark, sf).collect()
+    assert all(r["n_bytes"] == len(docs[r["doc_id"]].encode()) and r["payload_bytes"] == max(1, -(-r["n_bytes"] // 576)) * 576 for r in got)
+    got = queries.op9_source_mixing(spark, sf).collect()
+    assert all(r["size"] == len(docs[r["doc_id"]].encode().split()) and r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] for r in got)
+
+
 # 3
 
 
@@ -435,7 +547,7 @@ def test_licenses_in_other_spelling(spark):
     isc = "Copyright © 2019 X\n" + licenses.KNOWN["ISC"][0].replace('"', "”").upper().replace("LICENSE", "LICENCE")
     texts = [licenses.KNOWN["MIT"][0], mit, isc, "text\n  released under the MIT licence!!\nmore\nReleased under the MIT License.", *EDGE]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, texts), licenses.known_licenses(spark)).collect()}
-    assert got[0]["text_license"] == "MIT" and got[1]["text_license"] is None and got[2]["text_license"] == "ISC"
+    assert got[0]["text_license"] == "MIT" and got[1]["text_license"] == "MIT" and got[2]["text_license"] == "ISC"
     assert (got[3]["n_license_lines"], got[3]["line_licenses"]) == (2, ["MIT"])
     assert got[4]["text_digest"] == got[5]["text_digest"] == hashlib.sha256(b"").hexdigest() and len(got) == len(texts)
     none = licenses.scan_licenses(documents(spark, texts), licenses.known_licenses(spark, {"x": []} | {"y": ["zzz"]}))
@@ -446,7 +558,7 @@ def test_whole_licenses_are_found(spark):
     bsd = licenses.FORMS["BSD-3-Clause"][0]
     cases = [("BSD-3-Clause", bsd), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + bsd.replace(". ", ".\n")), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + licenses.KNOWN["MIT"][0]), ("ISC", "ISC License\n\n" + licenses.KNOWN["ISC"][0])]
     published = Path("/usr/share/common-licenses")
-    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2"), ("LGPL-2.1", "LGPL-2.1")):
         if (published / file).exists():
             cases.append((name, (published / file).read_text()))
     cases.append((None, bsd + "\nand more"))
@@ -454,6 +566,20 @@ def test_whole_licenses_are_found(spark):
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
 
 
+def test_what_is_no_license(spark):
+    """Near misses have no licence: a further clause, even one lettered (c), a missing one, a changed word. A copyright line in any usual form changes nothing."""
+    mit = licenses.KNOWN["MIT"][0]
+    near = [mit + "\n(c) A fee is due for each copy.", "(c) The name must be kept.\n" + mit, mit.replace("free of charge, ", ""), mit.replace("without limitation", "without any limitation"), mit + "\n" + mit, mit[:-1] + " today."]
+    owned = ["(c) 2020 Some One\n" + mit, "(C) Some One, 2020.\n" + mit, "Copyright (c) Some One\n" + mit, "© Some One\n" + mit, "* (c) by Some One *\n" + mit]
+    long = "word " * 300_000 + "\nReleased under the MIT License.\n" + "word " * 100
+    rows = [(i, t) for i, t in enumerate([*near, *owned, long])] + [(100, "Released under the MIT License.\nx"), (100, "Released under the MIT License.\nx"), (None, mit), (None, mit)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
+    whole = {r["doc_id"]: r["text_license"] for r in got}
+    assert [whole[i] for i in range(len(near))] == [None] * len(near)
+    assert [whole[i] for i in range(len(near), len(near) + len(owned))] == ["MIT"] * len(owned)
+    assert sorted((str(r["doc_id"]), r["n_license_lines"], r["text_license"]) for r in got if r["doc_id"] in (100, None, len(near) + len(owned))) == [(str(len(near) + len(owned)), 1, None), ("100", 1, None), ("100", 1, None), ("None", 0, "MIT"), ("None", 0, "MIT")]
+
+
 def test_lists_hold_between_their_dates(spark):
     changes = spark.createDataFrame([("l", "d:b.org", "add", "2024-01-10"), ("l", "d:b.org", "remove", "2024-02-01"), ("l", "d:b.org", "add", "2024-03-01"), ("m", "u:x.org/p", "add", "2024-01-01"), ("m", "u:x.org/p", "remove", "2024-01-01"), ("m", None, "add", "2024-01-01"), ("m", "h:x.org", "noise", "2024-01-01")], "list_name string, key string, action string, d string").withColumn("changed_on", F.to_date("d"))
     cases = [(1, "https://A.B.org/x", "2024-01-09", 0), (2, "https://a.b.org:80/x", "2024-01-10", 1), (3, "http://b.org", "2024-02-01", 0), (4, "http://u@b.org?q", "2024-05-01", 1), (5, "http://x.org/p/q", "2024-01-01", 0), (6, None, "2024-01-20", 0), (7, "junk", "2024-01-20", 0), (8, "http://bb.org", "2024-01-20", 0), (2, "https://a.b.org:80/x", "2024-01-10", 1), (9, "http://b.org", None, 0)]

@@ -467,8 +467,8 @@ def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5, rounds: int = ROUNDS)
             return pd.DataFrame({"shard": [int(key[0])], "weights": [total.astype(np.float32).tobytes()], "seen": [seen]})
 
         mixed, schema = F.shiftright(F.xxhash64("h"), 1), "shard long, weights binary, seen long"
-        dealt = docs.filter(F.pmod("h", F.lit(rounds)) == turn).select((F.pmod(mixed, F.lit(shards))).alias("shard"), "h", "text")
-        means, left = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInArrow(run, schema), shards
+        dealt = docs.filter(F.pmod("h", F.lit(rounds)) == turn).select(F.pmod(mixed, F.lit(shards)).cast("int").alias("shard"), "h", "text")
+        means, left = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInArrow(run, schema), shards
         while left > 1:  # a tree: no task adds more than FAN weights, 1 MB each, and the driver gets one
             means = means.groupBy(F.floor(F.col("shard") / FAN).alias("g")).applyInPandas(mean, schema)
             left = -(-left // FAN)

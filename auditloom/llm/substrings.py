@@ -153,11 +153,9 @@ def _opened(window: int):
 
 def met_by(rows: DataFrame, table: DataFrame, on: list[str], hot: int = 256) -> DataFrame:
     """Rows joined with ``table`` (on, n, more), whose ``n`` says how many rows a key has. Keys of over ``hot`` rows are broadcast if they are few, so none of them fills a task."""
-    frequent = table.filter(F.col("n") > hot)
-    if frequent.isEmpty():
-        return rows.join(table, on)
-    if not within(frequent):
-        return rows.join(table, on)  # the adaptive planner splits what is skewed
+    frequent = Cut(table.filter(F.col("n") > hot)).df
+    if not within(frequent) or frequent.isEmpty():
+        return rows.join(table, on)  # nothing is hot, or the adaptive planner splits what is skewed
     rest = rows.join(F.broadcast(frequent.select(*on)), on, "left_anti").join(table.filter(F.col("n") <= hot), on)
     return rows.join(F.broadcast(frequent), on).unionByName(rest)
 
@@ -166,32 +164,29 @@ def nonbranching_paths(elements: DataFrame) -> DataFrame:
     """Of graph elements (id, u, v, edges), paths between nodes u and v: id, path (its first element), at (edges before it in the path).
 
     Two elements are linked where a node has one in and one out. The links are followed by
-    pointer doubling: each round, what an element points to points on for it, so a path of n
-    elements takes log2(n) rounds; each is written, and only those not yet at their path's
-    start are joined. Elements of a circle have no start and stay paths of their own.
+    pointer doubling: what an element points to points on for it, so a path of n elements
+    takes log2(n) joins, two of them a round; each round is written, and only elements not
+    yet at their path's start are joined. Elements of a circle have no start and stay
+    paths of their own.
     """
     one = lambda node, name: elements.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(name), F.min("edges").alias(f"{name}_edges")).filter("n = 1").drop("n")
     links = one("v", "before").join(one("u", "id"), "node").filter("before <> id").select("id", F.col("before").alias("path"), F.col("before_edges").cast("long").alias("at"))
-    open_ = Cut(links)
-    ends = Cut(elements.select("id").join(open_.df, "id", "left_anti").select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("at")))
-    done, left = [ends], open_.df.count()
-    while left:
-        state = open_.df.select("id", "path", "at", F.lit(True).alias("more"))
-        for d in done:
-            state = state.unionByName(d.df.withColumn("more", F.lit(False)))
-        ahead = state.select(F.col("id").alias("path"), F.col("path").alias("far"), F.col("at").alias("beyond"), "more")
-        step = Cut(open_.df.join(ahead, "path").select("id", F.col("far").alias("path"), (F.col("at") + F.col("beyond")).alias("at"), "more"))
-        done.append(Cut(step.df.filter("NOT more").drop("more")))
-        open_.drop()
-        open_ = Cut(step.df.filter("more").drop("more"))
-        step.drop()
-        was, left = left, open_.df.count()
-        if left == was:  # only circles are left
+    own = [F.coalesce("path", "id").alias("path"), F.coalesce("at", F.lit(0).cast("long")).alias("at"), F.col("path").isNotNull().alias("more")]
+    state, left = Cut(elements.select("id").join(links, "id", "left").select("id", *own)), None
+
+    def doubled(df: DataFrame) -> DataFrame:
+        ahead = df.select(F.col("id").alias("path"), F.col("path").alias("far"), F.col("at").alias("beyond"), F.col("more").alias("further"))
+        moved = df.filter("more").join(ahead, "path").select("id", F.col("far").alias("path"), (F.col("at") + F.col("beyond")).alias("at"), F.col("further").alias("more"))
+        return df.filter("NOT more").unionByName(moved)
+
+    while True:
+        was, left = left, state.df.filter("more").count()
+        if left in (0, was):  # all are at their starts, or only circles are left
             break
-    out = open_.df.select("id", F.col("id").alias("path"), F.lit(0).cast("long").alias("at"))
-    for d in done:
-        out = out.unionByName(d.df)
-    return out
+        after = Cut(doubled(doubled(state.df)))
+        state.drop()
+        state = after
+    return state.df.select("id", F.when(F.col("more"), F.col("id")).otherwise(F.col("path")).alias("path"), F.when(F.col("more"), 0).otherwise(F.col("at")).alias("at"))
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
@@ -221,13 +216,18 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     edge_name = F.xxhash64("anchor", "part", F.lit(True)).alias("id")
     elements = opened.df.filter("NOT is_edge").select(F.xxhash64("anchor", "part", "is_edge").alias("id"), "u", "v", "edges").unionByName(shared.df.select(edge_name, "u", "v", F.lit(1).alias("edges")))
     paths = Cut(nonbranching_paths(elements.dropDuplicates(["id"])))
-    again = met_by(met.df, contents.df.filter("n > 1").drop("branching"), key).filter((F.col("k") != F.col("source")) | ~lead).select(name, "k", pos.alias("pos"), edges.alias("edges"), "source", F.shiftright("source_place", 32).cast("int").alias("source_pos"))
-    later = opened.df.filter("is_edge").select("anchor", "part", "k", "pos", "lead").join(shared.df.select("anchor", "part", "source", "source_pos"), ["anchor", "part"]).filter((F.col("k") != F.col("source")) | ~F.col("lead")).select(edge_name, "k", "pos", F.lit(1).alias("edges"), "source", "source_pos")
-    # What lies side by side on one path, here and at the source, is one span.
-    placed = again.unionByName(later).groupBy("id", "k", "pos").agg(F.max("edges").alias("edges"), F.min("source").alias("source"), F.min("source_pos").alias("source_pos"))
-    runs = placed.join(paths.df, "id").groupBy("k", "path", (F.col("pos") - F.col("at")).alias("shift"), "source", (F.col("pos") - F.col("source_pos")).alias("apart")).agg(F.array_sort(F.collect_list(F.struct("pos", "edges"))).alias("parts"))
-    spans = Cut(runs.select("k", "source", "apart", F.explode(_joined(F.col("parts"))).alias("s")).select("k", F.col("s.pos").alias("pos"), (F.col("s.edges") + window - 1).alias("words"), "source", (F.col("s.pos") - F.col("apart")).alias("source_pos")))
-    for table in (met, contents, opened, shared, paths):
+    # The path of each piece and edge and its offset go where their sources are, so the many occurrences meet both at once.
+    of_contents = Cut(contents.df.filter("n > 1").select(*key, "n", "source", F.shiftright("source_place", 32).cast("int").alias("source_pos"), name).join(paths.df, "id").drop("id"))
+    of_edges = shared.df.select("anchor", "part", "n", "source", "source_pos", edge_name).join(paths.df, "id").drop("id")
+    again = met_by(met.df, of_contents.df, key).filter((F.col("k") != F.col("source")) | ~lead).select("k", "path", "at", pos.alias("pos"), edges.alias("edges"), "source", "source_pos")
+    later = opened.df.filter("is_edge").select("anchor", "part", "k", "pos", "lead").join(of_edges, ["anchor", "part"]).filter((F.col("k") != F.col("source")) | ~F.col("lead")).select("k", "path", "at", "pos", F.lit(1).alias("edges"), "source", "source_pos")
+    # What lies side by side on one path, here and at the source, is one span. A part is its start and, in the low bits, its edges.
+    part = F.shiftleft(F.col("pos").cast("long"), 8).bitwiseOR(F.col("edges").cast("long"))
+    runs = again.unionByName(later).groupBy("k", "path", (F.col("pos") - F.col("at")).alias("shift"), "source", (F.col("pos") - F.col("source_pos")).alias("apart")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    parts = F.transform("parts", lambda x: F.struct(F.shiftright(x, 8).cast("int").alias("pos"), x.bitwiseAND(255).cast("int").alias("edges")))
+    joined = F.when(F.size("parts") == 1, parts).otherwise(_joined(parts))
+    spans = Cut(runs.select("k", "source", "apart", F.explode(joined).alias("s")).select("k", F.col("s.pos").alias("pos"), (F.col("s.edges") + window - 1).alias("words"), "source", (F.col("s.pos") - F.col("apart")).alias("source_pos")))
+    for table in (met, contents, opened, shared, paths, of_contents):
         table.drop()
     asked = spans.df.groupBy("source", "source_pos", "words").agg(F.count(F.lit(1)).alias("n"))
     read = asked.groupBy(F.col("source").alias("k")).agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "words", "n")).alias("asked"))

@@ -30,6 +30,7 @@ ENTRY_CONTENT = (
     "router.use(", "app.use(", "urlpatterns", "re_path(", "path(", "blueprint.route(", "route::", "include(", "@controller(", "@module(", "@requestmapping(", "@getmapping(", "@postmapping(",
     "gin.", ".group(", "middleware", "jwt", "oauth", "session", "permission", "authorize", "shouldbind", "bindjson", "validator", "schema", "dto",
 )
+#: Paths and contents of files that say much.
 SIGNAL_PATHS = (
     "main.py", "app.py", "server.js", "index.js", "manage.py", "/router", "/routers/", "/routes/", "/api/", "/controller", "/controllers/", "/middleware", "/auth", "/security", "urls.py",
     ".module.ts", "package.json", "requirements.txt", "pyproject.toml", ".env", "config",
@@ -38,8 +39,13 @@ SIGNAL_CONTENT = (
     "include_router", "apirouter", "@router.", "@app.", "fastapi(", "jwt", "oauth", "session", "middleware", "auth", "login", "router.get(", "router.post(", "app.get(", "app.post(",
     "urlpatterns", "include(", "@controller(", "@module(", "permission", "authorize", "cookie", "csrf",
 )
+#: The label that a stage looks for; endings and places of documents; how a short licence text is told; paths that a stage favours.
 STAGE_LABEL = {2: "rce", 3: "injection", 4: "xss", 5: "auth", 6: "auth", 7: "config", 8: "file", 9: "business"}
 
+DOCUMENTS, DOCUMENT_DIRS = (".md", ".txt", ".rst"), ("/document/", "/docs/")
+BLURB, BLURB_CHARS = ("copyright", "license"), 1200
+ROUTE_DIRS, GUARD_DIRS = ("/routes/", "/routers/", "/api/", "/controller", "/controllers/", "urls.py", "views.py"), ("/auth", "/security", "/middleware", "config", "settings", ".env")
+
 
 def is_static(path: Column | str) -> Column:
     p = F.lower(text_or_empty(path))
@@ -51,7 +57,7 @@ def is_low_value(path: Column | str, content: Column | str, must_keep: Column |
     p = F.regexp_replace(F.lower(F.trim(text_or_empty(path))), r"#l\d+(?:-\d+)?$", "")
     name = F.element_at(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), -1)
     low = F.lower(F.substring(text_or_empty(content), 1, 2000))
-    blurb = low.contains("copyright") & low.contains("license") & (F.length(low) < 1200)
+    blurb = low.contains(BLURB[0]) & low.contains(BLURB[1]) & (F.length(low) < BLURB_CHARS)
     poor = ends_with_any(name, (*LOW_ENDINGS, ".min.js", ".bundle.js")) | name.isin(*LOW_NAMES) | contains_any(p, LOW_DIRS) | blurb
     return (p == "") | (poor if must_keep is None else poor & ~F.coalesce(must_keep, F.lit(False)))
 
@@ -66,7 +72,7 @@ def is_high_signal(path: Column | str, content: Column | str) -> Column:
 
 def is_low_signal(path: Column | str) -> Column:
     p = F.lower(F.trim(text_or_empty(path)))
-    return ends_with_any(p, (".md", ".txt", ".rst")) | contains_any(p, ("/document/", "/docs/")) | p.startswith("document/")
+    return ends_with_any(p, DOCUMENTS) | contains_any(p, DOCUMENT_DIRS) | p.startswith("document/")
 
 
 def priority_boost(stage: int, in_routes: Column, in_evidence: Column) -> Column:
@@ -76,8 +82,8 @@ def priority_boost(stage: int, in_routes: Column, in_evidence: Column) -> Column
     one = lambda c, n: F.when(c, n).otherwise(0)
     return (
         F.coalesce("risk_score", F.lit(0)) + one(in_routes, 8) + one(in_evidence, 6) + F.when(kind.startswith("oversized_signal"), 5).when(kind.startswith("oversized_"), 2).otherwise(0)
-        + one(F.array_contains(labels, STAGE_LABEL.get(stage, "")), 8) + one(contains_any(p, ("/routes/", "/routers/", "/api/", "/controller", "/controllers/", "urls.py", "views.py")), 3)
-        + one(contains_any(p, ("/auth", "/security", "/middleware", "config", "settings", ".env")), 2)
+        + one(F.array_contains(labels, STAGE_LABEL.get(stage, "")), 8) + one(contains_any(p, ROUTE_DIRS), 3)
+        + one(contains_any(p, GUARD_DIRS), 2)
     )
 
 

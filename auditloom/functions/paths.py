@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from .text import _col, contains_any, text_or_empty
 
-#: Directories and names that are no source of one's own; directory markers stand for both slashes.
-_NOISE_DIRS = (
-    "assets", "open/assets", "cache", "fonts", "images", "img", "icons", "svg", "media", "video", "__tests__", "__mocks__", "__fixtures__", "__snapshots__",
-    "test", "tests", "spec", "testing", "mock", "mocks", "stub", "stubs", "fixtures", "cypress", "migrations", "generated", "auto_generated", "proto",
-    "docs", "examples", "demo", "sample", "playground", "dist", "build", "out", "target",
-)
-_NOISE_NAMES = (
+#: Names and directories that are no source of one's own.
+NOISE_MARKERS = (
     ".min.js", ".min.css", ".map", "jquery", "sweetalert", "fontawesome", "datatables", "plupload", "bootstrap", "lodash", "underscore", "moment.min",
     "react-dom.production", "react.production", "angular.min", "vue.min", "d3.min", "chart.min", "tinymce", "ckeditor", "monaco", "codemirror", "three.min",
     "echarts.min", "antd.min", "element-ui", "iview", "ant-design", ".test.js", ".test.ts", ".spec.js", ".spec.ts", ".test.py", "_test.py", "_test.go", "_test.rb",
-    "/.next/", "/.nuxt/", "/.idea/", "/.vscode/", "/.vs/", ".ds_store", "thumbs.db",
+    "/.next/", "/.nuxt/", "/.idea/", "/.vscode/", "/.vs/", ".ds_store", "thumbs.db", "/assets/", "/open/assets/", "/cache/", "/fonts/", "/images/", "/img/", "/icons/",
+    "/svg/", "/media/", "/video/", "/__tests__/", "/__mocks__/", "/__fixtures__/", "/__snapshots__/", "/test/", "/tests/", "/spec/", "/testing/", "/mock/", "/mocks/",
+    "/stub/", "/stubs/", "/fixtures/", "/cypress/", "/migrations/", "/generated/", "/auto_generated/", "/proto/", "/docs/", "/examples/", "/demo/", "/sample/",
+    "/playground/", "/dist/", "/build/", "/out/", "/target/", "\\assets\\", "\\open\\assets\\", "\\cache\\", "\\fonts\\", "\\images\\", "\\img\\", "\\icons\\",
+    "\\svg\\", "\\media\\", "\\video\\", "\\__tests__\\", "\\__mocks__\\", "\\__fixtures__\\", "\\__snapshots__\\", "\\test\\", "\\tests\\", "\\spec\\", "\\testing\\",
+    "\\mock\\", "\\mocks\\", "\\stub\\", "\\stubs\\", "\\fixtures\\", "\\cypress\\", "\\migrations\\", "\\generated\\", "\\auto_generated\\", "\\proto\\", "\\docs\\",
+    "\\examples\\", "\\demo\\", "\\sample\\", "\\playground\\", "\\dist\\", "\\build\\", "\\out\\", "\\target\\",
 )
-NOISE_MARKERS = (*_NOISE_NAMES, *(f"/{d}/" for d in _NOISE_DIRS), *("\\" + d.replace("/", "\\") + "\\" for d in _NOISE_DIRS))
 
 
 def is_noise_path(path: Column | str) -> Column:
@@ -50,6 +50,14 @@ def route_path(path: Column | str) -> Column:
     return F.when(F.length(one) > 1, F.regexp_replace(one, "/+$", "")).otherwise(one)
 
 
+def http_path(c: Column | str) -> Column:
+    """A path as requests have it: without host, query and fragment, one slash between parts, a leading and no trailing one; '' for none."""
+    t = F.trim(text_or_empty(c))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)^https?://[^/]+", ""), r"[?#][\s\S]*$", ""))
+    one = F.regexp_replace(F.concat(F.lit("/"), bare), "/{2,}", "/")
+    return F.when(t == "", "").when(F.length(one) > 1, F.regexp_replace(one, "/+$", "")).otherwise(one)
+
+
 def join_routes(base: Column | str, segment: Column | str) -> Column:
     b, s = F.trim(text_or_empty(base)), F.trim(text_or_empty(segment))
     return F.when(s == "", route_path(F.when(b == "", "/").otherwise(b))).when(b == "", route_path(s)).otherwise(route_path(F.concat(F.regexp_replace(b, "/+$", ""), F.lit("/"), F.regexp_replace(s, "^/+", ""))))
@@ -69,14 +77,14 @@ def route_match_path(path: Column | str) -> Column:
 
 
 #: A verb and a path.
-_ENDPOINT = r"(?i)^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT|ANY|UNKNOWN)\s+(\S+)$"
+ENDPOINT = r"(?i)^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT|ANY|UNKNOWN)\s+(\S+)$"
 
 
 def endpoint_anchor(endpoint: Column | str) -> Column:
     """METHOD path, with ids as {id}; UNKNOWN without a verb; '' for none."""
     t = F.trim(text_or_empty(endpoint))
-    verb = F.upper(F.regexp_extract(t, _ENDPOINT, 1))
-    path = F.when(verb != "", F.regexp_extract(t, _ENDPOINT, 2)).otherwise(t)
+    verb = F.upper(F.regexp_extract(t, ENDPOINT, 1))
+    path = F.when(verb != "", F.regexp_extract(t, ENDPOINT, 2)).otherwise(t)
     path = _ids(F.replace(F.lower(F.trim(F.split(path, r"\?").getItem(0))), F.lit("\\"), F.lit("/")))
     return F.when(t == "", "").otherwise(F.trim(F.concat(F.when(verb != "", verb).otherwise("UNKNOWN"), F.lit(" "), path)))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import contains_any, count_present, text_or_empty
+from .paths import ENDPOINT, http_path
+from .text import any_in, contains_any, count_present, fixed, text_or_empty
 
 #: Markers of the kinds of proof, in order of precedence.
 NONE = (
@@ -23,30 +24,42 @@ STEP_WORDS = ("步骤", "复现", "攻击流程", "利用流程", "先 ", "然
 COMMANDS = (
     "curl ", "wget ", "httpie ", "grep ", "findstr ", "cat ", "type ", "php ", "python ", "node ", "diff ", "git diff", "printenv", "set ", "export ", ".env", "配置", "环境变量", "日志", "堆栈",
 )
+#: Marks of output, and how a step and a request begin.
+OUTPUT = ("=>", "BEGIN", "END", "---", "+++", "@@")
+_STEP = r"(?i)^(\d+[.)、]|步骤\s*[一二三四五六七八九十0-9]+[：:]?|step\s*\d+[：:]?)"
 _REQUEST = r"(?i)^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|TRACE|CONNECT)\s+(\S+)\s+HTTP/1\.[01]$"
 
 
-def required_kind(stage: Column) -> Column:
-    """none, cli, stepwise or raw_http: by what the finding says, else by its stage."""
-    hay = F.lower(F.concat_ws(" ", *[text_or_empty(c) for c in ("title", "vuln_type", "description", "fix_suggestion", "endpoint", "file_path", "poc_raw")]))
-    out = None
-    for kind, markers in (("none", NONE), ("cli", CLI), ("stepwise", STEPWISE), ("raw_http", RAW_HTTP)):
-        hit = contains_any(hay, markers)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.when(stage.isin(2, 3, 4, 8), "raw_http").when(stage.isin(5, 6, 9), "stepwise").when(stage == 7, "cli").when(stage == 1, "none").otherwise("raw_http")
+#: Texts that a finding's kind of proof is told by, and the kinds that stages take where these tell nothing.
+TEXTS = ("title", "vuln_type", "description", "fix_suggestion", "endpoint", "file_path", "poc_raw")
+STAGE_KINDS = {1: "none", 2: "raw_http", 3: "raw_http", 4: "raw_http", 5: "stepwise", 6: "stepwise", 7: "cli", 8: "raw_http", 9: "stepwise"}
+
+
+def with_proof(findings: DataFrame) -> DataFrame:
+    """Adds proof_kind (none, cli, stepwise or raw_http: what the finding needs, by what it says, else by its stage) and proof_accepted (whether its proof is of that kind; a request is good for any)."""
+    hay = fixed(findings, _hay=F.lower(F.concat_ws(" ", *[text_or_empty(c) if c in findings.columns else F.lit("") for c in TEXTS])))
+    kind = None
+    for name, markers in (("none", NONE), ("cli", CLI), ("stepwise", STEPWISE), ("raw_http", RAW_HTTP)):
+        hit = any_in("_hay", markers)
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    by_stage = F.create_map(*[F.lit(x) for kv in STAGE_KINDS.items() for x in kv])[F.col("stage_num")]
+    told = fixed(hay, proof_kind=kind.otherwise(F.coalesce(by_stage, F.lit("raw_http"))), _request=raw_request("poc_raw")["valid"]).drop("_hay")
+    needed = F.col("proof_kind")
+    ok = F.when(needed == "none", True).when(F.col("_request") | (needed == "raw_http"), F.col("_request")).when(needed == "stepwise", is_stepwise("poc_raw")).otherwise(is_command("poc_raw"))
+    return fixed(told, proof_accepted=ok).drop("_request")
 
 
 def is_stepwise(poc: Column | str) -> Column:
     """Two lines or more, with a numbered step or two words of a procedure."""
     t = F.trim(text_or_empty(poc))
     lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    step = F.exists(lines, lambda x: x.rlike(r"(?i)^(\d+[.)、]|步骤\s*[一二三四五六七八九十0-9]+[：:]?|step\s*\d+[：:]?)"))
+    step = F.exists(lines, lambda x: x.rlike(_STEP))
     return (F.size(lines) >= 2) & (step | (count_present(F.lower(t), STEP_WORDS) >= 2))
 
 
 def is_command(poc: Column | str) -> Column:
     t = text_or_empty(poc)
-    return contains_any(F.lower(t), COMMANDS) | contains_any(t, ("=>", "BEGIN", "END", "---", "+++", "@@"))
+    return contains_any(F.lower(t), COMMANDS) | contains_any(t, OUTPUT)
 
 
 def raw_request(poc: Column | str) -> Column:
@@ -62,10 +75,14 @@ def raw_request(poc: Column | str) -> Column:
     return F.struct(ok.alias("valid"), F.upper(F.regexp_extract(first, _REQUEST, 1)).alias("method"), F.regexp_extract(first, _REQUEST, 2).alias("target"), host.alias("host"))
 
 
-def is_accepted(stage: Column, poc: Column | str = "poc_raw") -> Column:
-    """Whether the proof is of the kind that the finding needs."""
-    kind = required_kind(stage)
-    return F.when(kind == "none", True).when(kind == "raw_http", raw_request(poc)["valid"]).when(kind == "stepwise", is_stepwise(poc) | raw_request(poc)["valid"]).otherwise(is_command(poc) | raw_request(poc)["valid"])
+def request_matches(endpoint: Column, request: Column) -> Column:
+    """Whether a request (struct of raw_request) is one to an endpoint: the same verb, unless it is for any, and a path that is equal, inside the other or, for any verb, ends alike."""
+    verb = F.upper(F.regexp_extract(F.trim(text_or_empty(endpoint)), ENDPOINT, 1))
+    path = http_path(F.when(verb != "", F.regexp_extract(F.trim(endpoint), ENDPOINT, 2)).otherwise(endpoint))
+    asked, any_verb = http_path(request["target"]), verb.isin("", "ANY")
+    tail = lambda c: F.element_at(F.split(c, "/"), -1)
+    near = (path == asked) | ((path != "") & (asked != "") & (F.contains(path, asked) | F.contains(asked, path))) | (any_verb & (tail(path) != "") & (tail(path) == tail(asked)))
+    return (verb.isin("", "ANY", "UNKNOWN") | (verb == request["method"])) & near
 
 
 def request_text(method: Column, path: Column, params: Column, auth: Column) -> Column:

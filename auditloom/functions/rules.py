@@ -46,6 +46,12 @@ RISK_KEYWORDS: dict[str, tuple[str, ...]] = {
         "vip", "membership", "quota", "limit", "threshold", "cap",
     ),
 }
+#: Keywords of further labels, for tables that have them: requests made by the server, XML entities, weak cryptography.
+MORE_KEYWORDS: dict[str, tuple[str, ...]] = {
+    "ssrf": ("requests.get(", "requests.post(", "urlopen(", "httpx.get", "curl_exec", "fsockopen(", "url.openconnection", "resttemplate", "axios", "fetch(", "http.newrequest", "169.254.169.254", "redirect_url"),
+    "xxe": ("documentbuilderfactory", "saxparserfactory", "xmlinputfactory", "lxml.etree", "xml.etree", "xml.sax", "simplexml_load_string", "domdocument", "xmlreader", "<!entity", "<!doctype", "xinclude"),
+    "crypto": ("md5(", "hashlib.md5", "sha1(", "hashlib.sha1", "3des", "rc4", "blowfish", "ecb", "math.random(", "random.random(", "verify=false", "hmac_key", "encryption_key", "b64decode"),
+}
 #: Stages that a label concerns; the least hits and weight of a rule hit; titles.
 LABEL_STAGES = {"rce": (2,), "injection": (3,), "xss": (4,), "auth": (5, 6), "config": (7,), "file": (8,), "business": (9,), "ssrf": (2, 3), "xxe": (2, 3), "crypto": (5, 7)}
 MIN_HITS = {"business": 2}
@@ -72,6 +78,62 @@ RISK_PATHS = (
 CODE_ENDINGS = (".php", ".py", ".java", ".go", ".rb", ".cs", ".js", ".ts", ".vue")
 
 
+#: What a hit's path and evidence must hold. A label stands if each line of its list holds, and a line if one of its tests does:
+#: (of the path or the evidence, whether it holds any, the markers) or ("hits", the least number).
+_DOCUMENTS = (".json", ".md", ".txt", ".yml", ".yaml", ".xml")
+_FILE_CALLS = ("file_get_contents", "readfile(", "fopen(", "unlink(", "mkdir(", "rmdir(", "copy(", "rename(", "ziparchive", "extractto", "realpath", "basename(", "scandir(", "opendir(", "readdir(", "glob(", "move_uploaded_file")
+_SOURCES = ("$_get", "$_post", "$_request", "$_server", "$_cookie", "request.", "params", "query", "input", "form", "body", "json", "$request[", "$text", "$msg", "$message")
+ACCEPT: dict[str, tuple[tuple[tuple, ...], ...]] = {
+    "file": (
+        (("ends", False, _DOCUMENTS),),
+        (("evidence", True, _FILE_CALLS), ("hits", 2)),
+        (("evidence", True, _FILE_CALLS), ("path", True, ("upload", "download", "file", "path", "archive", "backup", "import", "export"))),
+    ),
+    "business": (
+        (("ends", False, _DOCUMENTS),),
+        (("hits", 2),),
+        (("path", True, ("order", "payment", "wallet", "coupon", "inventory", "trade", "cart")),),
+    ),
+    "config": (
+        (("ends", False, (".sql",)),),
+        (("evidence", False, ("__construct($private_key", "__construct ($private_key", "getrandomstring(")),),
+        (("evidence", True, ("secret", "api_key", "apikey", "private_key", "access_key", "credentials", ".env", "database_url", "db_password", "client_secret", "appsecret")),),
+        (
+            ("path", True, ("config", "settings", ".env", "secret", "credential", "install", "verify", "admin/index.php")),
+            ("evidence", True, ("md5(", "sha1(", "token=", "http_token", "appid=", "secret=")),
+        ),
+    ),
+    "auth": (
+        (("ends", False, (".sql",)),),
+        (("path", True, ("login", "auth", "session", "oauth", "user", "token", "lock", "verify", "admin")),),
+        (("evidence", True, ("login", "logout", "session_start", "session_regenerate_id", "setcookie", "jwt", "bearer", "oauth", "password_hash", "password_verify", "captcha", "signin", "signup", "validate()", "authorize", "permission", "role", "scope")),),
+        (("evidence", True, ("login", "logout", "session_regenerate_id", "setcookie", "jwt", "bearer", "password_hash", "password_verify", "captcha", "signin", "signup", "validate()", "authorize", "permission", "grant_type", "authorization_code")),),
+        (("evidence", True, ("login", "logout", "session_regenerate_id", "password", "captcha", "jwt", "bearer", "validate()", "authorization_code", "grant_type", "setcookie")),),
+        (
+            ("path", False, ("/role.php", "/user.php", "/log.php", "/index.php")),
+            ("evidence", True, ("login", "logout", "validate()", "authorize", "permission", "grant_type", "authorization_code", "session_regenerate_id", "setcookie")),
+        ),
+        (
+            ("path", False, ("/log.php", "/index.php")),
+            ("evidence", True, ('header("location:?p=login', "header('location:?p=login", "validate()", "authorization_code", "grant_type", "session_regenerate_id", "setcookie", "password", "captcha")),
+        ),
+        (
+            ("evidence", False, ("require_once 'session.php'", 'require_once "session.php"', "session_start();")),
+            ("evidence", True, ("password", "jwt", "oauth", "setcookie", "session_regenerate_id", "validate()", "scope", "authorize", "permission")),
+        ),
+    ),
+    "xss": (
+        (("path", False, (".css", ".sql", ".json")),),
+        (("evidence", True, ("innerhtml", "outerhtml", "document.write", "dangerouslysetinnerhtml", "v-html", "<script", "onerror=", "onclick=", 'echo"<script', "echo '<script")),),
+        (("path", True, ("view", "template", "render", "html", "front", "admin", "session", "login")),),
+        (("evidence", True, _SOURCES), ("evidence", True, ("$url", "$redirect", "$return", "location.href", "window.location"))),
+        (("evidence", True, (*_SOURCES, "redirect=")),),
+    ),
+}
+#: Places of translations, and the one label that counts there, whatever else its hit holds.
+TRANSLATIONS, TRANSLATED = ("/lang/", "\\lang\\"), "config"
+
+
 @dataclass(frozen=True)
 class Rule:
     """Keywords of a label: hits are counted (repeats count), strong ones weigh 3 and medium ones 1."""
@@ -96,6 +158,9 @@ def _rule(label: str, words: tuple[str, ...]) -> Rule:
 
 
 DEFAULT_RULES: tuple[Rule, ...] = tuple(_rule(k, v) for k, v in RISK_KEYWORDS.items())
+#: All ten labels. Chunks get the last three only if their risk is scored with these keywords as well.
+ALL_KEYWORDS = RISK_KEYWORDS | MORE_KEYWORDS
+ALL_RULES: tuple[Rule, ...] = tuple(_rule(k, v) for k, v in ALL_KEYWORDS.items())
 
 
 def load_rules(path: str) -> tuple[Rule, ...]:
@@ -103,6 +168,9 @@ def load_rules(path: str) -> tuple[Rule, ...]:
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
     return tuple(
-        Rule(k, tuple(v["hits"]), tuple(v.get("strong", ())), tuple(v.get("medium", ())), v.get("min_hits", MIN_HITS.get(k, 1)), v.get("min_weight", MIN_WEIGHT.get(k, 3)), tuple(v.get("stages", LABEL_STAGES.get(k, ()))))
+        Rule(
+            k, tuple(v["hits"]), tuple(v.get("strong", ())), tuple(v.get("medium", ())), v.get("min_hits", MIN_HITS.get(k, 1)),
+            v.get("min_weight", MIN_WEIGHT.get(k, 3)), tuple(v.get("stages", LABEL_STAGES.get(k, ()))),
+        )
         for k, v in found.items()
     )

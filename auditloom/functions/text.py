@@ -36,6 +36,26 @@ def count_present(c: Column | str, keywords: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, (_col(c).contains(k).cast("int") for k in keywords), F.lit(0))
 
 
+def literals(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def any_in(name: str, markers: Sequence[str]) -> Column:
+    """As contains_any, as one small expression whatever the number of markers. ``name`` is a column that ``fixed`` made, or its expression would run for every marker."""
+    return F.exists(literals(markers), lambda m: F.contains(F.col(name), m))
+
+
+def found_in(name: str, keywords: Sequence[str] | Column) -> Column:
+    """The entries that are substrings of the column ``name`` (see any_in), in list order, repeated ones as often as they are listed."""
+    listed = keywords if isinstance(keywords, Column) else literals(keywords)
+    return F.filter(listed, lambda k: F.contains(F.col(name), k))
+
+
+def count_in(name: str, keywords: Sequence[str]) -> Column:
+    """As count_present, as one small expression; see any_in."""
+    return F.size(found_in(name, keywords)) if keywords else F.lit(0)
+
+
 def present_of(c: Column | str, keywords: Sequence[str]) -> Column:
     """The entries that are substrings, in list order."""
     return F.array_compact(F.array(*[F.when(_col(c).contains(k), F.lit(k)) for k in keywords]))
@@ -68,13 +88,18 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
-def first_hit_window(lines: Column, keywords: Sequence[str], radius: int = 2) -> Column:
-    """The window of lines around the first line with a keyword, stripped; '' without one. ``lines`` is a column, not an expression to repeat."""
-    at = F.array_position(F.transform(lines, lambda line: contains_any(F.lower(line), keywords)), F.lit(True)).cast("int")
+def window_around(lines: Column, at: Column, radius: int) -> Column:
+    """The lines around number ``at`` (from 1), stripped; '' if there is none."""
     start = F.greatest(at - radius, F.lit(1))
     return F.when(at > 0, strip(F.array_join(F.slice(lines, start, at + radius + 1 - start), "\n"))).otherwise("")
 
 
+def first_hit_window(lines: Column, keywords: Sequence[str] | Column, radius: int = 2) -> Column:
+    """The window of lines around the first line with a keyword, stripped; '' without one. ``lines`` is a column, not an expression to repeat; ``keywords`` may be a column too."""
+    hit = (lambda line: F.exists(keywords, lambda k: F.contains(F.lower(line), k))) if isinstance(keywords, Column) else (lambda line: contains_any(F.lower(line), keywords))
+    return window_around(lines, F.array_position(F.transform(lines, hit), F.lit(True)).cast("int"), radius)
+
+
 def truncate(c: Column | str, limit: int) -> Column:
     """Cut to the limit less 32 characters, with a mark."""
     return F.when(F.length(_col(c)) <= limit, _col(c)).otherwise(F.concat(F.substring(_col(c), 1, max(0, limit - 32)), F.lit("\n... (truncated)\n")))
@@ -91,7 +116,7 @@ def distinct_trimmed(c: Column | str) -> Column:
 
 
 #: Texts that stand for nothing.
-PLACEHOLDERS = ("unknown", "n/a", "none", "null", "未知", "未提供")
+PLACEHOLDERS = ("unknown", "n/a", "none", "null", "未命名漏洞", "未分类漏洞")
 
 
 def is_placeholder(c: Column | str) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import endpoint_anchor, route_id, route_match_path
+from ..functions.paths import endpoint_anchor, http_path, route_id, route_match_path
 from ..functions.severity import AUDITED, GAPS, coverage_status, status_of_route
-from ..functions.text import contains_any, count_present, text_or_empty
+from ..functions.text import any_in, contains_any, count_in, count_present, fixed, text_or_empty
 from .findings import merge_rows
 
 #: What makes a route worth looking at first.
@@ -108,28 +108,108 @@ def coverage_summary(by_route: DataFrame, stages: DataFrame, scanned: DataFrame
     return out.withColumn("unknown_missing_route_count", F.greatest(F.col("missing_route_count") - F.col("_missing_known"), F.lit(0)).cast("long")).withColumn("coverage_ratio", ratio).withColumn("has_route_gaps", (F.col("missing_route_count") > 0) | (F.col("focus_gap_count") > 0)).drop("_missing_known", "route_count")
 
 
-def best_route(findings: DataFrame, routes: DataFrame) -> DataFrame:
-    """Findings with the route that suits best by file, path and verb: the highest score over 0, ties by path and verb.
+def _within_keys(path: Column) -> tuple[Column, Column]:
+    """Keys under which a path is contained in others, and those under which others may be contained in it.
+
+    A path inside another one begins at one of its slashes and goes on for whole segments
+    but for its last, which may be the beginning of one. So it is found by its segments
+    before the last and up to three characters of that.
+    """
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    n = F.size(parts)
+    head = lambda i, j: F.array_join(F.slice(parts, i, F.greatest(j - i, F.lit(0))), "/")
+    own = F.concat(head(F.lit(1), n), F.lit("|"), F.substring(F.element_at(parts, -1), 1, 3))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    some = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.concat(head(s["i"], s["j"]), F.lit("|"), F.substring(F.get(parts, s["j"] - 1), F.lit(1), m)))))
+    return own, F.array_distinct(some)
 
-    Candidates share the file, the last path segment or the whole path, each an
-    equi-join, so findings never meet all routes.
+
+def best_route(findings: DataFrame, routes: DataFrame) -> DataFrame:
+    """Findings with best_route_id and best_score: the route that suits best by file, path and verb.
+
+    Points: the file 12, its end 8 (where the finding names a path or verb); the path 20,
+    one inside the other 10, the same last segment 4; the verb 6, a route for any verb 2,
+    another verb -4. Ties by path and verb. Where no route has more than 0 points, the only
+    route of the file, with a null score. Candidates that share a file name, a last segment
+    or a part of the path meet in equi-joins; those with nothing but the verb in common are
+    all alike but for their order, so the first of each verb stands for them.
     """
     low = lambda c: F.lower(F.trim(text_or_empty(c)))
-    segment = lambda c: F.element_at(F.split(c, "/"), -1)
-    f = findings.select("task_id", "seq", low("file_path").alias("f_file"), F.upper(text_or_empty("method")).alias("f_method"), F.regexp_replace(low("path"), "(?<=.)/+$", "").alias("f_path"))
-    r = routes.select("task_id", F.col("route_id"), low("file_path").alias("r_file"), F.upper(text_or_empty("method")).alias("r_method"), F.regexp_replace(low("path"), "(?<=.)/+$", "").alias("r_path")).filter("r_path <> ''")
-    keys = lambda file, path: F.array_distinct(F.array(F.concat(F.lit("f:"), segment(file)), F.concat(F.lit("s:"), segment(path)), F.concat(F.lit("p:"), path)))
-    left = f.withColumn("key", F.explode(F.filter(keys(F.col("f_file"), F.col("f_path")), lambda k: F.length(k) > 2)))
-    right = r.withColumn("key", F.explode(F.filter(keys(F.col("r_file"), F.col("r_path")), lambda k: F.length(k) > 2)))
-    pair = left.join(right, ["task_id", "key"]).drop("key").distinct()
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    asks = (findings.select("task_id", low("file_path").alias("f_file"), F.upper(F.trim(text_or_empty("method"))).alias("f_method"), http_path("path").alias("f_path")).distinct())
+    verb_of = F.upper(F.trim(text_or_empty("method")))
+    known = (routes.select("task_id", "route_id", low("file_path").alias("r_file"), F.when(verb_of == "", "UNKNOWN").otherwise(verb_of).alias("r_method"), http_path("path").alias("r_path"), F.col("path").alias("r_raw")).distinct())
+    pathed = known.filter("r_path <> ''")
+    def meet(left: Column, right: Column) -> DataFrame:
+        a = asks.withColumn("key", F.explode_outer(left)).filter("key IS NOT NULL")
+        b = pathed.withColumn("key", F.explode_outer(right)).filter("key IS NOT NULL")
+        return a.join(b, ["task_id", "key"]).drop("key")
+
+    f_path, r_path = F.col("f_path"), F.col("r_path")
+    named = lambda path, file: F.filter(F.array(F.when(last(file) != "", F.concat(F.lit("f:"), last(file))), F.when(last(path) != "", F.concat(F.lit("s:"), last(path))), F.when(path != "", F.concat(F.lit("p:"), path))), lambda k: k.isNotNull())
+    (f_own, f_some), (r_own, r_some) = _within_keys(f_path), _within_keys(r_path)
+    none = F.array().cast("array<string>")
+    asked = lambda keys: F.when(f_path != "", keys).otherwise(none)
+    pairs = meet(named(f_path, F.col("f_file")), named(r_path, F.col("r_file"))).unionByName(meet(asked(f_some), F.array(r_own))).unionByName(meet(asked(F.array(f_own)), r_some)).distinct()
     verb = ~F.col("f_method").isin("", "UNKNOWN", "ANY")
-    slash = F.lit("/")
-    file_score = F.when((F.col("f_path") == "") & ~verb, 0).when((F.col("f_file") == "") | (F.col("r_file") == ""), 0).when(F.col("f_file") == F.col("r_file"), 12).when(F.endswith("r_file", F.concat(slash, "f_file")) | F.endswith("f_file", F.concat(slash, "r_file")), 8).otherwise(0)
-    path_score = F.when(F.col("f_path") == "", 0).when(F.col("f_path") == F.col("r_path"), 20).when(F.contains("f_path", "r_path") | F.contains("r_path", "f_path"), 10).when((segment(F.col("r_path")) != "") & (segment(F.col("r_path")) == segment(F.col("f_path"))), 4).otherwise(0)
+    file_score = (
+        F.when((f_path == "") & ~verb, 0).when((F.col("f_file") == "") | (F.col("r_file") == ""), 0).when(F.col("f_file") == F.col("r_file"), 12)
+        .when(F.endswith("r_file", F.concat(F.lit("/"), "f_file")) | F.endswith("f_file", F.concat(F.lit("/"), "r_file")), 8).otherwise(0)
+    )
+    path_score = F.when(f_path == "", 0).when(f_path == r_path, 20).when(F.contains(f_path, r_path) | F.contains(r_path, f_path), 10).when((last(r_path) != "") & (last(r_path) == last(f_path)), 4).otherwise(0)
     verb_score = F.when(~verb, 0).when(F.col("f_method") == F.col("r_method"), 6).when(F.col("r_method") == "ANY", 2).otherwise(-4)
-    scored = pair.withColumn("score", file_score + path_score + verb_score).filter("score > 0")
-    top = scored.groupBy("task_id", "seq").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r_path").alias("path"), F.col("r_method").alias("method"), "route_id")).alias("b"))
-    return findings.join(top.select("task_id", "seq", F.col("b.route_id").alias("best_route_id"), (-F.col("b.s")).alias("best_score")), ["task_id", "seq"], "left")
+    place = F.struct(F.col("r_raw").alias("path"), F.col("r_method").alias("method"), "route_id")
+    key = ["task_id", "f_file", "f_method", "f_path"]
+    scored = pairs.withColumn("score", file_score + path_score + verb_score).select(*key, "score", place.alias("place"))
+    first = pathed.groupBy("task_id", "r_method").agg(F.min(place).alias("place"))
+    same = asks.filter(verb).join(first.withColumnRenamed("r_method", "f_method"), ["task_id", "f_method"]).select(*key, F.lit(6).alias("score"), "place")
+    any_ = asks.filter(verb).join(first.filter("r_method = 'ANY'").drop("r_method"), "task_id").select(*key, F.lit(2).alias("score"), "place")
+    top = scored.unionByName(same).unionByName(any_).filter("score > 0").groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "place")).alias("b"))
+    alone = known.groupBy("task_id", F.col("r_file").alias("f_file")).agg(F.count(F.lit(1)).alias("n"), F.min("route_id").alias("only")).filter("n = 1").drop("n")
+    chosen = asks.join(top, key, "left").join(alone, ["task_id", "f_file"], "left").select(*key, F.coalesce("b.place.route_id", "only").alias("best_route_id"), (-F.col("b.s")).alias("best_score"))
+    out = findings.withColumns({"f_file": low("file_path"), "f_method": F.upper(F.trim(text_or_empty("method"))), "f_path": http_path("path")})
+    return out.join(chosen, key, "left").drop("f_file", "f_method", "f_path")
+
+
+def merge_known_routes(told: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Routes that a response tells and those that a scan found, once each by verb, path, handler and file (what is told first), the most important first: adds place."""
+    both = told.withColumn("_from", F.lit(0)).unionByName(scanned.withColumn("_from", F.lit(1)), allowMissingColumns=True)
+    named = both.withColumns({"method": F.upper(F.coalesce("method", F.lit("UNKNOWN"))), "path": text_or_empty("path"), "handler": F.coalesce("handler", F.lit("Unknown")), "file_path": text_or_empty("file_path"), "auth": F.coalesce("auth", F.lit("Unknown"))})
+    rest = [c for c in named.columns if c not in ("task_id", "method", "path", "handler", "file_path", "_from", "ordinal")]
+    once = named.groupBy("task_id", "method", "path", "handler", "file_path").agg(F.min(F.struct("_from", "ordinal", *rest)).alias("_r"))
+    out = once.select("task_id", "method", "path", "handler", "file_path", *[F.col(f"_r.{c}").alias(c) for c in rest]).withColumn("priority", route_priority())
+    order = [F.desc("priority"), F.col("path"), F.col("method"), F.col("handler"), F.col("file_path")]
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
+
+
+#: Words of a route that speak for a stage; words that do so more, and by how much; stages in order of preference.
+STAGE_WORDS = {
+    2: ("exec", "shell", "cmd", "command", "template", "deserialize", "script"),
+    3: ("sql", "query", "search", "filter", "datasource", "promql", "clickhouse", "ldap", "redis", "raw", "where"),
+    4: ("xss", "html", "render", "template", "redirect", "callback", "comment"),
+    5: ("login", "auth", "token", "session", "password", "jwt", "oidc", "apikey", "api_key", "register", "captcha"),
+    6: ("user", "role", "tenant", "permission", "admin", "owner", "authz", "acl", "policy", "scope", "team", "project"),
+    7: ("config", "setting", "secret", "key", "webhook", "callback", "url", "cors", "debug"),
+    8: ("upload", "download", "file", "path", "import", "export", "template", "attachment", "backup"),
+    9: ("create", "update", "delete", "reset", "bind", "assign", "approve", "workflow", "order", "payment", "balance"),
+}
+STAGE_MORE = {6: (2, ("user", "role", "tenant", "permission")), 5: (5, ("login", "token", "password", "session")), 3: (2, ("query", "search", "datasource")), 8: (2, ("upload", "download", "file"))}
+STAGE_ORDER = (5, 6, 3, 9, 8, 2, 7, 4)
+
+
+def suggest_stage(routes: DataFrame, completed: DataFrame) -> DataFrame:
+    """Routes with suggested_stage: of their task's completed stages (task_id, stage_num) the one that their words speak for most, ties in the order of preference; null without any."""
+    text = F.lower(F.concat_ws("\n", *[text_or_empty(c) for c in ("method", "path", "handler", "file_path", "auth")]))
+    done = completed.filter(F.col("stage_num").between(2, 9)).groupBy("task_id").agg(F.collect_set("stage_num").alias("_done"))
+    made = fixed(routes.join(done, "task_id", "left"), _text=text)
+
+    def score(stage: int) -> Column:
+        n, words = STAGE_MORE.get(stage, (0, ()))
+        return count_in("_text", STAGE_WORDS[stage]) + (F.when(any_in("_text", words), n).otherwise(0) if words else F.lit(0))
+
+    each = F.array(*[F.struct(score(s).alias("score"), F.lit(-i).alias("order"), F.lit(s).alias("stage")) for i, s in enumerate(STAGE_ORDER)])
+    best = F.array_max(F.filter(each, lambda x: F.array_contains(F.coalesce("_done", F.array().cast("array<int>")), x["stage"])))
+    return made.withColumn("suggested_stage", best["stage"]).drop("_text", "_done")
 
 
 def followup_batches(missing: DataFrame, most: int = 48, size: int = 6, batches: int = 2) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.localize import localize
 from ..functions.paths import code_anchor, endpoint_anchor, file_anchor, keyword_text, match_path
 from ..functions.severity import confidence_rank, severity, severity_rank
-from ..functions.text import contains_any, ends_with_any, first_real, is_placeholder, text_or_empty
+from ..functions.text import any_in, contains_any, ends_with_any, first_real, fixed, is_placeholder, literals, text_or_empty
 
 #: Families and the markers that tell them, in order of precedence.
 FAMILIES = (
@@ -47,7 +48,7 @@ def line_bounds(start: Column, end: Column, *candidates: Column) -> tuple[Column
 
 
 def normalize(findings: DataFrame) -> DataFrame:
-    """Fields filled from their other names (name, type, location, remediation, line, line_range, impact, evidence, auth_required), where these columns exist."""
+    """Fields filled from their other names (name, type, location, remediation, line, line_range, impact, evidence, auth_required), where these columns exist; title and type in Chinese where they have a usual name."""
     has = set(findings.columns)
     col = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
     vuln_type = first_real(col("vuln_type"), col("type"), first_real(col("title"), col("name")))
@@ -60,31 +61,38 @@ def normalize(findings: DataFrame) -> DataFrame:
     auth = F.when(first_real(col("auth_required")) != "", F.concat(F.lit("认证要求："), first_real(col("auth_required"))))
     told = F.concat_ws("\n\n", F.nullif(first_real(col("impact")), F.lit("")), F.nullif(first_real(col("evidence")), F.lit("")), auth)
     return findings.withColumns({
-        "title": title, "vuln_type": vuln_type, "file_path": first_real(col("file_path"), named), "fix_suggestion": first_real(col("fix_suggestion"), col("remediation")),
+        "title": localize(title), "vuln_type": localize(vuln_type), "file_path": first_real(col("file_path"), named), "fix_suggestion": first_real(col("fix_suggestion"), col("remediation")),
         "description": F.when(first_real(col("description")) != "", first_real(col("description"))).otherwise(told), "line_start": lo, "line_end": hi,
     })
 
 
-def family(title: Column, vuln_type: Column, description: Column, snippet: Column) -> Column:
-    """What kind of flaw it is, by the first markers that its texts hold; else its type's words."""
-    hay = F.lower(F.concat_ws(" ", *[text_or_empty(c) for c in (title, vuln_type, description, snippet)]))
-    zh = hay.contains("注入")
-    out = F.when(zh & (hay.contains("sql") | contains_any(hay, ("select ", "update ", "insert ", "delete from", "where "))), "sql_injection")
-    out = out.when(zh & contains_any(hay, ("mongo", "bson", "nosql")), "nosql_injection").when(zh & contains_any(hay, ("exec", "shell", "command", "system(")), "command_injection")
-    for name, markers in FAMILIES:
-        out = out.when(contains_any(hay, markers), name)
-    base = F.substring(keyword_text(F.when(text_or_empty(vuln_type) != "", vuln_type).otherwise(text_or_empty(title))), 1, 80)
-    return out.otherwise(F.when(base == "", "generic_vulnerability").otherwise(base))
+def family(hay: str, base: Column) -> Column:
+    """What kind of flaw it is, by the first markers that its texts hold (``hay`` names a fixed column of them in lower case); else ``base``, its type's words."""
+    chinese = F.contains(hay, F.lit("注入"))
+    special = (
+        ("sql_injection", ("sql", "select ", "update ", "insert ", "delete from", "where ")), ("nosql_injection", ("mongo", "bson", "nosql")), ("command_injection", ("exec", "shell", "command", "system(")),
+    )
+    out = None
+    for name, markers in special:
+        hit = chinese & any_in(hay, markers)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    table = F.array(*[F.struct(F.lit(name).alias("name"), literals(markers).alias("markers")) for name, markers in FAMILIES])
+    first = F.get(F.filter(table, lambda f: F.exists(f["markers"], lambda m: F.contains(F.col(hay), m))), 0)["name"]
+    return F.coalesce(out, first, F.when(base == "", "generic_vulnerability").otherwise(base))
 
 
 def root_cause(df: DataFrame) -> DataFrame:
-    """Adds family, file_anchor, location_anchor and dedupe_key (32 hex digits)."""
-    code = code_anchor(F.col("code_snippet"))
-    line = F.when(F.col("line_start").isNotNull(), F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), F.coalesce("line_end", "line_start").cast("string"))).when(code != "", F.concat(F.lit("code:"), code)).otherwise("")
-    end = endpoint_anchor(F.col("endpoint"))
-    rest = code_anchor(F.when(text_or_empty("code_snippet") != "", F.col("code_snippet")).otherwise(text_or_empty("description")))
-    at = F.when(line != "", line).when(end != "", end).when(rest != "", rest).otherwise("global")
-    out = df.withColumns({"family": family(F.col("title"), F.col("vuln_type"), F.col("description"), F.col("code_snippet")), "file_anchor": file_anchor("file_path"), "location_anchor": at})
+    """Adds family, file_anchor, location_anchor and dedupe_key (32 hex digits). What several expressions use is worked out once."""
+    texts = [text_or_empty(c) for c in ("title", "vuln_type", "description", "code_snippet")]
+    rest = F.when(text_or_empty("code_snippet") != "", F.col("code_snippet")).otherwise(text_or_empty("description"))
+    named = F.when(text_or_empty("vuln_type") != "", F.col("vuln_type")).otherwise(text_or_empty("title"))
+    end = F.coalesce("line_end", "line_start").cast("string")
+    made = fixed(
+        df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80), _file=file_anchor("file_path"), _code=code_anchor("code_snippet"), _rest=code_anchor(rest),
+        _line=F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), end), _end=endpoint_anchor("endpoint"),
+    )
+    at = F.coalesce("_line", F.when(F.col("_code") != "", F.concat(F.lit("code:"), "_code")), F.when(F.col("_end") != "", F.col("_end")), F.when(F.col("_rest") != "", F.col("_rest")), F.lit("global"))
+    out = fixed(made, family=family("_hay", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_base", "_code", "_rest", "_line", "_end")
     return out.withColumn("dedupe_key", F.substring(F.sha2(F.concat_ws("|", "family", "file_anchor", "location_anchor").cast("binary"), 256), 1, 32))
 
 
@@ -113,7 +121,7 @@ def merge_duplicates(findings: DataFrame, key: tuple[str, ...] = ("task_id", "de
         F.max(severity_rank(F.col("severity"))).alias("_rank"), F.min(better(F.col("severity")))["v"].alias("_own"), F.min(F.struct((-confidence_rank(F.col("confidence"))).alias("r"), F.struct((-F.col("_score")).alias("s"), "seq").alias("o"), F.col("confidence").alias("v")))["v"].alias("confidence"),
         F.when(F.max((proof == "valid").cast("int")) == 1, "valid").otherwise(F.min(F.when(proof != "", better(F.col("poc_validation_status"))))["v"]).alias("poc_validation_status"),
         *[v.alias(k) for k, v in filled.items()], F.min(F.when(F.col("line_start").isNotNull(), better(F.col("line_start"))))["v"].alias("line_start"), F.min(F.when(F.col("line_end").isNotNull(), better(F.col("line_end"))))["v"].alias("line_end"),
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_merged"), F.array_sort(ends).alias("_ends"), F.min(better(F.col("stage_num")))["v"].alias("stage_num"),
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_merged"), F.array_sort(ends).alias("_ends"), *([] if "stage_num" in key else [F.min(better(F.col("stage_num")))["v"].alias("stage_num")]),
     )
     names = F.create_map(*[F.lit(x) for i, s in enumerate(("Info", "Low", "Medium", "High", "Critical")) for x in (i + 1, s)])
     more = F.slice(F.array_except("_ends", F.array("endpoint")), 1, 3)

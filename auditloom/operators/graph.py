@@ -21,17 +21,17 @@ def propagate_prefixes(mounts: DataFrame, roots: DataFrame, join, depth: int = 1
     changed; its plan is cut by a checkpoint.
     """
     better = lambda df: df.groupBy("project", "file").agg(F.min(F.struct(F.length("prefix").alias("n"), F.col("prefix").alias("p"))).alias("b")).select("project", "file", F.col("b.p").alias("prefix"))
-    known = _checkpoint(better(roots.select("project", "file", "prefix")))
+    known = checkpointed(better(roots.select("project", "file", "prefix")))
     front = known
     for _ in range(depth):
         m = mounts.select("project", F.col("src").alias("file"), "dst", F.col("prefix").alias("own"))
         reached = better(front.join(m, ["project", "file"]).select("project", F.col("dst").alias("file"), join(F.col("prefix"), F.col("own")).alias("prefix")))
         old = known.withColumnRenamed("prefix", "old")
         new = reached.join(old, ["project", "file"], "left").filter(F.col("old").isNull() | (F.struct(F.length("prefix"), F.col("prefix")) < F.struct(F.length("old"), F.col("old")))).select("project", "file", "prefix")
-        front = _checkpoint(new)
+        front = checkpointed(new)
         if front.isEmpty():
             break
-        known = _checkpoint(better(known.unionByName(front)))
+        known = checkpointed(better(known.unionByName(front)))
     return known
 
 
@@ -41,23 +41,28 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Labels run along the edges and are halved by following the label's own label, so the
     number of rounds grows with the logarithm of a component's extent.
     """
-    both = _checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    label = _checkpoint(nodes.select("node").distinct().withColumn("comp", F.col("node")))
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    label = checkpointed(nodes.select("node").distinct().withColumn("comp", F.col("node")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = label.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        after = _checkpoint(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        after = checkpointed(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         label = after.select("node", "comp")
         if after.filter("comp <> old").isEmpty():
             return label
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the plan in the folder of spark.checkpoint.dir; without one, in a folder of our own."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the plan in the folder of spark.checkpoint.dir; where all runs in one process and there is none, in a folder of our own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder:
+            import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+            folder = tempfile.mkdtemp(prefix="auditloom-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import present_array, text_or_empty
+from ..functions.severity import confidence, severity
+from ..functions.text import is_placeholder, text_or_empty
+from .rule_hits import top
 
 #: Finish reasons that say a response was cut off.
 CUT_OFF = ("length", "max_tokens", "max_output_tokens", "token_limit")
@@ -17,9 +20,9 @@ FINDING = "title string, severity string, vuln_type string, file_path string, li
 
 
 def cleaned(raw: Column | str) -> Column:
-    """Without byte-order marks, zero-width spaces and code fences, with plain quotes."""
+    """Without byte-order marks, zero-width spaces and code fences, with plain quotes of either kind."""
     out = F.regexp_replace(text_or_empty(raw), "[﻿​]", "")
-    out = F.translate(out, "“”", '""')
+    out = F.translate(out, "“”‘’", "\"\"''")
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(out), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
@@ -28,58 +31,62 @@ def is_cut_off(finish: Column | str, text: Column | str) -> Column:
     return F.lower(text_or_empty(finish)).isin(*CUT_OFF) | ((t != "") & ~F.right(t, F.lit(1)).isin("}", "]"))
 
 
-def balanced(text: str, start: int, opened: str = "{", closed: str = "}") -> tuple[str, int]:
-    """The JSON value that opens at or after ``start``, and where it ends; '' if it never closes. Brackets in strings don't count."""
-    at = text.find(opened, start)
-    if at < 0:
-        return "", len(text)
-    depth, quoted, escaped = 0, False, False
-    for i in range(at, len(text)):
-        c = text[i]
-        if quoted:
-            quoted, escaped = (True, False) if escaped else (c != '"', c == "\\")
-        elif c == '"':
-            quoted = True
-        elif c == opened:
-            depth += 1
-        elif c == closed:
-            depth -= 1
-            if not depth:
-                return text[at : i + 1], i + 1
-    return "", len(text)
+_DECODER, _GAP = json.JSONDecoder(), re.compile(r"[\s,]*")
 
 
-def best_json(text: str) -> str | None:
-    """The text itself, the first balanced object or array that parses, or what is between the first and last brace."""
-    tries = [text]
-    for opened, closed in (("{", "}"), ("[", "]")):
-        value, _ = balanced(text, 0, opened, closed)
-        tries.append(value)
-    tries.append(text[text.find("{") : text.rfind("}") + 1] if "{" in text else "")
-    for t in tries:
+def value_at(text: str, opening: str, start: int = 0) -> tuple[object, int, int]:
+    """The first JSON value that begins with ``opening`` at ``start`` or after, with its begin and end; (None, n, n) if none can be read."""
+    at = text.find(opening, start)
+    while at >= 0:
         try:
-            if t and isinstance(json.loads(t), (dict, list)):
-                return t
-        except ValueError:
-            continue
+            value, end = _DECODER.raw_decode(text, at)
+            return value, at, end
+        except (ValueError, RecursionError):
+            at = text.find(opening, at + 1)
+    return None, len(text), len(text)
+
+
+def best_json(text: str) -> str | None:
+    """The text itself, else the first object in it, else the first array, if it can be read as JSON."""
+    try:
+        if isinstance(_DECODER.decode(text), (dict, list)):
+            return text
+    except (ValueError, RecursionError):
+        pass
+    for opening in "{[":
+        first = text.find(opening)
+        if first >= 0:
+            value, begin, end = value_at(text, opening, first)
+            if value is not None and begin == first:
+                return text[begin:end]
     return None
 
 
-def salvage(text: str, name: str = "vulnerabilities") -> str | None:
-    """Of a broken response, the whole objects of its list ``name`` as a JSON array; null if there are none."""
+def list_objects(text: str, name: str) -> list[dict]:
+    """The whole objects at the top of the list ``name`` in a text that may break off; one that can't be read is passed over, one that breaks off ends the list."""
     mark = text.find(f'"{name}"')
-    at = text.find("[", mark)
-    if mark < 0 or at < 0:
-        return None
-    found = []
-    while True:
-        one, at = balanced(text, at)
-        if not one:
+    at = text.find("[", mark) + 1 if mark >= 0 else 0
+    found: list[dict] = []
+    while at > 0:
+        at = _GAP.match(text, at).end()
+        if text[at : at + 1] in ("", "]"):
             break
         try:
-            found.append(json.loads(one))
-        except ValueError:
-            continue
+            value, at = _DECODER.raw_decode(text, at)
+            if isinstance(value, dict):
+                found.append(value)
+        except json.JSONDecodeError as e:
+            if e.msg.startswith("Unterminated") or not text[e.pos :].strip():
+                break
+            at = text.find("{", e.pos)
+        except RecursionError:
+            break
+    return found
+
+
+def salvage(text: str, name: str = "vulnerabilities") -> str | None:
+    """Of a broken response, the whole objects of its list ``name`` as a JSON array; null if there are none."""
+    found = list_objects(text, name)
     return json.dumps(found, ensure_ascii=False) if found else None
 
 
@@ -119,9 +126,116 @@ def findings_of(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, "salvaged", "position", "f.*")
 
 
-def response_score(n_findings: Column, has_summary: Column, parsed: Column, cut_off: Column) -> Column:
-    """How good an attempt is: parsed 40, complete 30, a summary 20, and 3 for each of up to eight findings."""
-    return F.when(parsed, 40).otherwise(0) + F.when(~cut_off, 30).otherwise(0) + F.when(has_summary, 20).otherwise(0) + 3 * F.least(n_findings, F.lit(8))
+#: What is read of a response: all of it as far as it is there, the rest null.
+RESPONSE = (
+    "stage_summary string, architecture_info struct<tech_stack:string,framework:string,database:string,auth_mechanism:string,"
+    "routes:array<struct<method:string,path:string,handler:string,file_path:string,auth:string,params:array<string>,notes:string>>>,"
+    "vulnerabilities array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>, parse_error string, response_incomplete boolean, _salvaged boolean"
+)
+
+
+def typed(parsed: DataFrame, json_column: str = "json") -> DataFrame:
+    """Adds ``response`` (RESPONSE) and ``is_list``: whether the response is a list of findings by itself."""
+    body = F.col(json_column)
+    listed = F.coalesce(F.ltrim(body).startswith("["), F.lit(False))
+    findings = F.from_json(body, "array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>")
+    whole = F.from_json(body, RESPONSE, {"mode": "PERMISSIVE"})
+    return parsed.withColumn("is_list", listed).withColumn("response", F.when(listed, whole.withField("vulnerabilities", findings)).otherwise(whole))
+
+
+def response_score(response: Column, is_list: Column) -> Column:
+    """How good a response is: 40 if it could be parsed, 30 if it is complete, 20 if it wasn't salvaged, 3 for each of eight findings and 1 more with a proof, 3 each for a summary and a description of the architecture. A list has 10 and its length."""
+    found = F.coalesce(response["vulnerabilities"], F.array().cast("array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>"))
+    first = F.slice(found, 1, 8)
+    absent = lambda c: text_or_empty(c) == ""
+    points = (
+        F.when(absent(response["parse_error"]), 40).otherwise(0) + F.when(F.coalesce(response["response_incomplete"], F.lit(False)), 0).otherwise(30) + F.when(F.coalesce(response["_salvaged"], F.lit(False)), 0).otherwise(20)
+        + 3 * F.size(first) + F.size(F.filter(first, lambda v: F.trim(text_or_empty(v["poc_raw"])) != "")) + F.when(F.trim(text_or_empty(response["stage_summary"])) != "", 3).otherwise(0)
+        + F.when(response["architecture_info"].isNotNull(), 3).otherwise(0)
+    )
+    return F.when(is_list, 10 + F.size(found)).when(response.isNull(), 0).otherwise(points)
+
+
+#: How many findings an incomplete response of a stage keeps.
+MOST_FINDINGS = {1: 0, 2: 4, 3: 4, 4: 4, 5: 3, 6: 5, 7: 3, 8: 3, 9: 3}
+#: Longest texts of a finding, of a route and of the architecture in an incomplete response.
+FINDING_CHARS = {"title": 160, "severity": 20, "vuln_type": 120, "file_path": 260, "code_snippet": 1200, "endpoint": 260, "poc_raw": 1500, "description": 1200, "fix_suggestion": 800, "confidence": 20}
+ROUTE_CHARS = {"handler": 160, "file_path": 260, "auth": 40, "notes": 200}
+SUMMARY_CHARS, ARCHITECTURE_CHARS = 1200, 200
+
+
+def capped(responses: DataFrame) -> DataFrame:
+    """Of rows (stage_num, response, is_list): incomplete responses cut to a bounded form, adds ``recovered``.
+
+    A response is incomplete if it could not be parsed whole, breaks off or was salvaged; a
+    list becomes the findings of an otherwise empty one. Findings and routes are the first
+    few of the stage, their texts cut, lacking ones made '' or 0, routes without a path left
+    out; a missing summary says that the response broke off.
+    """
+    r, text = F.col("response"), text_or_empty
+    most = F.greatest(F.coalesce(F.create_map(*[F.lit(x) for kv in MOST_FINDINGS.items() for x in kv])[F.col("stage_num")], F.lit(3)), F.lit(1))
+    most = F.when(F.col("stage_num") == 1, 3).otherwise(most)
+    broken = (text(r["parse_error"]) != "") | F.coalesce(r["response_incomplete"], F.lit(False)) | F.coalesce(r["_salvaged"], F.lit(False))
+
+    def finding(v: Column) -> Column:
+        cut = {k: F.substring(text(v[k]), 1, n) for k, n in FINDING_CHARS.items()}
+        cut["confidence"] = F.substring(F.when(text(v["confidence"]) == "", "medium").otherwise(v["confidence"]), 1, FINDING_CHARS["confidence"])
+        lines = {k: F.coalesce(v[k], F.lit(0)) for k in ("line_start", "line_end")}
+        return F.struct(*[({**cut, **lines}[c.split(" ")[0]]).alias(c.split(" ")[0]) for c in FINDING.split(", ")])
+
+    def route(x: Column) -> Column:
+        cut = {k: F.substring(text(x[k]), 1, n) for k, n in ROUTE_CHARS.items()}
+        cut["auth"] = F.substring(F.when(text(x["auth"]) == "", "Unknown").otherwise(x["auth"]), 1, ROUTE_CHARS["auth"])
+        params = F.slice(F.coalesce(x["params"], F.array().cast("array<string>")), 1, 6)
+        return F.struct(F.upper(F.when(text(x["method"]) == "", "UNKNOWN").otherwise(x["method"])).alias("method"), F.trim(text(x["path"])).alias("path"), *[cut[k].alias(k) for k in ("handler", "file_path", "auth")], params.alias("params"), cut["notes"].alias("notes"))
+
+    routes = F.filter(F.transform(F.slice(r["architecture_info"]["routes"], F.lit(1), F.least(F.lit(8), F.greatest(F.lit(2), most * 3))), route), lambda x: x["path"] != "")
+    info = F.struct(*[F.substring(r["architecture_info"][k], 1, ARCHITECTURE_CHARS).alias(k) for k in ("tech_stack", "framework", "database", "auth_mechanism")], F.when(F.size(routes) > 0, routes).alias("routes"))
+    said = F.trim(text(r["stage_summary"]))
+    told = F.when(said == "", F.concat(F.lit("阶段"), F.col("stage_num").cast("string"), F.lit(" 模型响应出现截断，系统已根据可恢复字段整理为完整 JSON。"))).otherwise(said)
+    kept = F.slice(F.coalesce(r["vulnerabilities"], F.array().cast("array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>")), F.lit(1), most)
+    small = r.withField("stage_summary", F.substring(told, 1, SUMMARY_CHARS)).withField("architecture_info", info).withField("vulnerabilities", F.transform(kept, finding))
+    empty = r.withField("stage_summary", F.lit("")).withField("architecture_info", F.lit(None)).withField("vulnerabilities", r["vulnerabilities"])
+    return responses.withColumn("response", F.when(F.col("is_list"), empty).when(broken, small).otherwise(r)).withColumn("recovered", F.col("is_list") | broken)
+
+
+HINT = "title string, name string, vuln_type string, type string, severity string, confidence string, description string, file_path string, line_start string, line_end string, endpoint string, code_snippet string, stage_nums array<int>, suggested_stage_nums array<int>"
+MAX_HINTS = 40
+
+
+def risk_hints(parsed: DataFrame, by: list[str]) -> DataFrame:
+    """Hints of first-stage responses (json): by, place, title, vuln_type, severity, confidence, description, file_path, stage_nums, n_merged.
+
+    They are the entries of risk_hints, vulnerability_hints and vulnerabilities in this
+    order, of a list its own; a text is a hint by itself, of lowest severity. Hints of one
+    root cause are merged, and the first 40 of a response stay.
+    """
+    from .findings import merge_duplicates, normalize, root_cause
+
+    lists = F.from_json("json", "risk_hints array<string>, vulnerability_hints array<string>, vulnerabilities array<string>", {"mode": "PERMISSIVE"})
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(F.ltrim("json").startswith("["), F.lit(False))
+    every = F.when(listed, F.coalesce(F.from_json("json", "array<string>"), none)).otherwise(F.concat(*[F.coalesce(lists[k], none) for k in ("risk_hints", "vulnerability_hints", "vulnerabilities")]))
+    each = parsed.select(*by, F.posexplode(every).alias("seq", "item")).filter(F.trim("item") != "")
+    is_object = F.ltrim("item").startswith("{")
+    h = each.withColumn("_h", F.when(is_object, F.from_json("item", HINT))).withColumn("_text", F.when(~is_object, F.trim("item"))).select(*by, "seq", "_text", "_h.*")
+    n = normalize(h)
+    kind = F.when(is_placeholder("vuln_type"), "未验证风险线索").otherwise(F.col("vuln_type"))
+    about = F.trim(text_or_empty("description"))
+    title = F.when(~is_placeholder("title"), F.col("title")).when(~is_placeholder("vuln_type"), F.col("vuln_type")).when(~is_placeholder(about), F.substring(about, 1, 80)).otherwise("未命名风险线索")
+    stages = F.array_distinct(F.filter(F.concat(F.coalesce("stage_nums", F.array().cast("array<int>")), F.coalesce("suggested_stage_nums", F.array().cast("array<int>"))), lambda x: x.between(2, 9)))
+    is_text = F.col("_text").isNotNull()
+    named = n.withColumns({"_title": title, "_kind": kind, "stage_nums": stages}).select(
+        *by, F.col("seq").cast("long").alias("seq"), F.when(is_text, F.substring("_text", 1, 160)).otherwise(F.col("_title")).alias("title"), F.when(is_text, "未验证风险线索").otherwise(F.col("_kind")).alias("vuln_type"),
+        F.when(is_text | (text_or_empty("severity") == ""), "Info").otherwise(severity("severity")).alias("severity"), F.when(is_text, "low").otherwise(confidence("confidence")).alias("confidence"),
+        F.when(is_text, F.substring("_text", 1, 1000)).otherwise(F.col("description")).alias("description"), "file_path", "line_start", "line_end", "code_snippet", "endpoint", "stage_nums",
+        F.lit(None).cast("string").alias("poc_raw"), F.lit(None).cast("string").alias("poc_validation_status"), F.lit(None).cast("string").alias("fix_suggestion"), F.lit(1).alias("stage_num"),
+    )
+    keyed = root_cause(named)
+    stages_of = keyed.groupBy(*by, "dedupe_key").agg(F.min(F.when(F.size("stage_nums") > 0, F.struct("seq", "stage_nums")))["stage_nums"].alias("stage_nums"))
+    merged = merge_duplicates(keyed.drop("stage_nums"), (*by, "dedupe_key")).join(stages_of, [*by, "dedupe_key"])
+    out = top(merged, by, [F.col("first_seq")], MAX_HINTS, "place")
+    return out.select(*by, "place", "title", "vuln_type", "severity", "confidence", "description", "file_path", F.coalesce("stage_nums", F.array().cast("array<int>")).alias("stage_nums"), "n_merged")
 
 
 def best_attempt(attempts: DataFrame, by: list[str]) -> DataFrame:

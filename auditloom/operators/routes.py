@@ -92,10 +92,36 @@ def _commented(content: str, at: int) -> bool:
     return head.startswith(("//", "# ", "*", "--", "<!--")) or content.count('"""', 0, at) % 2 == 1
 
 
+#: How handlers read what a request brings, by the ending of their file: calls with the name in quotes, and Go's bindings.
+_READS = {
+    ".py": re.compile(r"""(?i)\breq(?:uest)?\.(?:GET|POST|query_params|args|form|data|json|files|headers|cookies|query|params|body)(?:\.get\(\s*|\s*\[\s*)["']([^"']+)["']"""),
+    ".go": re.compile(r"""\.\s*(?:Query|DefaultQuery|GetQuery|PostForm|GetPostForm|DefaultPostForm|Param|Header)\(\s*"([^"]+)\""""),
+}
+_BINDS = re.compile(r"(?:Should)?Bind(JSON|Json|Query)\([^)&]*&\w+\.(\w+)")
+_PY_DEF, _GO_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\([^)]*\)[^:\n]*:", re.M), re.compile(r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^)]*\)[^{\n]*\{", re.M)
+
+
+def handler_params(path: str, content: str) -> dict[str, list[str]]:
+    """Names that each function of a file reads from requests, in order. A Python body ends at the next line that is indented no further than its def, a Go body at the next closing brace at a line's start."""
+    found: dict[str, list[str]] = {}
+    if path.endswith(".py"):
+        for m in _PY_DEF.finditer(content):
+            end = re.compile(rf"^(?=[ \t]{{0,{len(m[1])}}}[^\s#])", re.M).search(content, m.end())
+            body = content[m.end() : end.start() if end else len(content)]
+            found.setdefault(m[2], list(dict.fromkeys(_READS[".py"].findall(body))))
+    elif path.endswith(".go"):
+        for m in _GO_DEF.finditer(content):
+            end = content.find("\n}", m.end())
+            body = content[m.end() : end if end >= 0 else len(content)]
+            bound = [("query" if kind == "Query" else "body") + ":*" + name for kind, name in _BINDS.findall(body)]
+            found.setdefault(m[1], list(dict.fromkeys(_READS[".go"].findall(body) + bound)))
+    return found
+
+
 def routes_of(path: str, content: str) -> Iterator[tuple]:
     """(method, path, handler, params, line, kind) of a file, in order of pattern and place."""
     low = path.lower()
-    groups = _group_prefixes(content)
+    groups, reads = _group_prefixes(content), handler_params(low, content)
     for p, pattern, local in _COMPILED:
         if not low.endswith(p.extensions) or (p.needs and p.needs not in content):
             continue
@@ -113,7 +139,7 @@ def routes_of(path: str, content: str) -> Iterator[tuple]:
             line = content.count("\n", 0, m.start()) + 1
             for verb, more, action in CRUD if p.crud else [(v, "", handler) for v in verbs]:
                 whole = full + more
-                yield verb, whole, action, _PARAMS.findall(whole), line, p.kind
+                yield verb, whole, action, list(dict.fromkeys(_PARAMS.findall(whole) + reads.get(action.split(".")[-1], []))), line, p.kind
 
 
 def extract_routes(files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
@@ -145,6 +171,156 @@ def extract_routes(files: DataFrame, prefixes: DataFrame | None = None) -> DataF
     return out.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
+def python_handlers(files: DataFrame) -> DataFrame:
+    """Functions of Python files: project, ordinal, path, name, params, auth (of the file)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, params = [], [], []
+            for i, (p, c) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+                for name, found in handler_params(p, c or "").items():
+                    at.append(i)
+                    names.append(name)
+                    params.append(found)
+            keep = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("project", "ordinal", "path", "auth")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(params, pa.list_(pa.string()))], names=["project", "ordinal", "path", "auth", "name", "params"])
+
+    py = files.filter(F.col("path").endswith(".py")).select("project", F.col("ordinal").cast("long").alias("ordinal"), "path", "content", auth_kind("content").alias("auth"))
+    return py.mapInArrow(run, f"project {files.schema['project'].dataType.simpleString()}, ordinal long, path string, auth string, name string, params array<string>")
+
+
+def module_names(files: DataFrame) -> DataFrame:
+    """What Python files call modules: project, path, alias ('*' for whole imports), want (the module's path without ending), place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, c in enumerate(batch.column("content").to_pylist()):
+                for k, m in enumerate(_PY_ANY_IMPORT.finditer(c or "")):
+                    module = (m["module"] or m["plain"]).strip(".").replace(".", "/")
+                    names = [(m["plain_as"] or m["plain"].split(".")[-1], module)] if m["plain"] else [("*", module)] if m["names"].strip() == "*" else []
+                    for part in [] if names else m["names"].split(","):
+                        name, _, alias = part.strip().partition(" as ")
+                        names.append((alias.strip() or name.strip(), f"{module}/{name.strip()}".strip("/")))
+                    for alias, want in names:
+                        at.append(i)
+                        rows.append((alias, want, k))
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            keep = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("project", "path")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.int32())], names=["project", "path", "alias", "want", "place"])
+
+    py = files.filter(F.col("path").endswith(".py")).select("project", "path", "content")
+    return py.mapInArrow(run, f"project {files.schema['project'].dataType.simpleString()}, path string, alias string, want string, place int")
+
+
+_PY_ANY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+(?P<module>[\w.]+)[ \t]+import[ \t]+(?P<names>\*|[\w, \t]+)|import[ \t]+(?P<plain>[\w.]+)(?:[ \t]+as[ \t]+(?P<plain_as>\w+))?)", re.M)
+
+
+def _module_files(files: DataFrame) -> DataFrame:
+    """Python files under each ending of their module path: project, want, target."""
+    stem = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", "")
+    parts = F.split(stem, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    each = files.filter(F.col("path").endswith(".py")).select("project", F.col("path").alias("target"), F.explode(ends).alias("want"))
+    return each.groupBy("project", "want").agg(F.min("target").alias("target"))
+
+
+def enrich_handlers(routes: DataFrame, files: DataFrame) -> DataFrame:
+    """Routes of Python files whose handler another file defines get handler_file_path, its parameters, and its auth where their own is none or unknown.
+
+    ``views.login`` is looked for in what the file calls ``views``, a bare name in modules
+    imported whole, the first that defines it. Only files listed no later than the route's own count.
+    """
+    made = python_handlers(files)
+    name = F.element_at(F.split(F.replace("handler", F.lit(".as_view"), F.lit("")), r"\."), -1)
+    base = F.when(F.contains("handler", F.lit(".")), F.element_at(F.split("handler", r"\."), 1)).otherwise("*")
+    asked = routes.filter(F.col("file_path").endswith(".py") & ~F.col("handler").isin("", "Unknown")).select("project", "ordinal", "file_path", "handler", name.alias("name"), base.alias("alias")).distinct()
+    own = made.select("project", F.col("path").alias("file_path"), "name")
+    away = asked.join(own, ["project", "file_path", "name"], "left_anti")
+    aimed = away.join(module_names(files).withColumnRenamed("path", "file_path"), ["project", "file_path", "alias"]).join(_module_files(files), ["project", "want"])
+    defined = made.select("project", F.col("path").alias("target"), "name", F.col("ordinal").alias("made_at"), F.col("params").alias("more"), F.col("auth").alias("their_auth"))
+    met = aimed.join(defined, ["project", "target", "name"]).filter("made_at <= ordinal")
+    first = met.groupBy("project", "file_path", "handler").agg(F.min(F.struct("place", "target", "more", "their_auth")).alias("_h"))
+    out = routes.join(first, ["project", "file_path", "handler"], "left")
+    open_ = F.lower(F.col("auth")).isin("none", "unknown", "")
+    return out.select(
+        *[F.col(c) for c in routes.columns if c not in ("auth", "params")], F.when(F.col("_h").isNotNull() & open_, F.col("_h.their_auth")).otherwise(F.col("auth")).alias("auth"),
+        F.array_distinct(F.concat("params", F.coalesce("_h.more", F.array().cast("array<string>")))).alias("params"), F.col("_h.target").alias("handler_file_path"),
+    )
+
+
+_NEST_MODULE = re.compile(r"@Module\(\s*(?P<args>[\s\S]{0,2500}?)\)\s*(?:export\s+)?class\s+(?P<name>\w+)", re.I)
+_NEST_TOKEN = re.compile(r"""\bpath\s*:\s*["'](?P<path>[^"']*)["']|\bmodule\s*:\s*(?P<module>\w+)|(?P<open>\{)|(?P<close>\})""")
+_CLASS = re.compile(r"(?:export\s+)?class\s+([A-Za-z_]\w*)")
+_GIN_RECEIVER, _GIN_CALL = re.compile(r"func\s+\((\w+)\s+\*?(\w+)\)\s+API\s*\(\s*\w+\s+\*gin\.RouterGroup\s*\)"), re.compile(r"api\.(\w+)\.API\((\w+)\)")
+
+
+def all_prefixes(files: DataFrame) -> DataFrame:
+    """Prefixes (project, path, prefix) by mounts and by modules, the shortest of each file."""
+    both = mounted_prefixes(files).unionByName(module_prefixes(files))
+    return both.groupBy("project", "path").agg(F.min(F.struct(F.length("prefix").alias("n"), "prefix"))["prefix"].alias("prefix"))
+
+
+def nest_tree(text: str) -> Iterator[tuple[str, str]]:
+    """(module, prefix) of a route tree: objects with path, module and children; a child's prefix begins with its parents'."""
+    depth: list[list[str]] = []
+    for m in _NEST_TOKEN.finditer(text):
+        if m["open"]:
+            depth.append(["", ""])
+        elif m["close"] and depth:
+            own, module = depth.pop()
+            if module:
+                yield module, "/".join(x.strip("/") for x in (*(d[0] for d in depth), own) if x.strip("/"))
+        elif depth and m["path"] is not None:
+            depth[-1][0] = m["path"]
+        elif depth and m["module"]:
+            depth[-1][1] = m["module"]
+
+
+def module_facts(path: str, content: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, key, value) of a file that tells where its routes are mounted: classes it has, controllers and prefixes of NestJS modules, Gin receivers and the groups they are called with."""
+    key = lambda x: re.sub(r"[^a-z0-9]+", "", x.lower())
+    if path.endswith((".ts", ".tsx", ".js")):
+        for name in _CLASS.findall(content):
+            yield "class", name, ""
+        m = _NEST_MODULE.search(content)
+        if m:
+            listed = re.search(r"controllers\s*:\s*\[([^\]]*)\]", m["args"])
+            for name in re.findall(r"[A-Za-z_]\w*", listed[1]) if listed else []:
+                yield "controller", m["name"], name
+            for call in re.finditer(r"RouterModule\.register\s*\(", m["args"], re.I):
+                for module, prefix in nest_tree(m["args"][call.end() :]):
+                    yield "module_prefix", module, "/" + prefix
+    elif path.endswith(".go"):
+        for var, kind in _GIN_RECEIVER.findall(content):
+            for name in dict.fromkeys((key(var), key(kind))):
+                yield "receiver", name, ""
+        groups = _group_prefixes(content)
+        for name, group in _GIN_CALL.findall(content):
+            if groups.get(group):
+                yield "gin_prefix", key(name), "/" + groups[group].strip("/")
+
+
+def module_prefixes(files: DataFrame) -> DataFrame:
+    """Prefixes (project, path, prefix) of controllers of NestJS modules and of Gin receivers, the shortest of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, (p, c) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+                for row in module_facts(p or "", c or ""):
+                    at.append(i)
+                    rows.append(row)
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            keep = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("project", "path")]
+            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(list(c), pa.string()) for c in cols)], names=["project", "path", "kind", "key", "value"])
+
+    facts = files.filter(F.col("path").rlike(r"\.(?:tsx?|js|go)$")).select("project", "path", "content").mapInArrow(run, f"project {files.schema['project'].dataType.simpleString()}, path string, kind string, key string, value string")
+    of = lambda kind: facts.filter(F.col("kind") == kind)
+    classes = of("class").groupBy("project", F.col("key").alias("controller")).agg(F.min("path").alias("path"))
+    nest = of("module_prefix").select("project", "key", F.col("value").alias("prefix")).join(of("controller").select("project", "key", F.col("value").alias("controller")), ["project", "key"]).join(classes, ["project", "controller"])
+    gin = of("gin_prefix").select("project", "key", F.col("value").alias("prefix")).join(of("receiver").select("project", "key", "path"), ["project", "key"])
+    both = nest.select("project", "path", "prefix").unionByName(gin.select("project", "path", "prefix")).filter(~F.col("prefix").isin("", "/"))
+    return both.groupBy("project", "path").agg(F.min(F.struct(F.length("prefix").alias("n"), "prefix"))["prefix"].alias("prefix"))
+
+
 #: Tech stack: category, name, file name ('' for any manifest), what it holds.
 STACK = (
     ("framework", "flask", "requirements.txt", "flask"), ("framework", "django", "requirements.txt", "django"), ("framework", "fastapi", "requirements.txt", "fastapi"), ("framework", "express", "package.json", '"express"'),
@@ -165,19 +341,35 @@ def tech_stack(files: DataFrame) -> DataFrame:
     return told.unionByName(langs).groupBy("project", "category").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
-#: Directory roles and the names that tell them.
+#: Directory roles and the names that tell them, in order of precedence.
 DIRECTORY_ROLES = {
-    "controllers": ("controllers", "controller", "handlers", "api", "views"), "models": ("models", "entities", "domain", "schemas"), "services": ("services", "usecases", "managers"),
-    "middleware": ("middleware", "middlewares", "guards", "interceptors"), "config": ("config", "conf", "settings"), "tests": ("tests", "test", "spec", "__tests__"), "static": ("static", "public", "assets"),
+    "controller": ("controller", "controllers", "handler", "handlers", "endpoint", "endpoints", "api", "apis"),
+    "service": ("service", "services", "logic", "business", "usecase", "usecases", "interactor", "interactors"), "model": ("model", "models", "entity", "entities", "domain"),
+    "middleware": ("middleware", "middlewares", "interceptor", "interceptors", "guard", "guards", "filter", "filters"), "config": ("config", "configuration", "settings", "conf"),
+    "route": ("route", "routes", "router", "routers", "urls"), "auth": ("auth", "authentication", "security", "permission", "permissions"),
+    "dao": ("dao", "repository", "repositories", "mapper", "mappers", "dal", "persistence"), "view": ("view", "views", "template", "templates", "page", "pages", "component", "components"),
+    "util": ("util", "utils", "helper", "helpers", "common", "shared", "lib", "libs"), "test": ("test", "tests", "spec", "specs", "__tests__", "testing"), "migrate": ("migration", "migrations", "migrate", "db"),
 }
+#: Layouts of projects and the roles that make them.
+LAYOUTS = {"mvc": ("controller", "model", "view"), "layered": ("controller", "service", "dao"), "clean": ("entity", "usecase", "interactor"), "django_mvt": ("view", "model", "template")}
 
 
 def directory_roles(files: DataFrame) -> DataFrame:
-    """Directories with the role of their last part, and how many files are below them directly."""
-    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    """Directories of every depth with the role of their name (null without one) and how many files are in them directly."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("directory"), (i == F.size(parts) - 1).alias("direct")))
+    each = files.filter(F.contains("path", F.lit("/"))).select("project", F.explode(above).alias("d"))
     last = F.lower(F.element_at(F.split("directory", "/"), -1))
     role = F.coalesce(*[F.when(last.isin(*names), k) for k, names in DIRECTORY_ROLES.items()])
-    return files.select("project", parent.alias("directory")).filter("directory <> ''").groupBy("project", "directory").agg(F.count(F.lit(1)).alias("n_files")).withColumn("role", role)
+    return each.groupBy("project", "d.directory").agg(F.count_if("d.direct").alias("n_files")).withColumn("role", role)
+
+
+def project_layouts(roles: DataFrame) -> DataFrame:
+    """Per project the layout that its directories' roles make up most of, half at least, the first of equals; 'unknown' for none. Adds the roles found."""
+    found = roles.groupBy("project").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    each = F.array(*[F.struct(F.size(F.array_intersect("roles", F.array(*map(F.lit, want)))).alias("n"), F.lit(-i).alias("order"), F.lit(len(want)).alias("of"), F.lit(name).alias("layout")) for i, (name, want) in enumerate(LAYOUTS.items())])
+    best = F.array_max(F.filter(each, lambda x: (x["n"] > 0) & (2 * x["n"] >= x["of"])))
+    return found.select("project", "roles", F.coalesce(best["layout"], F.lit("unknown")).alias("layout"))
 
 
 _MIDDLEWARE = r"(?:app\.use|add_middleware|before_request|UseMiddleware<|\.addInterceptor|r\.Use)\s*[(<]?\s*([\w.]+)"
@@ -297,4 +489,32 @@ def import_edges(files: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"\.(?:js|ts|jsx|tsx|mjs|cjs|vue)$", ""), "/index$", "")
     js_have = js.select("project", F.col("path").alias("dst"), bare(F.col("path")).alias("want"))
     js_edges = up.select("project", "src", bare(F.array_join(walk, "/")).alias("want")).join(js_have, ["project", "want"]).groupBy("project", "src", "want").agg(F.min("dst").alias("dst")).select("project", "src", "dst")
-    return py_edges.unionByName(js_edges).filter("src <> dst").distinct()
+    return py_edges.unionByName(js_edges).unionByName(_java_edges(files)).unionByName(_go_edges(files)).filter("src <> dst").distinct()
+
+
+_JAVA_IMPORT, _GO_IMPORTS = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", r'"([\w./-]+)"'
+
+
+def _java_edges(files: DataFrame) -> DataFrame:
+    """Imports of classes by the end of a file's path."""
+    java = files.filter(F.col("path").rlike(r"\.(?:java|kt)$"))
+    asked = java.select("project", F.col("path").alias("src"), F.explode_outer(F.regexp_extract_all("content", F.lit(_JAVA_IMPORT), F.lit(1))).alias("m")).filter("m <> ''").select("project", "src", F.replace("m", F.lit("."), F.lit("/")).alias("want"))
+    parts = F.split(F.regexp_replace("path", r"\.\w+$", ""), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    have = java.select("project", F.col("path").alias("dst"), F.explode(ends).alias("want"))
+    return asked.join(have, ["project", "want"]).groupBy("project", "src", "want").agg(F.min("dst").alias("dst")).select("project", "src", "dst")
+
+
+def _go_edges(files: DataFrame) -> DataFrame:
+    """Imports of packages: every file of the directory that a package's path ends with, the module's own name taken off."""
+    go = files.filter(F.col("path").endswith(".go"))
+    module = files.filter(F.col("path") == "go.mod").select("project", F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"))
+    block = F.concat_ws("\n", F.regexp_extract_all("content", F.lit(r"import\s*\(([\s\S]*?)\)"), F.lit(1)), F.regexp_extract_all("content", F.lit(r'(import\s+"[^"]+")'), F.lit(1)))
+    asked = go.join(module, "project", "left").select("project", F.col("path").alias("src"), F.coalesce("module", F.lit("")).alias("module"), F.explode_outer(F.regexp_extract_all(block, F.lit(_GO_IMPORTS), F.lit(1))).alias("m")).filter("m IS NOT NULL")
+    inside = F.when((F.col("module") != "") & F.startswith("m", F.concat("module", F.lit("/"))), F.substring("m", F.length("module") + 2, F.length("m"))).otherwise(F.col("m"))
+    directory = F.lower(F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    parts = F.split(directory, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    dirs = go.filter(directory != "").select("project", directory.alias("directory"), F.explode(ends).alias("want")).groupBy("project", "want").agg(F.min("directory").alias("directory"))
+    have = go.select("project", F.col("path").alias("dst"), directory.alias("directory"))
+    return asked.select("project", "src", F.lower(inside).alias("want")).join(dirs, ["project", "want"]).join(have, ["project", "directory"]).select("project", "src", "dst")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths, severity, text
-from ..functions.rules import DEFAULT_RULES, RISK_KEYWORDS, Rule
-from ..operators import coverage, findings, graph, planning, responses, rule_hits, scan
+from ..functions.rules import RISK_KEYWORDS, Rule
+from ..operators import coverage, findings, graph, planning, rule_hits, scan
 from ..operators.rule_hits import top
 from ..sources import driver_tables as dt
 from ..streaming import events as ev
+from . import summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,12 +56,6 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.with_risk(chunks)
 
 
-@query()
-def page_rule_hits(spark, sf):
-    """Default rules over pages, ranked."""
-    return rule_hits.rule_hits(page_chunks(spark, sf)).withColumn("stage_nums", F.to_json("stage_nums"))
-
-
 def _hits_sql() -> str:
     parts = []
     for r in PROSE_RULES:
@@ -145,10 +140,12 @@ h AS (SELECT path, i, lag(i) OVER (PARTITION BY path ORDER BY i) AS prev FROM l
 SELECT path, CAST(island AS BIGINT) AS island, greatest(min(i) - 1, 0) AS lo, CAST(max(i) + 2 AS BIGINT) AS hi, count(*) AS n_lines FROM g GROUP BY path, island""")
 def signal_windows_merged(spark, sf):
     """Windows of one line around marked lines, joined over gaps of up to two."""
-    lines = dt.files(spark, sf).select("path", F.posexplode(F.split("content", "\n")).alias("i", "line")).filter(F.col("line").contains("|") | F.col("line").contains("*"))
-    by = Window.partitionBy("path").orderBy("i")
-    marked = lines.withColumn("prev", F.lag("i").over(by)).withColumn("island", F.sum(F.when(F.col("prev").isNull() | (F.col("i") - 1 > F.col("prev") + 4), 1).otherwise(0)).over(by))
-    return marked.groupBy("path", "island").agg(F.greatest(F.min("i") - 1, F.lit(0)).cast("long").alias("lo"), (F.max("i") + 2).cast("long").alias("hi"), F.count(F.lit(1)).alias("n_lines"))
+    lined = text.fixed(dt.files(spark, sf), lines=F.split("content", "\n"))
+    marked = text.fixed(lined, hits=F.array_compact(F.transform("lines", lambda line, i: F.when(line.contains("|") | line.contains("*"), i))))
+    windows = scan.merge_windows(F.transform("hits", lambda i: F.struct(F.greatest(i - 1, F.lit(0)).alias("lo"), (i + 2).alias("hi"))), 2)
+    each = marked.select("path", "hits", F.posexplode(windows).alias("k", "w"))
+    n = F.size(F.filter("hits", lambda i: (i >= F.col("w.lo")) & (i < F.col("w.hi"))))
+    return each.select("path", (F.col("k") + 1).cast("long").alias("island"), F.col("w.lo").cast("long").alias("lo"), F.col("w.hi").cast("long").alias("hi"), n.cast("long").alias("n_lines"))
 
 
 @query(f"WITH f AS ({_FILES}) SELECT project, sha256(string_agg(path || '|' || extension || '|' || size, chr(10) ORDER BY path || '|' || extension || '|' || size)) AS fingerprint, count(*) AS n_files FROM f GROUP BY project")
@@ -164,13 +161,6 @@ def content_hash_dupes(spark, sf):
     return d.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("n").cast("long").alias("n_chars")).filter("copies > 1").select(F.substring("h", 1, 16).alias("content_hash"), "copies", "first_doc", "n_chars")
 
 
-@query()
-def file_index(spark, sf):
-    """Files with role, hash and the risk of their hits."""
-    hits = rule_hits.rule_hits(prose_chunks(spark, sf), PROSE_RULES, None)
-    return scan.file_index(dt.files(spark, sf), hits)
-
-
 _ID_SQL = "coalesce('rt_' || substr(sha1(concat_ws('|', CASE WHEN trim(method) = '' THEN 'UNKNOWN' ELSE upper(trim(method)) END, regexp_replace(path, '\\s+', '', 'g'), trim(handler), lower(trim(file_path, '/')))), 1, 12), '')"
 
 
@@ -245,22 +235,20 @@ def findings_filtered_ranked(spark, sf):
 @query(f"SELECT task_id, stage_num, count(*) AS n FROM ({dt.FINDINGS_SQL}) GROUP BY ALL")
 def stage_formal_counts(spark, sf):
     """Findings of every stage."""
-    return dt.findings(spark, sf).groupBy("task_id", "stage_num").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.stage_counts(dt.findings(spark, sf))
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS projects, (SELECT count(*) FROM orders) AS audits, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS completed, (SELECT count(*) FROM lineitem) AS findings")
 def global_stats(spark, sf):
     """Four counts."""
-    o = dt.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("audits"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"))
-    one = lambda t, name: dt.table(spark, sf, t).agg(F.count(F.lit(1)).alias(name))
-    return one("customer", "projects").crossJoin(o).crossJoin(one("lineitem", "findings"))
+    o = dt.table(spark, sf, "orders")
+    return summaries.totals(projects=dt.table(spark, sf, "customer"), audits=o, completed=o.filter("o_orderstatus = 'F'"), findings=dt.table(spark, sf, "lineitem"))
 
 
 @query(f"SELECT vuln_type, CAST(max(o) AS BIGINT) AS worst, count(*) AS n, row_number() OVER (ORDER BY max(o) DESC, vuln_type) AS place FROM (SELECT vuln_type, CASE severity WHEN 'Critical' THEN 5 WHEN 'high' THEN 4 WHEN '高危' THEN 4 WHEN 'Low' THEN 2 WHEN 'Info' THEN 1 ELSE 0 END AS o FROM ({dt.FINDINGS_SQL})) GROUP BY vuln_type")
 def type_groups_by_worst(spark, sf):
     """Kinds of findings by their worst (O10). One row a kind is ranked."""
-    g = dt.findings(spark, sf).groupBy("vuln_type").agg(F.max(severity.severity_order("severity")).cast("long").alias("worst"), F.count(F.lit(1)).alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("worst"), "vuln_type")).cast("long"))
+    return summaries.type_groups(dt.findings(spark, sf)).withColumn("place", F.col("place").cast("long"))
 
 
 _ANCHOR = "CASE WHEN line_start IS NOT NULL THEN 'line:' || line_start || '-' || line_start WHEN code_snippet IS NOT NULL THEN 'code:' || substr(sha256(substr(regexp_replace(regexp_replace(trim(regexp_replace(lower(code_snippet), '[^0-9a-z/._-]+', ' ', 'g')), '\\b\\d+\\b', '{n}', 'g'), '\\b[0-9a-f]{8,}\\b', '{hex}', 'g'), 1, 160)), 1, 16) ELSE upper(split_part(endpoint, ' ', 1)) || ' ' || regexp_replace(lower(split_part(endpoint, ' ', 2)), '/[0-9]+$', '/{id}') END"
@@ -300,13 +288,6 @@ def review_carry_forward(spark, sf):
     return findings.carry_reviews(k, before).groupBy("review_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def upsert_findings(spark, sf):
-    """Findings of one half upserted into the other."""
-    f = dt.findings(spark, sf)
-    return findings.upsert(f.filter("seq % 2 = 0"), f.filter("seq % 2 = 1")).select("task_id", "dedupe_key", "severity", "title", "n_merged", F.length("description").alias("description_length"))
-
-
 _ATTEST = "SELECT doc_id % 5 AS task_id, CAST(doc_id % 8 + 2 AS INTEGER) AS stage_num, doc_id AS page_id, CASE WHEN quality = 1 THEN 'covered' WHEN toxic = 1 THEN 'gap' ELSE 'insufficient_context' END AS status FROM labels"
 
 
@@ -353,22 +334,6 @@ def stage_gap_counts(spark, sf):
     return coverage.stage_coverage(items, focus).select("task_id", "stage_num", "focus_route_count", "attested_route_count", "audited_route_count", "unattested_focus_route_count")
 
 
-@query()
-def scored_route_match(spark, sf):
-    """Routes asked for by file, verb and path, each with the route that suits best (K9)."""
-    r = dt.routes(spark, sf)
-    asks = r.select("task_id", F.col("ordinal").alias("seq"), "file_path", "method", "path")
-    return coverage.best_route(asks, coverage.with_route_id(r)).select("task_id", "seq", "best_route_id", "best_score")
-
-
-@query()
-def resolved_routes(spark, sf):
-    """Endpoints resolved to routes by their canonical keys (K6, K7)."""
-    r = coverage.with_route_id(dt.routes(spark, sf))
-    asks = r.select("task_id", F.col("ordinal").alias("seq"), F.concat_ws(" ", "method", "path").alias("endpoint"))
-    return coverage.resolve_routes(asks, r).select("task_id", "seq", "matched_route_id")
-
-
 @query(f"""WITH p AS (SELECT task_id, {_ID_SQL} AS route_id, 2 + ordinal % 8 AS st, CAST({_PRIORITY_SQL} AS BIGINT) AS priority FROM ({dt.ROUTES_SQL})), d AS (SELECT task_id, route_id, min(st) AS stage_num, max(priority) AS priority FROM p GROUP BY ALL),
 c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY priority DESC, route_id) AS r FROM d QUALIFY r <= 48), q AS (SELECT *, (row_number() OVER (PARTITION BY task_id, stage_num ORDER BY priority DESC, route_id) - 1) AS place, min(r) OVER (PARTITION BY task_id, stage_num) AS lead FROM c),
 b AS (SELECT *, dense_rank() OVER (PARTITION BY task_id ORDER BY place // 6, lead) AS batch_no FROM q) SELECT task_id, batch_no, stage_num, route_id, place % 6 AS place FROM b WHERE batch_no <= 2""")
@@ -380,15 +345,6 @@ def followup_round_robin(spark, sf):
     return out.select("task_id", F.col("batch_no").cast("long").alias("batch_no"), "stage_num", "route_id", F.col("place").cast("long").alias("place"))
 
 
-@query()
-def source_sink_hints(spark, sf):
-    """Sources and sinks that meet in pages, with routes of the file."""
-    chunks = page_chunks(spark, sf)
-    routes = dt.routes(spark, sf).select(F.lit("web").alias("project"), F.concat(F.lit("pages/page_"), F.col("ordinal").cast("string"), F.lit(".html")).alias("file_path"), "path", "ordinal")
-    out = rule_hits.source_sink_hints(chunks, routes, {"query": ("ref=x", "page=", "href="), "db_input": ("path", "url", "email")}, {"xss": ("外部输入到输出渲染点", (4,), ("<script", "html", "template")), "file": ("外部输入到文件操作点", (8,), ("open(", "copy(", "glob("))})
-    return out.select("label", "file_path", "risk_score", F.array_join("source_types", ",").alias("source_types"), F.array_join("sink_keywords", ",").alias("sink_keywords"), F.array_join("route_paths", ",").alias("route_paths"), "evidence")
-
-
 _EVIDENCE = "SELECT o_custkey AS project, CAST(o_orderkey % 8 + 2 AS INTEGER) AS stage_num FROM orders WHERE o_orderstatus <> 'P'"
 
 
@@ -492,15 +448,6 @@ def json_payload_extract(spark, sf):
     return dt.events(spark, sf).select(F.col("id").alias("event_id"), F.get_json_object("payload", "$.k").cast("long").alias("k"))
 
 
-@query()
-def run_diagnostics(spark, sf):
-    """One of ten states of each task."""
-    runs, events = dt.runs(spark, sf), dt.events(spark, sf)
-    tasks = events.select("task_id").distinct().withColumn("status", F.element_at(F.array(*map(F.lit, ("running", "pending", "completed", "paused"))), (F.col("task_id") % 4 + 1).cast("int")))
-    sub = runs.select("task_id", F.col("status"))
-    return ev.diagnose(tasks, runs, sub.filter("status = 'pending'"), sub.filter("status = 'failed'"), events, "2026-01-01 00:00:00")
-
-
 @query("SELECT conv_id AS task_id, arg_min(role, turn) AS role, string_agg(role, ',' ORDER BY f) AS roles, CAST(any_value(n) AS BIGINT) AS n_passes FROM (SELECT conv_id, role, min(turn) AS f, min(turn) AS turn, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id, role) GROUP BY conv_id")
 def agent_pass_fold(spark, sf):
     """Passes of an agent folded in order."""
@@ -545,106 +492,20 @@ def import_components(spark, sf):
     return graph.connected(e, nodes)
 
 
-@query()
-def malformed_json_salvage(spark, sf):
-    """Conversations as responses, some broken, and the findings that are saved (H1-H7)."""
-    c = dt.table(spark, sf, "conversations")
-    body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("title"), F.lit("High").alias("severity")), F.struct(F.lit("second").alias("title"), F.lit("Low").alias("severity"))).alias("vulnerabilities")))
-    kind = (F.col("conv_id") + F.col("turn")) % 4
-    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(F.substring(body, F.lit(1), F.length(body) - 4))
-    parsed = responses.parse(c.select("conv_id", "turn", raw.alias("content")))
-    return responses.findings_of(parsed, ["conv_id", "turn", "parse_state"]).select("conv_id", "turn", "parse_state", "salvaged", "position", "title", "severity")
-
-
 @query("SELECT c.c_custkey AS project, c_mktsegment AS segment, count(o_orderkey) AS n_audits, CAST(coalesce(max(o_orderkey), 0) AS BIGINT) AS latest FROM customer c LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def audit_lists(spark, sf):
     """Projects with their audits."""
-    c, o = dt.table(spark, sf, "customer"), dt.table(spark, sf, "orders")
-    per = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("m"))
-    return c.join(per, c["c_custkey"] == per["o_custkey"], "left").select(F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("segment"), F.coalesce("n", F.lit(0)).alias("n_audits"), F.coalesce("m", F.lit(0)).alias("latest"))
+    o = dt.table(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"))
+    c = dt.table(spark, sf, "customer").select(F.col("c_custkey").alias("project"), F.col("c_mktsegment").alias("segment"))
+    return summaries.latest(o, "project", c).withColumnRenamed("n_rows", "n_audits")
 
 
 @query("SELECT o_custkey AS orphan_task, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) GROUP BY 1")
 def orphan_rows(spark, sf):
     """Rows whose owner is gone."""
-    left = dt.table(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey"))
-    return dt.table(spark, sf, "orders").join(left, "o_custkey", "left_anti").groupBy(F.col("o_custkey").alias("orphan_task")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT stage_num, kind, count(*) AS n FROM (SELECT CAST(o_orderkey % 8 + 2 AS INTEGER) AS stage_num, unnest(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'failed' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END], lambda x: x IS NOT NULL)) AS kind FROM orders) GROUP BY ALL")
-def quality_notices(spark, sf):
-    """Flags of stages as rows."""
-    s = dt.stages(spark, sf)
-    kinds = F.array_compact(F.array(F.when(F.col("status") == "failed", "failed"), F.when(F.col("priority") == "1-URGENT", "urgent")))
-    return s.select("stage_num", F.explode(kinds).alias("kind")).groupBy("stage_num", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-#: A small project in several frameworks, for operators that documents and pages have nothing for.
-SAMPLE = (
-    ("requirements.txt", "flask\npsycopg2\npyjwt\n"),
-    ("app.py", "from flask import Flask\nfrom app import views\napp = Flask(__name__)\n\n@app.route('/login', methods=['POST'])\ndef login():\n    return jwt.encode({})\n\n@app.route('/items/<int:item_id>')\n@login_required\ndef item(item_id):\n    return cursor.execute('SELECT 1')\n"),
-    ("app/views.py", "from fastapi import APIRouter\nrouter = APIRouter(prefix='/api')\n\n@router.get('/users/{user_id}')\nasync def user(user_id: int):\n    return 1\n"),
-    ("src/UserController.java", '@RestController\n@RequestMapping("/users")\npublic class UserController {\n  @GetMapping("/{id}")\n  public User one(@PathVariable Long id) { return null; }\n}\n'),
-    ("app/admin.py", "from flask import Blueprint\nbp = Blueprint('admin', __name__)\n\n@bp.route('/stats')\ndef stats():\n    return 1\n"),
-    ("wsgi.py", "from app.admin import bp\nfrom app import views\nserver.register_blueprint(bp, url_prefix='/admin')\nserver.include_router(views.router, prefix='/v2')\n"),
-    ("web/server.js", "const files = require('./routes')\napp.use('/static', files)\n"),
-    ("web/routes.js", "const helper = require('./helper')\nconst router = express.Router()\nrouter.post('/upload', upload)\napp.use('/files', router)\n"),
-    ("web/helper.js", "import x from './routes'\nmodule.exports = 1\n"),
-    ("main.go", 'v1 := r.Group("/v1")\nadmin := v1.Group("/admin")\nadmin.GET("/users/:id", listUsers)\nhttp.HandleFunc("/health", health)\n'),
-    ("config/routes.rb", "Rails.application.routes.draw do\n  resources :posts\n  get '/about', to: 'pages#about'\nend\n"),
-    ("src/main.rs", '#[get("/ping")]\nasync fn ping() -> impl Responder { "pong" }\n'),
-    ("api/web.php", "Route::get('/orders', [OrderController::class, 'index']);\n"),
-    ("api/ItemsController.cs", '[Route("api/items")]\npublic class ItemsController {\n  [HttpGet("{id}")]\n  public Item Get(int id) { return null; }\n}\n'),
-    ("src/cats.controller.ts", "@Controller('cats')\nexport class CatsController {\n  @Post()\n  create(@Body() dto: Dto) { return 1; }\n}\n"),
-)
-
-
-def sample_files(spark: SparkSession) -> DataFrame:
-    rows = [("sample", i, p, "." + p.rsplit(".", 1)[-1], len(c), c) for i, (p, c) in enumerate(SAMPLE)]
-    return spark.createDataFrame(rows, "project string, ordinal long, path string, extension string, size long, content string")
-
-
-@query()
-def route_extract(spark, sf):
-    """Routes of a sample project in eleven frameworks."""
-    from ..operators import routes
-
-    files = sample_files(spark)
-    return routes.extract_routes(files, routes.mounted_prefixes(files)).select("method", "path", "handler", "file_path", "auth", F.array_join("params", ",").alias("params"), "line_start", "source_kind")
-
-
-@query()
-def import_graph(spark, sf):
-    """Imports between the sample's files, and what they make critical."""
-    from ..operators import routes
-
-    edges = routes.import_edges(sample_files(spark))
-    hubs = graph.in_degree_hubs(edges)
-    return routes.critical_files(sample_files(spark), hubs).select("path", F.array_join("reasons", ",").alias("reasons"), "priority")
-
-
-@query()
-def tech_stack(spark, sf):
-    """What the sample is built with."""
-    from ..operators import routes
-
-    return routes.tech_stack(sample_files(spark)).select("category", F.array_join("values", ",").alias("values"))
-
-
-@query()
-def directory_roles(spark, sf):
-    """Directories of the sample and their roles."""
-    from ..operators import routes
-
-    return routes.directory_roles(sample_files(spark)).select("directory", "role", "n_files")
-
-
-@query()
-def middleware(spark, sf):
-    """Middleware and guarding decorators of the sample."""
-    from ..operators import routes
-
-    return routes.middleware(sample_files(spark)).select("kind", "name", "n")
+    left = dt.table(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("orphan_task"))
+    gone = summaries.orphans(dt.table(spark, sf, "orders").withColumnRenamed("o_custkey", "orphan_task"), left, "orphan_task")
+    return gone.groupBy("orphan_task").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH f AS ({_FILES}) SELECT path, {_count_sql('lower(path)', ('.md', '.txt', '.rst'))} > 0 AS low_signal, contains(lower(substr(content, 1, 2000)), 'copyright') AND contains(lower(substr(content, 1, 2000)), 'license') AND length(substr(content, 1, 2000)) < 1200 OR path LIKE '%.txt' AS low_value FROM f""")
@@ -655,41 +516,13 @@ def chunk_predicates(spark, sf):
     return dt.files(spark, sf).select("path", chunks.is_low_signal("path").alias("low_signal"), chunks.is_low_value("path", "content").alias("low_value"))
 
 
-@query()
-def stage_chunks(spark, sf):
-    """Chunks of pages for stage 4: markers, risk, routes; the best with backfill (M1-M4)."""
-    from ..functions import chunks
-
-    c = page_chunks(spark, sf)
-    routed = dt.routes(spark, sf).filter("ordinal % 2 = 0").select(F.concat(F.lit("pages/page_"), F.col("ordinal").cast("string"), F.lit(".html")).alias("base_file_path"), F.lit(True).alias("in_routes"))
-    scored = text.fixed(c.join(routed, "base_file_path", "left"), score=chunks.marker_score("content", ("<script", "innerhtml"), ("href=", "onclick"), ("/static/",)) + chunks.priority_boost(4, F.coalesce("in_routes", F.lit(False)), F.lit(False)))
-    return planning.select_with_backfill(scored.select("project", "base_file_path", "chunk_ordinal", "score"), ["project"], "score", ["chunk_ordinal"])
-
-
 @query(f"""SELECT CASE WHEN stage_num IN (2, 3, 4, 8) THEN 'raw_http' WHEN stage_num IN (5, 6, 9) THEN 'stepwise' ELSE 'cli' END AS kind, stage_num, count(*) AS n FROM ({dt.FINDINGS_SQL}) GROUP BY ALL""")
 def proof_kinds(spark, sf):
     """The proof that a finding needs."""
     from ..functions import proofs
 
-    f = dt.findings(spark, sf)
-    return f.groupBy(proofs.required_kind(F.col("stage_num")).alias("kind"), "stage_num").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def route_proofs(spark, sf):
-    """Requests made from routes, parsed again."""
-    from ..functions import proofs
-
-    r = dt.routes(spark, sf).withColumn("poc", proofs.request_text(F.col("method"), F.col("path"), F.array(F.lit("q")), F.col("auth")))
-    return r.select("ordinal", proofs.raw_request("poc").alias("r")).select("ordinal", "r.valid", "r.method", "r.target", "r.host")
-
-
-@query()
-def mounted_prefixes(spark, sf):
-    """Prefixes that the sample's files get from those that mount them."""
-    from ..operators import routes
-
-    return routes.mounted_prefixes(sample_files(spark)).select("path", "prefix")
+    f = proofs.with_proof(dt.findings(spark, sf))
+    return f.groupBy(F.col("proof_kind").alias("kind"), "stage_num").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH c AS (SELECT DISTINCT conv_id, turn, role FROM conversations), f AS (SELECT conv_id, role, min(turn) AS turn FROM c GROUP BY ALL), n AS (SELECT conv_id, turn, count(*) AS n_new FROM f GROUP BY ALL),
@@ -726,13 +559,6 @@ def rescored_top(spark, sf):
     return out.select("task_id", "ordinal", "total", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
-def packed_batches(spark, sf):
-    """Components of orders by customer, packed into batches (M6, M7)."""
-    o = dt.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("project"), F.col("o_custkey").alias("comp")).agg(F.count(F.lit(1)).alias("n"))
-    return planning.pack_batches(o)
-
-
 @query("""WITH l AS (SELECT o_custkey AS task_id, CAST(o_orderkey % 8 + 2 AS INTEGER) AS stage_num, arg_max(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY ALL), a AS (SELECT DISTINCT o_custkey AS task_id, CAST(unnest([2, 5]) AS INTEGER) AS stage_num FROM orders)
 SELECT a.task_id, a.stage_num, CASE WHEN st IS NULL THEN 'not_found' WHEN st = 'F' THEN 'done' ELSE 'retry' END AS outcome FROM a LEFT JOIN l USING (task_id, stage_num)""")
 def rerun_outcomes(spark, sf):
@@ -742,15 +568,6 @@ def rerun_outcomes(spark, sf):
     return planning.rerun_stages(asked, s).select("task_id", "stage_num", "outcome")
 
 
-@query()
-def localized_types(spark, sf):
-    """Finding types in Chinese."""
-    from ..functions.localize import localize
-
-    names = ("SQL Injection", "sql_injection", "Reflected XSS via header", "other")
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", localize("name").alias("localized"))
-
-
 @query(f"SELECT task_id, count(*) AS total, count_if(severity = 'Critical') AS critical, count_if(severity = '') AS unknown, count_if(seq % 3 <> 0) AS unreviewed, count_if(seq % 3 = 0) AS confirmed FROM ({dt.FINDINGS_SQL}) GROUP BY task_id")
 def snapshot_counts(spark, sf):
     """Counts of a task's findings that no filter changes (O3)."""
@@ -760,12 +577,12 @@ def snapshot_counts(spark, sf):
     return views.snapshot_counts(f).select("task_id", "total", "critical", "unknown", "unreviewed", "confirmed")
 
 
-@query(f"SELECT seq, title, severity FROM ({dt.FINDINGS_SQL}) WHERE stage_num BETWEEN 2 AND 9 AND severity IN ('high', '高危', 'High', '高') AND task_id = 5")
+@query(f"SELECT seq, title, severity FROM ({dt.FINDINGS_SQL}) WHERE stage_num BETWEEN 2 AND 9 AND severity IN ('high', '高危', 'High', '高')")
 def filtered_findings(spark, sf):
     """Findings of one severity by any of its names."""
     from . import views
 
-    return views.list_findings(dt.findings(spark, sf).filter("task_id = 5"), "High", None, None).select("seq", "title", "severity")
+    return views.list_findings(dt.findings(spark, sf), "High", None, None).select("seq", "title", "severity")
 
 
 @query(f"SELECT task_id, vuln_type, count(*) AS n, count_if(poc_validation_status = 'valid') AS n_valid_proofs FROM ({dt.FINDINGS_SQL}) WHERE seq % 7 <> 0 GROUP BY ALL")

@@ -84,3 +84,40 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     over = F.col("event_id") % 3 == 0
     return e.select((F.col("event_id") + 1).alias("id"), F.col("user_id").alias("task_id"), at.alias("started_at"), F.when(over, at + F.expr("INTERVAL 1 DAY")).alias("ended_at"), F.when(over, "completed").when(F.col("event_id") % 3 == 1, "running").otherwise("pending").alias("status"))
+
+
+#: A small project in several frameworks; {i} is a page's number. Each page becomes these files, so paths, module names and routes follow from the table.
+CODE = (
+    ("m{i}/requirements.txt", "flask\npsycopg2\npyjwt\n"),
+    ("m{i}/app{i}.py", "from flask import Flask\nfrom pkg{i} import views{i}\napp = Flask(__name__)\n\n@app.route('/login/{i}', methods=['POST'])\ndef login():\n    name = request.form.get('name')\n    return jwt.encode({'n': name})\n\n@app.route('/items/<int:item_id>')\n@login_required\ndef item(item_id):\n    page = request.args['page']\n    return cursor.execute('SELECT 1')\n"),
+    ("pkg{i}/views{i}.py", "from fastapi import APIRouter\nrouter = APIRouter(prefix='/api')\n\n@router.get('/users/{user_id}')\nasync def user(user_id: int):\n    return 1\n\n# @router.get('/hidden')\n"),
+    ("pkg{i}/admin{i}.py", "from flask import Blueprint\nbp = Blueprint('admin', __name__)\n\n@bp.route('/stats')\ndef stats():\n    return 1\n"),
+    ("m{i}/wsgi{i}.py", "from pkg{i}.admin{i} import bp\nfrom pkg{i} import views{i}\nserver.register_blueprint(bp, url_prefix='/admin')\nserver.include_router(views{i}.router, prefix='/v2')\n"),
+    ("dj{i}/handlers{i}.py", "def detail{i}(request, pk):\n    token = request.GET.get('token')\n    return jwt.decode(token)\n"),
+    ("dj{i}/urls{i}.py", "from dj{i} import handlers{i}\nurlpatterns = [\n    path('detail/<int:pk>', handlers{i}.detail{i}),\n]\n"),
+    ("src{i}/UserController.java", 'package src{i};\nimport src{i}.dao.UserDao;\n@RestController\n@RequestMapping("/users{i}")\npublic class UserController {\n  @GetMapping("/{id}")\n  public User one(@PathVariable Long id) { return null; }\n}\n'),
+    ("src{i}/dao/UserDao.java", "package src{i}.dao;\npublic class UserDao { }\n"),
+    ("web{i}/server.js", "const files = require('./routes')\napp.use('/static', files)\n"),
+    ("web{i}/routes.js", "const helper = require('./helper')\nconst router = express.Router()\nrouter.post('/upload', upload)\n"),
+    ("web{i}/helper.js", "import x from './routes'\nmodule.exports = 1\n"),
+    ("go{i}/main.go", 'package main\nimport (\n\t"net/http"\n\t"go{i}/svc"\n)\nfunc mount() {\n\tv1 := r.Group("/v1")\n\tadmin := v1.Group("/admin")\n\tadmin.GET("/users/:id", listUsers)\n\thttp.HandleFunc("/health", health)\n\tapi.UserApi.API(admin)\n}\nfunc listUsers(c *gin.Context) {\n\tname := c.Query("name")\n}\n'),
+    ("go{i}/svc/user.go", 'package svc\nfunc (u *UserApi) API(g *gin.RouterGroup) {\n\tg.POST("/create", u.Create)\n}\n'),
+    ("config{i}/routes.rb", "Rails.application.routes.draw do\n  resources :posts{i}\n  get '/about', to: 'pages#about'\nend\n"),
+    ("rs{i}/main.rs", '#[get("/ping/{i}")]\nasync fn ping() -> impl Responder { "pong" }\n'),
+    ("api{i}/web.php", "Route::get('/orders', [OrderController::class, 'index']);\n"),
+    ("api{i}/ItemsController.cs", '[Route("api/items")]\npublic class ItemsController {\n  [HttpGet("{id}")]\n  public Item Get(int id) { return null; }\n}\n'),
+    ("nest{i}/cats.controller.ts", "@Controller('cats')\nexport class Cats{i}Controller {\n  @Post()\n  create(@Body() dto: Dto) { return 1; }\n}\n"),
+    ("nest{i}/cats.module.ts", "@Module({ imports: [RouterModule.register([{ path: 'zoo', children: [{ path: 'wing', module: Cats{i}Module }] }])], controllers: [Cats{i}Controller] })\nexport class Cats{i}Module {}\n"),
+)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the files of CODE with its number, in four projects."""
+    made = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("path"), F.lit(c).alias("content")) for k, (p, c) in enumerate(CODE)])
+    number = F.col("page_id").cast("string")
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(made).alias("f"))
+    named = each.select(
+        F.concat(F.lit("p"), (F.col("page_id") % 4).cast("string")).alias("project"), (F.col("page_id") * len(CODE) + F.col("f.k")).alias("ordinal"),
+        F.replace("f.path", F.lit("{i}"), number).alias("path"), F.replace("f.content", F.lit("{i}"), number).alias("content"),
+    )
+    return named.select("project", "ordinal", "path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension"), F.length("content").cast("long").alias("size"), "content")

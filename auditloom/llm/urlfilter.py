@@ -17,8 +17,9 @@ from .shared import BROADCAST_ROWS, small
 
 
 def host_of(url: Column) -> Column:
-    """The host, lower-cased, without port and user; empty if there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    """The host, lower-cased, without port, user and a last dot; an address in brackets with these; empty if there is none."""
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]*)", 1)
+    return F.lower(F.regexp_replace(found, r"\.+$", ""))
 
 
 def path_of(url: Column) -> Column:

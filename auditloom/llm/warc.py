@@ -15,6 +15,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,9 @@ from pyspark.sql.window import Window
 
 from .shared import Cut
 
+#: Records of a file that are sent on at a time.
+RECORDS = 64
+
 #: Headers that a 304 answer updates.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -97,9 +101,9 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
 
 def parse_records(data: bytes) -> Iterator[dict]:
     """The records of a WARC file, plain or with members compressed: headers (lower case), http status and headers, body."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
     at = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        at = gzip.GzipFile(fileobj=at)  # unpacked as it is read
     while line := at.readline():
         if not line.strip():
             continue
@@ -116,7 +120,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
         yield {"warc": head, "status": status, "http": http, "body": body}
 
 
-def _fields(at: io.BytesIO) -> dict[str, str]:
+def _fields(at: io.BufferedIOBase) -> dict[str, str]:
     out = {}
     while (line := at.readline().rstrip(b"\r\n")):
         name, _, value = line.partition(b":")
@@ -136,19 +140,20 @@ def format_record(warc_type: str, url: str, date: str, record_id: str, status: i
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as resolve_revisits takes them. A file is read by one task, so files should be of usual size (1 GB)."""
+    """Records of WARC files as resolve_revisits takes them. A file is read by one task, so files should be of usual size (1 GB); its records are sent on a few at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
-                rows = list(parse_records(data))
-                cols = [
-                    pa.array([r["warc"].get("warc-record-id") for r in rows], pa.string()), pa.array([r["warc"].get("warc-type") for r in rows], pa.string()),
-                    pa.array([r["warc"].get("warc-target-uri") for r in rows], pa.string()), pa.array([r["warc"].get("warc-date") for r in rows], pa.string()),
-                    pa.array([r["status"] for r in rows], pa.int32()), pa.array([list(r["http"].items()) for r in rows], pa.map_(pa.string(), pa.string())),
-                    pa.array([r["warc"].get("warc-payload-digest") for r in rows], pa.string()), pa.array([r["body"] for r in rows], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["record_id", "warc_type", "url", "warc_date", "status", "headers", "payload_digest", "body"])
+                records = iter(parse_records(data))
+                while rows := list(islice(records, RECORDS)):
+                    cols = [
+                        pa.array([r["warc"].get("warc-record-id") for r in rows], pa.string()), pa.array([r["warc"].get("warc-type") for r in rows], pa.string()),
+                        pa.array([r["warc"].get("warc-target-uri") for r in rows], pa.string()), pa.array([r["warc"].get("warc-date") for r in rows], pa.string()),
+                        pa.array([r["status"] for r in rows], pa.int32()), pa.array([list(r["http"].items()) for r in rows], pa.map_(pa.string(), pa.string())),
+                        pa.array([r["warc"].get("warc-payload-digest") for r in rows], pa.string()), pa.array([r["body"] for r in rows], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["record_id", "warc_type", "url", "warc_date", "status", "headers", "payload_digest", "body"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     out = files.mapInArrow(run, "record_id string, warc_type string, url string, warc_date string, status int, headers map<string,string>, payload_digest string, body binary")

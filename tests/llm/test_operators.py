@@ -590,6 +590,22 @@ def test_lists_hold_between_their_dates(spark):
     assert urlfilter.filter_urls(caps, changes.limit(0)).filter("blocked").count() == 0
 
 
+def test_hosts_in_other_spelling(spark):
+    cases = [("http://[::1]:80/x", "[::1]"), ("https://U:p@B.Org.:8080/x", "b.org"), ("http://b.org", "b.org"), ("ftp://", ""), (None, ""), ("junk", "")]
+    got = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string").select("i", urlfilter.host_of(F.col("u")).alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: h for i, (_, h) in enumerate(cases)}
+
+
+def test_revisits_that_repeat_and_clash(spark):
+    """Repeated revisits get a row each; extra columns with names of one's own change nothing."""
+    rows = [("a", "response", "http://x.org/", "2024-01-01 00:00:00", 200, {"ETag": "1"}, "d"), *[("b", "revisit", "http://x.org/", "2024-01-02 00:00:00", 304, {"ETag": "1"}, "d")] * 3]
+    df = spark.createDataFrame(rows, "record_id string, warc_type string, url string, d string, status int, headers map<string,string>, payload_digest string").withColumn("warc_date", F.to_timestamp("d"))
+    for c in ("canonical_url", "refers_to", "outcome", "rows", "at", "range"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = warc.resolve_revisits(df).collect()
+    assert [(r["record_id"], r["refers_to"], r["outcome"]) for r in got] == [("b", "a", "resolved")] * 3
+
+
 def test_revisits_find_the_latest_earlier_response(spark):
     full = lambda i, t, e: (i, "response", "http://WWW.x.org/a/#f", t, 200, {"ETag": e, "Content-Type": "text/html", "X": "1"}, "d")
     seen = lambda i, t, h, u="https://x.org/a": (i, "revisit", u, t, 304, h, "d")
@@ -604,7 +620,10 @@ def test_revisits_find_the_latest_earlier_response(spark):
 
 def test_warc_files(spark, tmp_path):
     data = warc.format_record("response", "http://x.org/", "2024-01-01T00:00:00Z", "<urn:1>", 200, {"ETag": "v1"}, b"body\r\n\r\nmore") + warc.format_record("revisit", "http://x.org/", "2024-01-02T00:00:00Z", "<urn:2>", 304, {"ETag": "v1", "Date": "now"})
+    import gzip
+
     (tmp_path / "a.warc").write_bytes(data)
+    assert list(warc.parse_records(gzip.compress(data[:300]) + gzip.compress(data[300:]))) == list(warc.parse_records(data))
     assert [r["body"] for r in warc.parse_records(data)] == [b"body\r\n\r\nmore", b""]
     out = warc.resolve_revisits(warc.read_warc(spark, f"file://{tmp_path}")).first()
     assert (out["record_id"], out["refers_to"], out["outcome"], out["headers"]["date"]) == ("<urn:2>", "<urn:1>", "resolved", "now")

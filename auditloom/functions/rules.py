@@ -134,6 +134,25 @@ ACCEPT: dict[str, tuple[tuple[tuple, ...], ...]] = {
 TRANSLATIONS, TRANSLATED = ("/lang/", "\\lang\\"), "config"
 
 
+#: What brings input from outside, by kind; titles of what it may reach.
+DEFAULT_SOURCES: dict[str, tuple[str, ...]] = {
+    "query": (
+        "request.args", "request.get(", "request.getlist(", "request.query_params", "request.query", "request.get_json", "request.form", "request.files", "request.body", "request.post", "request.data", "request.json",
+        "ctx.query", "ctx.params", "querystring", "$_get", "$_post", "$_request", "input(", "formdata", "req.query", "req.params", "req.body", "c.queryparam", "c.formvalue", "c.param", "ctx.request.body", "params[",
+        "request.parameter", "request.getparameter", "httpservletrequest", "req.param(", "c.request(", "request.input", "inputstream", "httpcontext",
+    ),
+    "db_input": (
+        "username", "password", "token", "role", "user_id", "order", "price", "amount", "path", "file", "code", "captcha", "account_id", "tenant_id", "resource_id", "org_id", "customer_id", "balance", "coupon",
+        "discount", "status", "url", "redirect", "email", "phone",
+    ),
+}
+SINK_TITLES = {
+    "rce": "外部输入到危险执行链", "injection": "外部输入到注入类 sink", "xss": "外部输入到输出渲染点", "auth": "外部输入到认证授权判断点", "file": "外部输入到文件操作点", "business": "外部输入到业务关键字段",
+}
+#: Sinks by label (title, stages, keywords), made of the risk keywords; other tables are parameters.
+DEFAULT_SINKS = {k: (title, LABEL_STAGES[k], RISK_KEYWORDS[k]) for k, title in SINK_TITLES.items()}
+
+
 @dataclass(frozen=True)
 class Rule:
     """Keywords of a label: hits are counted (repeats count), strong ones weigh 3 and medium ones 1."""

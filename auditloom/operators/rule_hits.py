@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import is_noise_path
-from ..functions.rules import ACCEPT, DEFAULT_RULES, LABEL_EVIDENCE, LABEL_PATHS, TRANSLATED, TRANSLATIONS, Rule
+from ..functions.rules import ACCEPT, DEFAULT_RULES, DEFAULT_SINKS, DEFAULT_SOURCES, LABEL_EVIDENCE, LABEL_PATHS, TRANSLATED, TRANSLATIONS, Rule
 from ..functions.text import any_in, contains_any, count_in, ends_with_any, fixed, found_in, present_of, split_lines, strip_comments, text_or_empty, window_around
 
 
@@ -91,7 +91,7 @@ def top(df: DataFrame, by: list[str], order: list[Column], most: int, rank: str
     return near.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= most)
 
 
-def source_sink_hints(chunks: DataFrame, routes: DataFrame, sources: dict[str, Sequence[str]], sinks: dict[str, tuple[str, Sequence[int], Sequence[str]]], most: int | None = 120) -> DataFrame:
+def source_sink_hints(chunks: DataFrame, routes: DataFrame, sources: dict[str, Sequence[str]] = DEFAULT_SOURCES, sinks: dict[str, tuple[str, Sequence[int], Sequence[str]]] = DEFAULT_SINKS, most: int | None = 120) -> DataFrame:
     """Chunks where a source and a sink of a label meet, with the routes of their file.
 
     ``sinks``: label -> (title, stages, keywords). The first chunk counts of those with the

@@ -5,6 +5,8 @@ Files are (project, ordinal, path, extension, size, content); ``ordinal`` is the
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import file_role, is_noise_path
-from ..functions.rules import CODE_ENDINGS, RISK_KEYWORDS, RISK_PATHS
+from ..functions.rules import CODE_ENDINGS, DEFAULT_RULES, RISK_KEYWORDS, RISK_PATHS
 from ..functions.text import contains_any, count_in, count_present, ends_with_any, fixed, split_lines, strip, strip_comments, text_or_empty, truncate, truncate_head
 
 #: Worth of an extension, and terms of a path that raise a file's priority.
@@ -62,6 +64,15 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.groupBy("project").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
 
 
+def strategy_fingerprint() -> str:
+    """A hash of everything that tunes a scan: what was made under another one is stale."""
+    parts = {
+        "files": (MAX_FILE, MAX_FILES, MAX_CHUNKS, MAX_CHARS, CHUNK), "oversized": (HEAD_LINES, TAIL_LINES, HEAD_CHARS, TAIL_CHARS, RADIUS, MAX_WINDOWS), "extensions": EXTENSION_SCORES,
+        "terms": (HIGH_TERMS, MEDIUM_TERMS), "keywords": RISK_KEYWORDS, "rules": [(r.label, r.hits, r.strong, r.medium, r.min_hits, r.min_weight, r.stages) for r in DEFAULT_RULES],
+    }
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
 def file_index(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Files with role, content hash and the sum of their rule hits' scores."""
     risk = hits.groupBy("project", F.col("file_path").alias("path")).agg(F.sum("risk_score").alias("risk"))

@@ -408,7 +408,7 @@ def recent_events(spark, sf):
     return ev.recent(dt.events(spark, sf), 5).select("task_id", "id", F.col("rank").cast("long").alias("place"))
 
 
-_RUNS = "SELECT event_id + 1 AS id, user_id AS task_id, ts AS started_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS ended_at, ['completed', 'running', 'pending'][event_id % 3 + 1] AS status FROM events WHERE event_id % 20 = 0"
+_RUNS = "SELECT event_id + 1 AS id, user_id AS task_id, ts AS started_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS ended_at, ['completed', 'running', 'pending'][event_id % 3 + 1] AS status FROM events WHERE event_type = 'signup'"
 
 
 @query(f"SELECT task_id, r.id AS run_id, r.status, r.open AS is_open FROM (SELECT task_id, max({{'open': status <> 'completed', 'id': id, 'status': status}}) AS r FROM ({_RUNS}) GROUP BY task_id)")
@@ -469,16 +469,19 @@ def in_degree_hubs(spark, sf):
     return graph.in_degree_hubs(e).select("project", "dst", "hub_score")
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 3 + 1) % 25 AS dst, '/p' || s_suppkey % 7 AS own FROM supplier WHERE s_suppkey < 25 UNION SELECT s_suppkey, (s_suppkey * 5 + 2) % 25, '/q' FROM supplier WHERE s_suppkey < 25),
-p AS (SELECT 1 AS file, '' AS prefix, 0 AS d UNION SELECT dst, prefix || own, d + 1 FROM p JOIN m ON src = file WHERE d < 16 AND length(prefix) < 60)
-SELECT file, min((length(prefix), prefix))[2] AS prefix FROM p GROUP BY file""")
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT s_suppkey AS src, s_suppkey // 25 * 25 + (s_suppkey * 3 + 1) % 25 AS dst, '/p' || s_suppkey % 7 AS own FROM supplier UNION SELECT s_suppkey, s_suppkey // 25 * 25 + (s_suppkey * 5 + 2) % 25, '/q' FROM supplier),
+p AS (SELECT DISTINCT s_suppkey // 25 * 25 + 1 AS file, '' AS prefix, 0 AS d FROM supplier UNION SELECT dst, prefix || own, d + 1 FROM p JOIN m ON src = file WHERE d < 12 AND length(prefix) < 40)
+SELECT 'p' || file // 25 AS project, file, min((length(prefix), prefix))[2] AS prefix FROM p GROUP BY file""")
 def prefix_recursion(spark, sf):
-    """Prefixes along mounts with cycles; the shortest counts."""
+    """Prefixes along mounts with cycles, suppliers in projects of 25; the shortest counts."""
     s = F.col("s_suppkey")
-    t = dt.table(spark, sf, "supplier").filter("s_suppkey < 25")
-    m = t.select(F.lit("p").alias("project"), s.alias("src"), ((s * 3 + 1) % 25).alias("dst"), F.concat(F.lit("/p"), (s % 7).cast("string")).alias("prefix")).unionByName(t.select(F.lit("p").alias("project"), s.alias("src"), ((s * 5 + 2) % 25).alias("dst"), F.lit("/q").alias("prefix")))
-    roots = spark.range(1, 2).select(F.lit("p").alias("project"), F.col("id").alias("file"), F.lit("").alias("prefix"))
-    return graph.propagate_prefixes(m, roots, lambda a, b: F.concat(a, b)).select("file", "prefix")
+    base = s - s % 25
+    project = F.concat(F.lit("p"), F.floor(s / 25).cast("string")).alias("project")
+    t = dt.table(spark, sf, "supplier")
+    near = t.select(project, s.alias("src"), (base + (s * 3 + 1) % 25).alias("dst"), F.concat(F.lit("/p"), (s % 7).cast("string")).alias("prefix"))
+    far = t.select(project, s.alias("src"), (base + (s * 5 + 2) % 25).alias("dst"), F.lit("/q").alias("prefix"))
+    roots = t.select(project, (base + 1).alias("file"), F.lit("").alias("prefix")).distinct()
+    return graph.propagate_prefixes(near.unionByName(far), roots, lambda a, b: F.concat(a, b)).select("project", "file", "prefix")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, s_suppkey - s_suppkey % 4 + (s_suppkey + 1) % 4 AS b FROM supplier WHERE s_suppkey % 11 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT s_suppkey AS node FROM supplier UNION SELECT b FROM e),

@@ -643,7 +643,7 @@ def event_sentences(spark, sf):
     return e.select("id", "stage_num", "e.*").select("id", state.sentence().alias("summary"))
 
 
-@query("""WITH r AS (SELECT event_id + 1 AS id, user_id AS task_id, ['completed', 'running', 'pending'][event_id % 3 + 1] AS status FROM events WHERE event_id % 20 = 0), t AS (SELECT DISTINCT user_id AS task_id, ['running', 'pending', 'completed', 'paused'][user_id % 4 + 1] AS st FROM events),
+@query("""WITH r AS (SELECT event_id + 1 AS id, user_id AS task_id, ['completed', 'running', 'pending'][event_id % 3 + 1] AS status FROM events WHERE event_type = 'signup'), t AS (SELECT DISTINCT user_id AS task_id, ['running', 'pending', 'completed', 'paused'][user_id % 4 + 1] AS st FROM events),
 c AS (SELECT task_id, max((status <> 'completed', id, status)) AS m FROM r GROUP BY task_id), s AS (SELECT task_id, max(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS p FROM r GROUP BY task_id), l AS (SELECT user_id AS task_id, max(ts) AS moment FROM events GROUP BY user_id),
 j AS (SELECT t.task_id, c.m[2] AS run_id, st AS task_status, c.m[3] AS run_status, coalesce(p, 0) = 1 AS waits, greatest(date_diff('second', date_trunc('second', moment), TIMESTAMP '2026-01-01 00:00:00'), 0) AS silence_seconds FROM t LEFT JOIN c USING (task_id) LEFT JOIN s USING (task_id) LEFT JOIN l USING (task_id)),
 f AS (SELECT *, CASE WHEN task_status = 'paused' THEN 'paused' WHEN task_status = 'running' OR coalesce(run_status, '') = 'running' THEN 'running' WHEN task_status = 'pending' OR coalesce(run_status, '') = 'pending' THEN 'starting' WHEN waits AND task_status <> 'completed' THEN 'waiting' WHEN task_status = 'completed' OR coalesce(run_status, '') = 'completed' THEN 'completed' WHEN run_id IS NOT NULL THEN 'waiting' ELSE 'not_started' END AS state FROM j)

@@ -79,11 +79,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 500th event starts a run of each of a hundred tasks; one in three runs is over within a day."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_id") % 20 == 0)
+    """Every signup starts a run of its user's task; one in three runs is over within a day."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'signup'")
     at = F.col("ts").cast("timestamp")
     over = F.col("event_id") % 3 == 0
-    return e.select((F.col("event_id") + 1).alias("id"), F.col("user_id").alias("task_id"), at.alias("started_at"), F.when(over, at + F.expr("INTERVAL 1 DAY")).alias("ended_at"), F.when(over, "completed").when(F.col("event_id") % 3 == 1, "running").otherwise("pending").alias("status"))
+    status = F.when(over, "completed").when(F.col("event_id") % 3 == 1, "running").otherwise("pending")
+    return e.select((F.col("event_id") + 1).alias("id"), F.col("user_id").alias("task_id"), at.alias("started_at"), F.when(over, at + F.expr("INTERVAL 1 DAY")).alias("ended_at"), status.alias("status"))
 
 
 #: A small project in several frameworks; {i} is a page's number. Each page becomes these files, so paths, module names and routes follow from the table.

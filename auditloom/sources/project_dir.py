@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..functions.paths import archive_member, is_noise_member
 from ..functions.text import ends_with_any
+from ..operators.rule_hits import top
 
 #: Endings of source files, and directories that are left out beside those that begin with a dot.
 EXTENSIONS = (
@@ -24,6 +25,8 @@ SKIPPED = ("node_modules", "__pycache__", "dist", "build", "out", "target", "ven
 ENCODINGS = ("gb18030", "gbk", "big5", "latin-1")
 MAX_TREE, MAX_DEPTH = 10_000, 10
 MAX_MEMBERS, MAX_MEMBER, MAX_TOTAL, MAX_RATIO = 20_000, 50 << 20, 1 << 30, 200
+#: Bytes of members that are sent on at a time.
+SENT = 8 << 20
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +48,6 @@ def decode(files: DataFrame, raw: str = "raw") -> DataFrame:
     fine = files.filter(F.expr(f"is_valid_utf8({raw})"))
     rest = files.filter(~F.coalesce(F.expr(f"is_valid_utf8({raw})"), F.lit(False)) & F.col(raw).isNotNull()).withColumnRenamed(raw, "raw")
     schema = rest.schema
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("raw", T.StringType()) if f.name == "raw" else f for f in schema.fields])
     text = rest.mapInArrow(_decoded, schema).withColumnRenamed("raw", "content")
     return fine.withColumn("content", F.regexp_replace(F.decode(F.col(raw), "UTF-8"), "^﻿", "")).drop(raw).unionByName(text)
@@ -62,15 +63,22 @@ def read_project(spark: SparkSession, path: str, project: str) -> DataFrame:
 
 
 def listed(files: DataFrame) -> DataFrame:
-    """Of files with a path those of source, with extension and listing order; the first 10,000 of each project."""
+    """Of files with a path those of source, with extension and listing order; the first 10,000 of each project. Salted parts are ranked first, so no task lists a whole project."""
     dirs = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    kept = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).filter(F.col("extension").isin(*EXTENSIONS) & (F.size(dirs) <= MAX_DEPTH) & ~F.exists(dirs, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
-    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("path")).cast("long")).filter(F.col("ordinal") <= MAX_TREE)
+    kept = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    kept = kept.filter(F.col("extension").isin(*EXTENSIONS) & (F.size(dirs) <= MAX_DEPTH) & ~F.exists(dirs, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
+    first = top(kept.select("project", "path"), ["project"], [F.col("path")], MAX_TREE, "ordinal").withColumn("ordinal", F.col("ordinal").cast("long"))
+    return kept.join(first, ["project", "path"])
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """Members of ZIP files: archive, member, size, packed_size, raw. Each archive is one task's; limits are checked before anything is unpacked."""
 
+    kinds = {"archive": pa.string(), "member": pa.string(), "size": pa.int64(), "packed_size": pa.int64(), "within_limits": pa.bool_(), "raw": pa.binary()}
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -78,8 +86,15 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                     infos = [i for i in z.infolist() if not i.is_dir()]
                     total, packed = sum(i.file_size for i in infos), max(1, sum(i.compress_size for i in infos))
                     fits = len(infos) <= MAX_MEMBERS and total <= MAX_TOTAL and total <= MAX_RATIO * packed and all(i.file_size <= MAX_MEMBER for i in infos)
+                    held, size = [], 0
                     for i in infos:
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (i.filename, pa.string()), (i.file_size, pa.int64()), (i.compress_size, pa.int64()), (fits, pa.bool_()), (z.read(i) if fits else None, pa.binary()))], names=["archive", "member", "size", "packed_size", "within_limits", "raw"])
+                        held.append((name, i.filename, i.file_size, i.compress_size, fits, z.read(i) if fits else None))
+                        size += i.file_size if fits else 0
+                        if size >= SENT or len(held) >= 1000:
+                            yield rows(held)
+                            held, size = [], 0
+                    if held:
+                        yield rows(held)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = files.mapInArrow(run, "archive string, member string, size long, packed_size long, within_limits boolean, raw binary")

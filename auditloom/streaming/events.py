@@ -96,10 +96,25 @@ def diagnose(tasks: DataFrame, runs: DataFrame, subtasks: DataFrame, agents: Dat
     return out.select("task_id", "run_id", "task_status", "run_status", F.when(stalled, "stalled").otherwise(F.col("_s")).alias("focus_status"), stalled.alias("stalled"), "silence_seconds")
 
 
-def read_log(spark: SparkSession, path: str, since: int = 0, limit: int = 200) -> DataFrame:
-    """An event log of JSON lines: what follows the cursor, the last ``limit`` of each task; broken lines are left out."""
+def read_log(spark: SparkSession, path: str, since: int = 0, limit: int = 200, stage: int | None = None, kind: str | None = None) -> DataFrame:
+    """An event log of JSON lines: what follows the cursor, of one stage or kind if asked for, the last ``limit`` of each task; broken lines are left out. Adds total, how many there were, and has_more."""
     rows = spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter(F.col("id") > since)
-    return top(rows, ["task_id"], [F.desc("id")], limit)
+    rows = rows if stage is None else rows.filter(F.col("stage_num") == stage)
+    rows = rows if kind is None else rows.filter(F.col("event_type") == kind)
+    total = rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("total"))
+    return top(rows, ["task_id"], [F.desc("id")], limit).join(total, "task_id").withColumn("has_more", F.col("total") > limit)
+
+
+#: How long a text of a payload is at most in a log.
+PREVIEW_CHARS = 500
+
+
+def compacted(events: DataFrame) -> DataFrame:
+    """Events with payloads (JSON objects) as a log keeps them: fields that are null or empty left out, texts cut with a mark."""
+    fields = F.from_json("payload", "map<string,string>")
+    kept = F.map_filter(fields, lambda _, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
+    cut = F.transform_values(kept, lambda _, v: F.when(F.length(v) > PREVIEW_CHARS, F.concat(F.substring(v, 1, PREVIEW_CHARS), F.lit("...[truncated]"))).otherwise(v))
+    return events.withColumn("payload", F.coalesce(F.to_json(cut), F.col("payload")))
 
 
 def append_log(events: DataFrame, path: str) -> None:
@@ -114,3 +129,9 @@ def follow(events: DataFrame, name: str, checkpoint: str, delay: str = "1 hour")
     """Follow a stream of events once through: doubles dropped within the delay, counts by task and kind in table ``name``."""
     counted = events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["task_id", "id"]).groupBy("task_id", "event_type").count()
     return counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def store(events: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Store a stream of events as Parquet once through: doubles dropped within the delay, a folder a kind; it goes on where it stopped."""
+    once = events.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["task_id", "id"])
+    return once.writeStream.format("parquet").partitionBy("event_type").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

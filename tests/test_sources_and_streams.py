@@ -120,3 +120,25 @@ def test_localized_texts(spark):
 
     rows = spark.createDataFrame([("SQL Injection",), ("Sql_Injection",), ("SQL Injection via Header",), (None,)], "t string").select(localize("t").alias("v")).collect()
     assert [r["v"] for r in rows] == ["SQL 注入", "SQL 注入", "SQL 注入 来源 Header", ""]
+
+
+def test_events_are_stored_and_compacted(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, 1, None, 2, "a" if i % 2 else "b", '{"t": "' + "x" * 600 + '", "n": null, "e": "", "k": 1}', "2024-01-01 00:00:0" + str(i)) for i in range(4)]
+    df = spark.createDataFrame([*rows, rows[0]], ev.EVENT_SCHEMA.replace("timestamp", "string")).withColumn("created_at", F.to_timestamp("created_at"))
+    small = ev.compacted(df).first()["payload"]
+    assert small == '{"t":"' + "x" * 500 + '...[truncated]","k":"1"}'
+    ev.append_log(df, f"{tmp_path}/log")
+    ev.store(ev.stream_log(spark, f"{tmp_path}/log"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/out").groupBy("event_type").count().orderBy("event_type").collect() == [("a", 2), ("b", 2)]
+    got = ev.read_log(spark, f"{tmp_path}/log", kind="a", limit=1).collect()
+    assert [(r["id"], r["total"], r["has_more"]) for r in got] == [(3, 2, True)]
+
+
+def test_strategy_fingerprint(monkeypatch):
+    from auditloom.operators import scan
+
+    before = scan.strategy_fingerprint()
+    monkeypatch.setattr(scan, "CHUNK", 1)
+    assert scan.strategy_fingerprint() != before == before.lower() and len(before) == 64

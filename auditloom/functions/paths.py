@@ -23,7 +23,7 @@ NOISE_MARKERS = (
 
 
 def is_noise_path(path: Column | str) -> Column:
-    return contains_any(F.lower(text_or_empty(path)), NOISE_MARKERS)
+    return F.lower(text_or_empty(path)).rlike("|".join(rf"\Q{m}\E" for m in NOISE_MARKERS))
 
 
 def archive_member(path: Column | str) -> Column:
@@ -92,9 +92,8 @@ def endpoint_anchor(endpoint: Column | str) -> Column:
 def keyword_text(c: Column | str) -> Column:
     """Lower-case words of letters, digits, CJK and ./_-, without URLs."""
     out = F.replace(F.lower(F.trim(text_or_empty(c))), F.lit("\\"), F.lit("/"))
-    out = F.regexp_replace(out, r"https?://\S+", " ")
-    out = F.regexp_replace(out, r"[^0-9a-z一-鿿/._-]+", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.when(F.contains(out, F.lit("http")), F.regexp_replace(out, r"https?://\S+", " ")).otherwise(out)
+    return F.trim(F.regexp_replace(out, r"[^0-9a-z一-鿿/._-]+", " "))
 
 
 def file_anchor(path: Column | str) -> Column:

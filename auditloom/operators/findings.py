@@ -87,12 +87,15 @@ def root_cause(df: DataFrame) -> DataFrame:
     rest = F.when(text_or_empty("code_snippet") != "", F.col("code_snippet")).otherwise(text_or_empty("description"))
     named = F.when(text_or_empty("vuln_type") != "", F.col("vuln_type")).otherwise(text_or_empty("title"))
     end = F.coalesce("line_end", "line_start").cast("string")
-    made = fixed(
-        df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80), _file=file_anchor("file_path"), _code=code_anchor("code_snippet"), _rest=code_anchor(rest),
-        _line=F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), end), _end=endpoint_anchor("endpoint"),
-    )
-    at = F.coalesce("_line", F.when(F.col("_code") != "", F.concat(F.lit("code:"), "_code")), F.when(F.col("_end") != "", F.col("_end")), F.when(F.col("_rest") != "", F.col("_rest")), F.lit("global"))
-    out = fixed(made, family=family("_hay", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_base", "_code", "_rest", "_line", "_end")
+    line = F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), end)
+    made = fixed(df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80), _file=file_anchor("file_path"), _at=line)
+    # The next best anchor is worked out only where the ones before it are missing.
+    code = F.nullif(code_anchor("code_snippet"), F.lit(""))
+    made = fixed(made, _code=F.when(F.col("_at").isNull(), F.concat(F.lit("code:"), code)))
+    made = fixed(made, _end=F.when(F.coalesce("_at", "_code").isNull(), F.nullif(endpoint_anchor("endpoint"), F.lit(""))))
+    made = fixed(made, _rest=F.when(F.coalesce("_at", "_code", "_end").isNull(), F.nullif(code_anchor(rest), F.lit(""))))
+    at = F.coalesce("_at", "_code", "_end", "_rest", F.lit("global"))
+    out = fixed(made, family=family("_hay", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_base", "_at", "_code", "_end", "_rest")
     return out.withColumn("dedupe_key", F.substring(F.sha2(F.concat_ws("|", "family", "file_anchor", "location_anchor").cast("binary"), 256), 1, 32))
 
 

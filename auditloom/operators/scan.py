@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import file_role, is_noise_path
 from ..functions.rules import CODE_ENDINGS, DEFAULT_RULES, RISK_KEYWORDS, RISK_PATHS
-from ..functions.text import contains_any, count_in, count_present, ends_with_any, fixed, split_lines, strip, strip_comments, text_or_empty, truncate, truncate_head
+from ..functions.text import contains_any, count_in, ends_with_any, fixed, split_lines, strip, strip_comments, text_or_empty, truncate, truncate_head
 
 #: Worth of an extension, and terms of a path that raise a file's priority.
 EXTENSION_SCORES = {
@@ -37,13 +37,11 @@ MAX_FILE, MAX_FILES, MAX_CHUNKS, MAX_CHARS, CHUNK = 500_000, 1200, 2000, 2_000_0
 HEAD_LINES, TAIL_LINES, HEAD_CHARS, TAIL_CHARS, RADIUS, MAX_WINDOWS = 45, 35, 1400, 1000, 18, 6
 
 
-def file_priority(path: Column, extension: Column, size: Column) -> Column:
-    low = F.lower(F.replace(text_or_empty(path), F.lit("\\"), F.lit("/")))
+def file_priority(path: str, extension: Column, size: Column) -> Column:
+    """How much a file is worth looking at; ``path`` names a fixed column in lower case with forward slashes."""
     worth = F.create_map(*[F.lit(x) for kv in EXTENSION_SCORES.items() for x in kv])[F.lower(text_or_empty(extension))]
-    return (
-        F.when(is_noise_path(low), -30).otherwise(0) + F.coalesce(worth, F.lit(0)) + 4 * count_present(low, HIGH_TERMS) + 2 * count_present(low, MEDIUM_TERMS)
-        + F.when(size > MAX_FILE, 3).when(size <= 4096, 1).otherwise(0)
-    )
+    named = F.coalesce(worth, F.lit(0)) + 4 * count_in(path, HIGH_TERMS) + 2 * count_in(path, MEDIUM_TERMS)
+    return F.when(is_noise_path(path), -30).otherwise(0) + named + F.when(size > MAX_FILE, 3).when(size <= 4096, 1).otherwise(0)
 
 
 def select_files(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
@@ -51,7 +49,8 @@ def select_files(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
 
     The best of each hash bucket are taken first, so that no task ranks a whole project.
     """
-    scored = fixed(files, score=file_priority(F.col("path"), F.col("extension"), F.col("size")))
+    low = fixed(files, _low=F.lower(F.replace(text_or_empty("path"), F.lit("\\"), F.lit("/"))))
+    scored = fixed(low, score=file_priority("_low", F.col("extension"), F.col("size"))).drop("_low")
     order = [F.desc("score"), F.col("ordinal"), F.col("path")]
     near = scored.withColumn("_bucket", F.pmod(F.xxhash64("path", "ordinal"), F.lit(64)))
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("project", "_bucket").orderBy(*order))).filter(F.col("_r") <= most).drop("_r", "_bucket")

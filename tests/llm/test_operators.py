@@ -264,6 +264,14 @@ def test_mix_lands_alike_at_every_size(spark, block):
     assert sorted(g.n) == [60, 3000] and (abs(g.taken - g.target) <= 5).all()
 
 
+def test_mix_of_repeated_rows_and_missing_ids(spark):
+    rows = [(1, "a b c", "x")] * 30 + [(None, "d e", "x")] * 30 + [(2, "f g h i", None)] * 30 + [(3, None, "y"), (None, "", None)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("clash"))).toPandas()
+    assert len(got) == len(rows) and (got.taken == got.copies * got["size"]).all() and (got.taken <= 3 * got["size"]).all()
+    g = got[got["size"] > 0].groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(g.taken - g.target) <= 4).all()
+
+
 # 4
 
 
@@ -382,6 +390,12 @@ def test_stored_texts(spark):
     assert got[0]["feature"] == got[1]["feature"] and jpeg.store_texts(documents(spark, EDGE).limit(0)).count() == 0
 
 
+def test_repeated_rows_are_stored_alike(spark):
+    df = spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (2, "x " * 60_000)], "doc_id long, text string").withColumn("payload", F.lit("clash"))
+    got = jpeg.store_texts(df).collect()
+    assert len(got) == 4 and len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == 2 and sum(r["doc_id"] is None for r in got) == 1
+
+
 # 2
 
 

@@ -387,6 +387,16 @@ def middleware(files: DataFrame, most: int = 30) -> DataFrame:
     return top(each.groupBy("project", "f.kind", "f.name").agg(F.count(F.lit(1)).alias("n")), ["project", "kind"], [F.desc("n"), F.col("name")], most)
 
 
+_GUARDED = _DECORATOR + r"""[\s\S]{0,200}?\.(?:route|get|post|put|delete|patch)\(\s*["']([^"'\n]*)"""
+
+
+def guarded_routes(files: DataFrame) -> DataFrame:
+    """Guarding decorators with the path of the next route within 200 characters: project, path, decorator, route."""
+    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(_GUARDED), F.lit(1)).alias("decorator"), F.regexp_extract_all("content", F.lit(_GUARDED), F.lit(2)).alias("route"))
+    each = files.filter(F.contains("content", F.lit("@"))).select("project", "path", F.explode_outer(pairs).alias("g")).filter("g IS NOT NULL")
+    return each.select("project", "path", "g.decorator", "g.route")
+
+
 #: Reasons why a file matters, by a pattern of its content.
 CRITICAL = {
     "auth_logic": r"(?i)\b(?:jwt|password_hash|bcrypt|session\[|authenticate)\b", "crypto": r"(?i)\b(?:aes|rsa|hmac|md5|sha1)\b", "sql_access": r"(?i)\b(?:execute|cursor|rawquery)\s*\(", "command_execution": r"(?i)\b(?:os\.system|subprocess|exec|popen)\b",
@@ -518,3 +528,15 @@ def _go_edges(files: DataFrame) -> DataFrame:
     dirs = go.filter(directory != "").select("project", directory.alias("directory"), F.explode(ends).alias("want")).groupBy("project", "want").agg(F.min("directory").alias("directory"))
     have = go.select("project", F.col("path").alias("dst"), directory.alias("directory"))
     return asked.select("project", "src", F.lower(inside).alias("want")).join(dirs, ["project", "want"]).join(have, ["project", "directory"]).select("project", "src", "dst")
+
+
+def discovery(files: DataFrame, most_hubs: int = 40) -> dict[str, DataFrame]:
+    """All that files tell before anything is audited, by name: tech_stack, directories, layouts, imports, hubs, middleware, guards, critical."""
+    from .graph import in_degree_hubs
+
+    imports, directories = import_edges(files), directory_roles(files)
+    hubs = in_degree_hubs(imports, most_hubs)
+    return {
+        "tech_stack": tech_stack(files), "directories": directories, "layouts": project_layouts(directories), "imports": imports, "hubs": hubs,
+        "middleware": middleware(files), "guards": guarded_routes(files), "critical": critical_files(files, hubs),
+    }

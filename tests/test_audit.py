@@ -154,3 +154,13 @@ def test_small_read_models(spark):
 def test_sentences(spark, payload, expected):
     df = spark.createDataFrame([("run.queued", 2, json.dumps(payload))], "event_type string, stage_num int, payload string")
     assert df.select(state.sentence().alias("s")).first()["s"] == expected
+
+
+def test_discovery(spark):
+    files = [("p", 0, "a/api/views.py", "import a.api.auth\n@login_required\n@app.route('/x')\ndef x(): pass\n"), ("p", 1, "a/api/auth.py", "jwt.decode(1)\n"), ("p", 2, "go.mod", "module example.com/m\n"), ("p", 3, "cmd/main.go", 'import (\n\t"example.com/m/svc"\n)\n'), ("p", 4, "svc/s.go", "package svc\n")]
+    df = spark.createDataFrame([(*f[:3], "." + f[2].rsplit(".", 1)[-1], len(f[3]), f[3]) for f in files], "project string, ordinal long, path string, extension string, size long, content string")
+    found = {k: v.collect() for k, v in routes.discovery(df).items()}
+    assert [(r["decorator"], r["route"]) for r in found["guards"]] == [("login_required", "/x")]
+    assert {(r["src"], r["dst"]) for r in found["imports"]} == {("a/api/views.py", "a/api/auth.py"), ("cmd/main.go", "svc/s.go")}
+    assert {r["directory"]: r["role"] for r in found["directories"]} == {"a": None, "a/api": "controller", "cmd": None, "svc": None}
+    assert "a/api/auth.py" in {r["path"] for r in found["critical"]}

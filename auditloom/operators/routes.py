@@ -43,12 +43,14 @@ PATTERNS = (
     RoutePattern("flask", _PY, rf"@\w+\.route\(\s*{_Q}(?P<verbs>[^)]*methods\s*=\s*[\[(][^\])]*[\])])?[^)]*\){_NEXT_PY}", "GET", "", r"""Blueprint\([^)]*url_prefix\s*=\s*["'](?P<path>[^"']*)["']"""),
     RoutePattern("flask_rule", _PY, rf"\.add_url_rule\(\s*{_Q}(?:[^)]*view_func\s*=\s*(?P<handler>[\w.]+))?(?P<verbs>[^)]*methods\s*=\s*[\[(][^\])]*[\])])?", "GET"),
     RoutePattern("fastapi", _PY, rf"@\w+\.(?P<verb>{_VERBS})\(\s*{_Q}[^\n]*{_NEXT_PY}", "", "", r"""APIRouter\([^)]*prefix\s*=\s*["'](?P<path>[^"']*)["']"""),
+    RoutePattern("fastapi_many", _PY, rf"@\w+\.api_route\(\s*{_Q}(?P<verbs>[^)]*methods\s*=\s*[\[(][^\])]*[\])])?[^)]*\){_NEXT_PY}", "ANY", "", r"""APIRouter\([^)]*prefix\s*=\s*["'](?P<path>[^"']*)["']"""),
     RoutePattern("websocket", _PY, rf"@\w+\.websocket\(\s*{_Q}[^\n]*{_NEXT_PY}", "WS", "", r"""APIRouter\([^)]*prefix\s*=\s*["'](?P<path>[^"']*)["']"""),
     RoutePattern("aiohttp", _PY, rf"\.add_(?P<verb>{_VERBS})\(\s*{_Q}\s*,\s*(?P<handler>[\w.]+)"),
     RoutePattern("tornado", _PY, rf"\(\s*r?{_Q}\s*,\s*(?P<handler>\w+Handler)\b", "ANY", "tornado"),
     RoutePattern("django", _PY, rf"\b(?:re_)?path\(\s*r?{_Q}\s*,\s*(?P<handler>(?!include\b)[\w.]+)", "ANY", "urlpatterns"),
-    RoutePattern("drf_action", _PY, rf"@action\((?=[^)]*url_path\s*=\s*{_Q})?(?P<verbs>[^)]*)\){_NEXT_PY}", "GET", "@action"),
+    RoutePattern("drf_action", _PY, rf"@action\((?=[^)]*url_path\s*=\s*{_Q})?(?P<verbs>[^)]*)\){_NEXT_PY}", "ANY", "@action"),
     RoutePattern("spring", (".java", ".kt"), rf"@(?P<verb>Get|Post|Put|Delete|Patch)Mapping(?:\(\s*(?:(?:value|path)\s*=\s*)?\{{?\s*{_Q}[^)]*\)|\(\s*\)|(?=\s)){_NEXT_C}", "", "", r"""@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*["'](?P<path>[^"']*)["'][^)]*\)(?=[\s\S]{0,200}?\bclass\b)"""),
+    RoutePattern("spring_mapping", (".java", ".kt"), rf"@RequestMapping\((?=[^)]*?{_Q})(?=[^)]*method\s*=\s*\{{?\s*(?:RequestMethod\.)?(?P<verb>[A-Z]+))?[^)]*\)(?![^{{;]{{0,200}}?\bclass\b){_NEXT_C}", "ANY", "", r"""@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*["'](?P<path>[^"']*)["'][^)]*\)(?=[^{;]{0,200}?\bclass\b)"""),
     RoutePattern("jaxrs", (".java", ".kt"), rf"@(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:(?!@(?:GET|POST|PUT|DELETE))[\s\S]){{0,200}}?@Path\(\s*{_Q}\s*\){_NEXT_C}", "", "", r"""@Path\(\s*["'](?P<path>[^"']*)["']\s*\)(?=[\s\S]{0,120}?\bclass\b)"""),
     RoutePattern("dotnet", (".cs",), rf"\[Http(?P<verb>Get|Post|Put|Delete|Patch)(?:\(\s*{_Q}[^)]*\))?\]{_NEXT_C}", "", "", r"""\[Route\(\s*["'](?P<path>[^"']*)["']\s*\)\](?=[\s\S]{0,200}?\bclass\b)"""),
     RoutePattern("dotnet_map", (".cs",), rf"\.Map(?P<verb>Get|Post|Put|Delete|Patch)\(\s*{_Q}(?:\s*,\s*(?P<handler>[\w.]+))?"),
@@ -131,7 +133,9 @@ def routes_of(path: str, content: str) -> Iterator[tuple]:
             if _commented(content, m.start()):
                 continue
             g = m.groupdict()
-            own = g.get("path") or (f"/{g.get('handler') or ''}" if p.kind == "drf_action" else "")
+            own = g.get("path") or ""
+            if p.kind == "drf_action" and re.search(r"detail\s*=\s*True", g.get("verbs") or ""):
+                own = "{pk}/" + own
             where = groups.get(g.get("group") or "", base)
             full = "/" + "/".join(x for x in (where.strip("/"), own.strip("/")) if x)
             handler = (g.get("handler") or "Unknown").strip(" '\"")
@@ -139,7 +143,12 @@ def routes_of(path: str, content: str) -> Iterator[tuple]:
             line = content.count("\n", 0, m.start()) + 1
             for verb, more, action in CRUD if p.crud else [(v, "", handler) for v in verbs]:
                 whole = full + more
-                yield verb, whole, action, list(dict.fromkeys(_PARAMS.findall(whole) + reads.get(action.split(".")[-1], []))), line, p.kind
+                yield verb, whole.rstrip("/") or "/", action, list(dict.fromkeys(_PARAMS.findall(whole) + reads.get(action.split(".")[-1], []))), line, p.kind
+
+
+    script = re.fullmatch(r"api/([^/]+)\.php", low)
+    if script and "class app" in content and "$app->run()" in content:  # a script that is its own entry
+        yield "ANY", f"/{path}", f"{path[4:-4]}::run", [], 1, "php_script"
 
 
 def extract_routes(files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:

@@ -164,3 +164,14 @@ def test_discovery(spark):
     assert {(r["src"], r["dst"]) for r in found["imports"]} == {("a/api/views.py", "a/api/auth.py"), ("cmd/main.go", "svc/s.go")}
     assert {r["directory"]: r["role"] for r in found["directories"]} == {"a": None, "a/api": "controller", "cmd": None, "svc": None}
     assert "a/api/auth.py" in {r["path"] for r in found["critical"]}
+
+
+@pytest.mark.parametrize(("path", "content", "expected"), [
+    ("v.py", '@action(detail=True, methods=["post", "get"], url_path="ban")\ndef ban(self): pass\n', {("POST", "/{pk}/ban", "ban"), ("GET", "/{pk}/ban", "ban")}),
+    ("v.py", "@action(detail=False)\ndef all(self): pass\n", {("ANY", "/", "all")}), ("v.py", "@action(detail=True)\ndef one(self): pass\n", {("ANY", "/{pk}", "one")}),
+    ("f.py", '@r.api_route("/x", methods=["GET", "PUT"])\nasync def x(): pass\n', {("GET", "/x", "x"), ("PUT", "/x", "x")}),
+    ("C.java", '@RequestMapping("/base")\npublic class C {\n  @RequestMapping(value = "/m", method = RequestMethod.POST)\n  public User m(User u) { return u; }\n}\n', {("POST", "/base/m", "m")}),
+    ("api/cron.php", "<?php class app {} $app->run();", {("ANY", "/api/cron.php", "cron::run")}), ("lib/cron.php", "<?php class app {} $app->run();", set()),
+])
+def test_routes_in_other_forms(path, content, expected):
+    assert {(m, p, h) for m, p, h, *_ in routes.routes_of(path, content)} == expected

@@ -70,9 +70,10 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     n = ranges or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no_headers = F.create_map().cast("map<string,string>")
     full = (F.col("warc_type") == "response") & (F.coalesce("status", F.lit(200)) == 200)
-    rows = records.filter(full | (F.col("warc_type") == "revisit")).select(
+    # Records are brought to form once; finding the ranges, dealing by them and what has no place all read that.
+    rows = Cut(records.filter(full | (F.col("warc_type") == "revisit")).select(
         canonical_url(F.col("url")).alias("canonical_url"), "record_id", "warc_date", full.alias("full"), _lowered(F.coalesce("headers", no_headers)).alias("headers"), "payload_digest"
-    )
+    )).df
     usable = F.col("canonical_url").isNotNull() & (F.col("canonical_url") != "") & F.col("warc_date").isNotNull()
     # At the same time revisits come first, so that they see earlier responses only.
     placed = Cut(rows.filter(usable).repartitionByRange(n, "canonical_url", "warc_date", "full", "record_id").withColumn("range", F.spark_partition_id()))

@@ -470,7 +470,7 @@ def in_degree_hubs(spark, sf):
 
 
 @query("""WITH RECURSIVE m AS (SELECT DISTINCT s_suppkey AS src, s_suppkey // 25 * 25 + (s_suppkey * 3 + 1) % 25 AS dst, '/p' || s_suppkey % 7 AS own FROM supplier UNION SELECT s_suppkey, s_suppkey // 25 * 25 + (s_suppkey * 5 + 2) % 25, '/q' FROM supplier),
-p AS (SELECT DISTINCT s_suppkey // 25 * 25 + 1 AS file, '' AS prefix, 0 AS d FROM supplier UNION SELECT dst, prefix || own, d + 1 FROM p JOIN m ON src = file WHERE d < 12 AND length(prefix) < 40)
+p AS (SELECT DISTINCT s_suppkey // 25 * 25 + 1 AS file, '' AS prefix, 0 AS d FROM supplier UNION SELECT dst, prefix || own, d + 1 FROM p JOIN m ON src = file WHERE d < 16 AND length(prefix) < 60)
 SELECT 'p' || file // 25 AS project, file, min((length(prefix), prefix))[2] AS prefix FROM p GROUP BY file""")
 def prefix_recursion(spark, sf):
     """Prefixes along mounts with cycles, suppliers in projects of 25; the shortest counts."""

@@ -82,7 +82,7 @@ def release(spark: SparkSession) -> None:
 
 
 def within(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most so many rows and bytes, found by reading no more rows than that.
+    """Whether ``df`` has at most so many rows and bytes. Every task sums up its own rows, so none reads what others hold.
 
     A row counts 16 bytes, 8 for each of its columns, and what its strings, arrays and structs hold.
     """
@@ -91,7 +91,7 @@ def within(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTE
     held = F.lit(16 + 8 * len(df.columns))
     for w in wide:
         held = held + F.coalesce(w, F.lit(0))
-    n, total = df.limit(rows + 1).select(held.cast("long").alias("held")).agg(F.count(F.lit(1)), F.sum("held")).first()
+    n, total = df.select(held.cast("long").alias("held")).agg(F.count(F.lit(1)), F.sum("held")).first()
     return n <= rows and (total or 0) <= size
 
 

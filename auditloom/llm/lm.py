@@ -274,33 +274,43 @@ class Network:
         ranges = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         n = edges[-1]
 
+        # The biases are a last row of weights, on states with a last column of ones, so each logit is made and sent back in one product.
+        ones = np.ones((len(states), STATE + 1), np.float32)
+        ones[:, :STATE] = states
+        of_class = np.concatenate([self.Wc.T, self.bc[None]])
+        of_word = np.concatenate([self.Wo, self.bo[:, None]], 1)
+        # Outputs are within these bounds, as states are within -1 and 1; only beyond TOP they must be cut.
+        bounded = max(float(np.abs(w).sum(-2).max()) for w in (of_class, np.where(of_word > -1e3, of_word, 0))) < TOP
+
         def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Log probabilities of ``at``; ``logits`` become what the softmax sends back, with gradients."""
             rows = np.arange(len(at))
-            own = np.minimum(logits, TOP, out=logits)[rows, at]
+            if not bounded:
+                np.minimum(logits, TOP, out=logits)
+            own = logits[rows, at]
             total = np.exp(logits, out=logits).sum(1)
             if grads is not None:
                 logits *= np.reciprocal(total)[:, None]
                 logits[rows, at] -= 1
             return own - np.log(total)
 
-        e = states @ self.Wc.T
-        e += self.bc
+        e = ones @ of_class
         found = softmax(e, cls)
         if grads is not None:
-            grads["Wc"] += e.T @ states
-            grads["bc"] += e.sum(0)
+            back = e.T @ ones
+            grads["Wc"] += back[:, :STATE]
+            grads["bc"] += back[:, STATE]
             d = e @ self.Wc
         e = np.empty((n, CLASS), np.float32)
         for k, a, b in ranges:
-            np.matmul(states[a:b], self.Wo[k], out=e[a:b])
-        e += self.bo[cls[:n]]
+            np.matmul(ones[a:b], of_word[k], out=e[a:b])
         found[:n] += softmax(e, target[:n] - cls[:n] * CLASS)
         out[order] = found
         if grads is not None:
             for k, a, b in ranges:
-                grads["Wo"][k] += states[a:b].T @ e[a:b]
-                grads["bo"][k] += e[a:b].sum(0)
+                back = ones[a:b].T @ e[a:b]
+                grads["Wo"][k] += back[:STATE]
+                grads["bo"][k] += back[STATE]
                 d[a:b] += e[a:b] @ self.Wo[k].T
             d_out[order] = d
 

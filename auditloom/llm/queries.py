@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jpeg, licenses, lm, mixing, neardup, quality, substrings, urlfilter, warc
+from . import decontam, fim, jpeg, licenses, lm, mixing, neardup, quality, substrings, urlfilter, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and rearranged, with digests of the outputs and of the texts rebuilt from them."""
+    out = fim.with_restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_scoring": op2_lm_scoring,
@@ -124,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_source_mixing": op9_source_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 def _license_sql() -> str:
@@ -218,5 +225,18 @@ it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(np.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
   sha256(coalesce(it.items, '')) AS items_sha256, coalesce(np.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, CASE WHEN b > a THEN array_to_string(u[a + 1:b], '') ELSE '' END AS mid,
+  CASE WHEN n > b THEN array_to_string(u[b + 1:n], '') ELSE '' END AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, jpeg, licenses, lm, mixing, neardup, quality, substrings, urlfilter, warc
+from . import decontam, fim, jpeg, licenses, lm, mixing, neardup, quality, ranked, substrings, urlfilter, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and rearranged, with digests of the outputs and of the texts rebuilt from them."""
     out = fim.with_restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -130,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_source_mixing": op9_source_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -225,6 +231,19 @@ it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(np.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
   sha256(coalesce(it.items, '')) AS items_sha256, coalesce(np.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+size AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+tot AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), tot GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """,
     "op13_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),

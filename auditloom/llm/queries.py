@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, jpeg, licenses, lm, mixing, neardup, quality, ranked, substrings, urlfilter, warc
+from . import decontam, fim, jpeg, licenses, lm, mixing, neardup, quality, ranked, substrings, urlfilter, vectors, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked within their labels."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and rearranged, with digests of the outputs and of the texts rebuilt from them."""
     out = fim.with_restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -136,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -244,6 +250,15 @@ s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 *
   FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), tot GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+""",
+    "op12_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """,
     "op13_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),

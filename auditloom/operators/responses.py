@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.severity import confidence, severity
 from ..functions.text import is_placeholder, text_or_empty
+from ..functions.tolerant_json import Part, read
 from .rule_hits import top
 
-#: Finish reasons that say a response was cut off.
-CUT_OFF = ("length", "max_tokens", "max_output_tokens", "token_limit")
+#: Finish reasons, and reasons among the details, that say a response was cut off.
+CUT_OFF, CUT_DETAILS = ("length", "max_output_tokens", "max_tokens", "incomplete"), ("max_output_tokens", "max_tokens", "length")
 FINDING = "title string, severity string, vuln_type string, file_path string, line_start int, line_end int, code_snippet string, endpoint string, description string, fix_suggestion string, confidence string, poc_raw string"
 
 
@@ -26,132 +27,189 @@ def cleaned(raw: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(out), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
-def is_cut_off(finish: Column | str, text: Column | str) -> Column:
-    t = F.rtrim(text_or_empty(text))
-    return F.lower(text_or_empty(finish)).isin(*CUT_OFF) | ((t != "") & ~F.right(t, F.lit(1)).isin("}", "]"))
+def cut_by_writer(finish: Column | str, status: Column | str, details: Column | str) -> Column:
+    """Whether what is known of a response says that it was cut off: its finish reason, its status or the reason in its details."""
+    said = lambda c: F.lower(F.trim(text_or_empty(c)))
+    return said(finish).isin(*CUT_OFF) | (said(status) == "incomplete") | said(details).isin(*CUT_DETAILS)
 
 
-_DECODER, _GAP = json.JSONDecoder(), re.compile(r"[\s,]*")
+def breaks_off(text: Column | str) -> Column:
+    """Whether a text doesn't end as JSON does."""
+    t = F.rtrim(text_or_empty(text))
+    return (t != "") & ~F.right(t, F.lit(1)).isin("}", "]")
 
 
-def value_at(text: str, opening: str, start: int = 0) -> tuple[object, int, int]:
-    """The first JSON value that begins with ``opening`` at ``start`` or after, with its begin and end; (None, n, n) if none can be read."""
-    at = text.find(opening, start)
-    while at >= 0:
-        try:
-            value, end = _DECODER.raw_decode(text, at)
-            return value, at, end
-        except (ValueError, RecursionError):
-            at = text.find(opening, at + 1)
-    return None, len(text), len(text)
+_DECODER = json.JSONDecoder()
 
 
 def best_json(text: str) -> str | None:
-    """The text itself, else the first object in it, else the first array, if it can be read as JSON."""
+    """The text itself, else the first object in it, else, where no object ends, what its outermost brackets hold, if it can be read as JSON."""
+    first, listed = text.find("{"), text.find("[")
     try:
         if isinstance(_DECODER.decode(text), (dict, list)):
             return text
     except (ValueError, RecursionError):
         pass
-    for opening in "{[":
-        first = text.find(opening)
+    try:
         if first >= 0:
-            value, begin, end = value_at(text, opening, first)
-            if value is not None and begin == first:
-                return text[begin:end]
+            return text[first : _DECODER.raw_decode(text, first)[1]]
+    except (ValueError, RecursionError):
+        pass
+    within = text[listed : text.rfind("]") + 1]
+    try:
+        if listed >= 0 and (first < 0 or "}" not in text[first:]) and isinstance(_DECODER.decode(within), list):
+            return within
+    except (ValueError, RecursionError):
+        pass
     return None
 
 
+#: What may be read of a finding that breaks off, what makes it one, and what stands for the rest.
+CUT_FIELDS = ("title", "severity", "vuln_type", "file_path", "line_start", "line_end", "code_snippet", "endpoint", "poc_raw", "description", "fix_suggestion")
+TELLING = ("title", "vuln_type", "file_path", "endpoint", "description")
+MISSING = {
+    "title": "未命名漏洞", "severity": "Medium", "vuln_type": "未分类漏洞", "file_path": "", "code_snippet": "", "endpoint": "", "poc_raw": "未提供可复现 POC，请结合代码补充复现步骤。",
+    "description": "", "fix_suggestion": "",
+}
+ARCHITECTURE_FIELDS = {"tech_stack": "技术栈：", "framework": "框架：", "database": "数据库：", "auth_mechanism": "认证方式："}
+COUNTED = {"routes": "识别到 {} 条路由", "modules": "{} 个功能模块"}
+#: What is said of responses that could only be read in part, not at all, or were cut off by their writer.
+IN_PART, NOT_AT_ALL, CUT_BY_LENGTH = "模型响应 JSON 不完整，已从截断内容中恢复部分漏洞数据", "无法从模型响应中提取 JSON", "模型响应因输出长度限制被截断"
+OUTLINE, NO_OUTLINE = "项目架构概要（从截断响应中恢复）：", "模型响应被截断，架构信息不完整，已恢复部分数据。"
+
+
 def list_objects(text: str, name: str) -> list[dict]:
-    """The whole objects at the top of the list ``name`` in a text that may break off; one that can't be read is passed over, one that breaks off ends the list."""
-    mark = text.find(f'"{name}"')
-    at = text.find("[", mark) + 1 if mark >= 0 else 0
-    found: list[dict] = []
-    while at > 0:
-        at = _GAP.match(text, at).end()
-        if text[at : at + 1] in ("", "]"):
-            break
-        try:
-            value, at = _DECODER.raw_decode(text, at)
-            if isinstance(value, dict):
-                found.append(value)
-        except json.JSONDecodeError as e:
-            if e.msg.startswith("Unterminated") or not text[e.pos :].strip():
-                break
-            at = text.find("{", e.pos)
-        except RecursionError:
-            break
-    return found
+    """The whole objects at the top of the first list ``name`` of a text that may break off; what can't be read is passed over."""
+    listed = next((v for k, v in read(text)[1] if k == name and isinstance(v, Part) and v.kind == "["), None)
+    values = [p.value(text) for _, p in listed.pairs if isinstance(p, Part)] if listed else []
+    return [v for v in values if isinstance(v, dict)]
+
+
+def _cut_finding(part: Part) -> dict | None:
+    numbers = ("line_start", "line_end")
+    held = {k: part.field(k) for k in CUT_FIELDS}
+    held = {k: int(v) if k in numbers else v for k, v in held.items() if isinstance(v, (int, float) if k in numbers else str) and not isinstance(v, bool)}
+    return MISSING | held | {"_salvaged": True} if any(held.get(k) for k in TELLING) else None
+
+
+def _findings(listed: Part, text: str) -> list[dict]:
+    """The findings of a list: whole ones up to the first that isn't, and of that one what is there."""
+    out = []
+    for _, part in listed.pairs:
+        if not isinstance(part, Part) or part.kind != "{":
+            continue
+        value = part.value(text)
+        if value is None:
+            cut = _cut_finding(part)
+            return [*out, cut] if cut else out
+        out.append(value | {"_salvaged": True})
+    return out
+
+
+def _outline(info: dict) -> str:
+    told = [mark + str(info[k]) for k, mark in ARCHITECTURE_FIELDS.items() if info.get(k)]
+    told += [mark.format(len(info[k])) for k, mark in COUNTED.items() if isinstance(info.get(k), list) and info[k]]
+    return OUTLINE + "；".join(told) + "。" if told else NO_OUTLINE
+
+
+def recovered(text: str) -> dict | None:
+    """Of a broken response its summary, its description of the architecture and its findings, the cut one included; null if there is none of these."""
+    _, pairs = read(text)
+    first = lambda name, fits: next((v for k, v in pairs if k == name and fits(v)), None)
+    listed = first("vulnerabilities", lambda v: isinstance(v, Part) and v.kind == "[")
+    about = first("architecture_info", lambda v: isinstance(v, Part) and v.kind == "{")
+    summary = first("stage_summary", lambda v: isinstance(v, str)) or ""
+    found, info = _findings(listed, text) if listed else [], {}
+    if about:
+        info = about.value(text)
+        if not isinstance(info, dict):
+            info = {k: v for k in ARCHITECTURE_FIELDS if isinstance(v := about.field(k), str)}
+    if not (found or summary or info):
+        return None
+    whole = text.rstrip().endswith(("}", "]")) or not text.strip()
+    return {"_salvaged": True, "parse_error": IN_PART, "response_incomplete": not whole, "stage_summary": summary or (_outline(info) if info else ""), "architecture_info": info, "vulnerabilities": found}
 
 
 def salvage(text: str, name: str = "vulnerabilities") -> str | None:
-    """Of a broken response, the whole objects of its list ``name`` as a JSON array; null if there are none."""
-    found = list_objects(text, name)
-    return json.dumps(found, ensure_ascii=False) if found else None
+    """Of a broken response, what can be read of its list ``name`` of findings as a JSON array; null if that is nothing."""
+    listed = next((v for k, v in read(text)[1] if k == name and isinstance(v, Part) and v.kind == "["), None)
+    found = _findings(listed, text) if listed else []
+    return json.dumps([{k: v for k, v in f.items() if k != "_salvaged"} for f in found], ensure_ascii=False) if found else None
 
 
 def parse(responses: DataFrame, content: str = "content") -> DataFrame:
-    """Adds clean, json (the response as JSON text, or null), salvaged (list of whole findings, if broken) and parse_state.
+    """Adds clean, json (the response as JSON text, or null), restored (what a broken one still tells, as JSON, or null), response_json (the one or the other, or the notice that nothing can be read) and parse_state.
 
-    Valid JSON is told by Spark itself; only the rest goes through the scanner.
+    Valid JSON is told by Spark itself; only the rest goes through the reader. The raw text
+    stays in ``content`` whatever comes of it.
     """
     clean = responses.withColumn("clean", cleaned(content)).withColumn("_good", F.expr("try_parse_json(clean)").isNotNull() & F.col("clean").rlike(r"^[\[{]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("clean").to_pylist()
-            fixed = [best_json(t or "") for t in texts]
-            saved = [None if f else salvage(t or "") for f, t in zip(fixed, texts, strict=True)]
+            texts = [t or "" for t in batch.column("clean").to_pylist()]
+            fixed = [best_json(t) for t in texts]
+            saved = [None if f else recovered(t) for f, t in zip(fixed, texts, strict=True)]
+            saved = [json.dumps(s, ensure_ascii=False) if s else None for s in saved]
             keep = [batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(fixed, pa.string()), pa.array(saved, pa.string())], names=[*batch.schema.names, "json", "salvaged"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(fixed, pa.string()), pa.array(saved, pa.string())], names=[*batch.schema.names, "json", "restored"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*clean.schema.fields, T.StructField("json", T.StringType()), T.StructField("salvaged", T.StringType())])
-    good = clean.filter("_good").withColumn("json", F.col("clean")).withColumn("salvaged", F.lit(None).cast("string"))
+    schema = T.StructType([*clean.schema.fields, T.StructField("json", T.StringType()), T.StructField("restored", T.StringType())])
+    good = clean.filter("_good").withColumn("json", F.col("clean")).withColumn("restored", F.lit(None).cast("string"))
     bad = clean.filter("NOT _good OR _good IS NULL").mapInArrow(run, schema)
-    state = F.when(F.col("_good"), "clean").when(F.col("json").isNotNull(), "extracted").when(F.col("salvaged").isNotNull(), "salvaged").otherwise("parse_error")
-    return good.unionByName(bad).withColumn("parse_state", state).drop("_good")
+    state = F.when(F.col("_good"), "clean").when(F.col("json").isNotNull(), "extracted").when(F.col("restored").isNotNull(), "salvaged").otherwise("parse_error")
+    told = F.to_json(F.struct(F.lit(NOT_AT_ALL).alias("parse_error"), breaks_off("clean").alias("response_incomplete"), F.array().cast("array<string>").alias("vulnerabilities")))
+    return good.unionByName(bad).withColumn("parse_state", state).withColumn("response_json", F.coalesce("json", "restored", told)).drop("_good")
+
+
+def annotated(rows: DataFrame, finish: str = "finish_reason", status: str = "response_status", details: str = "incomplete_reason") -> DataFrame:
+    """Of rows (response, is_list) as ``typed`` gives them: marks objects as incomplete that their writer cut off, with a notice where none was."""
+    r = F.col("response")
+    cut = cut_by_writer(finish, status, details) & ~F.col("is_list") & r.isNotNull()
+    notice = F.when(text_or_empty(r["parse_error"]) == "", CUT_BY_LENGTH).otherwise(r["parse_error"])
+    return rows.withColumn("response", F.when(cut, r.withField("response_incomplete", F.lit(True)).withField("parse_error", notice)).otherwise(r))
 
 
 def findings_of(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """Findings of parsed responses: their vulnerabilities, submitted findings among their actions, and salvaged ones."""
+    """Findings of parsed responses: their vulnerabilities, submitted findings among their actions, and those of restored ones (salvaged)."""
     body = F.from_json("json", f"vulnerabilities array<struct<{FINDING.replace(' ', ':')}>>, actions array<struct<type:string, payload:struct<{FINDING.replace(' ', ':')}>>>".replace(",:", ", "), {"mode": "PERMISSIVE"})
-    saved = F.from_json("salvaged", f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")
+    saved = F.from_json("restored", f"vulnerabilities array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")["vulnerabilities"]
     empty = F.array().cast(f"array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")
     submitted = F.transform(F.filter(F.coalesce("_b.actions", F.array().cast("array<struct<type:string,payload:struct<" + FINDING.replace(" ", ":").replace(",:", ",") + ">>>")), lambda a: (a["type"] == "submit_finding") & a["payload"].isNotNull()), lambda a: a["payload"])
     rows = parsed.withColumn("_b", body).withColumn("_s", saved)
     whole = F.concat(F.coalesce("_b.vulnerabilities", empty), submitted)
-    out = rows.select(*keep, F.col("_s").isNotNull().alias("salvaged"), F.posexplode(F.concat(whole, F.coalesce("_s", empty))).alias("position", "f"))
+    out = rows.select(*keep, F.col("restored").isNotNull().alias("salvaged"), F.posexplode(F.concat(whole, F.coalesce("_s", empty))).alias("position", "f"))
     return out.select(*keep, "salvaged", "position", "f.*")
 
 
-#: What is read of a response: all of it as far as it is there, the rest null.
+#: What is read of an architecture, and of a response: all of it as far as it is there, the rest null.
+ARCHITECTURE = ("tech_stack:string", "framework:string", "database:string", "auth_mechanism:string", "routes:array<struct<method:string,path:string,handler:string,file_path:string,auth:string,params:array<string>,notes:string>>", "modules:array<string>")
 RESPONSE = (
-    "stage_summary string, architecture_info struct<tech_stack:string,framework:string,database:string,auth_mechanism:string,"
-    "routes:array<struct<method:string,path:string,handler:string,file_path:string,auth:string,params:array<string>,notes:string>>>,"
-    "vulnerabilities array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>, parse_error string, response_incomplete boolean, _salvaged boolean"
+    "stage_summary string, architecture_info struct<" + ",".join(ARCHITECTURE) + ">, vulnerabilities array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>, "
+    "parse_error string, response_incomplete boolean, _salvaged boolean"
 )
 
 
 def typed(parsed: DataFrame, json_column: str = "json") -> DataFrame:
-    """Adds ``response`` (RESPONSE) and ``is_list``: whether the response is a list of findings by itself."""
+    """Adds ``response`` (RESPONSE, and has_architecture: whether that holds anything) and ``is_list``: whether the response is a list of findings by itself."""
     body = F.col(json_column)
     listed = F.coalesce(F.ltrim(body).startswith("["), F.lit(False))
     findings = F.from_json(body, "array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>")
-    whole = F.from_json(body, RESPONSE, {"mode": "PERMISSIVE"})
+    about = F.get_json_object(body, "$.architecture_info")
+    # An object without a key tells nothing, one with keys that aren't read here does.
+    whole = F.from_json(body, RESPONSE, {"mode": "PERMISSIVE"}).withField("has_architecture", F.coalesce(about.startswith("{") & (about != "{}"), F.lit(False)))
     return parsed.withColumn("is_list", listed).withColumn("response", F.when(listed, whole.withField("vulnerabilities", findings)).otherwise(whole))
 
 
 def response_score(response: Column, is_list: Column) -> Column:
-    """How good a response is: 40 if it could be parsed, 30 if it is complete, 20 if it wasn't salvaged, 3 for each of eight findings and 1 more with a proof, 3 each for a summary and a description of the architecture. A list has 10 and its length."""
+    """How good a response is: 40 if it could be parsed, 30 if it is complete, 20 if it wasn't salvaged, 3 for each of eight findings and 1 more with a proof, 3 each for a summary and a description of the architecture that holds anything. A list has 10 and its length."""
     found = F.coalesce(response["vulnerabilities"], F.array().cast("array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>"))
     first = F.slice(found, 1, 8)
     absent = lambda c: text_or_empty(c) == ""
     points = (
         F.when(absent(response["parse_error"]), 40).otherwise(0) + F.when(F.coalesce(response["response_incomplete"], F.lit(False)), 0).otherwise(30) + F.when(F.coalesce(response["_salvaged"], F.lit(False)), 0).otherwise(20)
         + 3 * F.size(first) + F.size(F.filter(first, lambda v: F.trim(text_or_empty(v["poc_raw"])) != "")) + F.when(F.trim(text_or_empty(response["stage_summary"])) != "", 3).otherwise(0)
-        + F.when(response["architecture_info"].isNotNull(), 3).otherwise(0)
+        + F.when(response["has_architecture"], 3).otherwise(0)
     )
     return F.when(is_list, 10 + F.size(found)).when(response.isNull(), 0).otherwise(points)
 
@@ -190,12 +248,12 @@ def capped(responses: DataFrame) -> DataFrame:
         return F.struct(F.upper(F.when(text(x["method"]) == "", "UNKNOWN").otherwise(x["method"])).alias("method"), F.trim(text(x["path"])).alias("path"), *[cut[k].alias(k) for k in ("handler", "file_path", "auth")], params.alias("params"), cut["notes"].alias("notes"))
 
     routes = F.filter(F.transform(F.slice(r["architecture_info"]["routes"], F.lit(1), F.least(F.lit(8), F.greatest(F.lit(2), most * 3))), route), lambda x: x["path"] != "")
-    info = F.struct(*[F.substring(r["architecture_info"][k], 1, ARCHITECTURE_CHARS).alias(k) for k in ("tech_stack", "framework", "database", "auth_mechanism")], F.when(F.size(routes) > 0, routes).alias("routes"))
+    info = F.struct(*[F.substring(r["architecture_info"][k], 1, ARCHITECTURE_CHARS).alias(k) for k in ("tech_stack", "framework", "database", "auth_mechanism")], F.when(F.size(routes) > 0, routes).alias("routes"), F.lit(None).cast("array<string>").alias("modules"))
     said = F.trim(text(r["stage_summary"]))
     told = F.when(said == "", F.concat(F.lit("阶段"), F.col("stage_num").cast("string"), F.lit(" 模型响应出现截断，系统已根据可恢复字段整理为完整 JSON。"))).otherwise(said)
     kept = F.slice(F.coalesce(r["vulnerabilities"], F.array().cast("array<struct<" + FINDING.replace(", ", ",").replace(" ", ":") + ">>")), F.lit(1), most)
     small = r.withField("stage_summary", F.substring(told, 1, SUMMARY_CHARS)).withField("architecture_info", info).withField("vulnerabilities", F.transform(kept, finding))
-    empty = r.withField("stage_summary", F.lit("")).withField("architecture_info", F.lit(None)).withField("vulnerabilities", r["vulnerabilities"])
+    empty = r.withField("stage_summary", F.lit("")).withField("architecture_info", F.lit(None)).withField("has_architecture", F.lit(False)).withField("vulnerabilities", r["vulnerabilities"])
     return responses.withColumn("response", F.when(F.col("is_list"), empty).when(broken, small).otherwise(r)).withColumn("recovered", F.col("is_list") | broken)
 
 

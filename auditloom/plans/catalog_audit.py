@@ -420,7 +420,7 @@ _KIND = "(conv_id + turn) % 4"
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, substr(text, 1, 40) AS title, {_KIND} AS kind FROM conversations), s AS (SELECT *, CASE kind WHEN 2 THEN 'extracted' WHEN 3 THEN 'salvaged' ELSE 'clean' END AS parse_state, kind = 3 AS salvaged FROM c)
-SELECT conv_id, turn, parse_state, salvaged, 0 AS position, title, 'High' AS severity FROM s UNION ALL SELECT conv_id, turn, parse_state, salvaged, 1, 'second', 'Low' FROM s WHERE kind < 3""")
+SELECT conv_id, turn, parse_state, salvaged, 0 AS position, title, 'High' AS severity FROM s UNION ALL SELECT conv_id, turn, parse_state, salvaged, 1, 'second', 'Low' FROM s""")
 def malformed_json_salvage(spark, sf):
     """Conversations as responses, some broken, and the findings that are saved (H1-H3, H7)."""
     parsed = responses.parse(_responses(spark, sf))
@@ -437,6 +437,55 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", raw.alias("content"))
 
 
+#: A response, its pieces in order; each conversation has it in its own words, cut at eight places.
+_PIECES = (
+    ('{"stage_summary":"', "said"), ('","architecture_info":{"framework":"', "made"), ('"},"vulnerabilities":[{"title":"', "one"), ('","severity":"', "high"),
+    ('"},{"title":"', "two"), ('","line_start":', "line"), (',"severity":"', "low"), ('"}]}', None),
+)
+
+
+def _cut_sql() -> str:
+    """Expected values of ``cut_responses``, worked out from where each value begins and how far the text goes."""
+    pieces, begins = "", {}
+    for mark, name in _PIECES:
+        pieces += ("" if not pieces else " || ") + f"'{mark}'"
+        if name:
+            begins[name] = f"length({pieces})"
+            pieces += f" || {name}"
+    there = lambda n: f"substr({n}, 1, greatest(c - {begins[n]}, 0))"
+    got = ", ".join(f"trim({there(n)}) AS {n}_got" for n in begins)
+    return f"""
+WITH v AS (SELECT conv_id, turn, unnest(range(8)) AS i, 'said ' || conv_id || '-' || turn AS said, 'fw' || turn AS made, 'one' || conv_id AS one, 'High' AS high, 'two' AS two, CAST(turn + 10 AS VARCHAR) AS line, 'Low' AS low FROM conversations),
+t AS (SELECT *, {pieces} AS whole FROM v), p AS (SELECT *, (conv_id * 31 + turn * 17 + i * 23) % length(whole) + 1 AS c FROM t), g AS (SELECT *, {got}, substr(whole, 1, c) AS cut, length(whole) = c AS good FROM p),
+k AS (SELECT *, right(cut, 1) IN ('}}', ']') AS ended, c >= {begins["high"]} + length(high) + 2 AS first_whole FROM g),
+n AS (SELECT *, CASE WHEN one_got = '' THEN 0 WHEN two_got = '' THEN 1 ELSE 2 END AS n FROM k)
+SELECT conv_id, turn, i, CASE WHEN good THEN 'clean' WHEN said_got = '' THEN 'parse_error' ELSE 'salvaged' END AS parse_state, nullif(said_got, '') AS stage_summary, nullif(made_got, '') AS framework, n AS n_findings,
+CASE n WHEN 1 THEN one_got WHEN 2 THEN two_got END AS last_title, CASE n WHEN 1 THEN CASE WHEN high_got = '' THEN 'Medium' ELSE high_got END WHEN 2 THEN CASE WHEN low_got = '' THEN 'Medium' ELSE low_got END END AS last_severity,
+CASE WHEN n = 2 AND line_got <> '' THEN CAST(line_got AS INTEGER) END AS last_line,
+CAST(CASE WHEN good THEN 90 + 6 + 6 WHEN said_got = '' THEN 20 + CASE WHEN ended THEN 30 ELSE 0 END
+ELSE CASE WHEN ended THEN 30 ELSE 0 END + 3 + CASE WHEN made_got <> '' THEN 3 ELSE 0 END + 3 * n + CASE WHEN n = 1 AND NOT first_whole OR n = 2 AND c < length(whole) - 2 THEN 1 ELSE 0 END END AS BIGINT) AS score FROM n"""
+
+
+@query(_cut_sql())
+def cut_responses(spark, sf):
+    """Responses cut at any place, what is restored of them and how good that is (H2, H5)."""
+    c = dt.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    n, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    own = {
+        "said": F.concat(F.lit("said "), n, F.lit("-"), t), "made": F.concat(F.lit("fw"), t), "one": F.concat(F.lit("one"), n), "high": F.lit("High"), "two": F.lit("two"),
+        "line": (F.col("turn") + 10).cast("string"), "low": F.lit("Low"),
+    }
+    whole = c.withColumn("whole", F.concat(*[x for mark, name in _PIECES for x in (F.lit(mark), own[name] if name else F.lit(""))]))
+    cut = F.substring("whole", F.lit(1), ((F.col("conv_id") * 31 + F.col("turn") * 17 + F.col("i") * 23) % F.length("whole") + 1).cast("int"))
+    rows = responses.typed(responses.parse(whole.select("conv_id", "turn", "i", cut.alias("content"))), "response_json")
+    r = F.col("response")
+    last = F.try_element_at(F.coalesce(r["vulnerabilities"], F.array().cast(rows.schema["response"].dataType["vulnerabilities"].dataType)), F.lit(-1))
+    return rows.select(
+        "conv_id", "turn", F.col("i").cast("long").alias("i"), "parse_state", r["stage_summary"].alias("stage_summary"), r["architecture_info"]["framework"].alias("framework"), F.size(r["vulnerabilities"]).alias("n_findings"),
+        last["title"].alias("last_title"), last["severity"].alias("last_severity"), last["line_start"].alias("last_line"), responses.response_score(r, F.col("is_list")).cast("long").alias("score"),
+    )
+
+
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as parsed responses: as many findings as the turn says, every other with a proof, some broken, some lists."""
     c = dt.table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))

@@ -1,5 +1,7 @@
 """Golden pairs of the column functions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,55 @@ def test_json_salvage():
     assert responses.salvage('{"vulnerabilities": [{"t": 1}, {"t": 2}, {"t"') == '[{"t": 1}, {"t": 2}]'
 
 
+CUT = '{"stage_summary": "all\\nof it", "architecture_info": {"framework": "x", "routes": [{"path": "/a"}]}, "vulnerabilities": [{"title": "a", "line_start": 3}, {"title": "b", "severity": "Hi'
+
+
+def test_broken_responses_keep_all_that_is_there():
+    got = responses.recovered(CUT)
+    assert (got["stage_summary"], got["architecture_info"]) == ("all\nof it", {"framework": "x", "routes": [{"path": "/a"}]})
+    assert [(f["title"], f.get("severity"), f.get("line_start")) for f in got["vulnerabilities"]] == [("a", None, 3), ("b", "Hi", None)]
+    assert got["response_incomplete"] and got["vulnerabilities"][1]["vuln_type"] == "未分类漏洞" and got["vulnerabilities"][1]["poc_raw"]
+    # An architecture that breaks off keeps its four texts, and speaks for a missing summary.
+    got = responses.recovered('{"architecture_info": {"tech_stack": "py", "routes": [{"path": "/a"}], "database": "pg')
+    assert got["architecture_info"] == {"tech_stack": "py", "database": "pg"} and got["stage_summary"] == "项目架构概要（从截断响应中恢复）：技术栈：py；数据库：pg。"
+    # A finding with a fault keeps its fields and ends the list; one that tells nothing is none.
+    got = responses.recovered('{"vulnerabilities": [{"title": "a"}, {"title": "b" "line_start": 12, "severity": "Low"}, {"title": "c"}')
+    assert [(f["title"], f.get("line_start")) for f in got["vulnerabilities"]] == [("a", None), ("b", 12)]
+    assert responses.recovered('{"vulnerabilities": [{"severity": "High", "code_snippet": "x') is None
+    # Without the outer braces, with fields where an object should be, with an escape cut in two, with a line that ends within a text.
+    assert responses.recovered('"vulnerabilities": [{"title": "t\\') ["vulnerabilities"][0]["title"] == "t\\"
+    assert responses.recovered('{"vulnerabilities": ["title": "t", "severity": "Low"')["vulnerabilities"][0]["title"] == "t"
+    assert responses.recovered('{"stage_summary": "one\ntwo')["stage_summary"] == "one"
+    assert responses.recovered("[" * 50_000 + '{"stage_summary": "deep') ["stage_summary"] == "deep"
+    assert responses.recovered("") is None and responses.recovered("prose: nothing } here ]") is None
+
+
+def test_every_cut_is_read_and_tells_no_more_than_the_whole():
+    whole = json.dumps({"stage_summary": "é \" quoted\\ {[", "architecture_info": {"framework": "a}b", "routes": [{"path": "/x"}]}, "vulnerabilities": [{"title": "t1", "description": "d, }]"}, {"title": "t2", "line_start": 77}]}, ensure_ascii=False)
+    seen = 0
+    for n in range(len(whole)):
+        got = responses.recovered(whole[:n]) or {"vulnerabilities": [], "stage_summary": ""}
+        assert len(got["vulnerabilities"]) >= seen and "é \" quoted\\ {[".startswith(got["stage_summary"].rstrip("\\"))  # half an escape stays as it stands
+        seen = len(got["vulnerabilities"])
+        assert all("t1".startswith(f["title"]) or "t2".startswith(f["title"]) for f in got["vulnerabilities"])
+    assert seen == 2
+
+
+def test_best_json_takes_a_list_only_where_no_object_ends():
+    assert responses.best_json('see ["a", "b"] there') == '["a", "b"]'
+    assert responses.best_json('{"s": "x", "tags": ["a"]') == '["a"]'
+    assert responses.best_json('{"architecture_info": {"routes": [{"path": "/a"}]}, "vulnerabilities": [{"t') is None
+
+
+def test_what_writers_tell_of_cuts(spark):
+    rows = [(1, '{"stage_summary": "s"}', "LENGTH", None, None), (2, '{"parse_error": "p"}', None, "incomplete", None), (3, '{"stage_summary": "s"}', "stop", "completed", " Max_Tokens "), (4, '{"stage_summary": "s"}', "stop", None, None), (5, "[]", "length", None, None), (6, "nothing }", None, None, None), (7, '{"architecture_info": {}, "vulnerabilities": []}', None, None, None), (8, '{"architecture_info": {"other": 1}}', None, None, None)]
+    df = spark.createDataFrame(rows, "id int, content string, finish_reason string, response_status string, incomplete_reason string")
+    out = responses.annotated(responses.typed(responses.parse(df), "response_json"))
+    got = {r["id"]: (r["response"]["response_incomplete"], r["response"]["parse_error"], r["s"], r["content"]) for r in out.withColumn("s", responses.response_score(F.col("response"), F.col("is_list"))).collect() if r["id"] != 5}
+    assert got[1][:3] == (True, "模型响应因输出长度限制被截断", 23) and got[2][:3] == (True, "p", 20) and got[3][:2] == got[1][:2] and got[4][:3] == (None, None, 93)
+    assert got[6] == (False, "无法从模型响应中提取 JSON", 50, "nothing }") and got[7][2] == 90 and got[8][2] == 93
+
+
 def test_response_states(spark):
     good = '{"vulnerabilities": [{"title": "T", "severity": "High"}], "actions": [{"type": "submit_finding", "payload": {"title": "S"}}]}'
     rows = [(1, good), (2, f"```json\n{good}\n```"), (3, f"see: {good}!"), (4, '{"vulnerabilities": [{"title": "T", "severity": "High"}, {"ti'), (5, "garbage"), (6, None)]

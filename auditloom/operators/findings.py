@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keywords import keyword_counts
 from ..functions.localize import localize
 from ..functions.paths import code_anchor, endpoint_anchor, file_anchor, keyword_text, match_path
 from ..functions.severity import confidence_rank, severity, severity_rank
-from ..functions.text import any_in, contains_any, ends_with_any, first_real, fixed, is_placeholder, literals, text_or_empty
+from ..functions.text import contains_any, ends_with_any, first_real, fixed, is_placeholder, text_or_empty
 
 #: Families and the markers that tell them, in order of precedence.
 FAMILIES = (
@@ -66,19 +67,19 @@ def normalize(findings: DataFrame) -> DataFrame:
     })
 
 
-def family(hay: str, base: Column) -> Column:
-    """What kind of flaw it is, by the first markers that its texts hold (``hay`` names a fixed column of them in lower case); else ``base``, its type's words."""
-    chinese = F.contains(hay, F.lit("注入"))
-    special = (
-        ("sql_injection", ("sql", "select ", "update ", "insert ", "delete from", "where ")), ("nosql_injection", ("mongo", "bson", "nosql")), ("command_injection", ("exec", "shell", "command", "system(")),
-    )
-    out = None
-    for name, markers in special:
-        hit = chinese & any_in(hay, markers)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    table = F.array(*[F.struct(F.lit(name).alias("name"), literals(markers).alias("markers")) for name, markers in FAMILIES])
-    first = F.get(F.filter(table, lambda f: F.exists(f["markers"], lambda m: F.contains(F.col(hay), m))), 0)["name"]
-    return F.coalesce(out, first, F.when(base == "", "generic_vulnerability").otherwise(base))
+#: Families of injections that Chinese texts name by one word, and their markers.
+INJECTION, INJECTIONS = "注入", (
+    ("sql_injection", ("sql", "select ", "update ", "insert ", "delete from", "where ")), ("nosql_injection", ("mongo", "bson", "nosql")), ("command_injection", ("exec", "shell", "command", "system(")),
+)
+_MARKS = ((INJECTION,), *(markers for _, markers in (*INJECTIONS, *FAMILIES)))
+
+
+def family(counts: str, base: Column) -> Column:
+    """What kind of flaw it is, by the first markers that its texts hold (``counts`` names a fixed column of ``keyword_counts`` over _MARKS); else ``base``, its type's words."""
+    held = lambda i: F.col(counts)[i] > 0
+    named = [F.when(held(0) & held(1 + i), name) for i, (name, _) in enumerate(INJECTIONS)]
+    named += [F.when(held(1 + len(INJECTIONS) + i), name) for i, (name, _) in enumerate(FAMILIES)]
+    return F.coalesce(*named, F.when(base == "", "generic_vulnerability").otherwise(base))
 
 
 def root_cause(df: DataFrame) -> DataFrame:
@@ -89,13 +90,14 @@ def root_cause(df: DataFrame) -> DataFrame:
     end = F.coalesce("line_end", "line_start").cast("string")
     line = F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), end)
     made = fixed(df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80), _file=file_anchor("file_path"), _at=line)
+    made = fixed(made, _held=keyword_counts("_hay", _MARKS))
     # The next best anchor is worked out only where the ones before it are missing.
     code = F.nullif(code_anchor("code_snippet"), F.lit(""))
     made = fixed(made, _code=F.when(F.col("_at").isNull(), F.concat(F.lit("code:"), code)))
     made = fixed(made, _end=F.when(F.coalesce("_at", "_code").isNull(), F.nullif(endpoint_anchor("endpoint"), F.lit(""))))
     made = fixed(made, _rest=F.when(F.coalesce("_at", "_code", "_end").isNull(), F.nullif(code_anchor(rest), F.lit(""))))
     at = F.coalesce("_at", "_code", "_end", "_rest", F.lit("global"))
-    out = fixed(made, family=family("_hay", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_base", "_at", "_code", "_end", "_rest")
+    out = fixed(made, family=family("_held", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_held", "_base", "_at", "_code", "_end", "_rest")
     return out.withColumn("dedupe_key", F.substring(F.sha2(F.concat_ws("|", "family", "file_anchor", "location_anchor").cast("binary"), 256), 1, 32))
 
 

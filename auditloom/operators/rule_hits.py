@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keywords import keyword_counts, keywords_first, keywords_held
 from ..functions.paths import is_noise_path
 from ..functions.rules import ACCEPT, DEFAULT_RULES, DEFAULT_SINKS, DEFAULT_SOURCES, LABEL_EVIDENCE, LABEL_PATHS, TRANSLATED, TRANSLATIONS, Rule
-from ..functions.text import any_in, contains_any, count_in, ends_with_any, fixed, found_in, present_of, split_lines, strip_comments, text_or_empty, window_around
+from ..functions.text import LINE_BREAK, any_in, ends_with_any, fixed, split_lines, strip_comments, text_or_empty, window_around
 
 
 def _choose(label: Column, by_label: dict[str, Column], otherwise: Column) -> Column:
@@ -52,24 +53,24 @@ def rule_hits(chunks: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, most: in
 
     A label counts only if the chunk has it. Hits are counted in the stripped text and
     evidence is taken from the text as it is. Equal scores: the earlier chunk wins. The
-    text is stripped once, keywords are looked for by label, and lines only by the
-    keywords that the text holds.
+    stripped text is read once for all keywords of all labels, and the text itself once
+    more, where any label has enough, for the first place of each.
     """
     made = chunks.filter(F.coalesce(F.trim("base_file_path") != "", F.lit(False)) & F.coalesce(F.col("content") != "", F.lit(False)) & (F.size("risk_labels") > 0))
     made = fixed(made.filter(~is_noise_path("base_file_path")), _low=F.lower(strip_comments(F.col("content"))), _path=F.lower("base_file_path"), _labels=F.transform("risk_labels", lambda x: F.lower(x)))
+    counted = fixed(made, _n=keyword_counts("_low", [words for r in rules for words in (r.hits, r.strong, r.medium)])).drop("_low")
 
-    def counted(r: Rule) -> Column:
-        weight = 3 * count_in("_low", r.strong) + count_in("_low", r.medium)
-        found = F.struct(F.lit(r.label).alias("label"), F.lit(r.title).alias("title"), count_in("_low", r.hits).alias("n"), weight.alias("w"), F.array(*map(F.lit, r.stages)).cast("array<int>").alias("stage_nums"))
-        return F.when(F.array_contains("_labels", r.label), found)
+    def found(i: int, r: Rule) -> Column:
+        n, weight = F.col("_n")[3 * i], 3 * F.col("_n")[3 * i + 1] + F.col("_n")[3 * i + 2]
+        hit = F.struct(F.lit(r.label).alias("label"), F.lit(r.title).alias("title"), n.alias("n"), weight.alias("w"), F.array(*map(F.lit, r.stages)).cast("array<int>").alias("stage_nums"), F.lit(i).alias("rule"))
+        return F.when(F.array_contains("_labels", r.label) & (n >= r.min_hits) & (weight >= r.min_weight), hit)
 
-    enough = {r.label: (F.col("_h.n") >= r.min_hits) & (F.col("_h.w") >= r.min_weight) for r in rules}
-    hits = made.withColumn("_h", F.explode_outer(F.array_compact(F.array(*map(counted, rules))))).filter("_h IS NOT NULL").drop("_low")
-    hits = hits.filter(_choose(F.col("_h.label"), enough, F.lit(False)))
+    hits = fixed(counted, _hits=F.array_compact(F.array(*[found(i, r) for i, r in enumerate(rules)]))).filter(F.size("_hits") > 0).drop("_n")
     raw = fixed(hits, _raw=F.lower("content"))
-    held = fixed(raw, _held=_choose(F.col("_h.label"), {r.label: F.array_distinct(found_in("_raw", r.hits)) for r in rules}, F.array().cast("array<string>")), _lines=split_lines("content")).filter(F.size("_held") > 0).drop("_raw")
-    at = F.array_position(F.transform("_lines", lambda line: F.exists("_held", lambda k: F.contains(F.lower(line), k))), F.lit(True)).cast("int")
-    shown = fixed(held, _evidence=window_around(F.col("_lines"), at, 2)).filter("_evidence <> ''").drop("_lines", "_held")
+    placed = fixed(raw, _first=keywords_first("_raw", [r.hits for r in rules]), _lines=split_lines("content"))
+    each = placed.withColumn("_h", F.explode("_hits")).drop("_hits").withColumn("_at", F.col("_first")[F.col("_h.rule")].cast("int")).filter("_at IS NOT NULL")
+    line = F.size(F.split(F.substring(F.col("_raw").cast("binary"), F.lit(1), F.col("_at")).cast("string"), LINE_BREAK))
+    shown = fixed(each, _evidence=window_around(F.col("_lines"), line, 2)).filter("_evidence <> ''").drop("_lines", "_raw", "_first", "_at")
     shown = fixed(shown, _e=F.lower("_evidence"))
     label = F.col("_h.label")
     if accept:
@@ -101,9 +102,11 @@ def source_sink_hints(chunks: DataFrame, routes: DataFrame, sources: dict[str, S
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.trim("path").alias("path")))), lambda x: x["path"])).alias("route_paths")
     )
     low = fixed(chunks.filter(F.coalesce(F.trim("base_file_path") != "", F.lit(False))), _low=F.lower(strip_comments(F.substring(text_or_empty("content"), 1, 16_000)))).filter("_low <> ''")
-    found = fixed(low, source_types=F.array_compact(F.array(*[F.when(contains_any("_low", kws), F.lit(k)) for k, kws in sources.items()]))).filter(F.size("source_types") > 0)
-    each = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(t).alias("title"), F.array(*map(F.lit, st)).cast("array<int>").alias("stage_nums"), present_of("_low", kws).alias("sinks")) for k, (t, st, kws) in sinks.items()])
-    counted = found.withColumn("_h", F.explode_outer(each)).filter(F.size("_h.sinks") > 0).drop("_low")
+    counts = fixed(low, _n=keyword_counts("_low", list(sources.values())))
+    some = fixed(counts, source_types=F.array_compact(F.array(*[F.when(F.col("_n")[i] > 0, F.lit(k)) for i, k in enumerate(sources)]))).filter(F.size("source_types") > 0).drop("_n")
+    found = fixed(some, _held=keywords_held("_low", [kws for _, _, kws in sinks.values()]))
+    each = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(t).alias("title"), F.array(*map(F.lit, st)).cast("array<int>").alias("stage_nums"), F.col("_held")[i].alias("sinks")) for i, (k, (t, st, _)) in enumerate(sinks.items())])
+    counted = found.withColumn("_h", F.explode_outer(each)).filter(F.size("_h.sinks") > 0).drop("_low", "_held")
     met = fixed(counted, _lines=split_lines(text_or_empty("content"))).join(own, ["project", "base_file_path"], "left").withColumn("route_paths", F.coalesce("route_paths", F.array().cast("array<string>")))
     label, labels = F.col("_h.label"), F.transform(F.coalesce("risk_labels", F.array().cast("array<string>")), lambda x: F.lower(x))
     agrees = F.exists(labels, lambda x: x == label) | ((label == "auth") & F.array_contains(labels, "business"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keywords import keyword_counts
 from ..functions.paths import file_role, is_noise_path
 from ..functions.rules import CODE_ENDINGS, DEFAULT_RULES, RISK_KEYWORDS, RISK_PATHS
 from ..functions.text import contains_any, count_in, ends_with_any, fixed, split_lines, strip, strip_comments, text_or_empty, truncate, truncate_head
@@ -87,7 +88,7 @@ def with_risk(chunks: DataFrame, keywords: dict[str, tuple[str, ...]] | None = N
     words = RISK_KEYWORDS if keywords is None else keywords
     low = F.lower(text_or_empty("base_file_path"))
     hay = fixed(chunks, _path=low, _hay=F.concat(low, F.lit("\n"), F.lower(strip_comments(F.substring(text_or_empty("content"), 1, 12_000)))))
-    counted = fixed(hay, _n=F.array(*[count_in("_hay", kws) for kws in words.values()]))
+    counted = fixed(hay, _n=keyword_counts("_hay", list(words.values())))
     score = F.aggregate("_n", F.lit(0), lambda acc, n: acc + F.least(n, F.lit(4)) * 3) + 2 * count_in("_path", RISK_PATHS) + ends_with_any("_path", CODE_ENDINGS).cast("int")
     labels = F.array_compact(F.array(*[F.when(F.col("_n")[i] > 0, F.lit(k)) for i, k in enumerate(words)]))
     return fixed(counted, risk_score=score, risk_labels=labels).drop("_path", "_hay", "_n")

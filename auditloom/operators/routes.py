@@ -7,6 +7,7 @@ handler. Patterns run over Arrow batches of files; everything after is plain Spa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.blocks import Block, Blocks
 from ..functions.paths import auth_kind, file_role, join_routes
 from ..functions.text import contains_any, text_or_empty
 from .rule_hits import top
@@ -51,11 +53,11 @@ PATTERNS = (
     RoutePattern("drf_action", _PY, rf"@action\((?=[^)]*url_path\s*=\s*{_Q})?(?P<verbs>[^)]*)\){_NEXT_PY}", "ANY", "@action"),
     RoutePattern("spring", (".java", ".kt"), rf"@(?P<verb>Get|Post|Put|Delete|Patch)Mapping(?:\(\s*(?:(?:value|path)\s*=\s*)?\{{?\s*{_Q}[^)]*\)|\(\s*\)|(?=\s)){_NEXT_C}", "", "", r"""@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*["'](?P<path>[^"']*)["'][^)]*\)(?=[\s\S]{0,200}?\bclass\b)"""),
     RoutePattern("spring_mapping", (".java", ".kt"), rf"@RequestMapping\((?=[^)]*?{_Q})(?=[^)]*method\s*=\s*\{{?\s*(?:RequestMethod\.)?(?P<verb>[A-Z]+))?[^)]*\)(?![^{{;]{{0,200}}?\bclass\b){_NEXT_C}", "ANY", "", r"""@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*["'](?P<path>[^"']*)["'][^)]*\)(?=[^{;]{0,200}?\bclass\b)"""),
-    RoutePattern("jaxrs", (".java", ".kt"), rf"@(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:(?!@(?:GET|POST|PUT|DELETE))[\s\S]){{0,200}}?@Path\(\s*{_Q}\s*\){_NEXT_C}", "", "", r"""@Path\(\s*["'](?P<path>[^"']*)["']\s*\)(?=[\s\S]{0,120}?\bclass\b)"""),
+    RoutePattern("jaxrs", (".java", ".kt"), rf"@(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:\s*@(?!Path\b)\w+(?:\([^)]*\))?)*\s*(?:@Path\(\s*{_Q}\s*\)\s*)?(?:@\w+(?:\([^)]*\))?\s*)*(?:public|private|protected)\s+[\w<>,.?\[\] ]+?\s(?P<handler>\w+)\s*\(", "", "", r"""@Path\(\s*["'](?P<path>[^"']*)["']\s*\)(?=[\s\S]{0,120}?\bclass\b)"""),
     RoutePattern("dotnet", (".cs",), rf"\[Http(?P<verb>Get|Post|Put|Delete|Patch)(?:\(\s*{_Q}[^)]*\))?\]{_NEXT_C}", "", "", r"""\[Route\(\s*["'](?P<path>[^"']*)["']\s*\)\](?=[\s\S]{0,200}?\bclass\b)"""),
     RoutePattern("dotnet_map", (".cs",), rf"\.Map(?P<verb>Get|Post|Put|Delete|Patch)\(\s*{_Q}(?:\s*,\s*(?P<handler>[\w.]+))?"),
-    RoutePattern("go_router", (".go",), rf"\b(?P<group>\w+)\.(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any|Get|Post|Put|Delete|Patch)\(\s*{_Q}(?:[^)\n]*?,)?\s*,?\s*(?P<handler>[\w.]+)?\s*\)"),
-    RoutePattern("go_http", (".go",), rf"\b(?:http|mux|router|r)\.Handle(?:Func)?\(\s*{_Q}\s*,\s*(?P<handler>[\w.]+)", "ANY"),
+    RoutePattern("go_router", (".go",), rf"\b(?P<group>\w+)\.(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|CONNECT|TRACE|Any|All|Get|Post|Put|Delete|Patch|Head|Options|Connect|Trace)\(\s*{_Q}(?:[^)\n]*?,)?\s*,?\s*(?P<handler>[\w.]+)?\s*\)"),
+    RoutePattern("go_http", (".go",), rf"\b(?P<group>\w+)\.Handle(?:Func)?\(\s*{_Q}\s*,\s*(?P<handler>[\w.]+)", "ANY"),
     RoutePattern("rails", (".rb",), rf"^\s*(?P<verb>{_VERBS})\s+{_Q}(?:\s*(?:,\s*to:|=>)\s*[\"'](?P<handler>[^\"']+)[\"'])?"),
     RoutePattern("rails_resources", (".rb",), r"^\s*resources\s+:(?P<path>\w+)", "CRUD", "", "", True),
     RoutePattern("rust_attribute", (".rs",), rf"#\[(?P<verb>{_VERBS})\(\s*{_Q}[^\]]*\]\s*(?:pub\s+)?(?:async\s+)?fn\s+(?P<handler>\w+)"),
@@ -74,19 +76,29 @@ _MOUNTS = re.compile(r"""\.use\(\s*["'`](?P<path>[^"'`]*)["'`]\s*,\s*(?P<name>\w
 _PARAMS = re.compile(r"[:{<]\s*(?:\w+:)?(\w+)\s*[}>]?")
 
 
-def _group_prefixes(content: str) -> dict[str, str]:
-    """Prefixes of group variables inside a file. Each step goes from a group to what it was made of; cycles stop where they close."""
-    made = {m["name"]: (m["of"], m["path"]) for m in _GROUPS.finditer(content)}
-    out = {}
-    for name in made:
-        at, path, seen = name, "", set()
-        while at in made and at not in seen:
-            seen.add(at)
-            path, at = made[at][1].rstrip("/") + "/" + path.lstrip("/"), made[at][0]
-        out[name] = path.rstrip("/")
-    for m in _MOUNTS.finditer(content):
-        out.setdefault(m["name"], m["path"])
-    return out
+class GroupPrefixes:
+    """Prefixes of group variables inside a file, each by the last assignment before the place that asks; one that is only assigned later counts from there."""
+
+    def __init__(self, content: str):
+        self.made: dict[str, list[tuple[int, str, str]]] = {}
+        for m in _GROUPS.finditer(content):
+            self.made.setdefault(m["name"], []).append((m.start(), m["of"], m["path"]))
+        self.mounts: dict[str, str] = {}
+        for m in _MOUNTS.finditer(content):
+            self.mounts.setdefault(m["name"], m["path"])
+
+    def at(self, name: str, place: int) -> str | None:
+        """The prefix that a name stands for at a place; null if it is no group."""
+        path, seen = "", set()
+        while name in self.made:
+            made = self.made[name]
+            k = max(bisect_left(made, (place,)) - 1, 0)
+            if (name, k) in seen:  # a cycle stops where it closes
+                break
+            seen.add((name, k))
+            place, name, own = made[k]
+            path = own.rstrip("/") + "/" + path.lstrip("/")
+        return path.rstrip("/") if seen else self.mounts.get(name)
 
 
 def _commented(content: str, at: int) -> bool:
@@ -120,10 +132,102 @@ def handler_params(path: str, content: str) -> dict[str, list[str]]:
     return found
 
 
-def routes_of(path: str, content: str) -> Iterator[tuple]:
-    """(method, path, handler, params, line, kind) of a file, in order of pattern and place."""
+#: What opens a scope of routes, by the kind of its routes: in the header of a block around them, the group being the prefix.
+_SCOPES = {
+    "rails": re.compile(r"""^\s*(?:namespace\s+[:"'](?P<a>\w+)|scope\s+(?:path:\s*)?["'](?P<b>[^"']*)["']|scope\s+:(?P<c>\w+)|resources\s+:(?P<many>\w+))"""),
+    "go": re.compile(r"""\.(?:Route|Group)\(\s*["`](?P<a>[^"`]*)["`]\s*,\s*func\b[^{]*$"""),
+    "laravel": re.compile(r"""(?:Route::|->)prefix\(\s*["'](?P<a>[^"']*)["']\s*\)(?:->\w+\([^)]*\))*->group\(\s*(?:static\s+)?function\b[^{]*$"""),
+}
+
+
+def _scope(blocks: Blocks, kind: str, at: int) -> str:
+    """The prefix that the blocks around a place give its route; what is nested in a resource has its id before it."""
+    opening = _SCOPES.get("go" if kind.startswith("go_") else kind.split("_")[0])
+    parts = []
+    for b in blocks.around(at) if opening else ():
+        m = opening.search(b.header) if b.kind in ("do", "{") else None
+        if m:
+            g = {k: v for k, v in m.groupdict().items() if v}
+            parts.append(f"{g['many']}/:{g['many'].removesuffix('s')}_id" if "many" in g else next(iter(g.values()), ""))
+    return "/".join(x.strip("/") for x in parts if x.strip("/"))
+
+
+_BOUND = re.compile(r"\bconsumer\s*\.\s*apply\s*$", re.I)
+_CHAINED = re.compile(r"\s*\.\s*(exclude|forRoutes)\s*(?=\()", re.I)
+_QUOTED, _CONTROLLER = re.compile(r"""["']([^"']+)["']"""), re.compile(r"\b([A-Z][A-Za-z0-9_]*Controller)\b")
+_OF_TARGET = {
+    "path": re.compile(r"""\bpath\s*:\s*["']([^"']*)["']""", re.I), "method": re.compile(r"\bmethod\s*:\s*RequestMethod\.([A-Za-z_]\w*)", re.I),
+    "controller": re.compile(r"\b(?:controller|name)\s*:\s*([A-Za-z_]\w*)", re.I), "handler": re.compile(r"\bhandler\s*:\s*([A-Za-z_]\w*)", re.I),
+}
+#: Paths that stand for all.
+_ALL_PATHS = ("*", "(.*)", "**")
+
+
+def _targets(blocks: Blocks, args: Block) -> list[tuple[str, str, str, str]]:
+    """(method, path, controller, handler) of the arguments of a call: objects, controllers by name, and quoted paths that hold a slash or stand for all, within objects as well."""
+    text, out = blocks.inside(args), []
+    for b in blocks.outermost(args, "{"):
+        got = {k: m[1] if (m := p.search(blocks.inside(b))) else "" for k, p in _OF_TARGET.items()}
+        if got["controller"] or _OF_TARGET["path"].search(blocks.inside(b)):
+            out.append(((got["method"] or "ANY").upper(), got["path"], got["controller"], got["handler"]))
+    out += [("ANY", "", name, "") for name in _CONTROLLER.findall(text)]
+    out += [("ANY", path, "", "") for path in _QUOTED.findall(text) if path in _ALL_PATHS[:2] or "/" in path]
+    return list(dict.fromkeys(out))
+
+
+def _left_out(target: tuple, excluded: list[tuple]) -> bool:
+    method, path, controller, _ = target
+    path = path.strip("/")
+    for their_method, their_path, their_controller, _ in excluded:
+        their_path = their_path.strip("/")
+        by_path = their_path and (their_path in _ALL_PATHS or path == their_path or their_path.endswith("*") and path.startswith(their_path[:-1]))
+        if their_method in ("ANY", method) and (by_path or their_controller and controller == their_controller):
+            return True
+    return False
+
+
+def bound_routes(content: str) -> Iterator[tuple[str, str, str, int]]:
+    """(method, path, handler, offset) of what middleware is bound to: consumer.apply(...).exclude(...).forRoutes(...), without what is excluded; a controller stands for its own path."""
+    blocks = Blocks(content)
+    for b in blocks.all:
+        if b.kind != "(" or not _BOUND.search(content[max(0, b.start - 80) : b.start]):
+            continue
+        excluded, end = [], b.end
+        while m := _CHAINED.match(content, end):
+            args = blocks.all[blocks.at[m.end()]]
+            if m[1].lower() == "exclude":
+                excluded += [*_targets(blocks, args), *(("ANY", path, "", "") for path in _QUOTED.findall(blocks.inside(args)))]
+            else:
+                for target in _targets(blocks, args):
+                    if not _left_out(target, excluded):
+                        method, path, controller, handler = target
+                        yield method, path or controller, handler or controller or "Unknown", b.start
+                break
+            end = args.end
+
+
+_PHP_CONTROLLER = re.compile(r"(?:^|/)app/([^/]+)/controller/([^/.]+)\.([^./]+)\.php$", re.I)
+_PHP_DISPATCH = tuple(re.compile(p) for p in (r"\$action\s*=\s*\$this->\w+->url\s*\(\s*3\s*\)", r"method_exists\s*\(\s*\$this\s*,\s*\$action\s*\)", r"\$this->\s*\$action\s*\("))
+_PHP_METHOD = re.compile(r"\b(?:public|protected|private)\s+function\s+([A-Za-z_]\w*)\s*\(")
+
+
+def dispatched_routes(path: str, content: str) -> Iterator[tuple[str, str]]:
+    """(path, handler) of a PHP controller that calls its methods by a part of the URL: its default first, then the others, but for display and magic ones."""
+    named = _PHP_CONTROLLER.search(path.replace("\\", "/"))
+    if not named or not all(p.search(content) for p in _PHP_DISPATCH):
+        return
+    first = {name.lower(): name for name in reversed(_PHP_METHOD.findall(content))}
+    actions = [first[low] for low in dict.fromkeys(n.lower() for n in _PHP_METHOD.findall(content)) if low != "display" and not low.startswith("__")]
+    module, controller, surface = named.groups()
+    for k, action in enumerate(["index" if any(a.lower() == "index" for a in actions) else actions[0], *(a for a in actions if a.lower() != "index")] if actions else []):
+        yield f"/index.php?{module}-{surface}-{controller}" + (f"-{action}" if k else ""), f"{module}/{controller}.{surface}::{action}"
+
+
+def routes_of(path: str, content: str, scopes: bool = False) -> Iterator[tuple]:
+    """(method, path, handler, params, line, kind) of a file, in order of pattern and place; with ``scopes``, behind the prefixes of the blocks they stand in."""
     low = path.lower()
-    groups, reads = _group_prefixes(content), handler_params(low, content)
+    groups, reads = GroupPrefixes(content), handler_params(low, content)
+    blocks = Blocks(content, low.endswith(".rb")) if scopes and low.endswith((".rb", ".go", ".php")) else None
     for p, pattern, local in _COMPILED:
         if not low.endswith(p.extensions) or (p.needs and p.needs not in content):
             continue
@@ -136,8 +240,10 @@ def routes_of(path: str, content: str) -> Iterator[tuple]:
             own = g.get("path") or ""
             if p.kind == "drf_action" and re.search(r"detail\s*=\s*True", g.get("verbs") or ""):
                 own = "{pk}/" + own
-            where = groups.get(g.get("group") or "", base)
-            full = "/" + "/".join(x for x in (where.strip("/"), own.strip("/")) if x)
+            where = groups.at(g.get("group") or "", m.start())
+            where = base if where is None else where
+            around = _scope(blocks, p.kind, m.start("path") if m.start("path") >= 0 else m.start()) if blocks else ""
+            full = "/" + "/".join(x for x in (around, where.strip("/"), own.strip("/")) if x)
             handler = (g.get("handler") or "Unknown").strip(" '\"")
             verbs = [v.upper() for v in re.findall(rf"""["'](\w+)["']""", g.get("verbs") or "") if v.lower() in _VERBS.split("|")] or [(g.get("verb") or p.verb or "ANY").upper().replace("ALL", "ANY")]
             line = content.count("\n", 0, m.start()) + 1
@@ -146,22 +252,31 @@ def routes_of(path: str, content: str) -> Iterator[tuple]:
                 yield verb, whole.rstrip("/") or "/", action, list(dict.fromkeys(_PARAMS.findall(whole) + reads.get(action.split(".")[-1], []))), line, p.kind
 
 
+    if low.endswith((".ts", ".js")) and "forroutes" in content.lower():
+        for verb, own, handler, at in bound_routes(content):
+            whole = "/" + own.strip("/")
+            yield verb, whole, handler, _PARAMS.findall(whole), content.count("\n", 0, at) + 1, "nestjs_bound"
+    if low.endswith(".php"):
+        for whole, handler in dispatched_routes(path, content):
+            yield "ANY", whole, handler, _PARAMS.findall(whole), 1, "php_dispatch"
     script = re.fullmatch(r"api/([^/]+)\.php", low)
     if script and "class app" in content and "$app->run()" in content:  # a script that is its own entry
         yield "ANY", f"/{path}", f"{path[4:-4]}::run", [], 1, "php_script"
 
 
-def extract_routes(files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+def extract_routes(files: DataFrame, prefixes: DataFrame | None = None, scopes: bool = False) -> DataFrame:
     """Routes of files (project, ordinal, path, content, size): project, method, path, handler, file_path, auth, params, line_start, source_kind, ordinal.
 
     Files over 500 KB are left out. ``prefixes`` (project, path, prefix) come before a
-    file's own. Of equal (method, path, handler, file_path) the first counts.
+    file's own; with ``scopes``, those of blocks that a route stands in (Rails namespaces,
+    Go and Laravel groups with a function) as well. Of equal (method, path, handler,
+    file_path) the first counts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, (p, c) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
-                for row in routes_of(p or "", c or ""):
+                for row in routes_of(p or "", c or "", scopes):
                     at.append(i)
                     rows.append(row)
             cols = list(zip(*rows, strict=True)) or [[]] * 6
@@ -302,10 +417,11 @@ def module_facts(path: str, content: str) -> Iterator[tuple[str, str, str]]:
         for var, kind in _GIN_RECEIVER.findall(content):
             for name in dict.fromkeys((key(var), key(kind))):
                 yield "receiver", name, ""
-        groups = _group_prefixes(content)
-        for name, group in _GIN_CALL.findall(content):
-            if groups.get(group):
-                yield "gin_prefix", key(name), "/" + groups[group].strip("/")
+        groups = GroupPrefixes(content)
+        for m in _GIN_CALL.finditer(content):
+            prefix = groups.at(m[2], m.start())
+            if prefix:
+                yield "gin_prefix", key(m[1]), "/" + prefix.strip("/")
 
 
 def module_prefixes(files: DataFrame) -> DataFrame:
@@ -330,7 +446,7 @@ def module_prefixes(files: DataFrame) -> DataFrame:
     return both.groupBy("project", "path").agg(F.min(F.struct(F.length("prefix").alias("n"), "prefix"))["prefix"].alias("prefix"))
 
 
-#: Tech stack: category, name, file name ('' for any manifest), what it holds.
+#: Tech stack: category, name, file name ('' for any manifest), what it holds.
 STACK = (
     ("framework", "flask", "requirements.txt", "flask"), ("framework", "django", "requirements.txt", "django"), ("framework", "fastapi", "requirements.txt", "fastapi"), ("framework", "express", "package.json", '"express"'),
     ("framework", "nestjs", "package.json", "@nestjs/core"), ("framework", "react", "package.json", '"react"'), ("framework", "vue", "package.json", '"vue"'), ("framework", "spring", "pom.xml", "spring-boot"),
@@ -428,7 +544,8 @@ _PY_IMPORT, _JS_IMPORT = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+)
 
 _PY_NAMES = re.compile(r"^\s*from\s+([\w.]+)\s+import\s+([\w, ]+?)(?:\s+as\s+(\w+))?\s*$|^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$", re.M)
 _PY_MOUNT = re.compile(r"""\.(?:register_blueprint|include_router)\(\s*([\w.]+)(?:[^)]*?(?:url_prefix|prefix)\s*=\s*["']([^"']*)["'])?""")
-_DJANGO_MOUNT = re.compile(r"""\b(?:re_)?path\(\s*r?["']\^?([^"']*)["']\s*,\s*include\(\s*["']([\w.]+)["']""")
+_DJANGO_MOUNT = re.compile(r"""\b(?:re_)?path\(\s*r?["']\^?([^"']*)["']\s*,\s*include\(\s*\(?\s*(?:["']([\w.]+)["']|([A-Za-z_][\w.]*))""")
+_DJANGO_LISTS = re.compile(r"\burlpatterns\s*\+?=\s*([A-Za-z_]\w*(?:\s*\+\s*[A-Za-z_]\w*)*)")
 _JS_NAMES = re.compile(r"""(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*["'](\.[^"']+)["']\s*\)|import\s+(\w+)\s+from\s+["'](\.[^"']+)["']""")
 _JS_MOUNT = re.compile(r"""\.use\(\s*["'`]([^"'`]*)["'`]\s*,\s*(?:[\w.()]+\s*,\s*)*(\w+)\s*\)""")
 
@@ -449,8 +566,14 @@ def mounts_of(path: str, content: str) -> Iterator[tuple[str, str]]:
                 module, full = names[head]
                 for want in dict.fromkeys((full, module)) if not rest else (full,):
                     yield want.strip(".").replace(".", "/"), prefix
-        for prefix, module in _DJANGO_MOUNT.findall(content):
-            yield module.replace(".", "/"), "/" + prefix.strip("^$/")
+        for prefix, module, name in _DJANGO_MOUNT.findall(content):
+            for want in (module,) if module else names.get(name, ())[::-1]:
+                yield want.strip(".").replace(".", "/"), "/" + prefix.strip("^$/")
+        # Lists of URLs that are added to the file's own.
+        for name in {n for listed in _DJANGO_LISTS.findall(content) for n in re.findall(r"\w+", listed)}:
+            for want in names.get(name, ())[::-1]:
+                if want.endswith("urls"):
+                    yield want.strip(".").replace(".", "/"), ""
     elif path.endswith(_JS):
         names = {a or c: b or d for a, b, c, d in _JS_NAMES.findall(content)}
         for prefix, name in _JS_MOUNT.findall(content):
@@ -474,7 +597,7 @@ def mount_edges(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("project").take(take), batch.column("path").take(take), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["project", "src", "want", "prefix"])
 
     kind = files.schema["project"].dataType.simpleString()
-    asked = files.filter(contains_any("content", (".register_blueprint(", ".include_router(", "include(", ".use("))).select("project", "path", "content").mapInArrow(run, f"project {kind}, src string, want string, prefix string")
+    asked = files.filter(contains_any("content", (".register_blueprint(", ".include_router(", "include(", "urlpatterns", ".use("))).select("project", "path", "content").mapInArrow(run, f"project {kind}, src string, want string, prefix string")
     stem = F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/(?:__init__|index)$", "")
     parts = F.split(stem, "/")
     ends = F.when(F.col("path").endswith(".py"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).otherwise(F.array(stem))

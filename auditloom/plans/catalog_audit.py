@@ -215,6 +215,25 @@ def route_extract(spark, sf):
     return out.select("project", "method", "path", "handler", "file_path", "auth", F.array_join("params", ",").alias("params"), "line_start", "source_kind", "handler_file_path")
 
 
+@query(r"""
+WITH p AS (SELECT 'p' || page_id % 4 AS project, page_id AS i, page_id % 4 + 1 AS depth, 'w' || md5(html)[1:6] AS w FROM pages),
+e AS (SELECT *, unnest(range(1, depth + 1)) AS k FROM p),
+n AS (SELECT *, '/' || array_to_string(list_transform(range(1, k + 1), lambda x: w || x), '/') AS nested FROM e)
+SELECT project, 'GET' AS method, CASE WHEN k % 2 = 0 THEN '/' || w || (k - 1) ELSE '' END || '/' || w || k || '/one' || k AS path, 'h' || k AS handler, 'f' || i || '/group.go' AS file_path, CAST(1 + 2 * k AS INTEGER) AS line_start, 'go_router' AS source_kind FROM n
+UNION ALL SELECT project, 'GET', nested || '/x' || k, 'c#a' || k, 'config' || i || '/routes.rb', CAST(1 + 2 * k AS INTEGER), 'rails' FROM n
+UNION ALL SELECT project, 'GET', nested || '/y' || k, 'g' || k, 'chi' || i || '/chi.go', CAST(1 + 2 * k AS INTEGER), 'go_router' FROM n
+UNION ALL SELECT project, m.method, '/' || w || '/p' || k, CASE WHEN m.method = 'GET' THEN 'h' || k ELSE 'Unknown' END, 'nest' || i || '/app.module.ts', 2, 'nestjs_bound' FROM n, (VALUES ('GET'), ('ANY')) m(method) WHERE k > 1 OR depth <= 2
+UNION ALL SELECT project, 'ANY', '/CatsController', 'CatsController', 'nest' || i || '/app.module.ts', 2, 'nestjs_bound' FROM p
+UNION ALL SELECT project, 'ANY', '/index.php?m' || w || '-api-c' || i, 'm' || w || '/c' || i || '.api::act1', 'app/m' || w || '/controller/c' || i || '.api.php', 1, 'php_dispatch' FROM p
+UNION ALL SELECT project, 'ANY', '/index.php?m' || w || '-api-c' || i || '-act' || k, 'm' || w || '/c' || i || '.api::act' || k, 'app/m' || w || '/controller/c' || i || '.api.php', 1, 'php_dispatch' FROM n
+UNION ALL SELECT project, 'GET', '/' || w || CASE WHEN k % 2 = 0 THEN '/m' || k ELSE '' END, 'm' || k, 'jax' || i || '/Users.java', CAST(3 + 2 * (k - 1) + (k - 1) // 2 AS INTEGER), 'jaxrs' FROM n
+""")
+def route_forms(spark, sf):
+    """Routes behind assigned groups, nested scopes, bound middleware, dispatching controllers and annotations, at any depth."""
+    out = routes.extract_routes(dt.form_files(spark, sf), scopes=True)
+    return out.select("project", "method", "path", "handler", "file_path", "line_start", "source_kind")
+
+
 @query(_templated("path, prefix", [("pkg{i}/admin{i}.py", "/admin"), ("pkg{i}/views{i}.py", "/v2"), ("web{i}/routes.js", "/static"), ("go{i}/svc/user.go", "/v1/admin"), ("nest{i}/cats.controller.ts", "/zoo/wing")]))
 def mounted_prefixes(spark, sf):
     """Prefixes that files get from those that mount them, and from modules."""

@@ -122,3 +122,28 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("f.path", F.lit("{i}"), number).alias("path"), F.replace("f.content", F.lit("{i}"), number).alias("content"),
     )
     return named.select("project", "ordinal", "path", F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("extension"), F.length("content").cast("long").alias("size"), "content")
+
+
+def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as files of six route forms, nested or repeated one to four times, with a word made of the page's text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4 + 1).cast("int").alias("depth"), F.concat(F.lit("w"), F.substring(F.md5(F.col("html").cast("binary")), 1, 6)).alias("word"), F.col("page_id").cast("string").alias("i"))
+    word, i, depth = F.col("word"), F.col("i"), F.col("depth")
+    lit = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    each = lambda make: F.array_join(F.transform(F.sequence(F.lit(1), depth), lambda k: make(k.cast("string"), k)), "")
+    contents = (
+        (lit("f", i, "/group.go"), lit("package f\n", each(lambda k, n: lit(F.when(n % 2 == 1, "v := r").otherwise("v = v"), '.Group("/', word, k, '")\n', 'v.GET("/one', k, '", h', k, ")\n")))),
+        (lit("config", i, "/routes.rb"), lit("Rails.application.routes.draw do\n", each(lambda k, n: lit("namespace :", word, k, ' do # do\nget "/x', k, '", to: "c#a', k, '"\n')), F.expr("repeat('end\n', depth + 1)"))),
+        (
+            lit("nest", i, "/app.module.ts"),
+            lit("configure(consumer) {\nconsumer.apply(Log, Check(')')).exclude(", F.when(depth > 2, lit("'", word, "/p1'")).otherwise(""), ")\n.forRoutes(", each(lambda k, n: lit("{ path: '", word, "/p", k, "', method: RequestMethod.GET, handler: h", k, " }, ")), "CatsController)\n}\n"),
+        ),
+        (
+            lit("app/m", word, "/controller/c", i, ".api.php"),
+            lit("<?php class action {\npublic function display() { $action = $this->ev->url(3); if (!method_exists($this, $action)) $action = 'x'; $this->$action(); }\n", each(lambda k, n: lit("private function act", k, "() {}\n")), "}\n"),
+        ),
+        (lit("jax", i, "/Users.java"), lit('@Path("/', word, '")\npublic class Users {\n', each(lambda k, n: lit("@GET\n", F.when(n % 2 == 0, lit('@Path("/m', k, '")\n')).otherwise(""), "public Response m", k, "(Long id) {}\n")), "}\n")),
+        (lit("chi", i, "/chi.go"), lit("package c\n", each(lambda k, n: lit('r.Route("/', word, k, '", func(r chi.Router) { // {\nr.Get("/y', k, '", g', k, ")\n")), F.expr("repeat('})\n', depth)"))),
+    )
+    files = F.array(*[F.struct(F.lit(k).alias("k"), p.alias("path"), c.alias("content")) for k, (p, c) in enumerate(contents)])
+    out = pages.select("page_id", F.explode(files).alias("f"))
+    return out.select(F.concat(F.lit("p"), (F.col("page_id") % 4).cast("string")).alias("project"), (F.col("page_id") * len(contents) + F.col("f.k")).alias("ordinal"), "f.path", F.length("f.content").cast("long").alias("size"), "f.content")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths, severity, text
 from ..functions.rules import RISK_KEYWORDS, Rule
-from ..operators import coverage, findings, graph, planning, rule_hits, scan
+from ..operators import coverage, findings, folding, graph, planning, rule_hits, scan
 from ..operators.rule_hits import top
 from ..sources import driver_tables as dt
 from ..streaming import events as ev
@@ -272,6 +272,42 @@ def merge_best_finding(spark, sf):
     return m.select("task_id", "dedupe_key", "severity", "title", "first_seq", "n_merged", F.col("poc_validation_status").alias("poc"))
 
 
+#: What orders findings of one number, which the line items have.
+_TIES = ("title", "vuln_type", "file_path", "line_start", "severity", "confidence", "poc_validation_status", "code_snippet", "endpoint", "description")
+
+
+def _fold_sql() -> str:
+    """Findings of a root cause merged one after the other, by recursion."""
+    rank = lambda x: f"CASE {x} WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 WHEN 'Info' THEN 1 ELSE 0 END"
+    level = lambda x: f"CASE lower({x}) WHEN 'high' THEN 3 WHEN 'low' THEN 1 ELSE 2 END"
+    points = lambda t: (
+        f"100 * ({rank(f'{t}.severity')}) + 20 * ({level(f'{t}.confidence')}) + CASE WHEN {t}.poc = 'valid' THEN 20 ELSE 0 END + CASE WHEN {t}.code_snippet <> '' THEN 12 ELSE 0 END"
+        f" + CASE WHEN {t}.endpoint <> '' THEN 6 ELSE 0 END + least(12, length(trim(coalesce({t}.description, ''))) // 80)"
+    )
+    fields = ("title", "severity", "confidence", "poc", "code_snippet", "endpoint", "description", "line_start")
+    sides = ", ".join(f"CASE WHEN up THEN f_{c} ELSE r_{c} END AS p_{c}, CASE WHEN up THEN r_{c} ELSE f_{c} END AS s_{c}" for c in fields)
+    named = lambda x: f"CASE lower({x}) WHEN 'critical' THEN 'Critical' WHEN 'high' THEN 'High' WHEN '高危' THEN 'High' WHEN 'low' THEN 'Low' WHEN 'info' THEN 'Info' ELSE 'Medium' END"
+    return f"""
+WITH RECURSIVE r AS (SELECT task_id, dedupe_key, seq, title, severity, confidence, poc_validation_status AS poc, code_snippet, endpoint, description, line_start,
+  row_number() OVER (PARTITION BY task_id, dedupe_key ORDER BY seq, {", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _TIES)}) AS rn, count(*) OVER (PARTITION BY task_id, dedupe_key) AS n FROM ({_KEYED})),
+f AS (SELECT task_id, dedupe_key, rn, n, {", ".join(fields)} FROM r WHERE rn = 1
+  UNION ALL SELECT task_id, dedupe_key, rn, n, coalesce(nullif(p_title, ''), s_title), {named(f"CASE WHEN ({rank('p_severity')}) >= ({rank('s_severity')}) THEN p_severity ELSE s_severity END")},
+    CASE WHEN ({level('p_confidence')}) >= ({level('s_confidence')}) THEN p_confidence ELSE s_confidence END, CASE WHEN p_poc = 'valid' OR s_poc = 'valid' THEN 'valid' ELSE p_poc END,
+    coalesce(nullif(p_code_snippet, ''), s_code_snippet), coalesce(nullif(p_endpoint, ''), s_endpoint),
+    CASE WHEN p_endpoint <> s_endpoint AND p_endpoint <> '' AND s_endpoint <> '' AND NOT contains(coalesce(nullif(p_description, ''), s_description), '等价入口：' || s_endpoint)
+      THEN coalesce(nullif(p_description, ''), s_description) || chr(10) || chr(10) || '等价入口：' || s_endpoint ELSE coalesce(nullif(p_description, ''), s_description) END, coalesce(p_line_start, s_line_start)
+  FROM (SELECT task_id, dedupe_key, rn, n, {sides} FROM (SELECT r.task_id, r.dedupe_key, r.rn, r.n, ({points('f')}) >= ({points('r')}) AS up, {", ".join(f"f.{c} AS f_{c}, r.{c} AS r_{c}" for c in fields)}
+    FROM f JOIN r ON r.task_id = f.task_id AND r.dedupe_key = f.dedupe_key AND r.rn = f.rn + 1)))
+SELECT task_id, dedupe_key, {", ".join(fields)}, n AS n_merged FROM f WHERE rn = n"""
+
+
+@query(_fold_sql())
+def folded_findings(spark, sf):
+    """Findings of one root cause merged in the order they came."""
+    m = folding.folded_duplicates(findings.root_cause(dt.findings(spark, sf)), ties=_TIES)
+    return m.select("task_id", "dedupe_key", "title", "severity", "confidence", F.col("poc_validation_status").alias("poc"), "code_snippet", "endpoint", "description", "line_start", "n_merged")
+
+
 @query(f"SELECT CASE WHEN salvaged THEN 'salvaged' ELSE 'accepted' END AS outcome, stage_num, count(*) AS n FROM ({dt.FINDINGS_SQL}) GROUP BY ALL")
 def gate_rejections(spark, sf):
     """Findings that are no formal ones, by reason."""

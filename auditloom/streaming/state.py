@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions.text import text_or_empty
@@ -29,27 +25,6 @@ def run_states(transitions: DataFrame) -> DataFrame:
 STATE = "status string, started_at timestamp, completed_at timestamp, error_message string"
 
 
-def follow_runs(transitions: DataFrame) -> DataFrame:
-    """As run_states, of a stream: each batch gives the runs that it changed. A run that is over keeps its state and changes no more."""
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, start, end, error = state.get if state.exists else (None, None, None, "")
-        before = status
-        for pdf in frames:
-            for r in pdf.sort_values("seq").itertuples():
-                start = r.at if start is None or pd.isna(start) else min(start, r.at)
-                if status in TERMINAL:
-                    continue
-                status = r.status
-                if status in TERMINAL:
-                    end, error = r.at, (r.message or "")[:MESSAGE_CHARS] if status == "failed" else ""
-        state.update((status, start, end, error))
-        if status != before:
-            yield pd.DataFrame({"task_id": [key[0]], "run_id": [key[1]], "status": [status], "started_at": [start], "completed_at": [end], "error_message": [error]})
-
-    rows = transitions.select("task_id", "run_id", "seq", "status", "message", "at")
-    return rows.groupBy("task_id", "run_id").applyInPandasWithState(update, f"task_id long, run_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-
-
 def claims(tasks: DataFrame, runs: DataFrame, workers: int = 1) -> DataFrame:
     """The next tasks to run, as many as there are workers: pending ones in the queue that nobody has claimed, by creation. Adds place and mode: full at first, rerun if the task has run before."""
     waiting = tasks.filter((F.col("status") == "pending") & F.col("queued") & F.col("claimed_at").isNull())

@@ -10,7 +10,7 @@ from auditloom.functions.rules import ACCEPT, ALL_RULES, DEFAULT_RULES
 from auditloom.operators import coverage, findings, gate, planning, responses, routes, rule_hits, scan
 from auditloom.plans import summaries
 from auditloom.sources import project_dir
-from auditloom.streaming import state
+from auditloom.streaming import follow, state
 
 from .test_functions import FINDING, finding
 
@@ -134,7 +134,7 @@ def test_runs_are_followed_as_a_stream(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = state.follow_runs(stream).writeStream.format("memory").queryName("followed").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query = follow.follow_runs(stream).writeStream.format("memory").queryName("followed").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
     last = {r["run_id"]: (r["status"], r["error_message"]) for r in spark.table("followed").collect() if r["status"] in ("failed", "completed", "cancelled")}

@@ -12,6 +12,7 @@ from ..functions.severity import SEVERITIES
 from ..functions.text import count_in, fixed, text_or_empty
 from .graph import checkpointed
 from .rule_hits import top
+from .running import running_totals
 
 #: Stages that every plan has, and those that are planned at all.
 BASELINE, STAGES = (2, 7, 9), tuple(range(2, 10))
@@ -100,13 +101,7 @@ def running_budget(rows: DataFrame, by: list[str], order: list[str], text: str,
     rows near the budget are left for the last sum. Texts don't move for it; those within
     the budget are joined back.
     """
-    sizes = rows.select(*by, *order, F.length(text).cast("long").alias("_n"))
-    ranged = checkpointed(sizes.repartitionByRange(spread, *by, *order).withColumn("_part", F.spark_partition_id()))
-    whole = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_sum"))
-    start = whole.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    near = ranged.join(start.filter(F.col("_start") < limit).select(*by, "_part", "_start"), [*by, "_part"])
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = near.withColumn("_b", F.col("_start") + inside).filter(F.col("_b") < limit).select(*by, *order, "_b")
+    kept = running_totals(rows, by, order, {"_b": F.length(text)}, {"_b": limit}, spread)
     out = rows.join(kept, [*by, *order])
     return out.withColumn(text, F.substring(text, F.lit(1), (limit - F.col("_b")).cast("int"))).drop("_b")
 

@@ -616,6 +616,17 @@ def snapshot_counts(spark, sf):
     return views.snapshot_counts(f).select("task_id", "total", "critical", "unknown", "unreviewed", "confirmed")
 
 
+@query(f"""WITH f AS (SELECT task_id, CASE WHEN severity = '' THEN 'Unknown' ELSE severity END AS severity, CASE WHEN seq % 3 = 0 THEN 'confirmed' ELSE 'unreviewed' END AS review_status, stage_num FROM ({dt.FINDINGS_SQL}))
+SELECT task_id, 'total' AS grain, NULL AS severity, NULL AS review_status, NULL AS stage_num, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT task_id, 'severity', severity, NULL, NULL, count(*) FROM f GROUP BY ALL UNION ALL SELECT task_id, 'review', NULL, review_status, NULL, count(*) FROM f GROUP BY ALL
+UNION ALL SELECT task_id, 'stage', NULL, NULL, stage_num, count(*) FROM f GROUP BY ALL UNION ALL SELECT task_id, 'severity_review', severity, review_status, NULL, count(*) FROM f GROUP BY ALL""")
+def snapshot_grains(spark, sf):
+    """Counts of a task's findings by severity, review, stage and both, in one pass (O3)."""
+    from . import views
+
+    return views.snapshot_grains(dt.findings(spark, sf).withColumn("review_status", F.when(F.col("seq") % 3 == 0, "confirmed")))
+
+
 @query(f"SELECT seq, title, severity FROM ({dt.FINDINGS_SQL}) WHERE stage_num BETWEEN 2 AND 9 AND severity IN ('high', '高危', 'High', '高')")
 def filtered_findings(spark, sf):
     """Findings of one severity by any of its names."""

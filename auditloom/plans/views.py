@@ -41,6 +41,17 @@ def snapshot_counts(findings: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_grains(findings: DataFrame) -> DataFrame:
+    """Counts of each task by every grain of its views, in one pass: task_id, grain (total, severity, review, stage, severity_review), severity, review_status, stage_num, n. What a grain doesn't tell apart is null."""
+    rows = findings.select("task_id", F.when(text_or_empty("severity") == "", "Unknown").otherwise(F.col("severity")).alias("severity"), F.coalesce("review_status", F.lit("unreviewed")).alias("review_status"), "stage_num")
+    sets = [["task_id"], ["task_id", "severity"], ["task_id", "review_status"], ["task_id", "stage_num"], ["task_id", "severity", "review_status"]]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *rows.columns).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+    # A bit of the id is set for each column that isn't told apart, the first column's being the highest.
+    named = {0b111: "total", 0b011: "severity", 0b101: "review", 0b110: "stage", 0b001: "severity_review"}
+    grain = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("_g").cast("int"))
+    return out.select("task_id", grain.alias("grain"), "severity", "review_status", "stage_num", "n")
+
+
 def location(path: Column | str = "file_path", start: Column | str = "line_start", end: Column | str = "line_end") -> Column:
     """path:L12-14, path:L12 or the path alone."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (start, end))

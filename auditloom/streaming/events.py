@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..operators.rule_hits import top
+from ..operators.running import last_before
 
 #: Statuses that end a run or task.
 TERMINAL = ("completed", "failed", "cancelled")
@@ -37,14 +38,16 @@ def current_run(runs: DataFrame) -> DataFrame:
 def bind_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Events without a run get their task's run that had started last when they came, open ones first; else the task's latest run.
 
-    Runs (id, task_id, started_at, ended_at) and events are sorted together and the last
-    start is carried forward, so no event meets all runs of its task.
+    Runs (id, task_id, started_at, ended_at) and events are sorted together by range and the
+    last start is carried forward, so no event meets all runs of its task, and a task of any
+    size is many tasks' work.
     """
     marks = runs.select("task_id", F.col("started_at").alias("at"), F.lit(0).alias("kind"), F.col("id").alias("mark"), F.col("ended_at").alias("until"))
     rows = events.select("task_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("timestamp").alias("until"), F.struct(*events.columns).alias("event"))
     both = marks.withColumn("event", F.lit(None).cast(rows.schema["event"].dataType)).unionByName(rows)
-    w = Window.partitionBy("task_id").orderBy("at", "kind", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_last", F.last("mark", ignorenulls=True).over(w)).withColumn("_until", F.last(F.when(F.col("kind") == 0, F.coalesce("until", F.to_timestamp(F.lit("9999-01-01"))))  , ignorenulls=True).over(w)).filter("kind = 1")
+    start = F.when(F.col("kind") == 0, F.struct("mark", F.coalesce("until", F.to_timestamp(F.lit("9999-01-01"))).alias("until")))
+    # An event sorts behind the runs that start when it comes.
+    seen = last_before(both, ["task_id"], ["at", "kind", "mark"], start, "_run").filter("kind = 1").withColumns({"_last": F.col("_run.mark"), "_until": F.col("_run.until")})
     latest = runs.groupBy("task_id").agg(F.max("id").alias("_latest"))
     return seen.join(latest, "task_id", "left").select("event.*", F.coalesce("event.run_id", "_last", "_latest").alias("bound_run_id"), F.coalesce(F.col("_until") > F.col("at"), F.lit(False)).alias("run_open"))
 
@@ -63,9 +66,9 @@ def unseen(incoming: DataFrame, seen: DataFrame, keep: int = 2000) -> DataFrame:
 
 def silences(events: DataFrame, seconds: int = 900) -> DataFrame:
     """Gaps of so many seconds or more between a task's events, with the ids on either side."""
-    w = Window.partitionBy("task_id").orderBy("id")
-    out = events.withColumn("after_id", F.lag("id").over(w)).withColumn("_b", F.lag("created_at").over(w))
-    return out.withColumn("silence_seconds", F.unix_timestamp("created_at") - F.unix_timestamp("_b")).filter(F.col("silence_seconds") >= seconds).select("task_id", "after_id", F.col("id").alias("before_id"), "silence_seconds")
+    rows = events.select("task_id", "id", "created_at")
+    out = last_before(rows, ["task_id"], ["id"], F.struct("id", "created_at"), "_b").withColumn("silence_seconds", F.unix_timestamp("created_at") - F.unix_timestamp("_b.created_at"))
+    return out.filter(F.col("silence_seconds") >= seconds).select("task_id", F.col("_b.id").alias("after_id"), F.col("id").alias("before_id"), "silence_seconds")
 
 
 def sessions(events: DataFrame, gap: str = "15 minutes") -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.keywords import keyword_counts
 from ..functions.paths import file_role, is_noise_path
 from ..functions.rules import CODE_ENDINGS, DEFAULT_RULES, RISK_KEYWORDS, RISK_PATHS
 from ..functions.text import contains_any, count_in, ends_with_any, fixed, split_lines, strip, strip_comments, text_or_empty, truncate, truncate_head
+from .graph import checkpointed
 from .running import running_totals
 
 #: Worth of an extension, and terms of a path that raise a file's priority.
@@ -167,6 +168,7 @@ def code_chunks(files: DataFrame, most: int = CHUNK, keywords: dict[str, tuple[s
 def within_budgets(chunks: DataFrame, most_chunks: int = MAX_CHUNKS, most_chars: int = MAX_CHARS) -> DataFrame:
     """The first chunks of each project within both budgets; the last one is cut. Texts don't move to be counted; those within the budgets are joined back."""
     order = ["file_rank", "chunk_idx"]
+    chunks = checkpointed(chunks)  # read twice, packed once
     kept = running_totals(chunks, ["project"], order, {"_n": F.lit(1), "_before": F.length("content")}, {"_n": most_chunks, "_before": most_chars})
     out = chunks.join(kept, ["project", *order]).withColumn("chunk_ordinal", (F.col("_n") + 1).cast("int"))
     return out.withColumn("content", F.substring("content", F.lit(1), (most_chars - F.col("_before")).cast("int"))).drop("_before", "_n")

@@ -67,13 +67,23 @@ def report_groups(findings: DataFrame) -> DataFrame:
     return kept.groupBy("task_id", "vuln_type").agg(F.min(rank).alias("place"), F.count(F.lit(1)).alias("n"), proofs.alias("n_valid_proofs")).orderBy("task_id", "place", "vuln_type")
 
 
+#: What a report shows of a finding.
+REPORT_COLUMNS = ("severity", "vuln_type", "title", "place")
+
+
+def report_page(task_id: int, rows: list[tuple], rejected: int) -> str:
+    """The report of a task from its rows (REPORT_COLUMNS) and how many findings were left out as rejected."""
+    body = "".join("<tr>" + "".join(f"<td>{escape(str(v or ''))}</td>" for v in r) + "</tr>" for r in rows)
+    return f"<html><body><h1>Task {task_id}</h1><p>{len(rows)} findings, {rejected} rejected ones left out</p><table>{body}</table></body></html>"
+
+
 def report_html(findings: DataFrame, task_id: int, most: int = 500) -> str:
-    """A report of one task as HTML: how many findings were left out as rejected, and the worst ``most`` of the rest. Only these rows are collected."""
+    """A report of one task as HTML: how many findings were left out as rejected, and the worst ``most`` of the rest. Only these rows are collected; ``sources.report_sink`` writes those of all tasks."""
     own = findings.filter(F.col("task_id") == task_id)
     rejected = own.filter(F.col("review_status") == "rejected").count()
-    rows = top(own.filter(F.coalesce("review_status", F.lit("")) != "rejected").withColumn("_o", severity_order("severity")).withColumn("place", location()), ["task_id"], [F.desc("_o"), F.col("seq")], most).orderBy("rank").select("severity", "vuln_type", "title", "place").collect()
-    body = "".join("<tr>" + "".join(f"<td>{escape(str(v or ''))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<html><body><h1>Task {task_id}</h1><p>{len(rows)} findings, {rejected} rejected ones left out</p><table>{body}</table></body></html>"
+    kept = own.filter(F.coalesce("review_status", F.lit("")) != "rejected").withColumn("_o", severity_order("severity")).withColumn("place", location())
+    rows = top(kept, ["task_id"], [F.desc("_o"), F.col("seq")], most).orderBy("rank").select(*REPORT_COLUMNS).collect()
+    return report_page(task_id, [tuple(r) for r in rows], rejected)
 
 
 def write_artifacts(rows: DataFrame, by: str, path: str) -> None:

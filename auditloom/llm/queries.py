@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: how many words lie in windows of items, and which items."""
     out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -24,21 +25,25 @@ def remainder(n: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, by whole text and by line."""
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
     return out.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of all documents, learnt from nine in ten of them."""
     docs = table(spark, sf_dir, "documents")
     out = lm.score_documents(docs, remainder(10) != 0)
     return out.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as JPEG images, read back, with features of their thumbnails."""
     return jpeg.store_texts(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labels of three in four."""
     docs = table(spark, sf_dir, "documents")
     usable = F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2
     model = quality.train_model(docs, table(spark, sf_dir, "labels"), usable)
@@ -47,6 +52,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, on shingles of four words."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
@@ -77,6 +83,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 20 words that start earlier elsewhere."""
     return substrings.drop_repeats(table(spark, sf_dir, "documents"))
 
 
@@ -109,6 +116,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights of their sources."""
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 

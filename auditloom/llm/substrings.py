@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cut, WordHashes, grams, in_blocks, keyed, mix, signed, small_batches, texts, within
+from .shared import Cut, WordHashes, grams, in_blocks, keyed, mix, signed, small, small_batches, texts, within
 
 #: Words of an anchor. A window of w words has w - ANCHOR + 1 of them.
 ANCHOR = 6
+#: Spans that a task is asked for of one source at a time, about.
+SPANS = 4096
 #: Words handled at a time; the low bits of a sort key that hold a position.
 PIECE, LOW = 1 << 21, np.uint64((1 << 24) - 1)
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -230,7 +232,11 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     for table in (met, contents, opened, shared, paths, of_contents):
         table.drop()
     asked = spans.df.groupBy("source", "source_pos", "words").agg(F.count(F.lit(1)).alias("n"))
-    read = asked.groupBy(F.col("source").alias("k")).agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "words", "n")).alias("asked"))
+    # A source that is asked for very many spans is read by several tasks, each with so many of them.
+    asked = Cut(asked).df
+    crowded = small(asked.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / SPANS).alias("turns")).filter("turns > 1"))
+    dealt = asked.join(crowded, "source", "left").withColumn("turn", F.pmod(F.xxhash64("source_pos", "words"), F.coalesce("turns", F.lit(1))))
+    read = dealt.groupBy(F.col("source").alias("k"), "turn").agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "words", "n")).alias("asked"))
     digests = Cut(read.join(docs, "k").select("k", "text", "asked").mapInArrow(_digests, "source long, source_pos int, words int, n long, digest binary"))
     return met_by(spans.df, digests.df, ["source", "source_pos", "words"]).select("k", "pos", "words", "digest")
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import proofs, text
+from ..functions.chunks import STAGE_LABEL
 from ..functions.localize import EXACT, SNAKE, localize
 from ..functions.rules import ACCEPT, DEFAULT_RULES, LABEL_EVIDENCE, LABEL_PATHS, RISK_KEYWORDS
-from ..operators import coverage, findings, gate, graph, planning, responses, routes, rule_hits, scan
+from ..operators import coverage, findings, gate, graph, planning, profile, responses, routes, rule_hits, scan, selection
 from ..sources import driver_tables as dt
 from ..streaming import state
 from . import summaries
@@ -263,6 +264,33 @@ def import_graph(spark, sf):
     return out.select("project", "path", F.array_join("reasons", ",").alias("reasons"), "priority")
 
 
+#: Manifests of made projects, one a page in turn, and what each tells: category and names.
+_MANIFESTS = (
+    ("requirements.txt", "Django==4\npsycopg2\nPyJWT\ncelery\nmysqlclient\n", {"language": "Python", "framework": "Django", "orm": "Django ORM", "database": "PostgreSQL,MySQL", "auth_library": "JWT", "message_queue": "Celery"}),
+    ("pyproject.toml", "[tool.poetry]\nfastapi='1'\nsqlalchemy='2'\njinja2='3'\nsetuptools='6'\nbcrypt='1'\nrq='1'\n", {"language": "Python", "framework": "FastAPI", "orm": "SQLAlchemy", "template_engine": "Jinja2", "build_tool": "Poetry,Setuptools", "auth_library": "Passlib", "message_queue": "Redis Queue"}),
+    ("package.json", '{"dependencies": {"express": "4", "VUE": "3", "pg": "8", "ioredis": "5", "jose": "1", "@prisma/client": "1", "ejs": "3"}, "devDependencies": {"vite": "5"}}', {"language": "JavaScript/TypeScript", "framework": "Express,Vue", "orm": "Prisma", "database": "PostgreSQL,Redis", "auth_library": "JWT", "template_engine": "EJS", "build_tool": "Vite"}),
+    ("go.mod", "module m\nrequire github.com/gin-gonic/gin v1\nrequire gorm.io/driver/mysql v1\n", {"language": "Go", "framework": "Gin", "orm": "GORM", "database": "MySQL"}),
+    ("pom.xml", "<project>spring-boot mybatis shiro thymeleaf kafka</project>", {"language": "Java", "framework": "Spring Boot", "orm": "MyBatis", "auth_library": "Apache Shiro", "template_engine": "Thymeleaf", "message_queue": "Kafka", "build_tool": "Maven"}),
+    ("Gemfile", "gem 'rails'\ngem 'devise'\n", {"language": "Ruby", "framework": "Rails", "auth_library": "Devise"}),
+    ("composer.json", '{"require": {"symfony/http": "6", "doctrine/orm": "2"}}', {"language": "PHP", "framework": "Symfony", "orm": "Doctrine"}),
+    ("Cargo.toml", "[dependencies]\naxum = '1'\nsqlx = '1'\nactix-web = '4'\n", {"language": "Rust", "framework": "Actix,Axum", "orm": "SQLx"}),
+)
+_PROFILE_ROWS = ", ".join(f"({k}, {_Q(category)}, {_Q(names)})" for k, (_, _, told) in enumerate(_MANIFESTS) for category, names in told.items())
+
+
+@query(f"""SELECT 'q' || page_id AS project, t.category, CASE WHEN t.category = 'language' AND page_id % 3 = 0 AND t.names <> 'Python' THEN 'Python,' || t.names ELSE t.names END AS names
+FROM pages, (VALUES {_PROFILE_ROWS}) t(k, category, names) WHERE t.k = page_id % {len(_MANIFESTS)}""")
+def tech_profile(spark, sf):
+    """What projects are made of, by their manifests and first files."""
+    made = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(content).alias("content")) for path, content, _ in _MANIFESTS])
+    pages = dt.table(spark, sf, "pages").select("page_id", F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("project"))
+    manifest = pages.select("project", F.lit(1).alias("ordinal"), made[(F.col("page_id") % len(_MANIFESTS)).cast("int")].alias("f")).select("project", "ordinal", "f.*")
+    deeper = pages.select("project", F.lit(2).alias("ordinal"), F.lit("sub/Cargo.toml").alias("path"), F.lit("rocket").alias("content"))
+    sources = pages.filter("page_id % 3 = 0").select("project", F.lit(3).alias("ordinal"), F.lit("a/main.py").alias("path"), F.lit("").alias("content"))
+    out = profile.tech_profile(manifest.unionByName(deeper).unionByName(sources))
+    return out.select("project", "category", F.array_join("values", ",").alias("names"))
+
+
 @query("""WITH p AS (SELECT DISTINCT 'p' || page_id % 4 AS project, count(*) OVER (PARTITION BY page_id % 4) AS n FROM pages), v(category, "values") AS (VALUES ('framework', 'flask'), ('database', 'postgresql'), ('auth', 'jwt'))
 SELECT project, category, "values" FROM p, v UNION ALL SELECT project, 'extension', CASE WHEN n >= 4 THEN '.cs,.go,.java,.js,.php,.py,.rb,.rs,.ts,.txt' WHEN n >= 2 THEN '.go,.java,.js,.py,.ts' ELSE '.py' END FROM p""")
 def tech_stack(spark, sf):
@@ -322,6 +350,35 @@ def stage_chunks(spark, sf):
     return out.withColumns({c: F.col(c).cast("long") for c in ("score", "rank")})
 
 
+def _selection_sql() -> str:
+    risk = " + ".join(f"3 * least(4, {_count_sql('hay', v)})" for v in RISK_KEYWORDS.values())
+    parts = []
+    for stage, words in selection.STAGE_KEYWORDS.items():
+        hinted = "ordinal % 7 = 0" if stage in (3, 9) else "false"
+        points = f"risk + CASE WHEN ordinal % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN ordinal % 5 = 0 OR {hinted} THEN 6 ELSE 0 END + CASE WHEN {_any('hay', RISK_KEYWORDS[STAGE_LABEL[stage]])} THEN 8 ELSE 0 END"
+        points += f" + CASE WHEN {hinted} THEN 10 ELSE 0 END + CASE WHEN ordinal % 11 = 0 THEN 30 ELSE 0 END + CASE WHEN contains(head, '</p>') THEN 8 ELSE 0 END"
+        worded = _any("(lower(path) || chr(10) || head)", words)
+        parts.append(f"SELECT project, {stage} AS stage_num, ordinal, path, {points} + CASE WHEN {worded} THEN 12 ELSE 0 END AS score, {worded} OR {points} > 0 AS counts FROM k")
+    return f"""WITH f AS ({_PAGES}), s AS (SELECT *, lower(path) || chr(10) || lower({_STRIP.format('substr(content, 1, 12000)')}) AS hay, lower(substr(content, 1, 4000)) AS head FROM f),
+k AS (SELECT *, {risk} + 2 * ({_count_sql('lower(path)', scan.RISK_PATHS)}) AS risk FROM s), e AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT *, row_number() OVER (PARTITION BY stage_num ORDER BY score DESC, path, ordinal) AS rank FROM e WHERE counts), n AS (SELECT stage_num, count(*) AS n FROM g WHERE rank <= 32 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY stage_num ORDER BY ordinal) AS r FROM e WHERE NOT counts)
+SELECT project, stage_num, ordinal AS chunk_ordinal, CAST(score AS BIGINT) AS score, rank, false AS is_filler FROM g WHERE rank <= 32
+UNION ALL SELECT project, o.stage_num, ordinal, CAST(score AS BIGINT), r + coalesce(n, 0), true FROM o LEFT JOIN n ON n.stage_num = o.stage_num WHERE r + coalesce(n, 0) <= 16"""
+
+
+@query(_selection_sql())
+def stage_selection(spark, sf):
+    """Chunks of pages for the stages without a score of their own: keywords, routes, evidence, hints, files and functions in focus (M4)."""
+    pages = dt.table(spark, sf, "pages").select(F.lit("web").alias("project"), F.col("page_id").alias("n"), F.concat(F.lit("pages/Page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"))
+    every = lambda k: pages.filter(F.col("n") % k == 0)
+    hints = every(7).select("project", "file_path", F.array(F.lit(3), F.lit(9)).alias("stage_nums"))
+    functions = spark.createDataFrame([("web", "</P>")], "project string, name string")
+    files = every(11).select("project", F.col("file_path").alias("path"))
+    out = selection.select_stage_chunks(page_chunks(spark, sf), every(2), every(5).select("project", F.col("file_path").alias("path")), hints, files, functions)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("chunk_ordinal", "score", "rank")})
+
+
 # Findings
 
 _NAMES = [*EXACT, *SNAKE, "other", "Reflected XSS via header"]
@@ -594,7 +651,7 @@ def scan_advice(spark, sf):
 
 
 def _skeleton_sql() -> str:
-    from ..functions.chunks import ENTRY_CONTENT, ENTRY_PATHS
+    from ..functions.chunks import ENTRY_CONTENT, ENTRY_PATHS, STAGE_LABEL
 
     blurb = "contains(lower(substr(text, 1, 2000)), 'copyright') AND contains(lower(substr(text, 1, 2000)), 'license') AND length(substr(text, 1, 2000)) < 1200"
     return f"""WITH c AS (SELECT 'p' || doc_id % 3 AS project, doc_id, CASE doc_id % 4 WHEN 0 THEN 'src/api/f' || doc_id || '.py' WHEN 1 THEN 'lib/f' || doc_id || '.go' ELSE 'src/main/f' || doc_id || '.java' END AS path, least(length(text) // 4000, 9) AS pen, lower(substr(text, 1, 4000)) AS h, lower(substr(text, 1, 5000)) AS h5

@@ -35,11 +35,11 @@ def claims(tasks: DataFrame, runs: DataFrame, workers: int = 1) -> DataFrame:
 
 
 def recovered(tasks: DataFrame, stages: DataFrame) -> DataFrame:
-    """Queued or running tasks after a restart, with the stages to go on with: those selected that are running, which begin anew, or pending. Without any, the task leaves the queue (queued is false)."""
+    """Queued or running tasks after a restart, with the stages to go on with: those selected that are running, which begin anew, or pending. Without any, the task leaves the queue (queued is false). any_stage tells whether the task has stages at all."""
     live = tasks.filter(F.col("queued") | (F.col("status") == "running"))
-    wanted = stages.join(live.select("task_id", "selected_stage_nums"), "task_id").filter((F.size("selected_stage_nums") <= 0) | F.array_contains("selected_stage_nums", F.col("stage_num")))
-    left = wanted.filter(F.col("status").isin("pending", "running")).groupBy("task_id").agg(F.array_sort(F.collect_set("stage_num")).alias("remaining"))
-    out = live.select("task_id").join(left, "task_id", "left").withColumn("remaining", F.coalesce("remaining", F.array().cast("array<int>")))
+    wanted = ((F.size("selected_stage_nums") <= 0) | F.array_contains("selected_stage_nums", F.col("stage_num"))) & F.col("status").isin("pending", "running")
+    left = stages.join(live.select("task_id", "selected_stage_nums"), "task_id").groupBy("task_id").agg(F.array_sort(F.collect_set(F.when(wanted, F.col("stage_num")))).alias("remaining"))
+    out = live.select("task_id").join(left, "task_id", "left").withColumn("any_stage", F.col("remaining").isNotNull()).withColumn("remaining", F.coalesce("remaining", F.array().cast("array<int>")))
     return out.withColumn("queued", F.size("remaining") > 0)
 
 

@@ -111,19 +111,19 @@ def merge_score(f: Column | None = None) -> Column:
     )
 
 
-def merge_duplicates(findings: DataFrame, key: tuple[str, ...] = ("task_id", "dedupe_key")) -> DataFrame:
-    """One finding a key: the one that tells most (the earlier of equals), with the highest severity and confidence, a valid proof if any, gaps filled from the others in the order of what they tell, and up to three further endpoints noted in the description.
+def merge_duplicates(findings: DataFrame, key: tuple[str, ...] = ("task_id", "dedupe_key"), ties: tuple[str, ...] = ()) -> DataFrame:
+    """One finding a key: the one that tells most (the earlier of equals, by ``seq``, then ``ties``), with the highest severity and confidence, a valid proof if any, gaps filled from the others in the order of what they tell, and up to three further endpoints noted in the description.
 
     Adds n_merged and first_seq. All but the noted endpoints come from partial aggregates,
     so a key with very many duplicates never gathers in one row.
     """
     rows = findings.withColumn("_score", merge_score())
-    better = lambda c: F.struct((-F.col("_score")).alias("s"), F.col("seq").alias("q"), c.alias("v"))
+    better = lambda c: F.struct((-F.col("_score")).alias("s"), F.col("seq").alias("q"), *ties, c.alias("v"))
     filled = {c: F.min(F.when(F.trim(text_or_empty(c)) != "", better(F.trim(F.col(c)))))["v"] for c in TEXT_FIELDS if c in findings.columns}
     ends = F.collect_set(F.when(F.trim(text_or_empty("endpoint")) != "", F.trim("endpoint")))
     proof = F.lower(F.trim(text_or_empty("poc_validation_status")))
     out = rows.groupBy(*key).agg(
-        F.max(severity_rank(F.col("severity"))).alias("_rank"), F.min(better(F.col("severity")))["v"].alias("_own"), F.min(F.struct((-confidence_rank(F.col("confidence"))).alias("r"), F.struct((-F.col("_score")).alias("s"), "seq").alias("o"), F.col("confidence").alias("v")))["v"].alias("confidence"),
+        F.max(severity_rank(F.col("severity"))).alias("_rank"), F.min(better(F.col("severity")))["v"].alias("_own"), F.min(F.struct((-confidence_rank(F.col("confidence"))).alias("r"), F.struct((-F.col("_score")).alias("s"), "seq", *ties).alias("o"), F.col("confidence").alias("v")))["v"].alias("confidence"),
         F.when(F.max((proof == "valid").cast("int")) == 1, "valid").otherwise(F.min(F.when(proof != "", better(F.col("poc_validation_status"))))["v"]).alias("poc_validation_status"),
         *[v.alias(k) for k, v in filled.items()], F.min(F.when(F.col("line_start").isNotNull(), better(F.col("line_start"))))["v"].alias("line_start"), F.min(F.when(F.col("line_end").isNotNull(), better(F.col("line_end"))))["v"].alias("line_end"),
         F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_merged"), F.array_sort(ends).alias("_ends"), *([] if "stage_num" in key else [F.min(better(F.col("stage_num")))["v"].alias("stage_num")]),
@@ -149,10 +149,10 @@ def rejection_reason() -> Column:
     )
 
 
-def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing and incoming findings of stages 2 to 9, one a root cause; the existing come first."""
+def upsert(existing: DataFrame, incoming: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Existing and incoming findings of stages 2 to 9, one a root cause; the existing come first, then ``seq`` counts, then ``ties``."""
     both = existing.withColumn("seq", F.struct(F.lit(0).alias("t"), F.col("seq").alias("n"))).unionByName(incoming.withColumn("seq", F.struct(F.lit(1).alias("t"), F.col("seq").alias("n"))), allowMissingColumns=True)
-    return merge_duplicates(root_cause(both.filter(F.col("stage_num").between(2, 9))))
+    return merge_duplicates(root_cause(both.filter(F.col("stage_num").between(2, 9))), ties=ties)
 
 
 def carry_reviews(new: DataFrame, before: DataFrame, defaults: tuple[str, str] = ("unreviewed", "open")) -> DataFrame:

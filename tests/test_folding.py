@@ -99,3 +99,22 @@ def test_a_hot_key_is_replayed_from_few_rows(spark):
     want = one_by_one(rows)[(1, "hot")]
     for parts in (2, 9):
         assert [tuple(r) for r in folded_duplicates(df.repartition(parts)).collect()] == [want]
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_keys_of_few_and_of_many_findings_merge_alike(spark, few):
+    """By records alone, by both ways, and streaming by alone."""
+    rng = random.Random(few)
+    rows = [made(rng, f"k{k}", q, 0.6) for k in range(80) for q in rng.sample(range(10_000), rng.choice([1, 2, 5, 12]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(r[c] for c in NAMES) for r in rows], SCHEMA).repartition(5)
+    got = {(r["task_id"], r["dedupe_key"]): tuple(r) for r in folded_duplicates(df, few=few).collect()}
+    assert got == one_by_one(rows)
+
+
+def test_findings_of_few_a_key_are_shuffled_once(spark):
+    """No finding is kept in a checkpoint and none joined with what its key's records tell: one exchange and one sort."""
+    rng = random.Random(1)
+    df = spark.createDataFrame([tuple(r[c] for c in NAMES) for r in (made(rng, f"k{q % 7}", q, 0.5) for q in range(50))], SCHEMA)
+    plan = folded_duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Sort") == 1 and plan.count("Repartition") == 1

@@ -62,3 +62,17 @@ def test_tasks_without_stages_are_as_in_the_sql(spark, tied):
     t = spark.createDataFrame([(6, True, "paused", [2, 3])], "task_id long, queued boolean, status string, selected_stage_nums array<int>")
     none = spark.createDataFrame([], "task_id long, stage_num int, status string")
     assert [(r["remaining"], r["queued"]) for r in state.recovered(t, none).collect()] == [([], False)]
+
+
+def test_routes_of_one_file_stand_for_each_other(spark):
+    """400 routes of one file and 400 of one last segment: no ask meets them all."""
+    from auditloom.operators import coverage
+
+    n = 400
+    r = spark.createDataFrame([(1, f"a{i:03}", "GET", f"/a/p{i:03}{i * 7919 % 1000}", "x/views.py") for i in range(n)] + [(1, f"b{i:03}", "POST", f"/q{i * 31 % 1000}{i:03}/run", f"f{i}.py") for i in range(n)], "task_id long, route_id string, method string, path string, file_path string")
+    asks = r.selectExpr("task_id", "monotonically_increasing_id() AS seq", "replace(file_path, 'x/', '') AS file_path", "method", "replace(path, 'p', 'z') AS path")
+    out = coverage.best_route(asks, r).select("file_path", "method", "best_route_id", "best_score")
+    got = out.collect()
+    assert {tuple(x) for x in got if x["file_path"] == "views.py"} == {("views.py", "GET", "a000", 14)}
+    assert [x["best_score"] for x in got if x["method"] == "POST"] == [38] * n
+    assert most_join_rows(out) <= 20 * n

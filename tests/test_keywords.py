@@ -52,3 +52,11 @@ def test_texts_are_read_once_whatever_the_number_of_keywords(spark):
     assert plan.count("ArrowEvalPython") == 1 and "exists(" not in plan and plan.count("filter(split(") <= 1
     plan = rule_hits.rule_hits(scored.withColumn("x", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 3
+
+
+def test_workers_are_handed_few_texts_at_a_time(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    sizes = spark.range(3000).coalesce(1).select(keywords.keyword_counts(F.repeat(F.lit("x"), F.col("id").cast("int")), [["xx"]]).alias("n"))
+    assert [r["n"][0] for r in sizes.collect()] == [0, 0] + [1] * 2998
+    assert int(spark.conf.get(key)) <= 1000

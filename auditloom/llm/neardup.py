@@ -10,10 +10,14 @@
    the full sets. Confirmed links are joined into components.
 4. Only buckets that hold several components are left. There each representative outside
    the bucket's largest component is compared with those of other components, in blocks
-   of bounded size, by the same sequential test; a pair that survives asks for an exact
-   comparison of the one text with all of the other's component, which is read in blocks
-   as well. So no group is ever expanded into its pairs, and no link between components
-   is missed but at the two probabilities above.
+   of bounded size, by the same sequential test. Those of a cell of two blocks that take
+   part in a pair that survives are named once each, however many pairs they are in;
+   their texts meet on full sets in that cell again, and of the links found there only
+   those are told that connect something new. So no group is ever expanded into its
+   pairs, neither of texts nor of components, and no link between components is missed
+   but at the two probabilities above.
+
+A pair whose sets differ too much in size to be linked is dropped beforehand, exactly.
 
 Components are found by alternating large-star and small-star steps with Spark joins.
 """
@@ -120,11 +124,17 @@ def _pruned(least: list[int]):
         for batch in batches:
             if batch.num_rows:
                 keep = pa.array(sequential(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), least))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+                names = ["a", "b", "n_a", "n_b"]
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in names], names=names)
 
     return run
 
 
+def _sized(na, nb, percent: int):
+    """Whether sets of these sizes can be linked: they share the smaller one at most, and make up the larger one at least."""
+    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+
+
 def _linked(inter: np.ndarray | int, na, nb, percent: int):
     return 100 * inter >= percent * (na + nb - inter)
 
@@ -147,35 +157,38 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _crossed(least: list[int]):
-    """Of each cell (query block x data block of a bucket): distinct (rep, other component) that may be linked."""
+def _crossed(least: list[int], percent: int):
+    """Of each cell (query block x data block of a bucket): who may be linked with another component there, once each as what it is.
+
+    Pairs of two queries are looked at from the smaller one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "cell"):
             t = t.combine_chunks()
-            query = t["query"].to_numpy(zero_copy_only=False).astype(bool)
-            sig, rep, comp = _matrix(t["sig"].combine_chunks()), t["rep"].to_numpy(), t["comp"].to_numpy()
+            query, asks = (t[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("query", "asks"))
+            sig, rep, comp, n = _matrix(t["sig"].combine_chunks()), t["rep"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy()
             data = np.flatnonzero(~query)
-            found: set[tuple[int, int]] = set()
+            met = np.zeros(len(rep), bool)
             bands = sig.view(np.uint64).reshape(len(sig), BANDS, ROWS // 2)
             own = t["band"][0].as_py()
             for i in np.flatnonzero(query):
-                other = data[comp[data] != comp[i]]
+                other = data[(comp[data] != comp[i]) & (~asks[data] | (rep[data] > rep[i])) & _sized(n[data], n[i], percent)]
                 if not len(other):
                     continue
                 live = other[sequential(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], least)]
                 if own:  # a pair that shares several buckets counts in that of its first common band only
                     live = live[~(bands[live, :own] == bands[i, :own]).all(2).any(1)]
-                found.update((int(rep[i]), int(c)) for c in np.unique(comp[live]))
-            if found:
-                a, c = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["rep", "comp"])
+                met[live] = True
+                met[i] = len(live) > 0
+            if met.any():
+                yield t.select(["cell", "rep", "n", "query"]).filter(pa.array(met)).combine_chunks().to_batches()[0]
 
     return run
 
 
 def _compared(size: int, percent: int):
-    """Of each cell (block of a target's queries x block of its members): links on full sets, one for a query."""
+    """Of each cell (block of a target's queries x block of its members): links on full sets, but for those between what others connect already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -190,17 +203,25 @@ def _compared(size: int, percent: int):
             values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
-            a, b = [], []
+            a, b, above = [], [], {}
+
+            def top(x: int) -> int:
+                while x in above:  # noqa: B023
+                    x = above[x]  # noqa: B023
+                return x
+
             for i in np.flatnonzero(query):
                 mine = shingles(text[i].lower().split(), size, cache)
                 lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
                 n = hi - lo
                 at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
                 inter = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero(_linked(inter, len(mine), sizes, percent))
-                if len(hit):
-                    a.append(int(rep[i]))
-                    b.append(int(rep[members[hit[0]]]))
+                for other in rep[members[_linked(inter, len(mine), sizes, percent)]].tolist():
+                    x, y = top(int(rep[i])), top(other)
+                    if x != y:
+                        above[max(x, y)] = min(x, y)
+                        a.append(int(rep[i]))
+                        b.append(other)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -249,17 +270,15 @@ def _own(n: str):
 
 
 def exact_links(asks: DataFrame, members: DataFrame, with_text: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of asks (rep, target) and members (target, rep): links (a, b) found on full sets of texts (rep, text, n_shingles).
+    """Of asks and members (rep, target, n: their shingles): links (a, b) between those of one target, found on full sets of texts (rep, text), as many as connect what is linked.
 
     Queries and members of a target are dealt into blocks of bounded number and size and
     meet block by block. Only targets with several blocks are looked up, so most rows,
     and all those of a hot target, go straight to their cells.
     """
-    sizes = with_text.select("rep", "n_shingles")
-
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        n, words = F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n_shingles") / SHINGLE_BLOCK
-        return df.join(sizes, "rep").groupBy("target").agg(F.ceil(F.greatest(n, words)).alias(name)).filter(F.col(name) > 1)
+        n, words = F.count(F.lit(1)) / TEXT_BLOCK, F.sum("n") / SHINGLE_BLOCK
+        return df.groupBy("target").agg(F.ceil(F.greatest(n, words)).alias(name)).filter(F.col(name) > 1)
 
     many = Cut(blocks(asks, "q_blocks").join(blocks(members, "m_blocks"), "target", "full").na.fill(1))
     look = small(many.df)
@@ -293,26 +312,29 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, m
     buckets = Cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("c")).filter("n > 1").select("bucket", "c"))
     shared = Cut(banded.join(buckets.df, "bucket")).df
     pairs = shared.filter("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
-    sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    likely = Cut(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(least), "a long, b long").distinct()).df
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    likely = Cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(_pruned(least), "a long, b long, n_a long, n_b long").distinct()).df
     met = Cut(shared.select("rep").distinct()).df
-    involved = Cut(docs.select(F.col("doc_id").alias("rep"), "text").join(small(met), "rep", "left_semi").join(reps.select("rep", "n_shingles"), "rep")).df
-    asks = likely.select(F.col("b").alias("rep"), F.col("a").alias("target"))
-    first = Cut(components(exact_links(asks, asks.select("target", F.col("target").alias("rep")).distinct(), involved, shingle, percent))).df
+    involved = Cut(docs.select(F.col("doc_id").alias("rep"), "text").join(small(met), "rep", "left_semi")).df
+    asks = likely.select(F.col("b").alias("rep"), F.col("a").alias("target"), F.col("n_b").alias("n"))
+    centres = likely.select(F.col("a").alias("rep"), F.col("a").alias("target"), F.col("n_a").alias("n")).distinct()
+    first = Cut(components(exact_links(asks, centres, involved, shingle, percent))).df
 
     # What is left: buckets with several components.
     named = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     several = Cut(parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).alias("d_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("q_blocks"))).df
-    placed = named.join(several, "bucket").join(reps.select("rep", "sig"), "rep")
-    carried = ["bucket", "band", "rep", "comp", "sig"]
-    queries = placed.filter("comp <> top").select(*carried, F.lit(True).alias("query"), _own("q_blocks").alias("q"), _spread("d_blocks").alias("d"))
-    data = placed.select(*carried, F.lit(False).alias("query"), _spread("q_blocks").alias("q"), _own("d_blocks").alias("d"))
-    cells = queries.unionByName(data).select(F.xxhash64("bucket", "q", "d").alias("cell"), "band", "rep", "comp", "sig", "query")
-    asked = Cut(_cells(cells, "cell").mapInArrow(_crossed(least), "rep long, comp long").distinct()).df
-    asks = asked.select("rep", F.col("comp").alias("target"))
-    member = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("comp", "rep").alias("target"), "rep")
-    more = exact_links(asks, member.join(asks.select("target").distinct(), "target", "left_semi"), involved, shingle, percent)
+    placed = named.join(several, "bucket").join(reps.select("rep", "sig", F.col("n_shingles").alias("n")), "rep").withColumn("asks", F.col("comp") != F.col("top"))
+    # Each is data for every block of queries, and those outside the largest component ask every block of data; both are dealt from one row.
+    dealt = lambda query, q, d: F.struct(F.lit(query).alias("query"), q.alias("q"), d.alias("d"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_data = F.transform(every("q_blocks"), lambda q: dealt(False, q, _own("d_blocks")))
+    as_query = F.when(F.col("asks"), F.transform(every("d_blocks"), lambda d: dealt(True, _own("q_blocks"), d))).otherwise(F.array().cast("array<struct<query:boolean,q:bigint,d:bigint>>"))
+    cells = placed.withColumn("at", F.explode(F.concat(as_data, as_query))).select(F.xxhash64("bucket", "at.q", "at.d").alias("cell"), "band", "rep", "comp", "sig", "n", "asks", "at.query")
+    met_there = Cut(_cells(cells, "cell").mapInArrow(_crossed(least, percent), "cell long, rep long, n long, query boolean")).df
+    asks, data = (met_there.filter(c).select("rep", F.col("cell").alias("target"), "n") for c in ("query", "NOT query"))
+    more = exact_links(asks, data, involved, shingle, percent)
     found = more.join(first.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     second = Cut(components(found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))).df
 

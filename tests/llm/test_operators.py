@@ -155,6 +155,19 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)]
 
 
+def test_near_duplicates_ask_no_pairs_of_components(spark, monkeypatch):
+    """Texts at a similarity of about 0.73 are likely but not linked: all pairs of them would be asked for, so each is to be named once a cell."""
+    base, n = [f"b{i}" for i in range(260)], 120
+    texts = [" ".join(base + [f"w{d}x{i}" for i in range(45)]) for d in range(n)]
+    texts += [texts[7] + " more", texts[90] + " more", texts[90].replace("b3 ", "z ", 1)]
+    asked = []
+    exact = neardup.exact_links
+    monkeypatch.setattr(neardup, "exact_links", lambda asks, members, *rest: (asked.append(asks.count() + members.count()), exact(asks, members, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts), shingle=4).collect()}
+    assert got == {d: {n: 7, n + 1: 90, n + 2: 90}.get(d, d) for d in range(n + 3)}
+    assert len(asked) == 2 and asked[1] <= 2 * neardup.BANDS * len(texts)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(df).select("doc_id", "component_id", "kept").collect()), key=str)

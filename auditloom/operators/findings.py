@@ -41,9 +41,16 @@ def line_bound(value: Column, group: int = 1) -> Column:
 
 def line_bounds(start: Column, end: Column, *candidates: Column) -> tuple[Column, Column]:
     """First and last line from two fields, else from ranges in further ones; in order, and the last alone is both."""
+    return _in_order(*_told_lines(start, end, *candidates))
+
+
+def _told_lines(start: Column, end: Column, *candidates: Column) -> tuple[Column, Column]:
     every = [start, end, *candidates]
     lo = F.coalesce(line_bound(start), *[line_bound(c) for c in every])
-    hi = F.coalesce(line_bound(end), *[F.when(line_bound(c).isNotNull(), line_bound(c, 2)) for c in every])
+    return lo, F.coalesce(line_bound(end), *[F.when(line_bound(c).isNotNull(), line_bound(c, 2)) for c in every])
+
+
+def _in_order(lo: Column, hi: Column) -> tuple[Column, Column]:
     lo = F.coalesce(lo, hi)
     return F.when(hi < lo, hi).otherwise(lo), F.when(hi < lo, lo).otherwise(hi)
 
@@ -52,19 +59,22 @@ def normalize(findings: DataFrame) -> DataFrame:
     """Fields filled from their other names (name, type, location, remediation, line, line_range, impact, evidence, auth_required), where these columns exist; title and type in Chinese where they have a usual name."""
     has = set(findings.columns)
     col = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
-    vuln_type = first_real(col("vuln_type"), col("type"), first_real(col("title"), col("name")))
-    title = first_real(col("title"), col("name"), vuln_type)
-    place = first_real(col("location"))
+    made = fixed(findings, _type=first_real(*map(col, ("vuln_type", "type", "title", "name"))), _place=first_real(col("location")))
+    made = fixed(made, _title=first_real(col("title"), col("name"), F.col("_type")))
+    place = F.col("_place")
     named = F.replace(F.regexp_extract(place, r"([A-Za-z]:[\\/][^,#\s]+|[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)", 1), F.lit("\\"), F.lit("/"))
     hint = F.regexp_extract(place, r"#\s*[Ll](\d+)", 1), F.regexp_extract(place, r"#\s*[Ll]\d+\s*[-~–—]\s*[Ll]?(\d+)", 1)
     hint = F.when(hint[0] != "", F.concat(hint[0], F.when(hint[1] != "", F.concat(F.lit("-"), hint[1])).otherwise("")))
-    lo, hi = line_bounds(col("line_start"), col("line_end"), col("line"), col("line_range"), col("source_line"), hint)
+    made = fixed(made, _hint=hint)
+    lo, hi = _told_lines(col("line_start"), col("line_end"), col("line"), col("line_range"), col("source_line"), F.col("_hint"))
+    made = fixed(made, _lo=lo, _hi=hi)
+    lo, hi = _in_order(F.col("_lo"), F.col("_hi"))
     auth = F.when(first_real(col("auth_required")) != "", F.concat(F.lit("认证要求："), first_real(col("auth_required"))))
     told = F.concat_ws("\n\n", F.nullif(first_real(col("impact")), F.lit("")), F.nullif(first_real(col("evidence")), F.lit("")), auth)
-    return findings.withColumns({
-        "title": localize(title), "vuln_type": localize(vuln_type), "file_path": first_real(col("file_path"), named), "fix_suggestion": first_real(col("fix_suggestion"), col("remediation")),
+    return made.withColumns({
+        "title": localize(F.col("_title")), "vuln_type": localize(F.col("_type")), "file_path": first_real(col("file_path"), named), "fix_suggestion": first_real(col("fix_suggestion"), col("remediation")),
         "description": F.when(first_real(col("description")) != "", first_real(col("description"))).otherwise(told), "line_start": lo, "line_end": hi,
-    })
+    }).drop("_type", "_place", "_title", "_hint", "_lo", "_hi")
 
 
 #: Families of injections that Chinese texts name by one word, and their markers.
@@ -117,7 +127,7 @@ def merge_duplicates(findings: DataFrame, key: tuple[str, ...] = ("task_id", "de
     Adds n_merged and first_seq. All but the noted endpoints come from partial aggregates,
     so a key with very many duplicates never gathers in one row.
     """
-    rows = findings.withColumn("_score", merge_score())
+    rows = fixed(findings, _score=merge_score())
     better = lambda c: F.struct((-F.col("_score")).alias("s"), F.col("seq").alias("q"), *ties, c.alias("v"))
     filled = {c: F.min(F.when(F.trim(text_or_empty(c)) != "", better(F.trim(F.col(c)))))["v"] for c in TEXT_FIELDS if c in findings.columns}
     ends = F.collect_set(F.when(F.trim(text_or_empty("endpoint")) != "", F.trim("endpoint")))

@@ -10,6 +10,7 @@ from ..functions.proofs import with_proof
 from ..functions.severity import severity, severity_rank
 from ..functions.text import any_in, fixed, text_or_empty
 from .findings import merge_duplicates, normalize, root_cause
+from .graph import checkpointed
 from .rule_hits import top
 
 #: How much of a source file is looked at.
@@ -64,8 +65,10 @@ def output_policy(findings: DataFrame, by: tuple[str, ...] = ("task_id", "stage_
     judged = with_proof(named).withColumn("poc_validation_status", F.when(F.col("proof_accepted"), "valid").otherwise("invalid"))
     merged = merge_duplicates(root_cause(judged.drop("proof_kind", "proof_accepted")), (*by, "dedupe_key"))
     bad = F.col("poc_validation_status") != "valid"
-    few = top(merged.filter(bad), list(by), [F.col("first_seq")], 10, "place").groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(text_or_empty("title") == "", "未命名漏洞").otherwise(F.col("title")).alias("title")))), lambda x: x["title"]).alias("invalid_poc_titles"))
-    counts = merged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(bad).alias("invalid_poc_vulnerabilities"), (F.sum("n_merged") - F.count(F.lit(1))).alias("merged_duplicate_vulnerabilities"))
+    # Both what is counted and what is named come from these few columns; the merge is worked out for them once.
+    told = checkpointed(merged.select(*by, "first_seq", "title", "n_merged", "poc_validation_status"))
+    few = top(told.filter(bad), list(by), [F.col("first_seq")], 10, "place").groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(text_or_empty("title") == "", "未命名漏洞").otherwise(F.col("title")).alias("title")))), lambda x: x["title"]).alias("invalid_poc_titles"))
+    counts = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(bad).alias("invalid_poc_vulnerabilities"), (F.sum("n_merged") - F.count(F.lit(1))).alias("merged_duplicate_vulnerabilities"))
     return merged, counts.join(few, list(by), "left").withColumn("invalid_poc_titles", F.coalesce("invalid_poc_titles", F.array().cast("array<string>")))
 
 

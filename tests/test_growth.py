@@ -85,3 +85,5 @@ def test_findings_are_judged_once_and_on_all_cores(spark):
     assert "RepartitionByExpression" in dt.findings(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     _, counts = gate.output_policy(dt.findings(spark, sf))
     assert "lineitem" not in counts._jdf.queryExecution().optimizedPlan().toString() and "ExistingRDD" in counts._jdf.queryExecution().executedPlan().toString()
+    carried = QUERIES["review_carry_forward"](spark, sf)
+    assert "keyword" not in carried._jdf.queryExecution().optimizedPlan().toString() and "Relation" not in carried._jdf.queryExecution().optimizedPlan().toString()

@@ -108,20 +108,17 @@ def coverage_summary(by_route: DataFrame, stages: DataFrame, scanned: DataFrame
     return out.withColumn("unknown_missing_route_count", F.greatest(F.col("missing_route_count") - F.col("_missing_known"), F.lit(0)).cast("long")).withColumn("coverage_ratio", ratio).withColumn("has_route_gaps", (F.col("missing_route_count") > 0) | (F.col("focus_gap_count") > 0)).drop("_missing_known", "route_count")
 
 
-def _within_keys(path: Column) -> tuple[Column, Column]:
-    """Keys under which a path is contained in others, and those under which others may be contained in it.
+def _contained(paths: DataFrame) -> DataFrame:
+    """Of paths (task_id, path): those inside others, as task_id, outer, inner.
 
-    A path inside another one begins at one of its slashes and goes on for whole segments
-    but for its last, which may be the beginning of one. So it is found by its segments
-    before the last and up to three characters of that.
+    A path inside another one is a beginning of what follows from one of that one's slashes,
+    so all such beginnings meet the paths by equality.
     """
-    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
-    n = F.size(parts)
-    head = lambda i, j: F.array_join(F.slice(parts, i, F.greatest(j - i, F.lit(0))), "/")
-    own = F.concat(head(F.lit(1), n), F.lit("|"), F.substring(F.element_at(parts, -1), 1, 3))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    some = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.concat(head(s["i"], s["j"]), F.lit("|"), F.substring(F.get(parts, s["j"] - 1), F.lit(1), m)))))
-    return own, F.array_distinct(some)
+    slashes = F.length("outer") - F.length(F.replace("outer", F.lit("/"), F.lit("")))
+    tails = paths.select("task_id", F.col("path").alias("outer")).withColumn("i", F.explode(F.sequence(F.lit(1), slashes))).withColumn("tail", F.expr("concat('/', substring_index(outer, '/', -i))"))
+    # A slash alone begins every tail; it is taken from the last one only.
+    parts = tails.withColumn("n", F.explode(F.sequence(F.when(F.col("i") == 1, 1).otherwise(2), F.length("tail")))).select("task_id", "outer", F.substring("tail", F.lit(1), F.col("n")).alias("inner"))
+    return parts.filter("inner <> outer").join(paths.withColumnRenamed("path", "inner"), ["task_id", "inner"], "left_semi").select("task_id", "outer", "inner").distinct()
 
 
 def _ends(path: str) -> Column:
@@ -149,7 +146,6 @@ def best_route(findings: DataFrame, routes: DataFrame) -> DataFrame:
     pathed = known.filter("r_path <> ''")
     place = F.struct(F.col("r_raw").alias("path"), F.col("r_method").alias("method"), "route_id")
     f_path, r_path = F.col("f_path"), F.col("r_path")
-    (f_own, f_some), (r_own, r_some) = _within_keys(f_path), _within_keys(r_path)
     tag = lambda name, c: F.concat(F.lit(name), c)
     some = lambda *keys: F.array_compact(F.array(*keys))
     # A file is told by no key, by its whole name where it is the other's end, or by an end that is the other's whole name.
@@ -160,21 +156,18 @@ def best_route(findings: DataFrame, routes: DataFrame) -> DataFrame:
     def stand_ins(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy("task_id", *by, "file", "r_method").agg(F.min(F.struct(place.alias("place"), "r_file", "r_path")).alias("r")).select("task_id", *by, "file", "r.place.route_id", "r_method", "r.r_file", "r.r_path", F.col("r.place.path").alias("r_raw"))
 
-    def meet(left: Column, right: DataFrame, more: Column | None = None) -> DataFrame:
-        a = asks.withColumn("key", F.explode(left)).withColumn("file", F.explode(f_files))
-        met = a.join(right, ["task_id", "key", "file"])
-        return (met if more is None else met.filter(more)).select(*asks.columns, "route_id", "r_method", "r_file", "r_path", "r_raw")
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.withColumn("file", F.explode(f_files)).join(right, ["task_id", "key", "file"]).select(*asks.columns, "route_id", "r_method", "r_file", "r_path", "r_raw")
 
     named = lambda path: F.concat(F.array(F.lit("")), some(F.when(last(path) != "", tag("s:", last(path)))))
     by_name = stand_ins(filed.withColumn("key", F.explode(named(r_path))).filter("key <> '' OR file <> ''"), "key")
-    by_path = stand_ins(filed.withColumn("at", r_path), "at").drop("at")
-    keyed = lambda keys: by_path.withColumn("key", F.explode(keys))
-    none = F.array().cast("array<string>")
-    asked = lambda keys: F.when(f_path != "", keys).otherwise(none)
-    within = F.contains(f_path, r_path) | F.contains(r_path, f_path)
+    by_path = stand_ins(filed.withColumn("key", r_path), "key")
+    asked = asks.filter("f_path <> ''")
+    inside = _contained(asked.select("task_id", f_path.alias("path")).union(pathed.select("task_id", r_path)).distinct())
+    by_part = stand_ins(filed.join(inside.select("task_id", F.col("outer").alias("r_path"), F.col("inner").alias("key")), ["task_id", "r_path"]), "key")
     pairs = (
-        meet(named(f_path), by_name).unionByName(meet(asked(F.array(f_path)), keyed(F.array(r_path))))
-        .unionByName(meet(asked(f_some), keyed(F.array(r_own)), within)).unionByName(meet(asked(F.array(f_own)), keyed(r_some), within))
+        meet(asks.withColumn("key", F.explode(named(f_path))), by_name).unionByName(meet(asked.withColumn("key", f_path), by_path.unionByName(by_part)))
+        .unionByName(meet(asked.join(inside.select("task_id", F.col("outer").alias("f_path"), F.col("inner").alias("key")), ["task_id", "f_path"]), by_path))
     )
     verb = ~F.col("f_method").isin("", "UNKNOWN", "ANY")
     file_score = (

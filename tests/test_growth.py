@@ -87,3 +87,23 @@ def test_findings_are_judged_once_and_on_all_cores(spark):
     assert "lineitem" not in counts._jdf.queryExecution().optimizedPlan().toString() and "ExistingRDD" in counts._jdf.queryExecution().executedPlan().toString()
     carried = QUERIES["review_carry_forward"](spark, sf)
     assert "keyword" not in carried._jdf.queryExecution().optimizedPlan().toString() and "Relation" not in carried._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_routes_around_a_path_stand_for_each_other(spark):
+    """400 asks of one path, each from a file of its own, inside 400 routes of other paths."""
+    from auditloom.operators import coverage
+
+    n = 400
+    r = spark.createDataFrame([(1, f"r{i:03}", "GET", f"/shop/item{i:03}", f"f{i}.py") for i in range(n)], "task_id long, route_id string, method string, path string, file_path string")
+    asks = r.selectExpr("task_id", "monotonically_increasing_id() AS seq", "file_path", "'GET' AS method", "'/shop' AS path")
+    out = coverage.best_route(asks, r)
+    assert {(x["file_path"], x["best_route_id"], x["best_score"]) for x in out.collect()} == {(f"f{i}.py", f"r{i:03}", 28) for i in range(n)}
+    assert most_join_rows(out) <= 10 * n
+
+
+def test_paths_inside_others_are_those_that_they_contain(spark):
+    from auditloom.operators import coverage
+
+    paths = ["/", "/a", "/ab", "/a/b", "/a/a", "/a/a/a", "/b", "/b/a/bc", "/é/ü", "/x/é/üü", "/a b", "/{id}/a"]
+    out = coverage._contained(spark.createDataFrame([(t, p) for t in (0, 2) for p in paths[t:]], "task_id long, path string"))
+    assert sorted(map(tuple, out.collect())) == sorted((t, x, y) for t in (0, 2) for x in paths[t:] for y in paths[t:] if x != y and y in x)

@@ -220,7 +220,7 @@ class Network:
         count = lexicon.counts[:v].astype(np.float64) + SMOOTH
         word_mass = np.add.reduceat(count, np.arange(0, v, CLASS))
         mass = np.concatenate([word_mass, lexicon.shape_tokens + SMOOTH])
-        self.class_of = np.concatenate([np.arange(v) // CLASS, k + np.arange(SHAPES)])
+        self.class_of = np.concatenate([np.arange(v) // CLASS, k + np.arange(SHAPES)]).astype(np.int16)  # short numbers are sorted by radix
         scale = lambda *size: (rng.standard_normal(size) * 0.1).astype(np.float32)
         self.E, self.U = scale(v + SHAPES, 3 * STATE), scale(STATE, 3 * STATE)
         self.Wc, self.bc = np.zeros((len(mass), STATE), np.float32), np.log(mass / mass.sum()).astype(np.float32)
@@ -243,16 +243,20 @@ class Network:
             at += x.size
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """From gate inputs ``x`` and states ``h``: the new states, both gates (update, reset), what the reset gate lets through, and the candidate."""
-        hu = h @ self.U
-        gates, through = hu[:, : 2 * STATE] + x[:, : 2 * STATE], hu[:, 2 * STATE :]
+        """From gate inputs ``x`` and states ``h``, a column each: the new states, both gates (update, reset), what the reset gate lets through, and the candidate."""
+        hu = self.U.T @ h
+        gates, through = hu[: 2 * STATE], hu[2 * STATE :]
+        gates += x[: 2 * STATE]
         np.exp(np.negative(gates, out=gates), out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        c = gates[:, STATE:] * through
-        c += x[:, 2 * STATE :]
+        c = gates[STATE:] * through
+        c += x[2 * STATE :]
         np.tanh(c, out=c)
-        return h + gates[:, :STATE] * (c - h), gates, through, c
+        new = c - h
+        new *= gates[:STATE]
+        new += h
+        return new, gates, through, c
 
     def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of targets (word number, or vocab + spelling class) in these states.
@@ -270,7 +274,7 @@ class Network:
         cls = self.class_of[target]
         order = np.argsort(cls, kind="stable")
         cls, states, target = cls[order], states[order], target[order]
-        edges = np.searchsorted(cls, np.arange(self.n_word_classes + 1)).tolist()
+        edges = np.searchsorted(cls, np.arange(self.n_word_classes + 1, dtype=cls.dtype)).tolist()
         ranges = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         n = edges[-1]
 
@@ -356,52 +360,59 @@ def _segments(ids: list[np.ndarray], start: int, most: int) -> tuple[np.ndarray,
     return flat, before, (begins[own] + offset)[order], size[order], own[order]
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """With the last two axes exchanged, in order in memory."""
+    return np.ascontiguousarray(x.swapaxes(-1, -2))
+
+
 def train(net: Network, ids: list[np.ndarray], state: dict, rate: float = 0.01) -> int:
     """One pass over texts by truncated backpropagation, with Adam; returns the tokens seen. Segments of a text are trained apart."""
     seen, pending, grads = 0, 0, _zeros(net)
     flat, before, starts, lengths, _ = _segments(ids, net.start, SEGMENT)
     for lane in range(0, len(starts), LANES):
         start, size = starts[lane : lane + LANES], lengths[lane : lane + LANES]
-        h = np.zeros((len(size), STATE), np.float32)
+        h = np.zeros((STATE, len(size)), np.float32)
         for t0 in range(0, int(size[0]), STEPS):
             n, steps = int(np.searchsorted(-size, -t0, side="left")), min(STEPS, int(size[0]) - t0)
             time = t0 + np.arange(steps)[:, None]
             at = np.minimum(start[:n] + time, len(flat) - 1)
             word = before[at]
-            # Time comes first, so each step's rows lie together. A token is predicted from the state that has read the one before it.
-            x, states = net.E[word], np.empty((steps + 1, n, STATE), np.float32)
-            states[0] = h[:n]
+            # Time comes first, then what a state is made of, so each step works on whole rows. A token is predicted from the state that has read the one before it.
+            states = np.empty((steps + 1, STATE, n), np.float32)
+            states[0] = h[:, :n]
             trace = []
             for t in range(steps):
-                states[t + 1], *kept = net.step(x[t], states[t])
+                states[t + 1], *kept = net.step(_turned(net.E[word[t]]), states[t])
                 trace.append(kept)
             h = states[-1]
             rows = np.flatnonzero((time < size[:n]).reshape(-1))
             d = np.zeros((steps * n, STATE), np.float32)
-            d[rows] = net.log_probs(states[1:].reshape(-1, STATE)[rows], flat[at].reshape(-1)[rows], grads)[1]
-            d = d.reshape(steps, n, STATE)
-            up, dh = np.empty((steps, n, 3 * STATE), np.float32), np.zeros((n, STATE), np.float32)
+            d[rows] = net.log_probs(_turned(states[1:]).reshape(-1, STATE)[rows], flat[at].reshape(-1)[rows], grads)[1]
+            d = _turned(d.reshape(steps, n, STATE))
+            up, dh = np.empty((steps, 3 * STATE, n), np.float32), np.zeros((STATE, n), np.float32)
             dx = np.empty_like(up)
             for t in range(steps - 1, -1, -1):
                 gates, through, c = trace[t]
-                z, r = gates[:, :STATE], gates[:, STATE:]
+                z, r = gates[:STATE], gates[STATE:]
                 dh += d[t]
                 both = dx[t]
-                np.multiply(dh, c - states[t], out=both[:, :STATE])
-                dc = dh * z
-                dc *= 1 - c * c
-                np.multiply(dc, through, out=both[:, STATE : 2 * STATE])
-                both[:, : 2 * STATE] *= gates * (1 - gates)
-                both[:, 2 * STATE :] = dc
+                np.multiply(dh, c - states[t], out=both[:STATE])
+                dc = np.multiply(dh, z, out=both[2 * STATE :])
+                c *= c
+                dc *= np.subtract(1, c, out=c)
+                np.multiply(dc, through, out=both[STATE : 2 * STATE])
+                rest = 1 - gates
+                both[: 2 * STATE] *= gates
+                both[: 2 * STATE] *= rest
                 up[t] = both
-                up[t, :, 2 * STATE :] *= r
-                dh *= 1 - z
-                dh += up[t] @ net.U.T
-            grads["U"] += states[:-1].reshape(-1, STATE).T @ up.reshape(-1, 3 * STATE)
+                up[t, 2 * STATE :] *= r
+                dh *= rest[:STATE]
+                dh += net.U @ up[t]
+            grads["U"] += np.matmul(states[:-1], up.transpose(0, 2, 1)).sum(0)
             word = word.reshape(-1)
             by = np.argsort(word, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(word[by]) != 0])
-            grads["E"][word[by][first]] += np.add.reduceat(dx.reshape(-1, 3 * STATE)[by], first)
+            grads["E"][word[by][first]] += np.add.reduceat(_turned(dx).reshape(-1, 3 * STATE)[by], first)
             pending += len(rows)
             seen += len(rows)
             if pending >= UPDATE:
@@ -416,56 +427,55 @@ def score_ids(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """Natural log probabilities of whole texts, all windows, with the state carried on."""
     out = np.zeros(len(ids))
     flat, before, start, size, order = _segments(ids, net.start, 1 << 62)
-    h = np.zeros((len(ids), STATE), np.float32)
+    h = np.zeros((STATE, len(ids)), np.float32)
     for t0 in range(0, int(size[0]), WINDOW):
         n, steps = int(np.searchsorted(-size, -t0, side="left")), min(WINDOW, int(size[0]) - t0)
         time = t0 + np.arange(steps)[:, None]
         # A text that has ended takes any token; its states are not used.
         at = np.minimum(start[:n] + time, len(flat) - 1)
-        states, h = np.empty((steps, n, STATE), np.float32), h[:n]
+        states, h = np.empty((steps, STATE, n), np.float32), h[:, :n]
         for t in range(steps):
-            h = states[t] = net.step(net.E[before[at[t]]], h)[0]
+            h = states[t] = net.step(_turned(net.E[before[at[t]]]), h)[0]
         live = time < size[:n]
-        found = net.log_probs(states[live], flat[at[live]])[0]
+        found = net.log_probs(_turned(states)[live], flat[at[live]])[0]
         out[order[:n]] += np.bincount(np.broadcast_to(np.arange(n), (steps, n))[live], found, n)
     return out
 
 
-def _in_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Of rows (shard, text) in order: (shard, texts of it with ``limit`` bytes about), cut alike however the rows were sent."""
+def _in_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of rows (shard, ids) in order: (shard, the numbers of its texts, ``limit`` bytes about), cut alike however the rows were sent."""
     shard, held, size = None, [], 0
-    for batch in in_blocks(batches, limit=limit):
-        for own, x in zip(batch.column("shard").to_pylist(), texts(batch), strict=True):
+    for batch in in_blocks(batches, "ids", limit):
+        for own, x in zip(batch.column("shard").to_pylist(), texts(batch, "ids"), strict=True):
             if held and (own != shard or size + len(x) > limit):
                 yield shard, held
                 held, size = [], 0
             shard = own
-            held.append(x)
+            held.append(np.frombuffer(x, np.int16))
             size += len(x)
     if held:
         yield shard, held
 
 
 def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5, rounds: int = ROUNDS) -> Network:
-    """Train on texts (text, h), every one once: round r takes those with h modulo ``rounds`` = r, dealt to shards by h. All shards of a round start alike; weights are averaged."""
+    """Train on texts (ids: their words' numbers in the network, 2 bytes each; h), every one once: round r takes those with h modulo ``rounds`` = r, dealt to shards by h. All shards of a round start alike; weights are averaged."""
     net, sc = Network(lexicon, seed), docs.sparkSession.sparkContext
-    known = sc.broadcast(lexicon)
     shards = max(1, round(lexicon.tokens / SHARD))
     for turn in range(rounds):
         now = sc.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            ids_of, at, mine, adam, seen = _kept(known.value), None, None, {}, 0
+            at, mine, adam, seen = None, None, {}, 0
 
             def done() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([mine.flat().tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["shard", "weights", "seen"])
 
-            for shard, held in _in_chunks(batches, 8 << 20):
+            for shard, held in _in_chunks(batches, 8 << 18):
                 if shard != at:
                     if at is not None:
                         yield done()
                     at, mine, adam, seen = shard, now.value.copy(), {}, 0
-                seen += train(mine, [ids_of.network[ids_of.of(x)[0]] for x in held], adam, RATE / (1 + turn))
+                seen += train(mine, held, adam, RATE / (1 + turn))
             if at is not None:
                 yield done()
 
@@ -477,8 +487,8 @@ def fit(docs: DataFrame, lexicon: Lexicon, seed: int = 5, rounds: int = ROUNDS)
             return pd.DataFrame({"shard": [int(key[0])], "weights": [total.astype(np.float32).tobytes()], "seen": [seen]})
 
         mixed, schema = F.shiftright(F.xxhash64("h"), 1), "shard long, weights binary, seen long"
-        dealt = docs.filter(F.pmod("h", F.lit(rounds)) == turn).select(F.pmod(mixed, F.lit(shards)).cast("int").alias("shard"), "h", "text")
-        means, left = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "text").select("shard", "text").mapInArrow(run, schema), shards
+        dealt = docs.filter(F.pmod("h", F.lit(rounds)) == turn).select(F.pmod(mixed, F.lit(shards)).cast("int").alias("shard"), "h", "ids")
+        means, left = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "ids").select("shard", "ids").mapInArrow(run, schema), shards
         while left > 1:  # a tree: no task adds more than FAN weights, 1 MB each, and the driver gets one
             means = means.groupBy(F.floor(F.col("shard") / FAN).alias("g")).applyInPandas(mean, schema)
             left = -(-left // FAN)
@@ -503,11 +513,10 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"), F.xxhash64(doc_id, text).alias("h"))
     counts = Cut(count_tokens(docs.filter("training"))).df
     lexicon, least = build_lexicon(counts)
-    net = fit(docs.filter("training"), lexicon, seed)
     sc = docs.sparkSession.sparkContext
-    known, model = sc.broadcast(lexicon), sc.broadcast(net)
+    known = sc.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, ids_of = known.value, _kept(known.value)
         norm = math.log10(lex.tokens + SMOOTH * (lex.distinct + 1))
         shape_norm = np.log10(lex.shape_tokens + SMOOTH * (lex.shape_words + 1))
@@ -520,17 +529,28 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             starts, flat = n.cumsum() - n, np.concatenate(ids)
             base = np.add.reduceat(log_c[flat], starts) - n * norm
-            score = score_ids(model.value, [ids_of.network[i] for i in ids]) / math.log(10) + np.add.reduceat(more[flat], starts)
-            cols = [batch.column("doc_id"), pa.array(n), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "known", "base", "model", "rest"])
+            cols = [*(batch.column(c) for c in ("doc_id", "training", "h")), pa.array(n), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(base), pa.array(np.add.reduceat(more[flat], starts))]
+            cols += [pa.array([ids_of.network[i].astype(np.int16).tobytes() for i in ids], pa.binary()), pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "training", "h", "n", "known", "base", "model", "ids", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    head = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, known long, base double, model double, rest array<string>")
-    scored = Cut(head.withColumn("row", F.monotonically_increasing_id())).df
+    numbers = f"doc_id {kind}, n long, known long, base double, model double"
+    # Words are numbered once, for training and scoring.
+    numbered = docs.mapInArrow(read, f"doc_id {kind}, training boolean, h long, n long, known long, base double, model double, ids binary, rest array<string>")
+    scored = Cut(numbered.withColumn("row", F.monotonically_increasing_id())).df
+    model = sc.broadcast(fit(scored.filter("training").select("h", "ids"), lexicon, seed))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, "ids", 4 << 20):
+            found = score_ids(model.value, [np.frombuffer(x, np.int16) for x in texts(batch, "ids")]) / math.log(10)
+            cols = [batch.column(c) for c in ("doc_id", "n", "known", "base")] + [pa.array(batch.column("model").to_numpy() + found), batch.column("row")]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "known", "base", "model", "row"])
+
+    found = Cut(scored.select("doc_id", "n", "known", "base", "model", "row", "ids").mapInArrow(score, f"{numbers}, row long")).df
     rare = scored.select("row", F.explode("rest").alias("word"))
     # Words beyond the head: their exact counts are joined, and what they add is summed up by row.
     c = F.coalesce("n", F.lit(0))
     added = rare.join(counts.filter(F.col("n") < least) if least else counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + SMOOTH)).alias("more"), F.sum((c > 0).cast("long")).alias("more_known"))
-    out = scored.drop("rest").join(added, "row", "left")
+    out = found.join(added, "row", "left")
     more, more_known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
     return out.select("doc_id", F.col("n").alias("n_tokens"), (F.col("known") + more_known).alias("n_known"), F.lit(lexicon.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))

@@ -550,6 +550,17 @@ def test_every_training_text_is_trained_on(spark, monkeypatch):
         assert (net.Wc != 0).any()  # the start has no weights there
 
 
+def test_words_are_numbered_once(spark, monkeypatch):
+    """Training reads the numbers that scoring reads, not texts again."""
+    made, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: made.append(a) or fit(*a))
+    lm.score_documents(documents(spark, ["b a zz", "A b", None]), F.col("doc_id") < 2).count()
+    docs, lexicon = made[0][:2]
+    assert docs.columns == ["h", "ids"]
+    words = sorted([lexicon.words[i].decode() for i in np.frombuffer(bytes(r["ids"]), np.int16)] for r in docs.collect())
+    assert words == [["a", "b", ""], ["b", "a", "zz", ""]]
+
+
 def test_an_end_rarer_than_the_head_is_counted(spark, monkeypatch):
     rows = [*((f"w{i}", 9) for i in range(3)), *((f"v{i}", 5) for i in range(4)), ("", 2), ("x", 1)]
     monkeypatch.setattr(lm, "HEAD", 5)

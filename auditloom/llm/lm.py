@@ -258,19 +258,24 @@ class Network:
         new += h
         return new, gates, through, c
 
-    def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    def outputs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights to classes and to words, the biases as a last row for states with a last column of ones, so each logit is made and sent back in one product; and whether no output can be beyond TOP, as states are within -1 and 1."""
+        of_class, of_word = np.concatenate([self.Wc.T, self.bc[None]]), np.concatenate([self.Wo, self.bo[:, None]], 1)
+        return of_class, of_word, max(float(np.abs(w).sum(-2).max()) for w in (of_class, np.where(of_word > -1e3, of_word, 0))) < TOP
+
+    def log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None, outputs: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of targets (word number, or vocab + spelling class) in these states.
 
-        With ``grads`` also the gradient of their negative sum for the states; weights' gradients are added there.
+        With ``grads`` also the gradient of their negative sum for the states; weights' gradients are added there. ``outputs``: those of these weights, if made before.
         """
-        out = np.empty(len(target), np.float32)
+        out, outputs = np.empty(len(target), np.float32), outputs or self.outputs()
         d = None if grads is None else np.empty_like(states)
         for i in range(0, len(target), ROWS):
             part = slice(i, i + ROWS)
-            self._log_probs(states[part], target[part], grads, out[part], None if d is None else d[part])
+            self._log_probs(states[part], target[part], grads, outputs, out[part], None if d is None else d[part])
         return out, d
 
-    def _log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None, out: np.ndarray, d_out: np.ndarray | None) -> None:
+    def _log_probs(self, states: np.ndarray, target: np.ndarray, grads: dict | None, outputs: tuple, out: np.ndarray, d_out: np.ndarray | None) -> None:
         cls = self.class_of[target]
         order = np.argsort(cls, kind="stable")
         cls, states, target = cls[order], states[order], target[order]
@@ -278,13 +283,9 @@ class Network:
         ranges = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
         n = edges[-1]
 
-        # The biases are a last row of weights, on states with a last column of ones, so each logit is made and sent back in one product.
         ones = np.ones((len(states), STATE + 1), np.float32)
         ones[:, :STATE] = states
-        of_class = np.concatenate([self.Wc.T, self.bc[None]])
-        of_word = np.concatenate([self.Wo, self.bo[:, None]], 1)
-        # Outputs are within these bounds, as states are within -1 and 1; only beyond TOP they must be cut.
-        bounded = max(float(np.abs(w).sum(-2).max()) for w in (of_class, np.where(of_word > -1e3, of_word, 0))) < TOP
+        of_class, of_word, bounded = outputs
 
         def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Log probabilities of ``at``; ``logits`` become what the softmax sends back, with gradients."""
@@ -427,7 +428,7 @@ def score_ids(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """Natural log probabilities of whole texts, all windows, with the state carried on."""
     out = np.zeros(len(ids))
     flat, before, start, size, order = _segments(ids, net.start, 1 << 62)
-    h = np.zeros((STATE, len(ids)), np.float32)
+    h, outputs = np.zeros((STATE, len(ids)), np.float32), net.outputs()
     for t0 in range(0, int(size[0]), WINDOW):
         n, steps = int(np.searchsorted(-size, -t0, side="left")), min(WINDOW, int(size[0]) - t0)
         time = t0 + np.arange(steps)[:, None]
@@ -437,7 +438,7 @@ def score_ids(net: Network, ids: list[np.ndarray]) -> np.ndarray:
         for t in range(steps):
             h = states[t] = net.step(_turned(net.E[before[at[t]]]), h)[0]
         live = time < size[:n]
-        found = net.log_probs(_turned(states)[live], flat[at[live]])[0]
+        found = net.log_probs(_turned(states)[live], flat[at[live]], outputs=outputs)[0]
         out[order[:n]] += np.bincount(np.broadcast_to(np.arange(n), (steps, n))[live], found, n)
     return out
 
@@ -541,7 +542,7 @@ def score_documents(documents: DataFrame, training: Column, doc_id: str = "doc_i
     model = sc.broadcast(fit(scored.filter("training").select("h", "ids"), lexicon, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "ids", 4 << 20):
+        for batch in gathered(batches, "ids", 10 << 20):
             found = score_ids(model.value, [np.frombuffer(x, np.int16) for x in texts(batch, "ids")]) / math.log(10)
             cols = [batch.column(c) for c in ("doc_id", "n", "known", "base")] + [pa.array(batch.column("model").to_numpy() + found), batch.column("row")]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "known", "base", "model", "row"])

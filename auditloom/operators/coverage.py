@@ -111,14 +111,24 @@ def coverage_summary(by_route: DataFrame, stages: DataFrame, scanned: DataFrame
 def _contained(paths: DataFrame) -> DataFrame:
     """Of paths (task_id, path): those inside others, as task_id, outer, inner.
 
-    A path inside another one is a beginning of what follows from one of that one's slashes,
-    so all such beginnings meet the paths by equality.
+    A path inside another one goes from one of that one's slashes over whole segments to a
+    beginning of a further segment. So the runs of whole segments meet those before the last
+    segments of paths, and only where such a run is known the beginnings of the segment
+    after it, as long as last segments there are, meet these. Runs and outer paths are carried
+    as hashes, so long paths are not copied for each of their parts; the texts decide.
     """
-    slashes = F.length("outer") - F.length(F.replace("outer", F.lit("/"), F.lit("")))
-    tails = paths.select("task_id", F.col("path").alias("outer")).withColumn("i", F.explode(F.sequence(F.lit(1), slashes))).withColumn("tail", F.expr("concat('/', substring_index(outer, '/', -i))"))
-    # A slash alone begins every tail; it is taken from the last one only.
-    parts = tails.withColumn("n", F.explode(F.sequence(F.when(F.col("i") == 1, 1).otherwise(2), F.length("tail")))).select("task_id", "outer", F.substring("tail", F.lit(1), F.col("n")).alias("inner"))
-    return parts.filter("inner <> outer").join(paths.withColumnRenamed("path", "inner"), ["task_id", "inner"], "left_semi").select("task_id", "outer", "inner").distinct()
+    segment, run = "substring_index({0}, '/', -1)", "xxhash64(left({0}, length({0}) - length(substring_index({0}, '/', -1))))"
+    ends = paths.select("task_id", F.col("path").alias("inner"), F.expr(run.format("path")).alias("run"), F.expr(segment.format("path")).alias("segment"))
+    runs = ends.groupBy("task_id", "run").agg(F.min(F.length("segment")).alias("least"), F.max(F.length("segment")).alias("most"))
+    slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    tails = paths.withColumn("i", F.explode(F.sequence(F.lit(1), slashes))).select("task_id", F.xxhash64("path").alias("whole"), "i", F.expr("concat('/', substring_index(path, '/', -i))").alias("tail"))
+    heads = tails.withColumn("k", F.explode(F.sequence(F.lit(1), "i"))).select("task_id", "whole", F.expr("substring_index(tail, '/', k + 1)").alias("head"))
+    asked = heads.select("task_id", "whole", F.expr(run.format("head")).alias("run"), F.expr(segment.format("head")).alias("after")).distinct()
+    known = asked.join(runs, ["task_id", "run"]).filter(F.length("after") >= F.col("least"))
+    begun = known.withColumn("n", F.explode(F.sequence("least", F.least("most", F.length("after"))))).select("task_id", "whole", "run", F.expr("left(after, n)").alias("segment"))
+    pairs = begun.join(ends, ["task_id", "run", "segment"]).select("task_id", "whole", "inner")
+    outer = paths.select("task_id", F.xxhash64("path").alias("whole"), F.col("path").alias("outer"))
+    return pairs.join(outer, ["task_id", "whole"]).filter("inner <> outer AND contains(outer, inner)").select("task_id", "outer", "inner").distinct()
 
 
 def _ends(path: str) -> Column:
@@ -182,8 +192,10 @@ def best_route(findings: DataFrame, routes: DataFrame) -> DataFrame:
     same = asks.filter(verb).join(first.withColumnRenamed("r_method", "f_method"), ["task_id", "f_method"]).select(*key, F.lit(6).alias("score"), "place")
     any_ = asks.filter(verb).join(first.filter("r_method = 'ANY'").drop("r_method"), "task_id").select(*key, F.lit(2).alias("score"), "place")
     top = scored.unionByName(same).unionByName(any_).filter("score > 0").groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "place")).alias("b"))
-    alone = known.groupBy("task_id", F.col("r_file").alias("f_file")).agg(F.count(F.lit(1)).alias("n"), F.min("route_id").alias("only")).filter("n = 1").drop("n")
-    chosen = asks.join(top, key, "left").join(alone, ["task_id", "f_file"], "left").select(*key, F.coalesce("b.place.route_id", "only").alias("best_route_id"), (-F.col("b.s")).alias("best_score"))
+    alone = known.groupBy("task_id", F.col("r_file").alias("f_file")).agg(F.count(F.lit(1)).alias("n"), F.min("route_id").alias("only")).filter("n = 1")
+    # Only asks without a best route need the only one of the file, whose n is 1; the others are spread instead of gathering by file.
+    spread = F.when(F.col("b").isNull(), 1).otherwise(F.abs(F.xxhash64(*key) % 1_000_000) + 2)
+    chosen = asks.join(top, key, "left").withColumn("n", spread).join(alone, ["task_id", "f_file", "n"], "left").select(*key, F.coalesce("b.place.route_id", "only").alias("best_route_id"), (-F.col("b.s")).alias("best_score"))
     out = findings.withColumns({"f_file": low("file_path"), "f_method": F.upper(F.trim(text_or_empty("method"))), "f_path": http_path("path")})
     return out.join(chosen, key, "left").drop("f_file", "f_method", "f_path")
 

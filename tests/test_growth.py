@@ -107,3 +107,48 @@ def test_paths_inside_others_are_those_that_they_contain(spark):
     paths = ["/", "/a", "/ab", "/a/b", "/a/a", "/a/a/a", "/b", "/b/a/bc", "/é/ü", "/x/é/üü", "/a b", "/{id}/a"]
     out = coverage._contained(spark.createDataFrame([(t, p) for t in (0, 2) for p in paths[t:]], "task_id long, path string"))
     assert sorted(map(tuple, out.collect())) == sorted((t, x, y) for t in (0, 2) for x in paths[t:] for y in paths[t:] if x != y and y in x)
+
+
+def exchanged(df) -> list[tuple[str, int, int]]:
+    """Exchanges of an executed plan: keys, rows and bytes written."""
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.finalPhysicalPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = []
+        if name == "ShuffleExchangeExec":
+            own = [(plan.outputPartitioning().toString(), plan.metrics().apply("shuffleRecordsWritten").value(), plan.metrics().apply("dataSize").value())]
+        return own + [x for i in range(plan.children().size()) for x in walk(plan.children().apply(i))]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_long_paths_arent_copied_for_each_of_their_parts(spark):
+    from auditloom.operators import coverage
+
+    paths = ["/" + "/".join(f"segment{(i * 7 + k) % 90}" for k in range(60)) for i in range(10)] + ["/segment8/segment9/seg", "/segment", "/segment8/segment9/segment10/se"]
+    out = coverage._contained(spark.createDataFrame([(1, p) for p in paths], "task_id long, path string"))
+    written = exchanged(out)
+    assert sorted((x["outer"], x["inner"]) for x in out.collect()) == sorted((x, y) for x in paths for y in paths if x != y and y in x)
+    assert written and max(size for _, _, size in written) <= 5_000_000
+
+
+def test_asks_with_a_best_route_dont_gather_by_file(spark):
+    """1,000 asks of one file: those that have a best route are not brought together by their file."""
+    from auditloom.operators import coverage
+
+    r = spark.createDataFrame([(1, f"r{i:04}", "GET", f"/p{i:04}/x{i}", "one.py") for i in range(1000)] + [(1, "only", "GET", "", "two.py")], "task_id long, route_id string, method string, path string, file_path string")
+    asks = r.selectExpr("task_id", "monotonically_increasing_id() AS seq", "file_path", "CASE WHEN file_path = 'two.py' THEN '' ELSE method END AS method", "path")
+    out = coverage.best_route(asks, r).select("file_path", "path", "best_route_id", "best_score")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where there are many files
+    try:
+        got = {(x["path"], x["best_route_id"], x["best_score"]) for x in out.collect()}
+        written = exchanged(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(f"/p{i:04}/x{i}", f"r{i:04}", 38) for i in range(1000)} | {("", "only", None)}
+    by_file = [rows for keys, rows, _ in written if "task_id#" in keys and "f_file#" in keys and keys.count("#") == 2]
+    assert max(by_file, default=0) < 1000

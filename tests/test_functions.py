@@ -194,6 +194,13 @@ def test_prefixes_end_on_cycles(spark):
     assert out == {"a": "", "b": "/x", "c": "/l"}
 
 
+def test_prefixes_reach_the_end_of_long_chains(spark):
+    m = spark.createDataFrame([("p", f"f{i:02}", f"f{i + 1:02}", "/x") for i in range(21)] + [("p", "f21", "f20", "/y"), ("q", "f00", "f21", "/z")], "project string, src string, dst string, prefix string")
+    roots = spark.createDataFrame([("p", "f00", ""), ("q", "f00", "")], "project string, file string, prefix string")
+    out = {(r["project"], r["file"]): r["prefix"] for r in graph.propagate_prefixes(m, roots, lambda a, b: F.concat(a, b)).collect()}
+    assert out == {("p", f"f{i:02}"): "/x" * i for i in range(22)} | {("q", "f00"): "", ("q", "f21"): "/z"}
+
+
 def test_views(spark, tmp_path):
     from auditloom.plans import views
 

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.keywords import keyword_counts
 from ..functions.localize import localize
-from ..functions.paths import code_anchor, endpoint_anchor, file_anchor, keyword_text, match_path
+from ..functions.paths import code_text, endpoint_anchor, file_anchor, keyword_text, match_path, short_hash
 from ..functions.severity import confidence_rank, severity, severity_rank
-from ..functions.text import contains_any, ends_with_any, first_real, fixed, is_placeholder, text_or_empty
+from ..functions.text import contains_any, ends_with_any, first_real, fixed, is_ascii, is_placeholder, text_or_empty
 
 #: Families and the markers that tell them, in order of precedence.
 FAMILIES = (
@@ -35,7 +34,10 @@ _LINE_RANGE = r"^\s*[Ll]?\s*(\d+)\s*(?:[-~–—]\s*[Ll]?\s*(\d+))?\s*$"
 
 def line_bound(value: Column, group: int = 1) -> Column:
     """A positive line number of 12, L12, 12-34 and the like; null for anything else."""
-    n = F.expr("null").cast("int") if value is None else F.regexp_extract(value.cast("string"), _LINE_RANGE, group).try_cast("int")
+    if value is None:
+        return F.lit(None).cast("int")
+    # A zero before it, since to read '' as a number raises an error inside, which takes long; no number is 0, as no line is.
+    n = F.concat(F.lit("0"), F.regexp_extract(value.cast("string"), _LINE_RANGE, group)).try_cast("int")
     return F.when(n > 0, n)
 
 
@@ -44,7 +46,11 @@ def line_bounds(start: Column, end: Column, *candidates: Column) -> tuple[Column
     return _in_order(*_told_lines(start, end, *candidates))
 
 
-def _told_lines(start: Column, end: Column, *candidates: Column) -> tuple[Column, Column]:
+def _told_lines(start: Column, end: Column, *candidates: Column, numbers: bool = False) -> tuple[Column, Column]:
+    """``numbers``: start and end are integers, which are no ranges."""
+    if numbers:
+        first, last = [F.when(c > 0, c) for c in (start, end)]
+        return F.coalesce(first, last, *map(line_bound, candidates)), F.coalesce(last, *[F.when(line_bound(c).isNotNull(), line_bound(c, 2)) for c in candidates])
     every = [start, end, *candidates]
     lo = F.coalesce(line_bound(start), *[line_bound(c) for c in every])
     return lo, F.coalesce(line_bound(end), *[F.when(line_bound(c).isNotNull(), line_bound(c, 2)) for c in every])
@@ -59,37 +65,47 @@ def normalize(findings: DataFrame) -> DataFrame:
     """Fields filled from their other names (name, type, location, remediation, line, line_range, impact, evidence, auth_required), where these columns exist; title and type in Chinese where they have a usual name."""
     has = set(findings.columns)
     col = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
+    # One step a field: what is generated for several at once is too long to be compiled, and then slow.
     made = fixed(findings, _type=first_real(*map(col, ("vuln_type", "type", "title", "name"))), _place=first_real(col("location")))
     made = fixed(made, _title=first_real(col("title"), col("name"), F.col("_type")))
+    made = fixed(fixed(made, _title_zh=localize(F.col("_title"))), _type_zh=localize(F.col("_type")))
     place = F.col("_place")
     named = F.replace(F.regexp_extract(place, r"([A-Za-z]:[\\/][^,#\s]+|[A-Za-z0-9_./\\-]+\.[A-Za-z0-9_]+)", 1), F.lit("\\"), F.lit("/"))
     hint = F.regexp_extract(place, r"#\s*[Ll](\d+)", 1), F.regexp_extract(place, r"#\s*[Ll]\d+\s*[-~–—]\s*[Ll]?(\d+)", 1)
     hint = F.when(hint[0] != "", F.concat(hint[0], F.when(hint[1] != "", F.concat(F.lit("-"), hint[1])).otherwise("")))
     made = fixed(made, _hint=hint)
-    lo, hi = _told_lines(col("line_start"), col("line_end"), col("line"), col("line_range"), col("source_line"), F.col("_hint"))
-    made = fixed(made, _lo=lo, _hi=hi)
+    lo, hi = _told_lines(col("line_start"), col("line_end"), col("line"), col("line_range"), col("source_line"), F.col("_hint"), numbers=all(c in has and findings.schema[c].dataType.typeName() == "integer" for c in ("line_start", "line_end")))
+    made = fixed(fixed(made, _lo=lo), _hi=hi)
     lo, hi = _in_order(F.col("_lo"), F.col("_hi"))
     auth = F.when(first_real(col("auth_required")) != "", F.concat(F.lit("认证要求："), first_real(col("auth_required"))))
     told = F.concat_ws("\n\n", F.nullif(first_real(col("impact")), F.lit("")), F.nullif(first_real(col("evidence")), F.lit("")), auth)
+    made = fixed(made, _about=first_real(col("description")))
+    made = fixed(made, _path=first_real(col("file_path"), named))
+    made = fixed(made, _fix=first_real(col("fix_suggestion"), col("remediation")))
     return made.withColumns({
-        "title": localize(F.col("_title")), "vuln_type": localize(F.col("_type")), "file_path": first_real(col("file_path"), named), "fix_suggestion": first_real(col("fix_suggestion"), col("remediation")),
-        "description": F.when(first_real(col("description")) != "", first_real(col("description"))).otherwise(told), "line_start": lo, "line_end": hi,
-    }).drop("_type", "_place", "_title", "_hint", "_lo", "_hi")
+        "title": F.col("_title_zh"), "vuln_type": F.col("_type_zh"), "file_path": F.col("_path"), "fix_suggestion": F.col("_fix"),
+        "description": F.when(F.col("_about") != "", F.col("_about")).otherwise(told), "line_start": lo, "line_end": hi,
+    }).drop("_type", "_place", "_title", "_title_zh", "_type_zh", "_hint", "_lo", "_hi", "_about", "_path", "_fix")
 
 
 #: Families of injections that Chinese texts name by one word, and their markers.
 INJECTION, INJECTIONS = "注入", (
     ("sql_injection", ("sql", "select ", "update ", "insert ", "delete from", "where ")), ("nosql_injection", ("mongo", "bson", "nosql")), ("command_injection", ("exec", "shell", "command", "system(")),
 )
-_MARKS = ((INJECTION,), *(markers for _, markers in (*INJECTIONS, *FAMILIES)))
 
 
-def family(counts: str, base: Column) -> Column:
-    """What kind of flaw it is, by the first markers that its texts hold (``counts`` names a fixed column of ``keyword_counts`` over _MARKS); else ``base``, its type's words."""
-    held = lambda i: F.col(counts)[i] > 0
-    named = [F.when(held(0) & held(1 + i), name) for i, (name, _) in enumerate(INJECTIONS)]
-    named += [F.when(held(1 + len(INJECTIONS) + i), name) for i, (name, _) in enumerate(FAMILIES)]
-    return F.coalesce(*named, F.when(base == "", "generic_vulnerability").otherwise(base))
+def family(df: DataFrame, hay: str, base: str, plain: str) -> DataFrame:
+    """Adds family: what kind of flaw it is, by the first markers that its texts (the fixed column ``hay``) hold; else ``base``, its type's words.
+
+    The markers are few and texts short, so they are looked for one by one; a third of them
+    in a step, which can be compiled. ``plain``: whether the texts are ASCII.
+    """
+    named = [(name, ~F.col(plain) & F.contains(hay, F.lit(INJECTION)) & contains_any(hay, markers)) for name, markers in INJECTIONS] + [(name, contains_any(hay, markers, plain)) for name, markers in FAMILIES]
+    told = None
+    for i in range(0, len(named), 8):
+        here = F.coalesce(*([F.col(told)] if told else []), *[F.when(hit, name) for name, hit in named[i : i + 8]])
+        df, told = fixed(df, **{f"_family{i}": here}), f"_family{i}"
+    return df.withColumn("family", F.coalesce(told, F.when(F.col(base) == "", "generic_vulnerability").otherwise(F.col(base)))).drop(*[f"_family{i}" for i in range(0, len(named), 8)])
 
 
 def root_cause(df: DataFrame) -> DataFrame:
@@ -99,15 +115,17 @@ def root_cause(df: DataFrame) -> DataFrame:
     named = F.when(text_or_empty("vuln_type") != "", F.col("vuln_type")).otherwise(text_or_empty("title"))
     end = F.coalesce("line_end", "line_start").cast("string")
     line = F.concat(F.lit("line:"), F.col("line_start").cast("string"), F.lit("-"), end)
-    made = fixed(df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80), _file=file_anchor("file_path"), _at=line)
-    made = fixed(made, _held=keyword_counts("_hay", _MARKS))
+    made = fixed(df, _hay=F.lower(F.concat_ws(" ", *texts)), _base=F.substring(keyword_text(named), 1, 80))
+    made = fixed(made, _file=file_anchor("file_path"), _at=line, _plain=is_ascii("_hay"))
+    made = family(made, "_hay", "_base", "_plain").drop("_plain")
     # The next best anchor is worked out only where the ones before it are missing.
-    code = F.nullif(code_anchor("code_snippet"), F.lit(""))
-    made = fixed(made, _code=F.when(F.col("_at").isNull(), F.concat(F.lit("code:"), code)))
-    made = fixed(made, _end=F.when(F.coalesce("_at", "_code").isNull(), F.nullif(endpoint_anchor("endpoint"), F.lit(""))))
-    made = fixed(made, _rest=F.when(F.coalesce("_at", "_code", "_end").isNull(), F.nullif(code_anchor(rest), F.lit(""))))
-    at = F.coalesce("_at", "_code", "_end", "_rest", F.lit("global"))
-    out = fixed(made, family=family("_held", F.col("_base")), location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_held", "_base", "_at", "_code", "_end", "_rest")
+    made = fixed(made, _code=F.when(F.col("_at").isNull(), code_text("code_snippet")))
+    at = F.coalesce("_at", F.when(F.col("_code") != "", F.concat(F.lit("code:"), short_hash("_code"))))
+    made = fixed(made, _told=at)
+    made = fixed(made, _end=F.when(F.col("_told").isNull(), endpoint_anchor("endpoint")))
+    made = fixed(made, _rest=F.when(F.col("_end") == "", code_text(rest)))
+    at = F.coalesce("_told", F.when(F.col("_end") != "", F.col("_end")), F.when(F.col("_rest") != "", short_hash("_rest")), F.lit("global"))
+    out = fixed(made, location_anchor=at).withColumnRenamed("_file", "file_anchor").drop("_hay", "_base", "_at", "_code", "_told", "_end", "_rest")
     return out.withColumn("dedupe_key", F.substring(F.sha2(F.concat_ws("|", "family", "file_anchor", "location_anchor").cast("binary"), 256), 1, 32))
 
 
